@@ -1,11 +1,13 @@
 """Token ids by the ``tokenizers`` library, with the ids of repeated words kept.
 
-Both vocabularies split a text at white space before any merge, so a word's ids
-do not depend on what stands around it.  The library encodes each different
-word once for each task (at most ``KEEP`` words are held) and a text is put
-together from its words.  A text whose splitting could differ (a special
-token's name, a control character that Python and the library class otherwise)
-goes to the library whole.
+Both vocabularies divide a text into pieces before any merge, so a piece's ids
+do not depend on what stands around it.  A text of plain Latin letters, digits,
+ASCII signs and white space is divided here as the vocabulary's own pattern
+divides it; any other text is divided at white space only, and a text with a
+special token's name or a character that Python and the library class
+differently goes to the library whole.  The library encodes each different
+piece once for each process (at most ``KEEP`` pieces are held; the rest are
+encoded again), and a text's ids are those of its pieces.
 """
 
 from __future__ import annotations
@@ -14,12 +16,24 @@ import re
 
 import numpy as np
 
-KEEP = 400_000
+KEEP = 600_000
 
-#: As byte-level vocabularies split: white space keeps its last space for the word after it.
+_L = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(rf"[^\t\n\r\x20-\x7e{_L}]")
+_ODD = re.compile("[\x1c-\x1f\x85᠎​-‍⁠﻿]")
 _SPACED = re.compile(r"\s+(?!\S)| ?\S+|\s+")
-_ODD = re.compile(r"[\x1c-\x1f\x85᠎​-‍﻿]")
-_LONG = 256
+_SPACED_PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
+_WORD_PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 def default_path(name: str) -> str:
@@ -32,61 +46,59 @@ def default_path(name: str) -> str:
 class WordEncoder:
     """Little-endian unsigned 32-bit ids of texts.
 
-    ``spaced``: a word takes the space before it along (byte-level vocabularies);
-    otherwise white space only divides words.
+    ``spaced``: a piece takes the space before it along (byte-level
+    vocabularies); otherwise texts are lower-cased and white space only divides.
     """
 
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.spaced = spaced
         self.names = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.held: dict[str, bytes] = {}
+        self.other = _Held(lambda piece: self._library_ids([piece])[0])
+        self.plain = _Held(self._piece_ids)
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)
+
+    def _piece_ids(self, piece: str) -> bytes:
+        """A piece that is divided no further goes to the library's merges directly."""
+        letters = piece if piece.isascii() and piece.isprintable() and " " not in piece else "".join(map(_LETTERS.__getitem__, piece.encode()))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
 
     def whole(self, text: str) -> bytes:
         """A text's ids by one call of the library."""
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
+        if "<|" in text and any(n in text for n in self.names) or _ODD.search(text):
+            return self.whole(text)
+        if _PLAIN.search(text):
+            pieces = _SPACED.findall(text) if self.spaced else text.split()
+            return b"".join(map(self.other.__getitem__, pieces))
+        pieces = _SPACED_PLAIN.findall(text) if self.spaced else _WORD_PLAIN.findall(text.lower())
+        return b"".join(map(self.plain.__getitem__, pieces))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; the words of 64 texts at a time are looked up together."""
-        out: list[bytes] = []
-        for i in range(0, len(texts), 64):
-            out += self._some(texts[i : i + 64])
-        return out
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        split = _SPACED.findall if self.spaced else str.split
-        parts = [None if any(n in t for n in self.names) or _ODD.search(t) else split(t) for t in texts]
-        wanted: set[str] = set().union(*(p for p in parts if p is not None))
-        held = self.held
-        fresh = self._learn([w for w in wanted if w not in held])
-        if len(held) + len(fresh) <= KEEP:
-            held.update(fresh)
-        elif fresh:
-            held = {w: held[w] for w in wanted if w in held} | fresh
-        get = held.__getitem__
-        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words: the library encodes many in one text, a line each, and its offsets divide the ids."""
-        out = {w: self.whole(w) for w in words if len(w) > _LONG or w.isspace()}
-        rest = [w for w in words if w not in out]
-        for i in range(0, len(rest), 4096):
-            some = rest[i : i + 4096]
-            sizes = np.fromiter(map(len, some), np.int64, len(some))
-            starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-            got = self.library.encode("\n".join(some), add_special_tokens=False)
-            at = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
-            word = np.searchsorted(starts, at, side="right") - 1
-            own = at < starts[word] + sizes[word]
-            ids = np.array(got.ids, "<u4")[own].tobytes()
-            ends = (np.cumsum(np.bincount(word[own], minlength=len(some))) * 4).tolist()
-            out.update(zip(some, (ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-        return out
+        return [self.encode(t) for t in texts]
+
+    def _library_ids(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+
+class _Held(dict):
+    """Ids by piece; at most ``KEEP`` pieces stay."""
+
+    def __init__(self, ids):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.ids(piece)
+        if len(self) < KEEP:
+            self[piece] = got
+        return got
 
 
 _encoders: dict[tuple[str, bool], WordEncoder] = {}
@@ -98,6 +110,6 @@ def encoder(path: str, spaced: bool) -> WordEncoder:
     if key not in _encoders:
         import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _encoders[key] = WordEncoder(path, spaced)
     return _encoders[key]
