@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, secrets_scan
+from . import decontam, packing, repair_ids, secrets_scan, shards
 from .common import table
 
 
@@ -29,8 +29,35 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shards.sharded(docs).select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_ids.read_files(repair_ids.write_files(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {"op5_decontamination": op5_decontamination, "op6_secrets": op6_secrets}
+    return {
+        "op4_shards": op4_shards,
+        "op5_decontamination": op5_decontamination,
+        "op6_secrets": op6_secrets,
+        "op7_packing": op7_packing,
+        "op8_token_ids": op8_token_ids,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,9 +8,9 @@ The buckets' sizes, summed up, give each record its place in one random order
 of the whole table; the shards are equal slices of that order (law ``rows``:
 their counts differ by one at most).
 
-A bucket is held in memory by one task; its size does not depend on the table,
-and equal rows are kept apart by their number in the hash, so copies of one
-text fill no bucket.
+A bucket is held in memory by one task; its size does not depend on the table.
+The hash takes the id and the text, so copies of one text under different ids
+spread over all buckets; only rows equal in both share one.
 
 Defined results: nulls hash as values of their own; equal rows are placed each;
 an empty table gives an empty result; other columns are written along.
@@ -48,20 +48,22 @@ def place(position, n, shards: int):
 def shuffle(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` in a random order, with ``shard`` and ``slot``."""
     body = F.coalesce(F.octet_length(text), F.lit(0)) + 64
-    # One number for each of the two passes: sizes and rows.
-    total = docs.agg(F.sum(body).alias("b")).first()["b"] or 0
-    buckets = max(1, -(-int(total) // bucket_bytes))
+    # Two numbers reach the driver: the bytes decide the number of buckets, the rows the shards' sizes.
+    sums = docs.agg(F.sum(body).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    n, buckets = int(sums["n"]), max(1, -(-int(sums["b"] or 0) // bucket_bytes))
     mark = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(buckets)).cast("int")
     counts = docs.groupBy(mark.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
     dense = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("_bucket")).join(counts, "_bucket", "left")
     firsts = prefix_sums(dense.select("_bucket", F.coalesce("_n", F.lit(0)).alias("_n")), "_bucket", "_n")
+    # A bucket's first place travels with its rows, as a row that sorts before them: no join moves the texts.
     columns = docs.columns
-    scattered = docs.withColumn("_bucket", mark).join(firsts.select("_bucket", F.col("before").alias("_first")), "_bucket")
-    tasks = max(1, min(buckets, -(-buckets // 1)))
-    scattered = scattered.repartition(tasks, "_bucket").sortWithinPartitions("_bucket", F.col(key), F.xxhash64(text))
-    fields = [*columns, "_bucket", "_first"]
-    scattered = scattered.select(*[F.col(f"`{c}`") for c in fields])
-    out_schema = scattered.select(*[F.col(f"`{c}`") for c in columns]).withColumn("position", F.lit(0).cast("long")).schema
+    heads = firsts.select("_bucket", F.col("before").alias("_first"))
+    mixed = docs.withColumn("_bucket", mark).unionByName(heads, allowMissingColumns=True)
+    mixed = mixed.repartition(buckets, "_bucket").sortWithinPartitions(
+        "_bucket", F.col("_first").desc_nulls_last(), F.col(key), F.xxhash64(text)
+    )
+    mixed = mixed.select(*[F.col(f"`{c}`") for c in columns], "_bucket", "_first")
+    out_schema = docs.limit(0).withColumn("_position", F.lit(0).cast("long")).schema
 
     def second_pass(batches):
         held: list[pa.RecordBatch] = []
@@ -69,11 +71,12 @@ def shuffle(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
 
         def dealt():
             rows = pa.Table.from_batches(held)
-            order = fisher_yates(rows.num_rows, (seed, current))
-            # The row at place i of the bucket's order is row order[i].
             first = rows.column("_first")[0].as_py()
-            mixed = rows.select(columns).take(pa.array(order))
-            yield from mixed.append_column("position", pa.array(first + np.arange(rows.num_rows, dtype=np.int64))).to_batches(max_chunksize=2000)
+            rows = rows.slice(1).select(columns)
+            # The row at place i of the bucket's order is row order[i].
+            order = fisher_yates(rows.num_rows, (seed, current))
+            places = pa.array(first + np.arange(rows.num_rows, dtype=np.int64))
+            yield from rows.take(pa.array(order)).append_column("_position", places).to_batches(max_chunksize=2000)
 
         for batch in batches:
             marks = batch.column(batch.schema.get_field_index("_bucket")).to_numpy(zero_copy_only=False)
@@ -89,11 +92,10 @@ def shuffle(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
         if held:
             yield from dealt()
 
-    mixed = scattered.mapInArrow(second_pass, out_schema)
-    rows = firsts.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("_rows"))
-    shard, slot = place(F.col("position"), F.col("_rows"), shards)
-    # One row: the number of records.
-    return mixed.join(F.broadcast(rows)).select(*[F.col(f"`{c}`") for c in columns], shard.alias("shard"), slot.alias("slot"))
+    shard, slot = place(F.col("_position"), F.lit(n), shards)
+    return mixed.mapInArrow(second_pass, out_schema).select(
+        *[F.col(f"`{c}`") for c in columns], shard.alias("shard"), slot.alias("slot")
+    )
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = 17) -> None:
