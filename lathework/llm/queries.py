@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, repair_ids, secrets_scan, shards
+from . import decontam, fingerprints, neardup, packing, repair_ids, secrets_scan, shards
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shards.sharded(docs).select(
@@ -50,13 +54,19 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_ids.read_files(repair_ids.write_files(table(spark, sf_dir, "documents")))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op3_near_duplicates": op3_near_duplicates,
         "op4_shards": op4_shards,
         "op5_decontamination": op5_decontamination,
         "op6_secrets": op6_secrets,
         "op7_packing": op7_packing,
         "op8_token_ids": op8_token_ids,
+        "op9_fingerprints": op9_fingerprints,
     }
 
 
