@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathework.llm import secrets_scan
+from lathework.llm import decontam, neardup, packing, quality, secrets_scan
 from lathework.llm.common import table, written
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return neardup.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every found secret is replaced in the text; no document goes."""
     return secrets_scan.redact(docs)
 
 
-STAGES = [("secret scans", redact_secrets)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences of 1024 tokens at most."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("near-duplicates", keep_one_of_each),
+    ("decontamination", drop_contaminated),
+    ("secret scans", redact_secrets),
+    ("packing", pack),
+]
 
 #: The packing and the classifier have no SQL form; tests hold the rows against brute force.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, neardup, packing, repair_ids, secrets_scan, shards
+from . import decontam, fingerprints, langid, neardup, packing, quality, repair_ids, secrets_scan, shards
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.train_and_identify(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,8 +62,15 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs.select("doc_id", "text"), model).select("doc_id", "p_junk", "p_toxic", "kept")
+
+
 def queries() -> dict:
     return {
+        "op2_language": op2_language,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_shards": op4_shards,
         "op5_decontamination": op5_decontamination,
@@ -67,6 +78,7 @@ def queries() -> dict:
         "op7_packing": op7_packing,
         "op8_token_ids": op8_token_ids,
         "op9_fingerprints": op9_fingerprints,
+        "op10_quality": op10_quality,
     }
 
 
