@@ -16,7 +16,7 @@ import re
 
 import numpy as np
 
-KEEP = 600_000
+KEEP = 300_000
 
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[^\t\n\r\x20-\x7e{_L}]")
