@@ -49,7 +49,7 @@ ROUNDS = 4
 PER_ROUND = 1024
 LEAST = 16
 STEP = 256
-FILE_IDS = 1 << 20
+FILE_IDS = 1 << 19
 PARTITION_BYTES = 24 << 20
 
 _BITS = 19
@@ -162,19 +162,28 @@ class File:
         self.marks = take("<u8", -(-symbols // STEP))
         self.starts = take("<u8", docs).astype(np.int64)
 
+        # Every symbol's ids, one after the other: a symbol expands to a slice.
+        self.first = np.arange(self.terminals + rules, dtype=np.int32)
+        self.size = np.ones(self.terminals + rules, np.int32)
+        self.size[self.terminals :] = self.lengths
+        ends = self.terminals + np.cumsum(self.lengths, dtype=np.int64)
+        self.first[self.terminals :] = ends - self.lengths
+        self.flat = np.empty(int(ends[-1]) if rules else self.terminals, np.uint16)
+        self.flat[: self.terminals] = np.arange(self.terminals)
+        for k, (a, b) in enumerate(self.rules.tolist()):
+            at, cut, n = int(self.first[self.terminals + k]), int(self.size[a]), int(self.lengths[k])
+            self.flat[at : at + cut] = self.flat[self.first[a] : self.first[a] + cut]
+            self.flat[at + cut : at + n] = self.flat[self.first[b] : self.first[b] + n - cut]
+
     def expand(self, s: np.ndarray) -> np.ndarray:
-        """The ids of symbols: rules are opened level by level."""
-        while True:
-            big = s >= self.terminals
-            if not big.any():
-                return s
-            at = np.arange(len(s)) + np.cumsum(big) - big
-            out = np.empty(len(s) + int(np.count_nonzero(big)), np.uint16)
-            out[at[~big]] = s[~big]
-            opened = self.rules[s[big].astype(np.int64) - self.terminals]
-            out[at[big]] = opened[:, 0]
-            out[at[big] + 1] = opened[:, 1]
-            s = out
+        """The ids of symbols."""
+        sizes = self.size[s]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        if not len(ends):
+            return np.empty(0, np.uint16)
+        at = np.repeat(self.first[s] - (ends - sizes), sizes)
+        at += np.arange(ends[-1], dtype=np.int32)
+        return self.flat[at]
 
     def all(self) -> np.ndarray:
         """All ids of the file."""
