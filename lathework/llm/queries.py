@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, langid, neardup, packing, quality, repair_ids, secrets_scan, shards
+from . import decontam, fingerprints, html_extract, langid, neardup, packing, quality, repair_ids, secrets_scan, shards
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.train_and_identify(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_main_text": op1_main_text,
         "op2_language": op2_language,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_shards": op4_shards,
