@@ -83,13 +83,27 @@ class Stems:
 
     def __init__(self, stems: frozenset[str] = frozenset(), toxic: float = 0.02, other: float = 0.0005):
         self.stems, self.toxic, self.other = stems, toxic, other
-        self.sizes = sorted({len(s) for s in stems})
+        self.held = _Stemmed(stems)
 
-    def has(self, word: str) -> bool:
-        return any(word[:k] in self.stems for k in self.sizes)
+    def evidence(self, own: set[str], words: int) -> float:
+        return evidence(sum(map(self.held.__getitem__, own)), words, self.toxic, self.other)
 
-    def evidence(self, words: list[str]) -> float:
-        return evidence(sum(map(self.has, set(words))), len(words), self.toxic, self.other)
+
+class _Stemmed(dict):
+    """Whether a word has a stem; at most 300,000 words stay."""
+
+    def __init__(self, stems: frozenset[str]):
+        super().__init__()
+        self.stems, self.sizes = stems, sorted({len(s) for s in stems})
+
+    def __reduce__(self):
+        return _Stemmed, (self.stems,)
+
+    def __missing__(self, word: str) -> int:
+        has = int(any(word[:k] in self.stems for k in self.sizes))
+        if len(self) < 300_000:
+            self[word] = has
+        return has
 
 
 def evidence(hits: int, words: int, toxic: float = 0.017, other: float = 0.0003) -> float:
@@ -119,7 +133,7 @@ def votes(text: str, words: list[str], stems: Stems) -> tuple[list[int], list[in
     own = set(words)
     hits = len(own & INSULTS)
     by_length = evidence(hits, len(words))
-    learnt = stems.evidence(words) if stems.stems else None
+    learnt = stems.evidence(own, len(words)) if stems.stems else None
     toxic = [
         BAD if by_length > 3 else GOOD if by_length < 1 else ABSTAIN,
         ABSTAIN if learnt is None or 2 <= learnt <= 5 else BAD if learnt > 5 else GOOD,
@@ -268,7 +282,8 @@ def learn_stems(docs: DataFrame, labels: DataFrame | None, key: str, text: str,
         return Stems()
     some = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).select(key, "toxic")
     some = some.orderBy(F.xxhash64(key), key, "toxic").limit(rows)
-    pairs = docs.select(F.col(key), F.col(text).cast("string").alias("_t")).join(some, key).where("_t is not null")
+    # Bounded by ``rows``, so the texts need not move.
+    pairs = docs.select(F.col(key), F.col(text).cast("string").alias("_t")).join(F.broadcast(some), key).where("_t is not null")
 
     def stems_of(batches):
         for batch in batches:
