@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Letters that decompose to a base letter; fixed values.
 _MARKED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ"
@@ -68,7 +69,7 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
@@ -113,7 +114,7 @@ def metaphone(word: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def metaphone_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: metaphone(x or ""))
 
