@@ -134,7 +134,6 @@ def parse(text: str):
     return _Parser(text).parse()
 
 
-_NULL = F.lit(None)
 
 
 def _or(*es: Column | None) -> Column | None:
@@ -316,7 +315,7 @@ class Compiler:
     # -- logic ---------------------------------------------------------------
 
     def f_if(self, cond, yes, no=None) -> V:
-        return self._pick([self.truth(cond)], [self.node(yes)], self.node(no) if no else V(_NULL, None, "any"))
+        return self._pick([self.truth(cond)], [self.node(yes)], self.node(no) if no else V(F.lit(None), None, "any"))
 
     def f_and(self, *args) -> V:
         vs = [self.truth(a) for a in args]
@@ -536,8 +535,8 @@ class Compiler:
         k = self.num(nth)
         n = F.floor(k.c).cast("int")
         parts = F.split(a, F.concat(F.lit("\\Q"), b, F.lit("\\E")), F.lit(-1))
-        head = F.array_join(F.slice(parts, F.lit(1), n), F.lit("\u0001"))
-        joined = F.concat(F.replace(head, F.lit("\u0001"), b), c, F.replace(F.array_join(F.slice(parts, n + 1, F.greatest(F.size(parts) - n, F.lit(0))), F.lit("\u0001")), F.lit("\u0001"), b))
+        head = F.array_join(F.slice(parts, F.lit(1), n), "\u0001")
+        joined = F.concat(F.replace(head, F.lit("\u0001"), b), c, F.replace(F.array_join(F.slice(parts, n + 1, F.greatest(F.size(parts) - n, F.lit(0))), "\u0001"), F.lit("\u0001"), b))
         return V(self._blank(F.when((b != "") & (F.size(parts) > n), joined).otherwise(a)), _or(e, k.e, n < 1), "text")
 
     def f_replace(self, x, start, n, new) -> V:

@@ -147,7 +147,7 @@ def class_breaks(df: DataFrame, column: str, n: int, how: str = "quantile") -> l
         return sorted({min(hi, max(lo, mean + sd * k)) for k in range(-(n // 2), n // 2 + 1)} | {lo, hi})
     if how == "quantile":
         return list(df.agg(F.percentile(x, F.array(*[F.lit(i / n) for i in range(n + 1)]))).first()[0])
-    sample = np.array(df.agg(F.percentile(x, F.array(*[F.lit(i / 1000) for i in range(1001)]))).first()[0])
+    sample = np.array(df.agg(F.percentile_approx(x, [i / 1000 for i in range(1001)])).first()[0])
     return _jenks(np.unique(sample), n)
 
 

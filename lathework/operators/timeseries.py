@@ -350,8 +350,10 @@ def forecast(s: DataFrame, h: int, m: int, model: str = "auto", by: str = "serie
         if len(y) < 3:
             return pd.DataFrame({by: [], "step": [], "forecast": [], "low": [], "high": [], "model": []})
         if model == "auto":
-            scores = {k: backtest(y, k, h, m).get("mase", np.inf) for k in ("seasonal_naive", "holt_winters", "theta", "regression", "ses", "arima")}
-            name = min(scores, key=lambda k: (scores[k] if np.isfinite(scores[k]) else np.inf, k))
+            tests = {k: backtest(y, k, h, m) for k in ("seasonal_naive", "holt_winters", "theta", "regression", "ses", "arima")}
+            # A series that repeats itself exactly has no scale: the errors themselves decide.
+            scaled = all(np.isfinite(e.get("mase", np.nan)) for e in tests.values())
+            name = min(tests, key=lambda k: (tests[k].get("mase" if scaled else "rmse", np.inf), k))
         p = MODELS[name](y, h, m)
         rmse = backtest(y, name, h, m).get("rmse", float(np.std(np.diff(y))))
         half = 1.96 * rmse * np.sqrt(np.arange(1, h + 1) / max(1, h / 2))

@@ -545,7 +545,7 @@ def _formulas(spark, d, name, keys, made, order=None, by=()):
 
 
 @query("""SELECT o_orderkey, o_totalprice > 100000 AND o_orderstatus = 'F' AS a, CASE WHEN lower(o_orderstatus) = 'f' THEN 'done' ELSE 'open' END AS b,
-CASE WHEN o_totalprice < 1000 THEN 'small' WHEN o_totalprice < 100000 THEN 'mid' ELSE 'large' END AS c, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 2.0 ELSE 3.0 END AS d, NOT (o_totalprice > 5) AS e FROM orders""")
+CASE WHEN o_totalprice < 1000 THEN 'small' WHEN o_totalprice < 100000 THEN 'mid' ELSE 'large' END AS c, CAST(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS DOUBLE) AS d, NOT (o_totalprice > 5) AS e FROM orders""")
 def formula_logic(spark, d):
     return _formulas(spark, d, "orders", ["o_orderkey"], {
         "a": 'AND([o_totalprice]>100000,[o_orderstatus]="f")', "b": 'IF([o_orderstatus]="F","done","open")',
@@ -554,7 +554,7 @@ def formula_logic(spark, d):
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(l_quantity - 7 * floor(l_quantity / 7), 6) AS a, round(sqrt(l_extendedprice), 6) AS b, floor(l_extendedprice) AS c, ceil(l_quantity / 5) * 5.0 AS d,
-round(pow(l_quantity, 2) + -l_tax, 6) AS e, CAST(NULL AS DOUBLE) AS f, 0.0 AS g, round((l_quantity + l_tax) / 2, 6) AS h, greatest(l_quantity, 10.0) AS i FROM lineitem""")
+round(pow(l_quantity, 2) + -l_tax, 6) AS e, CAST(NULL AS DOUBLE) AS f, CAST(0 AS DOUBLE) AS g, round((l_quantity + l_tax) / 2, 6) AS h, greatest(l_quantity, 10.0) AS i FROM lineitem""")
 def formula_math(spark, d):
     out = _formulas(spark, d, "lineitem", ["l_orderkey", "l_linenumber"], {
         "a": "MOD([l_quantity],7)", "b": "SQRT([l_extendedprice])", "c": "INT([l_extendedprice])", "d": "CEILING([l_quantity],5)", "e": "[l_quantity]^2+-[l_tax]",
