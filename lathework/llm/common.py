@@ -68,19 +68,13 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """The texts of an Arrow string column as UTF-8 bytes; null is empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
-def texts(column: pa.Array) -> list[str]:
-    """The texts of an Arrow string column; null is empty."""
-    return [x or "" for x in column.to_pylist()]
-
-
-def batches_of(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Only the named columns, so that nothing else crosses into Python."""
-    return df.select(*fields)
+def slices(batches, rows: int = 256):
+    """Arrow batches in slices of few rows: only these become Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -43,6 +43,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, written
+
 SHARE = 0.6
 REPEATED = 0.9
 LINKS = 0.6
@@ -262,7 +264,8 @@ def deduce(pages: DataFrame, url: str, page: str) -> DataFrame:
         F.max("role").alias("role"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
     )
     # A token in one page only is in no frequent class; leaving these here keeps the rest small.
-    all_tokens = all_tokens.where("kind = 2 or pages >= 2")
+    # It is read several times below, so it is written once.
+    all_tokens = written(all_tokens.where("kind = 2 or pages >= 2"), "page-tokens")
     hosts = all_tokens.where("kind = 2").select("host", F.col("pages").alias("all_pages"))
     own = all_tokens.where("kind < 2").join(hosts, "host")
     classes = own.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("members"))
@@ -300,12 +303,14 @@ def text_of(page: str | None, slots: frozenset[int] | None, repeated: frozenset[
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` in place of the html."""
-    rest = [c for c in pages.columns if c not in (page, "text", "n_chars")]
+    rest = [c for c in pages.columns if c not in (page, "text", "n_chars", "_page", "_own", "_host", "_slots", "_repeated", "_main")]
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url).cast("string"), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
-    templates = deduce(pages, url, page).withColumnRenamed("pages", "_pages").withColumnRenamed("host", "_host")
+    templates = deduce(pages, url, page).select(
+        F.col("host").alias("_host"), F.col("slots").alias("_slots"), F.col("repeated").alias("_repeated"), F.col("has_main").alias("_main")
+    )
     rows = pages.select(*[F.col(f"`{c}`") for c in rest], F.col(page).cast("string").alias("_page"), host.alias("_own"))
     joined = rows.join(templates, F.col("_own") == F.col("_host"), "left").select(
-        *[F.col(f"`{c}`") for c in rest], "_page", F.col("slots").alias("_slots"), F.col("repeated").alias("_repeated"), F.coalesce("has_main", F.lit(0)).alias("_main")
+        *[F.col(f"`{c}`") for c in rest], "_page", "_slots", "_repeated", F.coalesce("_main", F.lit(0)).alias("_main")
     )
     schema = joined.drop("_page", "_slots", "_repeated", "_main").limit(0).withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
     for field in schema:
@@ -313,7 +318,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     n = len(rest)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for h, s, r, m in zip(*(batch.column(n + i).to_pylist() for i in range(4)), strict=True):
                 out.append(text_of(h, None if s is None else frozenset(s), frozenset(r or ()), bool(m)))
