@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, written
+from .common import mix64, slices, written
 
 ORDER = 4
 MIN_COUNT = 2
@@ -81,7 +81,7 @@ def count(docs: DataFrame, text: str, lang: str, order: int = ORDER) -> DataFram
     """lang, gram (the last ``order`` symbols as a string), n: over all rows with a text and a language."""
 
     def tally(batches):
-        for batch in batches:
+        for batch in slices(batches, 2048):
             by: dict[str, list[str]] = {}
             for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if has_letter(t):
@@ -308,10 +308,10 @@ def calibrate(model: Model, docs: DataFrame, text: str, lang: str, rows: int = C
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and rejected in place of the text; the model travels in the closure (bounded)."""
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "_text", "lang_pred", "score", "rejected")]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 512):
             texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
             lang, score, low = model.predict(texts)
             yield pa.RecordBatch.from_arrays(

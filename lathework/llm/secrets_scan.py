@@ -95,11 +95,12 @@ def scan(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
 
     Adds ``n_assign``, ``n_access``, ``n_hex``, ``base_spans``, ``spans``
     (strings) and ``n_weak``.  The text column itself is dropped: the caller
-    joins or redacts by span.
+    joins or redacts by span.  Columns of ``docs`` with a name added here are replaced.
     """
-    base = _base(docs, text)
+    added = ("n_assign", "n_access", "n_hex", "n_weak", "spans", "base_spans", "_scope", "_of", "_base", "_extra", "_weak", "_text")
+    base = _base(docs.drop(*[c for c in added if c != text]), text)
     linked = _linked(base, reach)
-    out = base.join(linked, base["_scope"] == linked["_of"], "left") if linked is not None else base
+    out = base.join(linked, base["_scope"] == linked["_of"], "left")
     extra = F.coalesce(F.col("_extra"), F.array().cast(_SPAN))
     return (
         out.withColumn("n_weak", F.size(extra).cast("long"))

@@ -46,7 +46,8 @@ def place(position, n, shards: int):
 
 
 def shuffle(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``docs`` in a random order, with ``shard`` and ``slot``."""
+    """``docs`` in a random order, with ``shard`` and ``slot`` (columns of these names are replaced)."""
+    docs = docs.drop("shard", "slot", "_bucket", "_first", "_position")
     body = F.coalesce(F.octet_length(text), F.lit(0)) + 64
     # Two numbers reach the driver: the bytes decide the number of buckets, the rows the shards' sizes.
     sums = docs.agg(F.sum(body).alias("b"), F.count(F.lit(1)).alias("n")).first()
@@ -109,6 +110,7 @@ def read_shards(spark, path: str) -> DataFrame:
 
 def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = 17) -> DataFrame:
     """The shards written to the shared folder and read again: the columns of ``docs``, ``slot`` and ``shard``."""
+    docs = docs.drop("shard", "slot")
     path = scratch(docs.sparkSession, "shards")
     write_shards(docs, path, key, text, shards, seed)
     schema = docs.limit(0).withColumn("slot", F.lit(0).cast("long")).withColumn("shard", F.lit(0)).schema

@@ -1,0 +1,31 @@
+import corpus_pipeline as pipeline
+from lathework.llm import queries
+
+
+def test_stages_keep_the_columns_and_work_on_what_is_left(spark, tmp_path):
+    rows = [(i, f"Clean text number {i} goes on for a while, and it says one thing after another. " * 3, "en", "s", 10) for i in range(30)]
+    rows = [(i, t.replace("thing", f"thing{i}").replace("while", f"while{i * 7}").replace("says", f"says{i * 3}").replace("another", f"other{i}").replace("Clean", f"Clean{i}"), g, s, n) for i, t, g, s, n in rows]
+    rows += [(100, rows[0][1], "en", "s", 10), (101, " ".join(f"bench{i}" for i in range(40)), "en", "s", 1), (102, 'keep me, but token = "abcdef123456" goes away now.', "en", "s", 3), (103, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(f"bench{i}" for i in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, at, str(tmp_path))
+        if k + 1 < len(pipeline.STAGES):
+            assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        at = spark.read.parquet(f"{tmp_path}/stage{k}")
+        seen.append(at)
+    ids = [sorted(r[0] for r in d.select("doc_id").distinct().collect()) for d in seen]
+    assert 103 in ids[0] and 100 not in ids[1] and 0 in ids[1] and 101 not in ids[2] and 102 in ids[3]
+    assert "abcdef123456" not in seen[3].where("doc_id = 102").first().text
+    assert ids[4] == ids[3]
+    assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} == set(ids[4])
+
+
+def test_every_operator_is_registered():
+    names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
