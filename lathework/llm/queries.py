@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, html_extract, langid, neardup, packing, quality, repair_ids, secrets_scan, shards
+from . import decontam, fingerprints, html_extract, langid, neardup, oracles, packing, quality, repair_ids, secrets_scan, shards
 from .common import table
 
 
@@ -88,4 +88,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_near_duplicates": oracles.OP3, "op5_decontamination": oracles.OP5}
