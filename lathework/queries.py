@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import buckets, cleans, formula
 from .functions import text as T
-from .operators import charts, compare, filters, models, pivot, profile, timeseries, transforms
+from .operators import charts, compare, filters, models, pivot, profile, review, timeseries, transforms
 from .operators.aggregate import (
     BinEdges, BinQuantile, BinWidth, Cohort, DatePart, Measure, Since, Time, Value, View, Where, aggregate, partial_periods, post, totals,
 )
@@ -872,6 +872,58 @@ def outliers_lof(spark, d):
     return models.flag_top(out).where("outlier").select("c_custkey", "outlier_score")
 
 
+# -- reviews ------------------------------------------------------------------
+
+
+@query("""SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'iso' WHEN o_orderkey % 3 = 1 AND day(o_orderdate) > 12 THEN 'day first' WHEN o_orderkey % 3 = 1 THEN 'ambiguous' ELSE 'compact' END AS layout, count(*) AS n FROM orders GROUP BY 1""")
+def review_date_layouts(spark, d):
+    k, at = F.col("o_orderkey") % 3, F.col("o_orderdate")
+    o = t(spark, d, "orders").select(F.when(k == 0, F.date_format(at, "yyyy-MM-dd")).when(k == 1, F.date_format(at, "dd/MM/yyyy")).otherwise(F.date_format(at, "yyyyMMdd")).alias("x"))
+    return review.date_layouts(o, "x")
+
+
+@query("""SELECT count(*) FILTER (day(o_orderdate) > 12) AS day_first, CAST(0 AS BIGINT) AS month_first, count(*) FILTER (day(o_orderdate) <= 12) AS ambiguous, false AS conflict FROM orders""")
+def review_date_conflict(spark, d):
+    return review.date_order_conflict(t(spark, d, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("x")), "x")
+
+
+@query("""SELECT CASE WHEN l_linenumber % 2 = 0 THEN '$' ELSE 'none' END AS symbol, count(*) AS n FROM lineitem GROUP BY 1""")
+def review_number_symbols(spark, d):
+    return review.number_symbols(t(spark, d, "lineitem").select(F.concat(F.when(F.col("l_linenumber") % 2 == 0, "$").otherwise(""), F.format_number("l_quantity", 2)).alias("x")), "x")
+
+
+@query("""SELECT CAST(-999 AS DOUBLE) AS value, count(*) AS n FROM lineitem WHERE l_orderkey % 20 = 0""")
+def review_sentinels(spark, d):
+    return review.sentinels(t(spark, d, "lineitem").withColumn("x", F.when(F.col("l_orderkey") % 20 == 0, -999.0).otherwise(F.col("l_quantity"))), "x")
+
+
+@query("""SELECT 'age' AS "column", CAST(0 AS DOUBLE) AS low, CAST(120 AS DOUBLE) AS high, count(*) FILTER (c_acctbal < 0 OR c_acctbal > 120) AS outside FROM customer""")
+def review_plausibility(spark, d):
+    return review.plausibility(t(spark, d, "customer").select(F.col("c_acctbal").alias("age"), "c_name"), ["age", "c_name"])
+
+
+@query("""SELECT round(avg((l_discount BETWEEN 0 AND 1)::INT), 6) AS shares, round(avg((l_discount > 1 AND l_discount <= 100)::INT), 6) AS percents, false AS mixed FROM lineitem""")
+def review_scale_mix(spark, d):
+    return review.scale_mix(t(spark, d, "lineitem"), "l_discount").select(r("shares", 6), r("percents", 6), "mixed")
+
+
+@query("""SELECT 'c_acctbal' AS "column", round(avg((c_custkey % 5 <> 0)::INT), 6) AS before, CAST(1 AS DOUBLE) AS after, true AS moved FROM customer""")
+def review_history(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_acctbal")
+    return review.history(c.withColumn("c_acctbal", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal"))), c, ["c_acctbal"]).select("column", r("before", 6), "after", "moved")
+
+
+@query()
+def review_reference(spark, d):
+    names = F.element_at(F.array(*[F.lit(x) for x in ("Monday", "Tusday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")]), (F.col("event_id") % 7 + 1).cast("int"))
+    return review.reference_accuracy(t(spark, d, "events").select(names.alias("x")), "x")
+
+
+@query()
+def column_network(spark, d):
+    return review.column_network(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_returnflag", "l_linestatus"])
+
+
 # -- charts -------------------------------------------------------------------
 
 
