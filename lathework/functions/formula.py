@@ -742,12 +742,105 @@ class Compiler:
         return V(F.when(v.c.isNotNull(), F.when(width == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0), F.ceil(F.try_divide(v.c - lo, width)).cast("double")))), k.e, "num")
 
 
+class _Attached(Compiler):
+    """Whole-column functions as columns that ``attach`` makes, all at once.
+
+    Totals are one row that is broadcast; functions of the row order run range
+    by range.  With partitions (``by``) the windows of the base class are right,
+    as each partition is its own.
+    """
+
+    def __init__(self, df: DataFrame, order: str | None, now: str):
+        super().__init__(df, order, now)
+        self.totals: list[Column] = []
+        self.ordered: list[tuple[str, str, Column | None]] = []
+        self.ranks: list[tuple[str, Column]] = []
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        from ..operators import order
+
+        if self.totals:
+            df = df.join(F.broadcast(df.agg(*self.totals)))
+        if self.ordered:
+            df = order.attach(df, self.order, self.ordered)
+        for name, value in self.ranks:
+            df = order.rank_desc(df, value, name)
+        return df
+
+    def _total(self, how: Column) -> Column:
+        name = f"_total{len(self.totals)}"
+        self.totals.append(how.alias(name))
+        return F.col(name)
+
+    def _in_order(self, kind: str, value: Column | None) -> Column:
+        if self.order is None:
+            raise FormulaError("the row order is not known")
+        name = f"_order{len(self.ordered)}"
+        self.ordered.append((name, kind, value))
+        return F.col(name)
+
+    def f_rownumber(self) -> V:
+        return V(self._in_order("number", None).cast("double"), None, "num")
+
+    def f_previous(self, x) -> V:
+        v = self.node(x)
+        if x[0] != "column":
+            raise FormulaError("a column is needed")
+        return V(self._in_order("previous", v.c), None, v.t)
+
+    def f_runningsum(self, x) -> V:
+        v = self._bare(x)
+        return V(F.when(v.c.isNotNull(), self._in_order("sum", v.c)), None, "num")
+
+    def f_rank(self, x) -> V:
+        v = self._bare(x)
+        self.ranks.append((f"_rank{len(self.ranks)}", v.c))
+        return V(F.col(self.ranks[-1][0]).cast("double"), None, "num")
+
+    def f_percentoftotal(self, x) -> V:
+        v = self._bare(x)
+        s = self._total(F.sum(v.c))
+        return V(F.try_divide(v.c * 100, s), F.coalesce(s == 0, F.lit(False)), "num")
+
+    def f_columnmean(self, x) -> V:
+        return V(self._total(F.avg(self._bare(x).c)), None, "num")
+
+    def f_columnmedian(self, x) -> V:
+        return V(self._total(F.median(self._bare(x).c)), None, "num")
+
+    def f_columnstdev(self, x) -> V:
+        s = self._total(F.stddev_samp(self._bare(x).c))
+        return V(s, s.isNull(), "num")
+
+    def f_bin(self, x, n) -> V:
+        v, k = self._bare(x), self.num(n)
+        lo, hi = self._total(F.min(v.c)), self._total(F.max(v.c))
+        width = (hi - lo) / k.c
+        return V(F.when(v.c.isNotNull(), F.when(width == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0), F.ceil(F.try_divide(v.c - lo, width)).cast("double")))), k.e, "num")
+
+
 def apply(df: DataFrame, formulas: dict[str, str], order: str | None = None, now: str = "2024-01-01 00:00:00", by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with a column for each formula; one that cannot be read adds nothing."""
-    comp = Compiler(df, order, now, by)
+    """``df`` with a column for each formula; one that cannot be read adds nothing.
+
+    Formulas over columns of ``df`` are added together; one over a new column
+    waits for it.
+    """
+    fresh = lambda: Compiler(df, order, now, by) if by else _Attached(df, order, now)
+    comp, pending = fresh(), {}
+
+    def flush() -> DataFrame:
+        base = comp.attach(df) if isinstance(comp, _Attached) else df
+        kept = [c for c in df.columns if c not in pending]
+        return base.withColumns(pending).select(*[F.col(f"`{c}`") for c in kept], *pending) if pending else df
+
     for name, text in formulas.items():
-        try:
-            df = df.withColumn(name, comp.column(text))
-        except FormulaError:
-            continue
-    return df
+        for _ in range(2):
+            try:
+                pending[name] = comp.column(text)
+                break
+            except FormulaError:
+                if not any(n.lower() in text.lower() for n in pending):
+                    break
+                df = flush()
+                comp, pending = fresh(), {}
+    return flush()

@@ -291,11 +291,12 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Mean ranks of ties: ranks come from the counts of distinct values, so only these are sorted together."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2).select("_v", name)
-    return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")
+    """Mean ranks of ties: from the counts of distinct values, summed up range by range."""
+    from .order import running_sum
+
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_key")).agg(F.count(F.lit(1)).alias("_c"))
+    ranks = running_sum(counts, F.col("_c").cast("double"), "_key", "_upto").select("_key", (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
+    return df.join(ranks, df[column] == ranks["_key"], "left").drop("_key")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

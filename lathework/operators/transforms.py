@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregate import finite
+from .order import carry
 
 
 def unique_name(df: DataFrame, name: str) -> str:
@@ -90,7 +91,7 @@ def impute(df: DataFrame, column: str, method: str, value=None, by: list[str] |
     if method == "constant":
         return df.withColumn(column, F.coalesce(c, F.lit(value)))
     if method in ("forward", "backward"):
-        return _fill_along(df, column, order, method == "forward")
+        return carry(df, column, order, method == "forward")
     how = {"mean": lambda: F.round(F.avg(finite(c)), 6), "median": lambda: F.round(F.median(finite(c)), 6), "mode": lambda: F.mode(c, True)}[method]
     out = df.join(F.broadcast(df.agg(how().alias("_all"))))
     fill = F.col("_all")
@@ -103,30 +104,6 @@ def impute(df: DataFrame, column: str, method: str, value=None, by: list[str] |
     return out.withColumn(column, F.coalesce(c, fill)).drop("_all", "_own")
 
 
-def _fill_along(df: DataFrame, column: str, order: str, forward: bool) -> DataFrame:
-    """The last known value before (or after) each row, without sorting the table in one task.
-
-    Rows are range-partitioned by the order; each range is filled on its own,
-    and a range's leading gap takes the last known value of the ranges before:
-    one row for each range.
-    """
-    way = F.col(order).asc() if forward else F.col(order).desc()
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, F.col(order)).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(way).rowsBetween(Window.unboundedPreceding, 0)
-    inside = ranged.withColumn("_fill", F.last(F.col(column), ignorenulls=True).over(w))
-    pick = F.max_by if forward else F.min_by
-    known = F.when(F.col(column).isNotNull(), F.col(order))
-    ends = ranged.groupBy("_part").agg(pick(F.col(column), known).alias("_last"), F.min(order).alias("_lo"))
-    across = Window.orderBy(F.col("_lo").asc() if forward else F.col("_lo").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("_part", F.last("_last", ignorenulls=True).over(across).alias("_carried"))
-    return (
-        inside.join(F.broadcast(carried), "_part")
-        .withColumn(column, F.coalesce("_fill", "_carried"))
-        .select(*df.columns)
-    )
-
-
 def combine_date(df: DataFrame, roles: dict[str, str], name: str = "date") -> DataFrame:
     """Parts to one date or date-time; the day defaults to 1, an impossible date is null."""
     part = lambda r, d: F.coalesce(F.expr(f"try_cast(`{roles[r]}` as int)"), F.lit(d)) if r in roles else F.lit(d)

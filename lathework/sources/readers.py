@@ -226,22 +226,11 @@ def combine(parts: list[tuple[str, DataFrame]], column: str = "_input_filename")
 
 
 def row_ids(df: DataFrame, order: list[str], name: str = "_row_id") -> DataFrame:
-    """A dense row number in a natural key's order, without sorting in one task.
+    """A dense row number from 0 in a natural key's order, without sorting in one task."""
+    from ..operators.order import row_number
 
-    Rows are range-partitioned by the key and numbered in each range; a range
-    starts where the ones before it end.
-    """
-    from pyspark.sql import Window
-
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = [F.col(c).asc_nulls_first() for c in order]
-    ranged = df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id())
-    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_part", before.alias("_before"))
-    # One row for each partition.
-    return inside.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_before") + F.col("_in") - 1).cast("long")).select(*df.columns, name)
+    out = row_number(df, order[0], name, tuple(order[1:]))
+    return out.withColumn(name, F.col(name) - 1)
 
 
 def infer_types(df: DataFrame, columns: list[str] | None = None, sample: int = 1000) -> dict[str, str]:
