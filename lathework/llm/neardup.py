@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, written
+from .common import mix64, slices, written
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -39,7 +39,7 @@ NUMERATOR, DENOMINATOR = 80, 100
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_KEEP = 500_000
+_KEEP = 200_000
 
 
 class _WordHashes(dict):
@@ -53,6 +53,11 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def _forget() -> None:
+    """At a task's end: the process goes on to other work."""
+    _hashes.clear()
+
+
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
@@ -102,19 +107,18 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def sign(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                n, prints, bands = [], [], []
-                for text in part.column(1).to_pylist():
-                    s = shingles(text)
-                    n.append(len(s))
-                    prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    bands.append(band_keys(minima(s)) if len(s) else None)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=[key, "n_shingles", "print", "bands"],
-                )
+        for part in slices(batches):
+            n, prints, bands = [], [], []
+            for text in part.column(1).to_pylist():
+                s = shingles(text)
+                n.append(len(s))
+                prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                bands.append(band_keys(minima(s)) if len(s) else None)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=[key, "n_shingles", "print", "bands"],
+            )
+        _forget()
 
     return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(
         sign, f"`{key}` {kind}, n_shingles bigint, print binary, bands array<bigint>"
@@ -125,9 +129,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """The full sets (binary, sorted) of the documents in ``wanted`` (column node)."""
 
     def make(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+        _forget()
 
     rows = docs.select(F.col(key).cast("bigint").alias("node"), F.col(text).cast("string").alias("text")).join(wanted, "node", "left_semi")
     return rows.mapInArrow(make, "node bigint, set binary")
@@ -198,11 +203,14 @@ def forest(nodes: list[int], labels: list[int], sets: list[bytes], side: list[bo
         return x
 
     out = []
-    for i, j in np.argwhere(np.triu(links, 1)).tolist():
-        p, q = find(labels[i]), find(labels[j])
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((nodes[i], nodes[j]))
+    for i in range(n):
+        at = np.flatnonzero(links[i, i + 1 :]) + i + 1
+        # One link to each label is enough.
+        for label, k in zip(*np.unique(marks[at], return_index=True), strict=True):
+            p, q = find(labels[i]), find(int(label))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((nodes[i], nodes[int(at[k])]))
     return out
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import written
+from .common import tidy, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -112,8 +112,8 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, capacity: int = CAPA
         encode = tokens.encoder(path, True)
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
                 at, n, start, length, crc = [], [], [], [], []
                 for row, text in enumerate(part.column(1).to_pylist()):
                     ids = encode.encode(text or "") + end
@@ -137,6 +137,7 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, capacity: int = CAPA
                     ],
                     names=[key, "piece", "start", "length", "ids_crc32"],
                 )
+        tidy()
 
     schema = f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
     return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(cut, schema)

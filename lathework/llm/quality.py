@@ -41,6 +41,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SAMPLE_ROWS = 12_000
 LABELLED_ROWS = 20_000
 #: A labeller knows one fault, or one language's words: it is taken to miss this share of the bad texts at least.
@@ -90,7 +92,7 @@ class Stems:
 
 
 class _Stemmed(dict):
-    """Whether a word has a stem; at most 300,000 words stay."""
+    """Whether a word has a stem; at most 150,000 words stay."""
 
     def __init__(self, stems: frozenset[str]):
         super().__init__()
@@ -101,7 +103,7 @@ class _Stemmed(dict):
 
     def __missing__(self, word: str) -> int:
         has = int(any(word[:k] in self.stems for k in self.sizes))
-        if len(self) < 300_000:
+        if len(self) < 150_000:
             self[word] = has
         return has
 
@@ -201,7 +203,7 @@ class LabelModel:
 class _Buckets(dict):
     def __missing__(self, word: str) -> int:
         b = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
-        if len(self) < 300_000:
+        if len(self) < 150_000:
             self[word] = b
         return b
 
@@ -209,6 +211,11 @@ class _Buckets(dict):
 _buckets = _Buckets()
 
 
+def _forget() -> None:
+    """At a task's end: the process goes on to other work."""
+    _buckets.clear()
+
+
 def features(words: list[str], codes: tuple[int, int]) -> np.ndarray:
     """The distinct buckets of a text's words and votes."""
     f = np.fromiter(map(_buckets.__getitem__, words), np.int32, len(words))
@@ -328,8 +335,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
     learnt = learn_stems(docs, labels, key, text)
 
     def cast_votes(batches):
-        for batch in batches:
-            j, t, h = [], [], []
+        for batch in slices(batches, 2048):
+            j, t = [], []
             for body in batch.column(0).to_pylist():
                 words = _WORD.findall((body or "").lower())
                 if words:
@@ -351,7 +358,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
     models = LabelModel(len(JUNK)).fit(junk), LabelModel(len(TOXIC)).fit(toxic)
 
     def sampled(batches):
-        for batch in batches:
+        for batch in slices(batches):
             j, t, f = [], [], []
             for body in batch.column(0).to_pylist():
                 words = _WORD.findall((body or "").lower())
@@ -361,6 +368,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
                     t.append(_code(b))
                     f.append(features(words, (j[-1], t[-1])).astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(j, pa.int64()), pa.array(t, pa.int64()), pa.array(f, pa.binary())], names=["j", "t", "f"])
+        _forget()
 
     # The rows whose text hashes lowest: about ``sample`` of them, whatever the table's size.
     share = min(1.0, sample / max(1, total))
@@ -374,20 +382,22 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with p_junk, p_toxic and kept; the model (one array of weights) travels in the closure."""
+    """``docs`` with p_junk, p_toxic and kept (columns of these names are replaced); the model travels in the closure (bounded)."""
+    docs = docs.drop("p_junk", "p_toxic", "kept")
     at = docs.columns.index(text)
     schema = docs.limit(0).withColumn("p_junk", F.lit(0.0)).withColumn("p_toxic", F.lit(0.0)).withColumn("kept", F.lit(True)).schema
     for field in schema:
         field.nullable = True
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             p = [model.probabilities(t) for t in batch.column(at).cast(pa.string()).to_pylist()]
             j, t = [x for x, _ in p], [x for _, x in p]
             keep = [a < THRESHOLD and b < THRESHOLD for a, b in p]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(j, pa.float64()), pa.array(t, pa.float64()), pa.array(keep, pa.bool_())], names=[f.name for f in schema]
             )
+        _forget()
 
     return docs.mapInArrow(run, schema)
 
@@ -398,8 +408,9 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_
     at = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             p = [model.probabilities(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([a < THRESHOLD and b < THRESHOLD for a, b in p], pa.bool_()))
+        _forget()
 
     return docs.mapInArrow(run, docs.schema)
