@@ -60,7 +60,7 @@ def shuffle(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
     columns = docs.columns
     heads = firsts.select("_bucket", F.col("before").alias("_first"))
     mixed = docs.withColumn("_bucket", mark).unionByName(heads, allowMissingColumns=True)
-    mixed = mixed.repartition(buckets, "_bucket").sortWithinPartitions(
+    mixed = mixed.repartitionById(buckets, F.col("_bucket")).sortWithinPartitions(
         "_bucket", F.col("_first").desc_nulls_last(), F.col(key), F.xxhash64(text)
     )
     mixed = mixed.select(*[F.col(f"`{c}`") for c in columns], "_bucket", "_first")
