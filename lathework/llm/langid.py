@@ -231,7 +231,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = OR
             held = level.withColumn("context", F.substring("gram", 1, k - 1)).join(context, ["lang", "context"])
         else:
             held = level.withColumn("total", F.lit(0)).withColumn("kinds", F.lit(0))
-        held = held.where(F.col("n") >= (min_count if k > 2 else 1)).orderBy(F.col("n").desc(), "lang", "gram").limit(most)
+        held = held.where(F.col("n") >= (min_count if k > 2 else 1))
+        # The counts' distribution (a few hundred rows) gives the least count at which ``most`` n-grams suffice.
+        size = F.floor(F.log2("n") * 16)
+        left, least = most, None
+        for r in sorted(held.groupBy(size.alias("s")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["s"]):
+            left -= r["c"]
+            if left < 0:
+                break
+            least = r["s"]
+        held = held.where(size >= (least if least is not None else 1 << 20))
         tables[k] = (held.select("lang", "gram", "n", "total", "kinds").toPandas(), seen)
     return _assemble(langs, number, tables, discounts, order)
 
