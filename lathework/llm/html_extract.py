@@ -48,6 +48,7 @@ from .common import slices, written
 SHARE = 0.6
 REPEATED = 0.9
 LINKS = 0.6
+SALTS = 32
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -303,13 +304,17 @@ def text_of(page: str | None, slots: frozenset[int] | None, repeated: frozenset[
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` in place of the html."""
-    rest = [c for c in pages.columns if c not in (page, "text", "n_chars", "_page", "_own", "_host", "_slots", "_repeated", "_main")]
+    rest = [c for c in pages.columns if c not in (page, "text", "n_chars", "_page", "_own", "_host", "_slots", "_repeated", "_main", "_salt", "_of")]
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url).cast("string"), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
     templates = deduce(pages, url, page).select(
         F.col("host").alias("_host"), F.col("slots").alias("_slots"), F.col("repeated").alias("_repeated"), F.col("has_main").alias("_main")
     )
     rows = pages.select(*[F.col(f"`{c}`") for c in rest], F.col(page).cast("string").alias("_page"), host.alias("_own"))
-    joined = rows.join(templates, F.col("_own") == F.col("_host"), "left").select(
+    # A host may hold a third of all pages: its pages meet copies of its template in SALTS places.
+    salt = F.pmod(F.xxhash64("_page", F.col(url)), F.lit(SALTS))
+    templates = templates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_of", salt.cast("int"))
+    joined = rows.join(templates, (F.col("_own") == F.col("_host")) & (F.col("_of") == F.col("_salt")), "left").select(
         *[F.col(f"`{c}`") for c in rest], "_page", "_slots", "_repeated", F.coalesce("_main", F.lit(0)).alias("_main")
     )
     schema = joined.drop("_page", "_slots", "_repeated", "_main").limit(0).withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
