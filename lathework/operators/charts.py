@@ -196,3 +196,25 @@ def region_key(c: Column) -> Column:
     """A region name's join key: lower case, single spaces, no leading zeros or ``.0``."""
     out = F.trim(F.regexp_replace(F.lower(c.cast("string")), r"\s+", " "))
     return F.regexp_replace(F.regexp_replace(out, r"\.0+$", ""), r"^0+(?=.)", "")
+
+
+def density(df: DataFrame, x: str, y: str, bins: int = 60) -> DataFrame:
+    """A two-way histogram over the 1st to 99th percentiles; what lies beyond is left out."""
+    a, b = finite(F.col(x)), finite(F.col(y))
+    q = F.array(F.lit(0.01), F.lit(0.99))
+    ends = df.agg(F.percentile(a, q).alias("_qx"), F.percentile(b, q).alias("_qy"))
+    inside = df.join(F.broadcast(ends)).where(a.between(F.col("_qx")[0], F.col("_qx")[1]) & b.between(F.col("_qy")[0], F.col("_qy")[1]))
+    return inside.groupBy(_bin(a, F.col("_qx")[0], F.col("_qx")[1], bins).alias("bx"), _bin(b, F.col("_qy")[0], F.col("_qy")[1], bins).alias("by")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def scatter(df: DataFrame, x: str, y: str, limit: int = 5000, seed: int = 1) -> DataFrame:
+    """At most ``limit`` points, taken by hash, so that a chart of any table is the same each time."""
+    known = df.where(finite(F.col(x)).isNotNull() & finite(F.col(y)).isNotNull())
+    return known.orderBy(F.xxhash64(F.lit(seed), *df.columns)).limit(limit).select(x, y)
+
+
+def region_aggregate(df: DataFrame, region: Column, value: str, frame: Column | None = None) -> DataFrame:
+    """Count, sum, mean, median, min and max of a value by region (and frame)."""
+    v = finite(F.col(value))
+    keys = [region.alias("region")] + ([frame.alias("frame")] if frame is not None else [])
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))

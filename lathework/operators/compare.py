@@ -240,3 +240,82 @@ def fuzzy_match(a: DataFrame, b: DataFrame, key: str, a_id: str, b_id: str, leas
     second = F.lead("score").over(best_a)
     ranked = ranked.withColumn("ambiguous", F.coalesce(F.col("score") - second < 0.02, F.lit(False)))
     return ranked.where("ra = 1 and rb = 1").select("a_id", "b_id", "score", "ambiguous", (F.col("score") >= 0.96).alias("confident"))
+
+
+# -- reports ------------------------------------------------------------------
+
+
+def report(matched: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
+    """For each column: changed rows, their share of matched rows, and the most frequent old-to-new pairs."""
+    both = matched.where("status in ('identical', 'changed')")
+    total = both.agg(F.count(F.lit(1)).alias("matched"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`a_{c}`").cast("string").alias("old"), F.col(f"`b_{c}`").cast("string").alias("new"), F.col(f"`changed_{c}`").alias("hit")) for c in columns])
+    pairs = both.select(F.inline(F.filter(cells, lambda x: x["hit"]))).groupBy("column", "old", "new").agg(F.count(F.lit(1)).alias("n"))
+    best = Window.partitionBy("column").orderBy(F.col("n").desc(), "old", "new")
+    ranked = pairs.withColumn("place", F.row_number().over(best))
+    changed = pairs.groupBy("column").agg(F.sum("n").alias("changed"))
+    tops = ranked.where(F.col("place") <= top).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("place", "old", "new", "n"))).alias("top"))
+    names = matched.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    out = names.join(changed, "column", "left").join(tops, "column", "left").crossJoin(F.broadcast(total))
+    return out.select("column", F.coalesce("changed", F.lit(0)).alias("changed"), F.coalesce(F.col("changed") / F.col("matched"), F.lit(0.0)).alias("share"), "top")
+
+
+def side_totals(matched: DataFrame, column: str) -> DataFrame:
+    """Sums and means of a number on each side, over all rows and over matched rows only."""
+    a, b = finite(F.col(f"`a_{column}`")), finite(F.col(f"`b_{column}`"))
+    both = F.col("status").isin("identical", "changed")
+    return matched.agg(
+        F.sum(a).alias("sum_a"), F.sum(b).alias("sum_b"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"),
+        F.sum(F.when(both, a)).alias("matched_a"), F.sum(F.when(both, b)).alias("matched_b"),
+    )
+
+
+def diff_summary(diffs: DataFrame) -> DataFrame:
+    """Of a table with ``diff``: rows, sum, mean, median, the reach that holds 95 %, the extremes."""
+    x = F.col("diff")
+    return diffs.agg(
+        F.count(x).alias("n"), F.sum(x).alias("sum"), F.avg(x).alias("mean"), F.median(x).alias("median"),
+        F.percentile(F.abs(x), 0.95).alias("p95_reach"), F.min(x).alias("min"), F.max(x).alias("max"),
+    )
+
+
+def suggest_renames(a: DataFrame, b: DataFrame, left: list[str], right: list[str], least: float = 0.9, kinds: int = 20) -> DataFrame:
+    """Pairs of differently named columns whose distinct values overlap by ``least`` (20 or more on both sides)."""
+    def values(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias(name), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])
+        return df.select(F.inline(cells)).where("v is not null").distinct()
+
+    va, vb = values(a, left, "a"), values(b, right, "b")
+    na, nb = va.groupBy("a").agg(F.count(F.lit(1)).alias("na")), vb.groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
+    both = va.join(vb, "v").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).join(na, "a").join(nb, "b")
+    overlap = F.col("shared") / F.least("na", "nb")
+    return both.where((F.col("na") >= kinds) & (F.col("nb") >= kinds)).withColumn("overlap", overlap).where(F.col("overlap") >= least).select("a", "b", "overlap")
+
+
+def letters(a: str, b: str) -> list[tuple[str, str]]:
+    """A display of what changed between two cells: (``=``, ``-`` or ``+``, text) by the longest common subsequence."""
+    n, m = len(a), len(b)
+    table = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            table[i][j] = table[i + 1][j + 1] + 1 if a[i].lower() == b[j].lower() else max(table[i + 1][j], table[i][j + 1])
+    out: list[tuple[str, str]] = []
+
+    def add(kind: str, ch: str) -> None:
+        if out and out[-1][0] == kind:
+            out[-1] = (kind, out[-1][1] + ch)
+        else:
+            out.append((kind, ch))
+
+    i = j = 0
+    while i < n or j < m:
+        if i < n and j < m and a[i].lower() == b[j].lower():
+            add("=", b[j])
+            i, j = i + 1, j + 1
+        elif j < m and (i == n or table[i][j + 1] >= table[i + 1][j]):
+            add("+", b[j])
+            j += 1
+        else:
+            add("-", a[i])
+            i += 1
+    return out

@@ -198,3 +198,15 @@ def page(df: DataFrame, column: str, order: str, start: int, stop: int, descendi
 
 def shuffled(df: DataFrame, order: str, seed: int = 7) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(order)), order)
+
+
+def copies_together(df: DataFrame, order: str) -> DataFrame:
+    """Copies of a row next to each other, groups by their hash, copies in row order."""
+    rest = [c for c in df.columns if c != order]
+    return df.orderBy(F.xxhash64(*rest), order)
+
+
+def search(df: DataFrame, column: str, query: str) -> DataFrame:
+    """By sound; when nothing sounds alike, by spelling."""
+    found = phonetic(df, column, query)
+    return fuzzy(df, column, query) if found.isEmpty() else found

@@ -446,3 +446,64 @@ def drift_halves(df: DataFrame, column: str, order: str) -> tuple[DataFrame, Dat
     mid = df.agg(F.percentile(F.col(order).cast("double"), 0.5).alias("_mid"))
     both = df.join(F.broadcast(mid))
     return both.where(F.col(order) <= F.col("_mid")).drop("_mid"), both.where(F.col(order) > F.col("_mid")).drop("_mid")
+
+
+# -- check digits and kinds ----------------------------------------------------
+
+
+def iban_ok(text: str) -> bool:
+    """The mod-97 check of account numbers."""
+    s = "".join(text.split()).upper()
+    if not re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", s):
+        return False
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def weighted_ok(text: str, weights: tuple[int, ...], modulus: int, first_less: int = 0) -> bool:
+    """Check sums of weighted digits (business and tax file numbers)."""
+    d = [int(c) for c in text if c.isdigit()]
+    if len(d) != len(weights):
+        return False
+    d[0] -= first_less
+    return sum(a * b for a, b in zip(d, weights, strict=True)) % modulus == 0
+
+
+#: Weights of the Australian business and tax file numbers; fixed values.
+ABN_WEIGHTS = (10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19)
+TFN_WEIGHTS = (1, 4, 3, 7, 5, 8, 6, 9, 10)
+
+CHECKS = {
+    "card": lambda s: 12 <= sum(c.isdigit() for c in s) <= 19 and luhn(s),
+    "iban": iban_ok,
+    "abn": lambda s: weighted_ok(s, ABN_WEIGHTS, 89, 1),
+    "tfn": lambda s: weighted_ok(s, TFN_WEIGHTS, 11),
+}
+
+
+def checked_numbers(df: DataFrame, column: str) -> DataFrame:
+    """How many distinct values pass each check-digit rule."""
+    from pyspark.sql.types import BooleanType
+
+    v = df.select(F.col(column).cast("string").alias("v")).where("v is not null").distinct()
+    out = v.agg(*[F.count_if(F.pandas_udf(lambda s, f=f: s.map(f), BooleanType())(F.col("v"))).alias(k) for k, f in CHECKS.items()])
+    return out.unpivot([], list(CHECKS), "kind", "n")
+
+
+def identifier_like(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns that name rows: integers or texts that are 98 % distinct over more than 20 rows."""
+    stats = column_stats(df, columns)
+    return stats.withColumn("identifier", (F.col("rows") > 20) & (F.col("distinct") >= 0.98 * (F.col("rows") - F.col("nulls")))).select("column", "identifier")
+
+
+#: What words in a column's name say about it; fixed values.
+NAME_HINTS = {
+    "email": "email", "mail": "email", "phone": "phone", "mobile": "phone", "address": "address", "postcode": "postcode", "zip": "postcode", "lat": "latitude", "latitude": "latitude",
+    "lon": "longitude", "lng": "longitude", "longitude": "longitude", "date": "date", "time": "time", "amount": "money", "price": "money", "cost": "money", "total": "money",
+    "name": "name", "first": "name", "last": "name", "country": "country", "city": "city", "state": "state", "url": "url", "id": "identifier", "key": "identifier", "code": "code",
+}
+
+
+def name_hint(column: str) -> str | None:
+    """A kind from a column's name."""
+    words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", column).lower())
+    return next((NAME_HINTS[w] for w in words if w in NAME_HINTS), None)

@@ -371,3 +371,154 @@ def decompose_frame(s: DataFrame, m: int, by: str = "series") -> DataFrame:
         return pdf.assign(trend=trend, season=season, rest=rest, anomaly=anomalies(rest))[[by, "slot", "value", "trend", "season", "rest", "anomaly"]]
 
     return s.groupBy(by).applyInPandas(run, f"{by} string, slot timestamp_ntz, value double, trend double, season double, rest double, anomaly boolean")
+
+
+# -- patterns and judgements ---------------------------------------------------
+
+
+def typical(df: DataFrame, ts: str, value: str, part: str = "dow") -> DataFrame:
+    """The usual course of a day, week or year: mean, median and quartiles by a part of the date."""
+    label, rank = buckets.date_part(F.col(ts), part)
+    x = finite(F.col(value))
+    g = df.groupBy(label.alias("label"), rank.alias("rank")).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    return g.select("label", "rank", "n", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+
+
+def shape_check(df: DataFrame, ts: str, by: list[str]) -> DataFrame:
+    """Whether several series are interleaved: the share of time stamps that repeat, overall and within each key."""
+    out = None
+    for keys in ([], *[[b] for b in by]):
+        n = df.where(F.col(ts).isNotNull()).groupBy(ts, *keys).agg(F.count(F.lit(1)).alias("n"))
+        one = n.agg(F.lit(keys[0] if keys else "(all)").alias("key"), (F.sum(F.when(F.col("n") > 1, F.col("n"))) / F.sum("n")).alias("repeated"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("repeated", F.coalesce("repeated", F.lit(0.0)))
+
+
+def box_cox_lambda(y: np.ndarray, m: int) -> float:
+    """Guerrero's lambda: the power at which the spread of a season does not depend on its level."""
+    m = max(2, m)
+    n = len(y) // m
+    if n < 2 or (y <= 0).any():
+        return 1.0
+    parts = y[-n * m :].reshape(n, m)
+    mu, sd = parts.mean(1), parts.std(1, ddof=1)
+    grid = np.linspace(-1, 2, 61)
+
+    def spread(lam: float) -> float:
+        r = sd / mu ** (1 - lam)
+        return float(r.std() / r.mean()) if r.mean() > 0 else np.inf
+
+    return float(min(grid, key=spread))
+
+
+def box_cox(y: np.ndarray, lam: float) -> np.ndarray:
+    return np.log(y) if abs(lam) < 1e-9 else (y**lam - 1) / lam
+
+
+def inverse_box_cox(z: np.ndarray, lam: float) -> np.ndarray:
+    return np.exp(z) if abs(lam) < 1e-9 else np.maximum(lam * z + 1, 0) ** (1 / lam)
+
+
+def stl(y: np.ndarray, m: int, rounds: int = 2, span: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Season and trend by local regression: season from smoothed phases, trend from what is left."""
+    y = fill(np.asarray(y, float), "interp")
+    n = len(y)
+    span = span or (int(1.5 * m) | 1)
+    trend, season = np.zeros(n), np.zeros(n)
+    for _ in range(rounds):
+        free = y - trend
+        cycle_ = np.empty(n)
+        for k in range(m):
+            cycle_[k::m] = _loess(free[k::m], 7)
+        low = pd.Series(cycle_).rolling(m, center=True, min_periods=1).mean().to_numpy()
+        season = cycle_ - low
+        trend = _loess(y - season, span)
+    return trend, season, y - trend - season
+
+
+def _loess(y: np.ndarray, span: int) -> np.ndarray:
+    """Local lines with tricube weights over the ``span`` nearest points."""
+    n = len(y)
+    span = min(span, n)
+    if n < 3 or span < 3:
+        return np.full(n, y.mean()) if n else y
+    out = np.empty(n)
+    t = np.arange(n, dtype=float)
+    for i in range(n):
+        lo = min(max(0, i - span // 2), n - span)
+        x, v = t[lo : lo + span] - i, y[lo : lo + span]
+        w = (1 - (np.abs(x) / (np.abs(x).max() + 1e-9)) ** 3) ** 3
+        sw, sx = w.sum(), (w * x).sum()
+        sxx, sy, sxy = (w * x * x).sum(), (w * v).sum(), (w * x * v).sum()
+        det = sw * sxx - sx * sx
+        out[i] = (sxx * sy - sx * sxy) / det if abs(det) > 1e-12 else sy / sw
+    return out
+
+
+def easter(year: int) -> tuple[int, int]:
+    """Month and day of Easter Sunday (the anonymous Gregorian rule)."""
+    a, b, c = year % 19, year // 100, year % 100
+    h = (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
+    k = (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7
+    g = (a + 11 * h + 22 * k) // 451
+    return (h + k - 7 * g + 114) // 31, (h + k - 7 * g + 114) % 31 + 1
+
+
+def holidays(first: int, last: int, country: str = "US") -> list[tuple[str, str]]:
+    """(ISO date, name) of public holidays by rule."""
+    import datetime as dt
+
+    def nth(year: int, month: int, weekday: int, n: int) -> dt.date:
+        if n > 0:
+            at = dt.date(year, month, 1)
+            return at + dt.timedelta(days=(weekday - at.weekday()) % 7 + 7 * (n - 1))
+        at = dt.date(year + month // 12, month % 12 + 1, 1) - dt.timedelta(days=1)
+        return at - dt.timedelta(days=(at.weekday() - weekday) % 7)
+
+    out = []
+    for y in range(first, last + 1):
+        sunday = dt.date(y, *easter(y))
+        days = [(dt.date(y, 1, 1), "New Year"), (dt.date(y, 12, 25), "Christmas Day")]
+        if country == "US":
+            days += [(nth(y, 1, 0, 3), "Martin Luther King Day"), (nth(y, 5, 0, -1), "Memorial Day"), (dt.date(y, 7, 4), "Independence Day"), (nth(y, 9, 0, 1), "Labor Day"), (nth(y, 11, 3, 4), "Thanksgiving")]
+        elif country == "AU":
+            days += [(dt.date(y, 1, 26), "Australia Day"), (sunday - dt.timedelta(days=2), "Good Friday"), (sunday + dt.timedelta(days=1), "Easter Monday"), (dt.date(y, 4, 25), "Anzac Day"), (dt.date(y, 12, 26), "Boxing Day")]
+        else:
+            days += [(sunday - dt.timedelta(days=2), "Good Friday"), (sunday + dt.timedelta(days=1), "Easter Monday"), (dt.date(y, 12, 26), "Second Christmas Day")]
+        out += [(d.isoformat(), n) for d, n in days]
+    return sorted(out)
+
+
+def verdict(y: np.ndarray, m: int, h: int) -> str:
+    """How far a series can be forecast: by the best model's error against the seasonal naive one's, and its length."""
+    if len(y) < 2 * max(m, 4):
+        return "too short"
+    base = backtest(y, "seasonal_naive", h, m).get("mae")
+    best = min((backtest(y, k, h, m).get("mae", np.inf) for k in ("holt_winters", "theta", "regression")), default=np.inf)
+    if base is None or not np.isfinite(best):
+        return "too short"
+    if base == 0:
+        return "repeats exactly"
+    return "good" if best < 0.8 * base else "fair" if best < base else "no better than last season"
+
+
+def drivers(y: np.ndarray, others: dict[str, np.ndarray], lags: int = 3) -> list[tuple[str, int, float]]:
+    """Columns that foretell the series: (name, lag, share of error taken off), judged on the last quarter."""
+    n = len(y)
+    cut = n - n // 4
+    out = []
+    for name, x in others.items():
+        for lag in range(lags + 1):
+            t = np.arange(max(1, lag), n)
+            base = np.column_stack([np.ones(len(t)), y[t - 1]])
+            full = np.column_stack([base, x[t - lag]])
+            train = t < cut
+
+            def error(a: np.ndarray) -> float:
+                b, *_ = np.linalg.lstsq(a[train], y[t][train], rcond=None)
+                return float(np.mean((y[t][~train] - a[~train] @ b) ** 2))
+
+            e0, e1 = error(base), error(full)
+            if e0 > 0 and e1 < 0.95 * e0:
+                out.append((name, lag, 1 - e1 / e0))
+    return sorted(out, key=lambda r: -r[2])

@@ -156,3 +156,17 @@ def append(parts: list[DataFrame], names: list[str] | None = None) -> DataFrame:
 def flag(df: DataFrame, name: str, condition: Column) -> DataFrame:
     """A Yes/No column."""
     return df.withColumn(unique_name(df, name), F.when(F.coalesce(condition, F.lit(False)), "Yes").otherwise("No"))
+
+
+def flag_anomalies(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    """A Yes/No column from the fence of a number (or of a text's length)."""
+    from . import profile
+
+    if profile.is_number(df, column):
+        fence = profile.value_fence(df, column).select(F.col("low").alias("_low"), F.col("high").alias("_high"))
+        bad = (F.col(column) < F.col("_low")) | (F.col(column) > F.col("_high"))
+    else:
+        n = F.char_length(F.col(column).cast("string"))
+        fence = df.agg(F.percentile(n, 0.9).alias("_low"), F.count(n).alias("_high"))
+        bad = (F.col("_high") >= 8) & (n > 3 * F.col("_low"))
+    return flag(df.join(F.broadcast(fence)), name or f"{column} anomaly", bad).drop("_low", "_high")

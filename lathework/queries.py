@@ -1021,6 +1021,68 @@ def ts_forecast(spark, d):
     return timeseries.forecast(timeseries.regular(s, "month", by="series"), 6, 12)
 
 
+@query("""SELECT strftime(ts, '%a') AS label, count(value) AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median FROM events GROUP BY 1""")
+def ts_typical_week(spark, d):
+    return timeseries.typical(t(spark, d, "events"), "ts", "value", "dow").select("label", "n", r("mean", 4), r("median", 4))
+
+
+@query("""WITH a AS (SELECT ts, count(*) AS n FROM events GROUP BY 1), b AS (SELECT ts, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT '(all)' AS key, round(coalesce(sum(n) FILTER (n > 1), 0) / sum(n), 6) AS repeated FROM a UNION ALL SELECT 'event_type', round(coalesce(sum(n) FILTER (n > 1), 0) / sum(n), 6) FROM b""")
+def ts_shape_check(spark, d):
+    return timeseries.shape_check(t(spark, d, "events"), "ts", ["event_type"]).select("key", r("repeated", 6))
+
+
+@query(_VERSIONS + """SELECT 'o_totalprice' AS "column", count(*) FILTER (a.o_totalprice <> b.o_totalprice) AS changed, round(count(*) FILTER (a.o_totalprice <> b.o_totalprice) / count(*), 6) AS share FROM a JOIN b ON a.o_orderkey = b.o_orderkey
+UNION ALL SELECT 'o_orderstatus', 0, 0.0""")
+def compare_report(spark, d):
+    a, b = _versions(spark, d)
+    order = lambda df: df.withColumn("_row_id", F.col("o_orderkey"))
+    m = compare.match(order(a), order(b), ["o_orderkey"], "_row_id", ["o_orderkey", "o_totalprice", "o_orderstatus"])
+    return compare.report(m, ["o_totalprice", "o_orderstatus"]).select("column", "changed", r("share", 6))
+
+
+@query(_VERSIONS + """SELECT round(sum(a.o_totalprice), 2) AS sum_a, (SELECT round(sum(o_totalprice), 2) FROM b) AS sum_b, round(sum(a.o_totalprice) FILTER (b.o_orderkey IS NOT NULL), 2) AS matched_a, round(sum(b.o_totalprice), 2) AS matched_b FROM a LEFT JOIN b ON a.o_orderkey = b.o_orderkey""")
+def compare_totals(spark, d):
+    a, b = _versions(spark, d)
+    order = lambda df: df.withColumn("_row_id", F.col("o_orderkey"))
+    return compare.side_totals(compare.match(order(a), order(b), ["o_orderkey"], "_row_id", ["o_orderkey", "o_totalprice"]), "o_totalprice").select(r("sum_a"), r("sum_b"), r("matched_a"), r("matched_b"))
+
+
+@query("""SELECT 'c_name' AS a, 'customer' AS b, CAST(1 AS DOUBLE) AS overlap""")
+def compare_rename(spark, d):
+    a = t(spark, d, "customer").select("c_name", "c_mktsegment")
+    return compare.suggest_renames(a, a.withColumnsRenamed({"c_name": "customer", "c_mktsegment": "segment"}), ["c_name", "c_mktsegment"], ["customer", "segment"])
+
+
+@query("""WITH m AS (SELECT median(c_acctbal) AS m FROM customer), s AS (SELECT median(abs(c_acctbal - m)) AS mad FROM customer, m)
+SELECT c_custkey, CASE WHEN c_acctbal < m - 3.5 / 0.6745 * mad OR c_acctbal > m + 3.5 / 0.6745 * mad THEN 'Yes' ELSE 'No' END AS odd FROM customer, m, s""")
+def flag_anomalies(spark, d):
+    return transforms.flag_anomalies(t(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "odd").select("c_custkey", "odd")
+
+
+@query("""SELECT n_name AS region, count(*) AS n, round(sum(c_acctbal), 2) AS sum, round(median(c_acctbal), 2) AS median FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""")
+def region_aggregate(spark, d):
+    c = t(spark, d, "customer").join(F.broadcast(t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return charts.region_aggregate(c, F.col("n_name"), "c_acctbal").select("region", "n", r("sum"), r("median"))
+
+
+@query("""WITH e AS (SELECT quantile_cont(l_quantity, [0.01, 0.99]) AS x, quantile_cont(l_extendedprice, [0.01, 0.99]) AS y FROM lineitem)
+SELECT CAST(greatest(0, least(9, floor((l_quantity - x[1]) * 10 / (x[2] - x[1])))) AS INTEGER) AS bx, CAST(greatest(0, least(9, floor((l_extendedprice - y[1]) * 10 / (y[2] - y[1])))) AS INTEGER) AS "by", count(*) AS n FROM lineitem, e
+WHERE l_quantity BETWEEN x[1] AND x[2] AND l_extendedprice BETWEEN y[1] AND y[2] GROUP BY 1, 2""")
+def chart_density(spark, d):
+    return charts.density(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 10)
+
+
+@query("""SELECT 'c_custkey' AS "column", true AS identifier UNION ALL SELECT 'c_mktsegment', false""")
+def dq_identifiers(spark, d):
+    return profile.identifier_like(t(spark, d, "customer"), ["c_custkey", "c_mktsegment"])
+
+
+@query()
+def pii_check_digits(spark, d):
+    return profile.checked_numbers(t(spark, d, "orders").select((F.col("o_orderkey") + 4111111111111111).alias("k")), "k")
+
+
 # -- plain joins (engine plumbing) --------------------------------------------
 
 
