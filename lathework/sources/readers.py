@@ -94,6 +94,51 @@ def find_header(rows: list[list[str]]) -> tuple[int, list[str]] | None:
     return best[1], unique_headers(rows[best[1]])
 
 
+_UNIT = re.compile(r"^[(\[]?(%|°[CF]?|[$€£]|[A-Za-zµ]{1,5}([/²³^][A-Za-z0-9²³]{0,5})?)[)\]]?$")
+
+
+def merged_header(rows: list[list[str]], at: int, names: list[str]) -> tuple[int, list[str]]:
+    """The header with a super-header above it and a row of units below it: (last header row, names).
+
+    A super-header has two texts or more and leaves gaps that its texts span; a
+    units row is short signs only, above numbers.
+    """
+    width = len(names)
+    plain = [c.strip() for c in rows[at]] + [""] * (width - len(rows[at]))
+    if at > 0:
+        above = [c.strip() for c in rows[at - 1]] + [""] * (width - len(rows[at - 1]))
+        full = [c for c in above if c]
+        if len(full) >= 2 and len(full) < sum(bool(c) for c in plain) and not any(_NUMBER.match(c) for c in full):
+            span, merged = "", []
+            for top, low in zip(above, plain):
+                span = top or span
+                merged.append(f"{span} {low}".strip() if span != low else low)
+            plain = merged
+    last = at
+    if at + 2 < len(rows):
+        units = [c.strip() for c in rows[at + 1]] + [""] * (width - len(rows[at + 1]))
+        below = rows[at + 2]
+        numeric = sum(bool(_NUMBER.match(c.strip())) for c in below)
+        if any(units) and numeric and all(not u or _UNIT.match(u) for u in units) and sum(map(bool, units)) >= max(1, numeric // 2):
+            plain = [f"{n} ({u.strip('()[]')})" if u else n for n, u in zip(plain, units)]
+            last = at + 1
+    return last, unique_headers(plain[:width])
+
+
+def footer(columns: list[str]) -> Column:
+    """Whether a row looks like a note, a source line or a total."""
+    first = F.lower(F.trim(F.coalesce(*[F.when(F.trim(F.col(f"`{c}`")) != "", F.col(f"`{c}`")) for c in columns], F.lit(""))))
+    filled = sum((F.coalesce(F.trim(F.col(f"`{c}`")) != "", F.lit(False)).cast("int") for c in columns), F.lit(0))
+    note = first.rlike(r"^(notes?\b|sources?\b|\*|©|generated\b|last updated)") & (filled <= max(1, len(columns) // 3))
+    return note | first.rlike(r"^(grand )?totals?\b")
+
+
+def without_footer(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """The rows up to the last one that is not a footer."""
+    last = df.where(~footer(columns)).agg(F.max(order).alias("_last"))
+    return df.join(F.broadcast(last)).where(F.col(order) <= F.col("_last")).drop("_last")
+
+
 def unique_headers(names: list[str]) -> list[str]:
     """Blank names become ``column_n``; repeated ones get ``(2)``."""
     out: list[str] = []
@@ -106,16 +151,7 @@ def unique_headers(names: list[str]) -> list[str]:
     return out
 
 
-def is_footer(cells: list[str], width: int) -> bool:
-    """A note, a source line or a total under the table."""
-    full = [c for c in cells if c.strip()]
-    if not full:
-        return True
-    first = full[0].strip().lower()
-    return len(full) <= max(1, width // 3) and first.startswith(("note", "source", "*", "generated", "©")) or first.startswith(("total", "grand total"))
-
-
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header: bool | None = None, order: str = "_row_id") -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header: bool | None = None, order: str = "_row_id", cut_footer: bool = True, limit: int | None = None) -> DataFrame:
     """All cells as text under found or given layout, with a row number column.
 
     Rows are padded or cut to the header's width.  The row number follows the
@@ -127,24 +163,31 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     delimiter = delimiter or sniff_delimiter(text)
     import csv
 
-    rows = [r for r in csv.reader(io.StringIO(text), delimiter=delimiter) if any(c.strip() for c in r)][:30]
+    lines = [r for r in csv.reader(io.StringIO(text), delimiter=delimiter) if r][:60]
+    rows = [r for r in lines if any(c.strip() for c in r)][:30]
     found = find_header(rows) if header is not False else None
     if header and found is None and rows:
         found = (0, unique_headers(rows[0]))
+    elif found:
+        found = merged_header(rows, *found)
     width = len(found[1]) if found else max((len(r) for r in rows), default=1)
     names = found[1] if found else [f"column_{i + 1}" for i in range(width)]
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    body = spark.read.schema(schema).csv(path, sep=delimiter, header=False, multiLine=True, quote='"', escape='"', encoding="ISO-8859-1" if encoding == "windows-1252" else encoding, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=True)
+    # Cells with line breaks keep a file in one task; without any in the head it can be read in splits.
+    broken = any("\n" in c for r in lines for c in r)
+    body = spark.read.schema(schema).csv(path, sep=delimiter, header=False, multiLine=broken, quote='"', escape='"', encoding="ISO-8859-1" if encoding == "windows-1252" else encoding, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=True)
     numbered = body.withColumn(order, F.monotonically_increasing_id())
     if found:
-        above = [rows[i] for i in range(found[0] + 1)]
-        # The header and title rows are the first rows of the file: dropped by their own text, once.
-        numbered = numbered.where(F.col(order) > F.lit(len(above) - 1))
+        # Titles and header are the first records of the file, and so the first row numbers.
+        numbered = numbered.where(F.col(order) > F.lit(lines.index(rows[found[0]])))
     cells = numbered.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], order)
     empty = F.lit(True)
     for n in names:
         empty = empty & (F.trim(F.coalesce(F.col(f"`{n}`"), F.lit(""))) == "")
-    return cells.where(~empty)
+    out = cells.where(~empty)
+    if cut_footer and found:
+        out = without_footer(out, names, order)
+    return out.orderBy(order).limit(limit) if limit is not None else out
 
 
 def flatten(df: DataFrame) -> DataFrame:

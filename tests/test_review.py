@@ -41,3 +41,14 @@ def test_spreadsheets_round_trip(spark, tmp_path):
     two.write_bytes(xlsx.workbook([("A", ["k", "name"], [(1, "p")]), ("B", ["k", "name"], [(2, "q")])]))
     assert {(r.k, r.excel_worksheetname) for r in xlsx.read_all_sheets(spark, str(two)).collect()} == {("1", "A"), ("2", "B")}
     assert xlsx.serial_text(45351.75) == "2024-02-29 18:00:00"
+
+
+def test_headers_of_two_rows_units_and_footers(spark, tmp_path):
+    from lathework.sources import readers
+
+    (tmp_path / "a.csv").write_text("Energy report\n\n,Load,,Price,\nsite,peak,mean,day,night\n,MW,MW,$,$\nA,10,8,1.5,1.0\nB,20,15,1.6,1.1\nTotal,30,23,,\nSource: nobody\n")
+    df = readers.read_delimited(spark, str(tmp_path / "a.csv"))
+    assert df.columns == ["site", "Load peak (MW)", "Load mean (MW)", "Price day ($)", "Price night ($)", "_row_id"]
+    assert [r.site for r in df.orderBy("_row_id").collect()] == ["A", "B"]
+    assert readers.read_delimited(spark, str(tmp_path / "a.csv"), limit=1).count() == 1
+    assert readers.read_delimited(spark, str(tmp_path / "a.csv"), cut_footer=False).count() == 4
