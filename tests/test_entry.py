@@ -48,3 +48,23 @@ def test_queries_equal_their_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = entry.queries()["agg_value_dims"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_shipdate), LessThanOrEqual(l_shipdate" in plan
+    schema = plan.split("ReadSchema: struct<")[1].split(">")[0]
+    assert "l_comment" not in schema and "l_orderkey" not in schema and "l_quantity" in schema
+    top = entry.queries()["agg_topn"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in top
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["formula_window", "impute_ffill", "post_rolling", "compare_key"])
+def test_no_window_sorts_a_table_in_one_task(spark, name):
+    """A window without partitions runs over grouped rows or over one row for each range only."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "Window [" in line and "], [" not in line.split("windowspecdefinition")[-1]:
+            assert "_part" in line or "b#" in line, line
