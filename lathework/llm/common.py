@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -56,6 +57,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Arrow batches of what this package runs itself: the JVM and Python each hold one or two for every task.
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Small Arrow batches while an action of this package runs; the session's own settings come back after it."""
+    before = {k: spark.conf.get(k, None) for k in _BATCHES}
+    for k, v in _BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
 
@@ -64,7 +85,8 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     spark = df.sparkSession
     path = scratch(spark, name)
     writer = df.write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with small_batches(spark):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 

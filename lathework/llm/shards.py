@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, scratch
+from .common import prefix_sums, scratch, small_batches
 
 SHARDS = 16
 BUCKET_BYTES = 32 << 20
@@ -112,6 +112,7 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
     """The shards written to the shared folder and read again: the columns of ``docs``, ``slot`` and ``shard``."""
     docs = docs.drop("shard", "slot")
     path = scratch(docs.sparkSession, "shards")
-    write_shards(docs, path, key, text, shards, seed)
+    with small_batches(docs.sparkSession):
+        write_shards(docs, path, key, text, shards, seed)
     schema = docs.limit(0).withColumn("slot", F.lit(0).cast("long")).withColumn("shard", F.lit(0)).schema
     return docs.sparkSession.read.schema(schema).parquet(path)
