@@ -37,6 +37,7 @@ BANDS, ROWS = 32, 4
 SHINGLE = 4
 NUMERATOR, DENOMINATOR = 80, 100
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
+SALTS = 32
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _KEEP = 200_000
@@ -219,16 +220,18 @@ def _rest(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     members = buckets.where("node != leader").join(labels, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("label")
     )
-    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi")
-    rows = members.join(mixed.select("key", "m"), "key").join(
-        sets.select("node", "set"), "node"
-    )
-    size = rows.groupBy("key").agg(F.sum(F.octet_length("set")).alias("bytes"))
-    rows = rows.join(size, "key").withColumn(
-        "blocks", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    )
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = sets.select("node", F.octet_length("set").alias("bytes"))
+    members = members.join(sizes, "node")
+    mixed = members.groupBy("key").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("all_bytes")
+    ).where("lo != hi")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("all_bytes") / BLOCK_BYTES)).cast("int")
+    # A bucket of any size meets its totals in SALTS places; its sets are fetched by document, not by bucket.
+    mixed = mixed.select("key", blocks.alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(mixed, ["key", "salt"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.join(sets.select("node", "set"), "node")
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "set")
 
     def compare(batches_or_table: pa.Table) -> pa.Table:
