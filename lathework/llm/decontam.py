@@ -294,7 +294,7 @@ def proximity(index: DataFrame, items: list[tuple[object, str | None]], size: in
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int):
-    """The benchmark in blocks of at most about ``block_bytes``, streamed to the driver one block at a time."""
+    """The benchmark in blocks of at most about ``block_bytes``, streamed to the driver and held one at a time."""
     block, size = [], 0
     rows = benchmark.where(F.col(item).isNotNull()).select(item, text).toLocalIterator()
     for row in rows:
@@ -317,18 +317,19 @@ def judge(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row for each row of ``docs``: key, n_words, n_hit, items (strings, sorted), contaminated."""
-    blocks = list_blocks(benchmark, item, item_text, block_bytes)
-    if len(blocks) == 1:
+    one = only_block(benchmark, item, item_text, block_bytes)
+    if one is not None:
         # One block: the segment is searched in the task that builds it and nothing is written.
-        index = build_index(docs, key, text, [w for _, t in blocks[0] for w in words(t)])
-        return _totals(search(index, blocks[0]))
+        index = build_index(docs, key, text, [w for _, t in one for w in words(t)])
+        return _totals(search(index, one))
     # More blocks: the index is stored once, with all terms, and each block is searched over it.
     numbered = docs.select(F.col(key), F.col(text)).withColumn("_row", F.monotonically_increasing_id())
     numbered = written(numbered, "decontam-rows")
     index = written(build_index(numbered, "_row", text), "decontam-index")
     found = None
-    for block in blocks:
-        part = search(index, block)
+    for block in _blocks(benchmark, item, item_text, block_bytes):
+        # Written, so that the driver and the tasks hold one block at a time.
+        part = written(search(index, block), "decontam-hits")
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("key").agg(
         F.max("n_words").alias("n_words"),
@@ -340,8 +341,11 @@ def judge(
     return _totals(merged.join(ids, "key").drop("key").withColumnRenamed("_id", "key"))
 
 
-def list_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[list[tuple]]:
-    return list(_blocks(benchmark, item, text, block_bytes)) or [[]]
+def only_block(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[tuple] | None:
+    """The benchmark's items when they fit one block; the size is asked before any row is fetched."""
+    kept = benchmark.where(F.col(item).isNotNull())
+    size = kept.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 8)).first()[0] or 0
+    return [(r[0], r[1]) for r in kept.select(item, text).collect()] if size <= block_bytes else None
 
 
 def _totals(found: DataFrame) -> DataFrame:
@@ -373,9 +377,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     A text's verdict travels with the row: the judged columns are appended in
     the task that reads the row, so no join on ids is needed.
     """
-    blocks = list_blocks(benchmark, item, item_text, BLOCK_BYTES)
-    if len(blocks) == 1:
-        return _without(docs, blocks[0], text)
+    one = only_block(benchmark, item, item_text, BLOCK_BYTES)
+    if one is not None:
+        return _without(docs, one, text)
     numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-docs")
     judged = judge(numbered, benchmark, "_row", text, item, item_text)
     gone = judged.where("contaminated").select(F.col("key").alias("_row"))

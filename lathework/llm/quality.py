@@ -372,7 +372,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
 
     # The rows whose text hashes lowest: about ``sample`` of them, whatever the table's size.
     share = min(1.0, sample / max(1, total))
-    low = F.pmod(F.xxhash64("_t"), F.lit(1_000_000)) < int(share * 1_000_000) if share < 1 else F.lit(True)
+    low = F.pmod(F.xxhash64("_t"), F.lit(1 << 40)) < int(share * (1 << 40)) if share < 1 else F.lit(True)
     held = rows.where(low).dropDuplicates(["_t"]).limit(2 * sample).mapInArrow(sampled, "j bigint, t bigint, f binary").collect()
     f = [np.frombuffer(r["f"], "<i4") for r in held]
     scorers = tuple(
