@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import buckets
+from .quantiles import quantiles
 
 MISSING = "(missing)"
 
@@ -319,7 +320,7 @@ def _with_scalars(df: DataFrame, dims: tuple) -> DataFrame:
             df = df.join(F.broadcast(df.agg(F.min(finite(F.col(d.column))).alias("_low"))))
         if isinstance(d, BinQuantile):
             q = [i / d.n for i in range(d.n + 1)]
-            df = df.join(F.broadcast(df.agg(F.percentile(finite(F.col(d.column)), F.array(*[F.lit(x) for x in q])).alias("_edges"))))
+            df = df.join(F.broadcast(quantiles(df, finite(F.col(d.column)), q, name="_edges")))
     return df
 
 
@@ -332,7 +333,7 @@ def aggregate(df: DataFrame, view: View) -> DataFrame:
     keyed = df
     for n, d in zip(names, view.dims, strict=True):
         keyed = keyed.withColumn(n, d.key(df))
-    out = keyed.groupBy(*names).agg(*[measure(m).alias(m.title) for m in view.measures])
+    out = _grouped(keyed, names, view.measures)
     if view.fill:
         out = fill_gaps(out, names[0], view.dims[0], view)
     if view.sort:
@@ -345,11 +346,38 @@ def aggregate(df: DataFrame, view: View) -> DataFrame:
     return out
 
 
+def _share(m: Measure) -> float | None:
+    """The share of rows below a quantile measure's value; None for other measures."""
+    q = re.fullmatch(r"p(\d+(?:\.\d+)?)", m.agg)
+    return 0.5 if m.agg == "median" else float(q[1]) / 100 if q and float(q[1]) <= 100 else None
+
+
+def _grouped(df: DataFrame, names: list[str], measures: tuple[Measure, ...]) -> DataFrame:
+    """The measures by group; quantiles are taken apart, as an aggregate would hold every distinct value."""
+    plain = [m for m in measures if _share(m) is None]
+    out = df.groupBy(*names).agg(*[measure(m).alias(m.title) for m in plain] or [F.count(F.lit(1)).alias("_rows")])
+    parts: dict[tuple, list[Measure]] = {}
+    for m in measures:
+        if _share(m) is not None:
+            parts.setdefault((m.column, m.where), []).append(m)
+    for (column, where), ms in parts.items():
+        x = finite(F.col(column))
+        x = F.when(where.predicate(), x) if where else x
+        q = quantiles(df, x, [_share(m) for m in ms], names, "_q").withColumnsRenamed({n: f"_of_{n}" for n in names})
+        found = [F.get("_q", F.lit(i)).alias(m.title) for i, m in enumerate(ms)]
+        if names:
+            joined = out.join(q, [out[n].eqNullSafe(q[f"_of_{n}"]) for n in names], "left")
+        else:
+            joined = out.join(F.broadcast(q))
+        out = joined.select(*[F.col(f"`{c}`") for c in out.columns], *found)
+    return out.select(*names, *[F.col(f"`{m.title}`") for m in measures])
+
+
 def totals(df: DataFrame, view: View) -> DataFrame:
     """The measures over all rows (not over groups)."""
     for f in view.filters:
         df = df.where(f)
-    return df.agg(*[measure(m).alias(m.title) for m in view.measures])
+    return _grouped(df, [], view.measures)
 
 
 def fill_gaps(out: DataFrame, name: str, dim: Time, view: View) -> DataFrame:

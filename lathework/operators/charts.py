@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregate import finite
+from .quantiles import quantiles
 from .pivot import top_n_other
 
 
@@ -15,7 +16,7 @@ def box(df: DataFrame, column: str, group: str, top: int = 20) -> DataFrame:
     """Quartiles, whiskers at the data within 1.5 IQR, and outlier counts by group; the rest as Other."""
     x = finite(F.col(column))
     g = top_n_other(df.where(x.isNotNull()), group, top, "_group")
-    q = g.groupBy("_group").agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(x).alias("n"))
+    q = quantiles(g, x, [0.25, 0.5, 0.75], ["_group"]).join(g.groupBy("_group").agg(F.count(x).alias("n")), "_group")
     iqr = F.col("q")[2] - F.col("q")[0]
     q = q.withColumn("lo", F.col("q")[0] - 1.5 * iqr).withColumn("hi", F.col("q")[2] + 1.5 * iqr)
     inside = x.between(F.col("lo"), F.col("hi"))
@@ -201,8 +202,7 @@ def region_key(c: Column) -> Column:
 def density(df: DataFrame, x: str, y: str, bins: int = 60) -> DataFrame:
     """A two-way histogram over the 1st to 99th percentiles; what lies beyond is left out."""
     a, b = finite(F.col(x)), finite(F.col(y))
-    q = F.array(F.lit(0.01), F.lit(0.99))
-    ends = df.agg(F.percentile(a, q).alias("_qx"), F.percentile(b, q).alias("_qy"))
+    ends = quantiles(df, a, [0.01, 0.99], name="_qx").crossJoin(F.broadcast(quantiles(df, b, [0.01, 0.99], name="_qy")))
     inside = df.join(F.broadcast(ends)).where(a.between(F.col("_qx")[0], F.col("_qx")[1]) & b.between(F.col("_qy")[0], F.col("_qy")[1]))
     return inside.groupBy(_bin(a, F.col("_qx")[0], F.col("_qx")[1], bins).alias("bx"), _bin(b, F.col("_qy")[0], F.col("_qy")[1], bins).alias("by")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .aggregate import finite
+from .quantiles import quantiles
 
 
 def key_token(c: Column, kind: str, lower: bool = False) -> Column:
@@ -147,7 +148,7 @@ EPSILON = 1e-4
 def psi(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Population stability index over A's deciles, and the standardised mean difference."""
     x = finite(F.col(column))
-    edges = a.agg(F.percentile(x, F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("_edges"))
+    edges = quantiles(a, x, [i / 10 for i in range(1, 10)], name="_edges")
 
     def shares(df: DataFrame, name: str) -> DataFrame:
         at = F.size(F.filter(F.col("_edges"), lambda e: e <= x))

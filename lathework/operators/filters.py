@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .aggregate import finite
+from .quantiles import quantiles
 
 
 def contains(column: str, query: str) -> Column:
@@ -174,9 +175,11 @@ def facets(df: DataFrame, filters: dict[str, Column], columns: list[str]) -> Dat
 def histogram(df: DataFrame, column: str, bins: int = 64, base: DataFrame | None = None, clip: bool = True) -> DataFrame:
     """Counts in equal bins over the base table's range (p1 to p99 when clipped); values beyond go to the outer bins."""
     x = finite(F.col(column))
-    ends = (base if base is not None else df).agg(
-        (F.percentile(x, 0.01) if clip else F.min(x)).alias("_lo"), (F.percentile(x, 0.99) if clip else F.max(x)).alias("_hi")
-    )
+    whole = base if base is not None else df
+    if clip:
+        ends = quantiles(whole, x, [0.01, 0.99], name="_q").select(F.get("_q", F.lit(0)).alias("_lo"), F.get("_q", F.lit(1)).alias("_hi"))
+    else:
+        ends = whole.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     at = F.when(width > 0, F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((x - F.col("_lo")) / width)))).otherwise(F.lit(0))
     return df.join(F.broadcast(ends)).where(x.isNotNull()).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .aggregate import finite
+from .quantiles import quantiles
 
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -83,13 +84,13 @@ def value_fence(df: DataFrame, column: str) -> DataFrame:
     """
     x = finite(F.col(column))
     base = df.select(x.alias("x")).where("x is not null")
-    q = base.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.percentile("x", F.array(*[F.lit(v) for v in (0.005, 0.25, 0.5, 0.75, 0.995)])).alias("q"))
+    q = base.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo")).crossJoin(F.broadcast(quantiles(base, F.col("x"), [0.005, 0.25, 0.5, 0.75, 0.995])))
     at = lambda i: F.col("q")[i]
     lean = F.try_divide(at(3) + at(1) - 2 * at(2), at(3) - at(1))
     q = q.withColumn("log", (F.col("lo") >= 0) & (F.coalesce(lean, F.lit(0.0)) > 0.1))
     y = F.when(F.col("log"), F.log1p(F.greatest(F.col("x"), F.lit(0.0)))).otherwise(F.col("x"))
     mid = F.when(F.col("log"), F.log1p(F.greatest(at(2), F.lit(0.0)))).otherwise(at(2))
-    mad = base.join(F.broadcast(q)).agg(F.median(F.abs(y - mid)).alias("mad"))
+    mad = quantiles(base.join(F.broadcast(q)), F.abs(y - mid), [0.5], name="_mad").select(F.get("_mad", F.lit(0)).alias("mad"))
     f = q.crossJoin(F.broadcast(mad))
     low, high = mid - REACH * F.col("mad"), mid + REACH * F.col("mad")
     back = lambda v: F.when(F.col("log"), F.expm1(v)).otherwise(v)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .aggregate import finite
 from .order import carry
+from .quantiles import quantiles
 
 
 def unique_name(df: DataFrame, name: str) -> str:
@@ -53,12 +54,10 @@ def nearest_rank(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
     x = finite(F.col(column))
     values = df.select(x.alias("v")).where("v is not null")
     n = values.count()
-    aggs = []
-    for i, q in enumerate(shares):
-        rank = int((n - 1) * q + 0.5) if n else 0
-        # percentile at k/(n-1) is the k-th value itself.
-        aggs.append(F.percentile("v", rank / (n - 1) if n > 1 else 0.0).alias(f"q{i}"))
-    return values.agg(*aggs)
+    # At a whole rank the interpolated quantile is the value itself.
+    ranks = [int((n - 1) * q + 0.5) / (n - 1) if n > 1 else 0.0 for q in shares]
+    found = quantiles(values, F.col("v"), ranks, name="_q")
+    return found.select(*[F.get("_q", F.lit(i)).alias(f"q{i}") for i in range(len(shares))])
 
 
 def winsorize(df: DataFrame, column: str, percent: float) -> DataFrame:
