@@ -4,7 +4,7 @@ The index is partitioned by document: each segment holds the postings of a few
 megabytes of text (the arrangement of web search engines), so building it needs
 no shuffle and each segment is searched where it lies.  A segment row has
 
-* ``doc_keys``   the row keys of its documents, in order,
+* ``key``        the row keys of its documents, in order,
 * ``bases``      where each document starts in the segment's position space;
                  documents are ``GAP`` positions apart so no phrase crosses one,
 * ``n_words``    words of each document,

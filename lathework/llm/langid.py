@@ -341,4 +341,5 @@ def train_and_identify(docs: DataFrame, key: str = "doc_id", text: str = "text",
     train = docs.where(F.coalesce(~held_out, F.lit(True)))
     model = calibrate(fit(train, text, lang), train, text, lang)
     out = identify(docs.select(F.col(key), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text)), model, text)
-    return out
+    # Run here, in small batches: the model and a large batch together would strain a small executor.
+    return written(out, "languages")
