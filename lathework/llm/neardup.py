@@ -249,10 +249,13 @@ def _rest(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept for each row of ``docs``; ``key`` is an integer."""
     signed = written(signatures(docs, key, text), "signatures")
-    has = signed.where(F.col("print").isNotNull() & F.col(key).isNotNull())
-    classes = has.groupBy("print").agg(F.min(F.col(key).cast("bigint")).alias("node"))
-    # One row for each different set; copies of a set have the same bands.
-    lead = has.join(classes, "print").where(F.col(key).cast("bigint") == F.col("node")).select("node", "bands")
+    own = F.col(key).cast("bigint")
+    has = signed.where(F.col("print").isNotNull() & F.col(key).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(own), F.lit(SALTS)))
+    # One row for each different set, its smallest id, and the bands that all copies share.  A set that a
+    # third of all rows have is first brought together in SALTS places.
+    parts = has.groupBy("print", "_salt").agg(F.min(own).alias("least"), F.min_by("bands", own).alias("bands"))
+    classes = parts.groupBy("print").agg(F.min("least").alias("node"), F.min_by("bands", "least").alias("bands"))
+    lead = classes.select("node", "bands")
     exploded = lead.select("node", F.explode("bands").alias("key"))
     full = exploded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).where("leader != _last")
     buckets = written(exploded.join(full.select("key", "leader"), "key").distinct(), "buckets")
@@ -261,7 +264,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = written(_verified(pairs, sets), "links")
     labels = components(links)
     more = written(_rest(buckets, labels, sets), "links")
-    copies = has.join(classes, "print").select(F.col(key).cast("bigint").alias("u"), F.col("node").alias("v"))
+    homes = parts.select("print", "_salt").join(classes.select("print", "node"), "print")
+    copies = has.select(own.alias("u"), "print", "_salt").join(homes, ["print", "_salt"]).select("u", F.col("node").alias("v"))
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     # A copy reaches what its class reaches.  Rows with one id but different texts tie their classes.
@@ -274,7 +278,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     place = tied.join(labels.withColumnRenamed("node", "a"), "a", "left").select(
         F.col("u").alias("_id"), F.coalesce("component", "a").alias("component_id")
     )
-    own = F.col(key).cast("bigint")
     out = signed.join(place, own == F.col("_id"), "left")
     component = F.coalesce(F.col("component_id"), own)
     return out.select(F.col(key), "n_shingles", component.alias("component_id"), F.coalesce(own == component, F.lit(True)).alias("kept"))
