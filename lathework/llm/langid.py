@@ -4,17 +4,18 @@ A text is folded to a stream of symbols: lower case, every run of other than
 letters one boundary.  Each language has an order-``ORDER`` character model with
 interpolated Kneser-Ney smoothing: the highest order keeps its counts, lower
 orders count the different symbols seen before them, and each order's discount
-is n1 / (n1 + 2 n2).  The n-grams of all languages lie in one sorted array of
-64-bit hashes for each order, with one column of log-probabilities (highest
-order: of the symbol; lower: of the symbol and of the back-off weight) for each
-language; a look-up is a binary search.
+is n1 / (n1 + 2 n2).
 
 Counting is distributed: a task counts the n-grams of its texts by language and
 gives one row for each different n-gram, Spark adds the rows up.  Every training
-row is counted.  The model that reaches the executors holds n-grams seen at
-least ``min_count`` times in a language, and only the ``most`` most frequent
-ones, so its size is bounded whatever the corpus holds; the discounts and the
-back-off weights are those of all n-grams counted.
+row is counted and every counted n-gram is kept; Spark works out the
+probabilities too, so a language's model depends on its own rows alone.
+
+The n-grams of all languages lie in sorted arrays of 64-bit hashes, one for each
+order and range of hashes (about ``PART_ROWS`` rows), in the shared folder.  A
+hash has a row (log-probability of the symbol, log of the back-off weight) for
+each language that has the n-gram; a look-up is a binary search in a mapped
+file, so no process holds the model and only the folder's path travels.
 
 A text's score for a language is its cross-entropy for each symbol (length
 normalised).  The lowest wins.  The confidence is the winner's share of
@@ -28,18 +29,21 @@ language that sorts first; without any training row every text is ``und``.
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, written
+from .common import mix64, scratch, slices, written
 
 ORDER = 4
-MIN_COUNT = 2
-MOST = 400_000
+PART_ROWS = 1 << 20
 CALIBRATION_ROWS = 2_000
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -106,13 +110,71 @@ def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found, first, n
 
 
+#: A stored row: the language's number, log2 of the symbol's probability and of the back-off weight (NaN: none).
+_ROW = np.dtype([("lang", "<u4"), ("log", "<f8"), ("back", "<f8")])
+#: What is open of the last model used in this process.
+_open: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def _name(path: str, k: int, part: int) -> str:
+    return f"{path}/{k}-{part:05d}"
+
+
+def _map(fs, at: str, kind: np.dtype) -> np.ndarray:
+    if isinstance(fs, pa.fs.LocalFileSystem):
+        return np.memmap(at, kind, "r")
+    # Not a local folder: one copy, unlinked once mapped.
+    with tempfile.NamedTemporaryFile(delete=False) as held, fs.open_input_stream(at) as source:
+        while block := source.read(8 << 20):
+            held.write(block)
+    out = np.memmap(held.name, kind, "r")
+    os.unlink(held.name)
+    return out
+
+
+def _part(path: str, k: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes of an order and a range, where each one's rows start, and the rows."""
+    name = _name(path, k, part)
+    if name not in _open:
+        if any(not n.startswith(f"{path}/") for n in _open):
+            _open.clear()
+        fs, at = pa.fs.FileSystem.from_uri(name)
+        if fs.get_file_info(f"{at}.rows").type == pa.fs.FileType.NotFound:
+            _open[name] = np.empty(0, "<u8"), np.zeros(1, "<u8"), np.empty(0, _ROW)
+        else:
+            _open[name] = _map(fs, f"{at}.keys", np.dtype("<u8")), _map(fs, f"{at}.starts", np.dtype("<u8")), _map(fs, f"{at}.rows", _ROW)
+    return _open[name]
+
+
 class Model:
-    """The models of all languages: sorted hash arrays of each order, and values of each language."""
+    """The models of all languages: a folder of sorted hash arrays, ``2 ** bits`` for each order."""
 
-    def __init__(self, langs: list[str], keys: list[np.ndarray], logs: list[np.ndarray], backs: list[np.ndarray], base: np.ndarray):
-        self.langs, self.keys, self.logs, self.backs, self.base = langs, keys, logs, backs, base
+    def __init__(self, langs: list[str], path: str, bits: int, base: np.ndarray):
+        self.langs, self.path, self.bits, self.base = langs, path, bits, base
         self.strength, self.floor = 1.0, 0.0
 
+    def _find(self, k: int, windows: np.ndarray):
+        """The stored rows of windows of ``k`` symbols: numbers of windows, and a row for each."""
+        wanted = mix64(_codes(windows))
+        if not self.bits:
+            groups = [(0, np.arange(len(wanted)))]
+        else:
+            own = (wanted >> np.uint64(64 - self.bits)).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            cuts = np.flatnonzero(np.diff(own[order])) + 1
+            groups = [(int(own[g[0]]), g) for g in np.split(order, cuts) if len(g)]
+        for part, some in groups:
+            keys, starts, rows = _part(self.path, k, part)
+            if not len(keys):
+                continue
+            at = np.searchsorted(keys, wanted[some])
+            at[at == len(keys)] = 0
+            hit = keys[at] == wanted[some]
+            some, at = some[hit], at[hit]
+            first = starts[at].astype(np.int64)
+            n = starts[at + 1].astype(np.int64) - first
+            yield np.repeat(some, n), rows[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
     def gram_scores(self, windows: np.ndarray) -> np.ndarray:
         """log2 P(last symbol | the others) of each window (rows of symbols), for each language.
 
@@ -123,15 +185,12 @@ class Model:
         order = windows.shape[1]
         out = np.tile(self.base, (len(windows), 1))
         for k in range(1, order + 1):
-            full = _codes(windows[:, order - k :])
-            at, found = _find(self.keys[k - 1], full)
             if k > 1:
-                context = _codes(windows[:, order - k : -1])
-                c, seen = _find(self.keys[k - 2], context)
-                weight = np.where(seen[:, None], self.backs[k - 2][c], 0.0)
-                out = out + weight
-            value = self.logs[k - 1][at]
-            out = np.where(found[:, None] & np.isfinite(value), value, out)
+                for at, row in self._find(k - 1, windows[:, order - k : -1]):
+                    out[at, row["lang"]] += np.nan_to_num(row["back"])
+            for at, row in self._find(k, windows[:, order - k :]):
+                held = ~np.isnan(row["log"])
+                out[at[held], row["lang"][held]] = row["log"][held]
         return out
 
     def entropies(self, texts: list[str]) -> np.ndarray:
@@ -195,96 +254,130 @@ def _codes(windows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return at, keys[at] == wanted
-
-
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, min_count: int = MIN_COUNT, most: int = MOST) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, min_count: int = 1) -> Model:
     """The models of all rows with a text and a language.
 
     The lower orders are derived from the counted n-grams by Spark: continuation
-    counts are numbers of distinct n-grams with a common ending.
+    counts are numbers of distinct n-grams with a common ending.  Above order 2,
+    n-grams seen less than ``min_count`` times give no probability.
     """
     top = written(count(docs, text, lang, order), "grams")
     levels = {order: top}
     for k in range(order - 1, 0, -1):
         # How many different symbols precede the gram.
         levels[k] = levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    langs = sorted(r[0] for r in top.select("lang").distinct().collect())
-    number = {g: i for i, g in enumerate(langs)}
-    discounts, tables = {}, {}
-    for k in range(1, order + 1):
-        level = levels[k]
-        seen = {r["lang"]: (r["a"] or 0, r["b"] or 0, r["t"]) for r in level.groupBy("lang").agg(
-            F.count_if(F.col("n") == 1).alias("a"), F.count_if(F.col("n") == 2).alias("b"), F.sum("n").alias("t")
-        ).collect()}
-        discounts[k] = {g: min(0.95, max(0.05, a / (a + 2 * b) if a else 0.5)) for g, (a, b, _) in seen.items()}
-        held = level
-        if k > 1:
-            context = level.groupBy("lang", F.substring("gram", 1, k - 1).alias("context")).agg(
-                F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")
-            )
-            held = level.withColumn("context", F.substring("gram", 1, k - 1)).join(context, ["lang", "context"])
-        else:
-            held = level.withColumn("total", F.lit(0)).withColumn("kinds", F.lit(0))
-        held = held.where(F.col("n") >= (min_count if k > 2 else 1))
-        # The counts' distribution (a few hundred rows) gives the least count at which ``most`` n-grams suffice.
-        size = F.floor(F.log2("n") * 16)
-        left, least = most, None
-        for r in sorted(held.groupBy(size.alias("s")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["s"]):
-            left -= r["c"]
-            if left < 0:
-                break
-            least = r["s"]
-        held = held.where(size >= (least if least is not None else 1 << 20))
-        tables[k] = (held.select("lang", "gram", "n", "total", "kinds").toPandas(), seen)
-    return _assemble(langs, number, tables, discounts, order)
-
-
-def _assemble(langs, number, tables, discounts, order) -> Model:
-    keys, logs, backs = [], [], []
-    base = np.zeros(len(langs))
-    probability: list[np.ndarray] = []
-    for k in range(1, order + 1):
-        frame, seen = tables[k]
-        windows = np.frombuffer("".join(frame["gram"]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, k) if len(frame) else np.empty((0, k), np.uint32)
-        codes = _codes(windows) if len(windows) else np.empty(0, np.uint64)
-        every = np.unique(codes)
-        row = np.searchsorted(every, codes)
-        col = np.array([number[g] for g in frame["lang"]], np.int64)
-        log, back = np.full((len(every), len(langs)), -np.inf), np.zeros((len(every), len(langs)))
-        n, total, kinds = (frame[c].to_numpy(np.float64) for c in ("n", "total", "kinds"))
-        d = np.array([discounts[k][g] for g in frame["lang"]])
-        if k == 1:
-            size = {g: sum(frame["lang"] == g) + 1 for g in langs}
-            whole = np.array([seen[g][2] for g in frame["lang"]], np.float64)
-            room = np.array([d_ * size[g] / seen[g][2] / (size[g] + 1000) for d_, g in zip(d, frame["lang"], strict=True)])
-            p = np.maximum(n - d, 0) / whole + room
-            for g in langs:
-                base[number[g]] = np.log2(discounts[1].get(g, 0.5) * size[g] / seen[g][2] / (size[g] + 1000))
-        else:
-            weight = d * kinds / total
-            lower = _lookup(keys, logs, backs, base, windows[:, 1:])[np.arange(len(windows)), col] if len(windows) else np.empty(0)
-            p = np.maximum(n - d, 0) / total + weight * np.exp2(lower)
-            # The context's back-off weight stands with the context, one order lower.
-            context = _codes(windows[:, :-1]) if len(windows) else np.empty(0, np.uint64)
-            at, found = _find(keys[k - 2], context)
-            backs[k - 2][at[found], col[found]] = np.log2(np.maximum(weight[found], 1e-9))
-        log[row, col] = np.log2(p)
-        keys.append(every)
-        logs.append(log)
-        backs.append(back)
-        probability.append(p)
-    return Model(langs, keys, logs, backs, base)
-
-
-def _lookup(keys, logs, backs, base, windows) -> np.ndarray:
-    part = Model([""] * logs[0].shape[1] if logs else [], keys, logs, backs, base)
-    return part.gram_scores(windows)
+    seen = {k: _seen(levels[k]) for k in levels}
+    stats = sorted(seen[1].collect(), key=lambda r: r["lang"])
+    langs = [r["lang"] for r in stats]
+    path = scratch(docs.sparkSession, "ngrams")
+    if not langs:
+        return Model([], path, 0, np.empty(0))
+    base = np.log2(np.array([r["d"] * (r["size"] + 1) / r["whole"] / (r["size"] + 1001) for r in stats]))
+    room = F.col("d") * (F.col("size") + 1) / F.col("whole") / (F.col("size") + 1001)
+    most = F.greatest(F.col("n") - F.col("d"), F.lit(0.0))
+    p = levels[1].join(F.broadcast(seen[1]), "lang").select("lang", "gram", "n", (most / F.col("whole") + room).alias("p"))
+    rows = []
+    for k in range(2, order + 1):
+        context = levels[k].groupBy("lang", F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        weights = context.join(F.broadcast(seen[k]), "lang").select("lang", "context", "total", "d", (F.col("d") * F.col("kinds") / F.col("total")).alias("weight"))
+        lower = written(p, "probabilities")
+        rows.append(_rows(k - 1, lower, weights.select("lang", F.col("context").alias("gram"), "weight"), min_count))
+        wide = levels[k].withColumn("context", F.substring("gram", 1, k - 1)).withColumn("ending", F.substring("gram", 2, k - 1))
+        wide = wide.join(weights, ["lang", "context"]).join(lower.select("lang", F.col("gram").alias("ending"), F.col("p").alias("_lower")), ["lang", "ending"])
+        p = wide.select("lang", "gram", "n", (most / F.col("total") + F.col("weight") * F.col("_lower")).alias("p"))
+    rows.append(_rows(order, p, None, min_count))
+    number = docs.sparkSession.createDataFrame(list(enumerate(langs)), "number int, lang string")
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    n = top.count()
+    bits = max(0, (-(-n // PART_ROWS) - 1).bit_length())
+    _store(every.join(F.broadcast(number), "lang"), path, bits)
+    return Model(langs, path, bits, base)
+
+
+def _seen(level: DataFrame) -> DataFrame:
+    """lang, whole, size, d: the sum of the counts, the number of n-grams and the discount."""
+    sums = level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("a"), F.count_if(F.col("n") == 2).alias("b"), F.sum("n").alias("whole"), F.count(F.lit(1)).alias("size"))
+    d = F.when(F.col("a") > 0, F.col("a") / (F.col("a") + 2 * F.col("b"))).otherwise(0.5)
+    return sums.select("lang", "whole", "size", F.least(F.lit(0.95), F.greatest(F.lit(0.05), d)).alias("d"))
+
+
+def _rows(k: int, p: DataFrame, weights: DataFrame | None, min_count: int) -> DataFrame:
+    """lang, gram, k, log, back of every n-gram and every context of ``k`` symbols."""
+    if weights is None:
+        weights = p.select("lang", "gram", F.lit(None).cast("double").alias("weight"))
+        both = p.withColumn("weight", F.lit(None).cast("double"))
+    else:
+        both = p.join(weights, ["lang", "gram"], "full_outer")
+    log = F.when(F.col("n") >= (min_count if k > 2 else 1), F.log2("p"))
+    return both.select("lang", "gram", F.lit(k).alias("k"), log.alias("log"), F.log2(F.greatest(F.col("weight"), F.lit(1e-9))).alias("back"))
+
+
+def _store(rows: DataFrame, path: str, bits: int) -> None:
+    """Write number, gram, k, log, back as sorted arrays: a task has whole ranges of hashes and sees them in order.
+
+    A file gets its name when it is whole; a task that runs twice writes the same.
+    """
+
+    def keyed(batches):
+        for batch in slices(batches, 1 << 16):
+            k = batch.column(0).to_numpy()
+            keys = np.empty(len(k), np.uint64)
+            grams = np.array(batch.column(1).to_pylist(), object)
+            for x in np.unique(k).tolist():
+                own = k == x
+                windows = np.frombuffer("".join(grams[own]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, x)
+                keys[own] = mix64(_codes(windows))
+            part = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(k), np.int32)
+            # Spark orders signed numbers.
+            signed = (keys ^ np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part), pa.array(signed), *batch.columns[2:]], names=["k", "part", "key", "number", "log", "back"])
+
+    def write(batches):
+        fs, root = pa.fs.FileSystem.from_uri(path)
+        done = []
+        now, out, last, n = None, None, None, 0
+
+        def end():
+            out[1].write(np.array([n], "<u8").tobytes())
+            for f in out:
+                f.close()
+            # The rows' file comes last: with it the range is there.
+            for kind in ("keys", "starts", "rows"):
+                fs.move(f"{made}.{kind}", f"{_name(root, *now)}.{kind}")
+            done.append(n)
+
+        for batch in batches:
+            k, part, signed, number, log, back = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            keys = signed.view(np.uint64) ^ np.uint64(1 << 63)
+            held = np.empty(len(k), _ROW)
+            held["lang"], held["log"], held["back"] = number, log, back
+            cuts = np.flatnonzero((np.diff(k) != 0) | (np.diff(part) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)], strict=True):
+                if lo == hi:
+                    continue
+                if now != (int(k[lo]), int(part[lo])):
+                    if now is not None:
+                        end()
+                    now, last, n = (int(k[lo]), int(part[lo])), None, 0
+                    made = f"{root}/.{uuid.uuid4().hex}"
+                    out = [fs.open_output_stream(f"{made}.{kind}") for kind in ("keys", "starts", "rows")]
+                some = keys[lo:hi]
+                new = np.append(last is None or some[0] != last, some[1:] != some[:-1])
+                out[0].write(some[new].tobytes())
+                out[1].write((np.flatnonzero(new) + n).astype("<u8").tobytes())
+                out[2].write(held[lo:hi].tobytes())
+                last, n = some[-1], n + hi - lo
+        if now is not None:
+            end()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=["n"])
+
+    fs, root = pa.fs.FileSystem.from_uri(path)
+    fs.create_dir(root, recursive=True)
+    dealt = rows.select("k", "gram", "number", "log", "back").mapInArrow(keyed, "k int, part int, key bigint, number int, log double, back double")
+    dealt = dealt.repartition(4 << bits, "k", "part").sortWithinPartitions("k", "part", "key", "number")
+    dealt.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
 
 
 def calibrate(model: Model, docs: DataFrame, text: str, lang: str, rows: int = CALIBRATION_ROWS) -> Model:
@@ -320,7 +413,7 @@ def calibrate(model: Model, docs: DataFrame, text: str, lang: str, rows: int = C
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected in place of the text; the model travels in the closure (bounded)."""
+    """``docs`` with lang_pred, score and rejected in place of the text; the model's path travels in the closure."""
     rest = [c for c in docs.columns if c not in (text, "_text", "lang_pred", "score", "rejected")]
 
     def run(batches):

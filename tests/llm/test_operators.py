@@ -84,6 +84,22 @@ def test_kneser_ney_probabilities_sum_to_at_most_one(spark):
     assert 0.8 < total <= 1.0001
 
 
+def test_a_language_s_model_does_not_depend_on_the_others(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    # 450,000 different n-grams, each seen twice.
+    large = "".join(map(chr, rng.integers(0x4E00, 0x9000, 450_000).tolist()))
+    rare = [(i, t, "rare") for i, t in enumerate(["kala mana tero", "kala sini tero mana", "once"] * 2)] + [(9, "single grams too", "rare")]
+    schema = "doc_id long, text string, lang string"
+    alone = langid.fit(spark.createDataFrame(rare, schema))
+    both = langid.fit(spark.createDataFrame(rare + [(100 + i, large, "large") for i in range(2)], schema))
+    windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(langid.symbols(["\n\n" + langid.fold(t)]), 4)[1:] for _, t, _ in rare])
+    assert np.allclose(both.gram_scores(windows)[:, both.langs.index("rare")], alone.gram_scores(windows)[:, 0])
+    assert (alone.gram_scores(windows) > -3).all()
+    monkeypatch.setattr(langid, "PART_ROWS", 4)
+    parted = langid.fit(spark.createDataFrame(rare, schema))
+    assert parted.bits > 2 and np.allclose(parted.gram_scores(windows), alone.gram_scores(windows))
+
+
 # -- 3: near-duplicates ---------------------------------------------------------
 
 
