@@ -159,21 +159,46 @@ def _linked(base: DataFrame, reach: int) -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", reach: int = REACH, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every reported assignment value, identifier and hex run replaced by ``mark``.
+    """``docs`` with every span that ``scan`` reports (base and linked) replaced by ``mark``.
 
-    Same columns as ``docs``; texts without a finding are unchanged, null stays
-    null.  A blob is replaced only in a text that also holds an access
-    identifier, its complementary part.
+    Of an assignment the value goes.  Spans are those of the original text;
+    overlapping ones give one mark.  Same columns as ``docs``; texts without a
+    finding are unchanged, null stays null.
     """
-    body = F.col(text)
-    value = r"""(?i)((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)(?:[A-Za-z0-9+/_.=-]{6,})"""
-    clean = F.when(body.rlike(ACCESS) & body.rlike(BLOB), F.regexp_replace(body, BLOB, mark)).otherwise(body)
-    clean = F.when(clean.rlike(value), F.regexp_replace(clean, value, "$1" + mark)).otherwise(clean)
-    clean = F.when(clean.rlike(ACCESS), F.regexp_replace(clean, ACCESS, mark)).otherwise(clean)
-    clean = F.when(clean.rlike(HEX), F.regexp_replace(clean, HEX, mark)).otherwise(clean)
-    out = docs.withColumn("_was", body).withColumn(text, clean)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    body = F.col("_row")[text].cast("string")
+    base = _base(docs.select(row.alias("_row"), F.col(text).cast("string").alias("_body")), "_body")
+    linked = _linked(base, reach)
+    # Rows without a scope find nothing; a key of their own spreads them.
+    key = F.coalesce("_scope", F.concat(F.lit("-"), F.xxhash64(body).cast("string")))
+    out = base.withColumn("_key", key).join(linked, F.col("_key") == F.col("_of"), "left")
+    spans = F.concat("_base", F.coalesce(F.col("_extra"), F.array().cast(_SPAN)))
+
+    def cut(s: Column) -> Column:
+        value = F.char_length(F.regexp_extract(body.substr(s["start"] + 1, s["end"] - s["start"]), ASSIGN, 2))
+        return F.struct(F.when(s["rank"] == 0, s["end"] - value).otherwise(s["start"]).alias("start"), s["end"].alias("end"))
+
+    out = out.withColumn("_cuts", F.when(F.size(spans) > 0, F.array_sort(F.transform(spans, cut))))
+    ends = F.col("_cuts")["end"]
+    size = 64
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / size).cast("int")),
+        lambda b: F.array_max(F.slice(ends, b * size + 1, size)),
+    )
+    out = out.withColumn("_blocks", F.when(F.col("_cuts").isNotNull(), blocks))
+
+    def piece(c: Column, i: Column) -> Column:
+        """The text from the last end before a span, and the mark; nothing where it starts inside an earlier one."""
+        b = F.floor(i / size).cast("int")
+        before = F.greatest(F.array_max(F.slice("_blocks", 1, b)), F.array_max(F.slice(ends, b * size + 1, i - b * size)), F.lit(0))
+        return F.when(c["start"] >= before, F.concat(body.substr(before + 1, c["start"] - before), F.lit(mark))).otherwise("")
+
+    tail = body.substr(F.array_max(ends) + 1, F.char_length(body))
+    clean = F.concat(F.array_join(F.transform("_cuts", piece), ""), tail)
+    found = F.col("_cuts").isNotNull()
+    columns = {c: F.col("_row")[c] for c in docs.columns}
+    columns[text] = F.when(found, F.col("_clean")).otherwise(body)
     if "n_chars" in docs.columns:
-        same = F.col(text).eqNullSafe(F.col("_was"))
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length(text).cast(kind)))
-    return out.select(*docs.columns)
+        columns["n_chars"] = F.when(found, F.char_length("_clean").cast(kind)).otherwise(F.col("_row")["n_chars"])
+    return out.withColumn("_clean", F.when(found, clean)).select(*[v.alias(c) for c, v in columns.items()])
