@@ -4,8 +4,9 @@ A gear hash rolls over a text's UTF-8 bytes: h(i) = 2 h(i-1) + G[byte], so it
 depends on the last 32 bytes only.  A chunk ends where the hash's high bits are
 zero; chunking is normalised: before the usual size more bits are asked for,
 after it fewer, and a chunk has a least and a most size.  An insertion moves the
-boundaries with it, so only the chunks that it touches change.  Chunks are short
-at a text's start (``LEVELS``) so that short texts have several.
+boundaries with it, so only the chunks that it touches change.  Sizes and masks
+are the same at every depth, so a passage is cut alike wherever it lies; they
+are small so that short texts have several chunks.
 
 A fingerprint is the set of chunks, each as ``DIGITS`` hex digits of its digest
 and two of its length, sorted, in one string.  Likeness is the containment of
@@ -36,8 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: From which byte on; least, usual and most bytes of a chunk; bits asked for before and after the usual size.
-LEVELS = ((0, 4, 12, 48, 5, 2), (128, 8, 32, 128, 6, 3), (512, 16, 80, 255, 8, 4))
+#: Least, usual and most bytes of a chunk; bits asked for before and after the usual size.
+LEAST, USUAL, MOST = 8, 32, 128
+STRICT_BITS, LOOSE_BITS = 6, 3
 DIGITS = 8
 PARTITION_BYTES = 24 << 20
 
@@ -64,26 +66,21 @@ def boundaries(data: bytes) -> list[int]:
     n = len(data)
     h = gear_hashes(data)
     out, at = [], 0
-    for level, (_, least, usual, most, strict_bits, loose_bits) in enumerate(LEVELS):
-        until = LEVELS[level + 1][0] if level + 1 < len(LEVELS) else n
-        if at >= min(until, n):
-            continue
-        seen = h[at : until + most]
-        strict = (np.flatnonzero(seen >> np.uint32(32 - strict_bits) == 0) + (at + 1)).tolist()
-        loose = (np.flatnonzero(seen >> np.uint32(32 - loose_bits) == 0) + (at + 1)).tolist()
-        strict.append(n + most)
-        loose.append(n + most)
-        i = j = 0
-        while at < until and at < n:
-            while strict[i] < at + least:
-                i += 1
-            end = strict[i]
-            if end > at + usual:
-                while loose[j] <= at + usual:
-                    j += 1
-                end = min(loose[j], at + most)
-            at = min(end, n)
-            out.append(at)
+    strict = (np.flatnonzero(h >> np.uint32(32 - STRICT_BITS) == 0) + 1).tolist()
+    loose = (np.flatnonzero(h >> np.uint32(32 - LOOSE_BITS) == 0) + 1).tolist()
+    strict.append(n + MOST)
+    loose.append(n + MOST)
+    i = j = 0
+    while at < n:
+        while strict[i] < at + LEAST:
+            i += 1
+        end = strict[i]
+        if end > at + USUAL:
+            while loose[j] <= at + USUAL:
+                j += 1
+            end = min(loose[j], at + MOST)
+        at = min(end, n)
+        out.append(at)
     return out
 
 

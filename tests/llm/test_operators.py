@@ -492,6 +492,19 @@ def test_chunks_survive_a_shift():
     assert ends[-1] == len(data) and ends == sorted(set(ends))
 
 
+def test_chunks_of_a_passage_do_not_depend_on_its_depth():
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    for n, least in ((60, 0.6), (160, 0.8), (500, 0.9)):
+        shares = []
+        for _ in range(30):
+            passage = text(n)
+            shares.append(fingerprints.containment(fingerprints._parts(passage), fingerprints._parts(f"{text(250)} {passage} {text(120)}")))
+        assert sum(shares) / len(shares) > least, n
+    assert len(fingerprints._parts(text(20))) > 2
+
+
 def test_gear_hash_is_the_recurrence():
     data = random.Random(1).randbytes(300)
     g, h = fingerprints.gear_table(), 0
