@@ -856,7 +856,7 @@ def spelling_variants(spark, d):
 
 @query()
 def outliers_isolation_forest(spark, d):
-    out = models.isolation_forest(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], trees=50)
+    out = models.isolation_forest(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
     return models.flag_top(out).where("outlier").select("l_orderkey", "l_linenumber", "outlier_score")
 
 
@@ -953,7 +953,7 @@ def error_bars(spark, d):
 
 @query()
 def error_bars_bootstrap(spark, d):
-    return charts.bootstrap(t(spark, d, "supplier"), "s_acctbal", "s_nationkey", 200)
+    return charts.bootstrap(t(spark, d, "supplier"), "s_acctbal", "s_nationkey")
 
 
 @query("""SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem""")

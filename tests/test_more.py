@@ -59,3 +59,16 @@ def test_more_charts_and_search(spark):
     e = spark.createDataFrame([("2024-01-01", "a", 1.0), ("2024-01-01", "b", 2.0), ("2024-01-02", "a", 3.0)], "d string, k string, v double").withColumn("d", F.col("d").cast("timestamp_ntz"))
     assert {r.key: round(r.repeated, 3) for r in timeseries.shape_check(e, "d", ["k"]).collect()} == {"(all)": 0.667, "k": 0.0}
     assert {r.label: r.n for r in timeseries.typical(e, "d", "v").collect()} == {"Mon": 2, "Tue": 1}
+
+
+def test_registered_bars_and_forest_take_the_operators_own_sizes(spark, monkeypatch):
+    from lathework import queries
+    from lathework.operators import charts, models
+
+    seen = []
+    monkeypatch.setattr(charts, "bootstrap", lambda df, column, group, rounds=1000: seen.append(rounds) or df)
+    monkeypatch.setattr(models, "isolation_forest", lambda df, columns, trees=100: seen.append(trees) or df)
+    monkeypatch.setattr(models, "flag_top", lambda df: df.selectExpr("*", "true AS outlier", "0.0 AS outlier_score"))
+    queries.error_bars_bootstrap(spark, "/root/testdata/sf0.001")
+    queries.outliers_isolation_forest(spark, "/root/testdata/sf0.001")
+    assert seen == [1000, 100]
