@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -23,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``; only a session without one
-    (tests on one machine) gets a temporary folder.
+    It is the cluster's ``spark.checkpoint.dir``; only a session on one machine
+    (tests) that has none gets a temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -32,21 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = f"file://{tempfile.mkdtemp(prefix='lathework-')}"
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _forget() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: its cluster owns the folder
             return
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``written`` made and nothing reads any more."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
 atexit.register(_forget)
 
 
@@ -87,7 +100,31 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     writer = df.write.mode("overwrite").option("compression", "zstd")
     with small_batches(spark):
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out._written_at = path
+    return out
+
+
+#: A key with more than one in HOT_SHARE of all rows (and HOT_ROWS rows) is hot.
+HOT_SHARE, HOT_ROWS = 1024, 1000
+
+
+def skewed_join(rows: DataFrame, small: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join on ``key`` whatever a key holds.
+
+    ``small`` is a written table with one row for each key and, in ``count``,
+    how many of ``rows`` have it.  Fewer than ``HOT_SHARE`` keys can hold more
+    than one in ``HOT_SHARE`` of the rows each: these few are broadcast and
+    meet their rows where they lie; the other keys are joined by key.
+    """
+    total = small.agg(F.sum(count)).first()[0] or 0
+    least = max(HOT_ROWS, total // HOT_SHARE)
+    hot = small.where(F.col(count) > least)
+    if hot.isEmpty():
+        return rows.join(small.drop(count), key)
+    few = rows.join(F.broadcast(hot.drop(count)), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.where(F.col(count) <= least).drop(count), key)
+    return few.unionByName(rest)
 
 
 def slices(batches, rows: int = 256):

@@ -6,9 +6,10 @@
 2. Classes with an equal band are candidates.  At similarity 0.8 a pair shares
    no band of 32 bands of 4 rows with probability (1 - 0.8^4)^32 = 5e-8.
 3. In each bucket the smallest class is compared with the others; links are
-   confirmed on the full sets.  Components of these links settle most buckets.
+   confirmed on the full sets.  A leader's set goes once to each part of its
+   members, whose sets stream by.  Components of these links settle most buckets.
 4. What is left are buckets whose other members lie in different components.
-   They are compared with each other in blocks of bounded size: one task takes
+   They are compared with each other in blocks of about ``BLOCK_ROWS``: one task takes
    two blocks, counts all intersections by a matrix product, and gives only
    the links that join different components (a forest, fewer than its rows).
 5. Components by alternating large-star and small-star.
@@ -30,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, written
+from .common import mix64, skewed_join, slices, written
 from .components import components
 
 BANDS, ROWS = 32, 4
 SHINGLE = 4
 NUMERATOR, DENOMINATOR = 80, 100
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
-SALTS = 32
+MEMBERS = 2048
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _KEEP = 200_000
@@ -103,7 +104,7 @@ def band_keys(m: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray
     return h.view(np.int64)
 
 
-def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
     """key, n_shingles, the set's fingerprint and its band keys, for each row."""
     kind = docs.schema[key].dataType.simpleString()
 
@@ -111,7 +112,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
         for part in slices(batches):
             n, prints, bands = [], [], []
             for text in part.column(1).to_pylist():
-                s = shingles(text)
+                s = shingles(text, size)
                 n.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 bands.append(band_keys(minima(s)) if len(s) else None)
@@ -126,12 +127,12 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
     """The full sets (binary, sorted) of the documents in ``wanted`` (column node)."""
 
     def make(batches):
         for batch in slices(batches):
-            sets = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
+            sets = [shingles(t, size).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
         _forget()
 
@@ -151,18 +152,31 @@ def alike(a: bytes, b: bytes) -> bool:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets are alike."""
+    """The pairs (u, v) whose full sets are alike; ``pairs`` is a written table.
+
+    A leader ``u`` of many members is split into parts of about ``MEMBERS``.  Its
+    set goes once to each part, before the members' sets, and these stream by.
+    """
+    counts = written(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / MEMBERS)), "leaders")
+    dealt = skewed_join(pairs, counts, "u", "n").select("u", F.pmod(F.xxhash64("v"), "parts").alias("part"), "v")
+    members = dealt.join(sets.select(F.col("node").alias("v"), "set"), "v").select("u", "part", "v", "set")
+    leaders = counts.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    leaders = leaders.join(sets.select(F.col("node").alias("u"), "set"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "set")
+    rows = members.unionByName(leaders).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
 
     def check(batches):
-        for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            keep = [alike(a[i].as_py(), b[i].as_py()) for i in range(batch.num_rows)]
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        leader = None
+        for batch in slices(batches, 64):
+            us, vs = [], []
+            for u, v, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if v is None:
+                    leader = s.as_py()
+                elif alike(leader, s.as_py()):
+                    us.append(u)
+                    vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    left = sets.select(F.col("node").alias("u"), F.col("set").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
-    full = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    return full.mapInArrow(check, "u bigint, v bigint")
+    return rows.mapInArrow(check, "u bigint, v bigint")
 
 
 def forest(nodes: list[int], labels: list[int], sets: list[bytes], side: list[bool]) -> list[tuple[int, int]]:
@@ -216,19 +230,16 @@ def forest(nodes: list[int], labels: list[int], sets: list[bytes], side: list[bo
 
 
 def _rest(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among the other members of buckets (key, node, leader) that lie in different components."""
-    members = buckets.where("node != leader").join(labels, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("label")
-    )
-    sizes = sets.select("node", F.octet_length("set").alias("bytes"))
-    members = members.join(sizes, "node")
+    """Links among the other members of buckets (key, node, n, leader) that lie in different components."""
+    members = buckets.where("node != leader").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+    members = written(members, "members")
     mixed = members.groupBy("key").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("all_bytes")
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("all_n")
     ).where("lo != hi")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("all_bytes") / BLOCK_BYTES)).cast("int")
-    # A bucket of any size meets its totals in SALTS places; its sets are fetched by document, not by bucket.
-    mixed = mixed.select("key", blocks.alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(mixed, ["key", "salt"])
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(8 * F.col("all_n") / BLOCK_BYTES)).cast("int")
+    mixed = written(mixed.select("key", "m", blocks.alias("blocks")), "mixed")
+    # A bucket of any size is dealt to blocks; its sets are fetched by document, not by bucket.
+    rows = skewed_join(members.select("key", "node", "label"), mixed, "key", "m")
     rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.join(sets.select("node", "set"), "node")
@@ -246,26 +257,26 @@ def _rest(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("key", "i", "j").applyInArrow(compare, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id, kept for each row of ``docs``; ``key`` is an integer."""
-    signed = written(signatures(docs, key, text), "signatures")
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """key, n_shingles, component_id, kept for each row of ``docs``; ``key`` is an integer, ``size`` the words of a shingle."""
+    signed = written(signatures(docs, key, text, size), "signatures")
     own = F.col(key).cast("bigint")
-    has = signed.where(F.col("print").isNotNull() & F.col(key).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(own), F.lit(SALTS)))
-    # One row for each different set, its smallest id, and the bands that all copies share.  A set that a
-    # third of all rows have is first brought together in SALTS places.
-    parts = has.groupBy("print", "_salt").agg(F.min(own).alias("least"), F.min_by("bands", own).alias("bands"))
-    classes = parts.groupBy("print").agg(F.min("least").alias("node"), F.min_by("bands", "least").alias("bands"))
-    lead = classes.select("node", "bands")
-    exploded = lead.select("node", F.explode("bands").alias("key"))
-    full = exploded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).where("leader != _last")
-    buckets = written(exploded.join(full.select("key", "leader"), "key").distinct(), "buckets")
-    pairs = buckets.where("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-    sets = written(_sets(docs, buckets.select("node").distinct(), key, text), "sets")
+    has = signed.where(F.col("print").isNotNull() & F.col(key).isNotNull())
+    # One row for each different set, its smallest id, and the bands that all copies share.
+    classes = has.groupBy("print").agg(F.min(own).alias("node"), F.min_by("bands", own).alias("bands"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("m"))
+    classes = written(classes, "classes")
+    exploded = classes.select("node", "n", F.explode("bands").alias("key"))
+    full = exploded.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("_last"), F.count(F.lit(1)).alias("m"))
+    full = written(full.where("first.node != _last").select("key", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"), "m"), "keys")
+    buckets = written(skewed_join(exploded, full, "key", "m"), "buckets")
+    # Sets whose sizes differ too much cannot be alike.
+    close = F.lit(DENOMINATOR) * F.least("n", "leader_n") >= F.lit(NUMERATOR) * F.greatest("n", "leader_n")
+    pairs = written(buckets.where(close & (F.col("node") != F.col("leader"))).select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
+    sets = written(_sets(docs, buckets.select("node").distinct(), key, text, size), "sets")
     links = written(_verified(pairs, sets), "links")
     labels = components(links)
     more = written(_rest(buckets, labels, sets), "links")
-    homes = parts.select("print", "_salt").join(classes.select("print", "node"), "print")
-    copies = has.select(own.alias("u"), "print", "_salt").join(homes, ["print", "_salt"]).select("u", F.col("node").alias("v"))
+    copies = skewed_join(has.select(own.alias("u"), "print"), classes.select("print", "node", "m"), "print", "m").select("u", F.col("node").alias("v"))
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     # A copy reaches what its class reaches.  Rows with one id but different texts tie their classes.
@@ -275,15 +286,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     if not split.isEmpty():
         labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(split))
-    place = tied.join(labels.withColumnRenamed("node", "a"), "a", "left").select(
-        F.col("u").alias("_id"), F.coalesce("component", "a").alias("component_id")
-    )
+    # A class without a link is its own component.
+    homes = tied.groupBy("a").agg(F.count(F.lit(1)).alias("m")).join(labels.withColumnRenamed("node", "a"), "a", "left")
+    homes = written(homes.select("a", "m", F.coalesce("component", "a").alias("component_id")), "places")
+    place = skewed_join(tied.select(F.col("u").alias("_id"), "a"), homes, "a", "m").drop("a")
     out = signed.join(place, own == F.col("_id"), "left")
     component = F.coalesce(F.col("component_id"), own)
     return out.select(F.col(key), "n_shingles", component.alias("component_id"), F.coalesce(own == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that are near-duplicates of one with a smaller id."""
-    gone = near_duplicates(docs, key, text).where("not kept").select(key).distinct()
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """``docs`` without the documents that are near-duplicates of one with a smaller id.
+
+    Rows with a null id or without words stay; rows with one id are one
+    document and stay or go together; all columns are kept; an empty table gives
+    an empty result.
+    """
+    gone = near_duplicates(docs, key, text, size).where("not kept").select(key).distinct()
     return docs.join(gone, key, "left_anti").select(*docs.columns)
