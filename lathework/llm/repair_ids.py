@@ -1,24 +1,32 @@
 """Token-id files compressed by Re-Pair, with random access.
 
-A file holds the ids of consecutive documents.  Re-Pair replaces frequent pairs
-of neighbouring symbols by new symbols (nonterminals) and repeats on what is
-left.  Here each round counts all pairs of the file, takes the ``PER_ROUND``
-most frequent ones that occur ``LEAST`` times or more, and replaces their
-occurrences from left to right; rounds go on until none is frequent or
-``ROUNDS`` are done.  The new symbols of a round refer to earlier ones only.
+A file holds the ids of consecutive documents.  Re-Pair replaces the most
+frequent pair of neighbouring symbols by a new symbol (nonterminal) and goes on
+with what is left until no pair occurs ``LEAST`` times (two: none repeats).
+
+Pairs go in batches whose counts are exact.  A level holds the pairs that occur
+``level`` times or more; of these a batch takes, the most frequent first, pairs
+in which no symbol is a left one here and a right one there.  Their occurrences
+cannot overlap, so replacing them at once is the same as one after the other,
+and each rule stands for exactly the count it was chosen by (a pair of one
+symbol counts and is replaced from the left, every other one of a run).  Counts
+are taken anew for each batch; a level ends when no pair reaches it, and the
+next is a ``RATIO``-th of it.
 
 Format (little-endian)::
 
-    magic b"LRP1", n_terminals u4, n_rules u4, n_symbols u4, n_docs u4, n_ids u8
-    rules        n_rules x (left u2, right u2)
+    magic b"LRP2", n_terminals u4, n_rules u4, n_symbols u4, n_docs u4, n_ids u8
+    rules        2 x n_rules symbols: left and right of each
     lengths      n_rules x u4    ids each rule expands to
-    symbols      n_symbols x u2  below n_terminals: an id; else rule n_terminals + k
+    symbols      n_symbols symbols: below n_terminals an id; else rule n_terminals + k
     marks        u8 for every STEP symbols: ids before it
     docs         n_docs x u8     ids before each document
 
-A document's ids start at a known id; the marks give the symbol block that it
-begins in, and the expansion lengths lead to the symbol, so one document is
-decoded without the others.  Ids and rules share 16 bits.
+Symbols have 24 bits, in two planes: the low 16 bits of all as u2, then the high
+8 bits of all as u1.  A rule refers to earlier ones only.  Ids of 2^23 or more
+are refused.  A document's ids start at a known id; the marks give the symbol
+block that it begins in, and the expansion lengths lead to the symbol, so one
+document is decoded without the others.
 
 The files are rows of a table (first document, file, payload), written by
 Spark's committer in the shared folder, so that a lost executor costs only its
@@ -42,102 +50,156 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import prefix_sums, written
 
-MAGIC = b"LRP1"
+MAGIC = b"LRP2"
 TERMINALS = 49_408
 END_ID = 1
-ROUNDS = 4
-PER_ROUND = 1024
-LEAST = 16
+LEAST = 2
+RATIO = 16
 STEP = 256
-FILE_IDS = 1 << 19
+FILE_IDS = 1 << 18
 PARTITION_BYTES = 24 << 20
 
-_BITS = 19
-#: Multipliers of the pair table's hash, one for each round.
-_HASHES = (2654435761, 2246822519, 3266489917, 668265263)
-
-
-def one_round(s: np.ndarray, most: int, least: int, first: int, mult: int) -> tuple[np.ndarray, np.ndarray]:
-    """Replace the ``most`` most frequent pairs of ``s``; pair k (left * 65536 + right) becomes ``first + k``.
-
-    Pairs are counted exactly in a table of hashed pairs.  Where two pairs meet
-    in an entry only the later one is counted; each round hashes in another way.
-    """
-    pair = s[:-1].astype(np.uint32)
-    pair <<= np.uint32(16)
-    pair |= s[1:]
-    entry = pair * np.uint32(mult)
-    entry >>= np.uint32(32 - _BITS)
-    own = np.zeros(1 << _BITS, np.uint32)
-    own[entry] = pair
-    held = own[entry] == pair
-    n = np.bincount(entry[held], minlength=1 << _BITS)
-    top = np.flatnonzero(n >= least)
-    if len(top) > most:
-        top = top[np.argpartition(n[top], len(top) - most)[len(top) - most :]]
-    if not len(top):
-        return s, np.empty(0, np.uint32)
-    top = top[np.lexsort((own[top], -n[top]))]
-    slot = np.full(1 << _BITS, -1, np.int16)
-    slot[top] = np.arange(len(top), dtype=np.int16)
-    which = slot[entry]
-    places = np.flatnonzero((which >= 0) & held)
-    # In a run of overlapping occurrences every other one is taken.
-    breaks = np.flatnonzero(np.diff(places) != 1) + 1
-    starts = np.concatenate([[0], breaks])
-    sizes = np.diff(np.append(starts, len(places)))
-    even = (np.arange(len(places)) - np.repeat(starts, sizes)) & 1 == 0
-    places = places[even]
-    out = s.copy()
-    out[places] = (which[places].astype(np.int32) + first).astype(np.uint16)
+_HIGH = 32
+_LOW = (1 << _HIGH) - 1
+
+
+def _alternate(at: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Which places stay when of neighbouring ones among those flagged in ``twice`` every other one goes, from the left."""
+    flagged = np.flatnonzero(twice)
+    p = at[flagged]
+    starts = np.flatnonzero(np.append(True, np.diff(p) != 1))
+    run = np.repeat(starts, np.diff(np.append(starts, len(p))))
+    keep = np.ones(len(at), bool)
+    keep[flagged[(np.arange(len(p)) - run) & 1 == 1]] = False
+    return keep
+
+
+def _batch(pairs: np.ndarray, symbols: int) -> tuple[bytearray, list[int]]:
+    """Of ``pairs`` in order those that fit together, and each symbol's side: 1 left, 2 right, 3 both (its own pair)."""
+    side = bytearray(symbols)
+    taken = []
+    for i, (a, b) in enumerate(zip((pairs >> _HIGH).tolist(), (pairs & _LOW).tolist(), strict=True)):
+        if a == b:
+            if not side[a]:
+                side[a] = 3
+                taken.append(i)
+        elif side[a] < 2 and side[b] in (0, 2):
+            side[a], side[b] = 1, 2
+            taken.append(i)
+    return side, taken
+
+
+def grammar(ids: np.ndarray, terminals: int, least: int = LEAST, ratio: int = RATIO) -> tuple[np.ndarray, np.ndarray]:
+    """What Re-Pair leaves of ``ids``, and the rules' pairs (left << 32 | right); rule k is the symbol ``terminals + k``."""
+    s = ids.astype(np.int64)
+    n = terminals
+    # How often each symbol stands there: a pair is no more frequent than either.
+    often = np.zeros(terminals + len(s), np.int64)
+    often[:terminals] = np.bincount(s, minlength=terminals)
+    level = max(least, int(often.max(initial=0)) // ratio)
+    rules: list[np.ndarray] = []
+    while len(s) > 1:
+        f = np.take(often[:n] >= level, s)
+        at = np.flatnonzero(f[:-1] & f[1:])
+        pair, right = np.take(s, at), np.take(s[1:], at)
+        twice = pair == right
+        pair <<= _HIGH
+        pair |= right
+        if twice.any():
+            pair = pair[_alternate(at, twice)]
+        pair.sort()
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.empty(0, np.int64)
+        count = np.diff(np.append(first, len(pair)))
+        top = np.flatnonzero(count >= level)
+        if not len(top):
+            if level == least:
+                break
+            level = max(least, level // ratio)
+            continue
+        pairs, count = pair[first[top]], count[top]
+        order = np.argsort(-count, kind="stable")
+        pairs, count = pairs[order], count[order]
+        side, taken = _batch(pairs, n)
+        pairs, count = pairs[taken], count[taken]
+        s = _replace(s, pairs, np.frombuffer(side, np.uint8), n)
+        gone = np.bincount(pairs >> _HIGH, count, n) + np.bincount(pairs & _LOW, count, n)
+        often[:n] -= gone.astype(np.int64)
+        often[n : n + len(pairs)] = count
+        n += len(pairs)
+        rules.append(pairs)
+    return s, np.concatenate(rules) if rules else np.empty(0, np.int64)
+
+
+def _replace(s: np.ndarray, pairs: np.ndarray, side: np.ndarray, first: int) -> np.ndarray:
+    """``s`` (changed) with each occurrence of ``pairs[k]`` replaced by the symbol ``first + k``."""
+    sides = np.take(side, s)
+    x, y = sides[:-1], sides[1:]
+    at = np.flatnonzero(((x == 1) & (y == 2)) | ((x == 3) & (y == 3)))
+    found, right = np.take(s, at), np.take(s[1:], at)
+    twice = found == right
+    found <<= _HIGH
+    found |= right
+    order = np.argsort(pairs)
+    held = pairs[order]
+    k = np.searchsorted(held, found)
+    k[k == len(held)] = 0
+    hit = np.take(held, k) == found
+    at, k, twice = at[hit], k[hit], twice[hit]
+    if twice.any():
+        keep = _alternate(at, twice)
+        at, k = at[keep], k[keep]
+    s[at] = first + order[k]
     keep = np.ones(len(s), bool)
-    keep[places + 1] = False
-    return out[keep], own[top]
+    keep[at + 1] = False
+    return s[keep]
+
 
+def _planes(symbols: np.ndarray) -> bytes:
+    return (symbols & 0xFFFF).astype("<u2").tobytes() + (symbols >> 16).astype("u1").tobytes()
 
-def compress(ids: np.ndarray, starts: np.ndarray, terminals: int = TERMINALS) -> bytes:
+
+def compress(ids: np.ndarray, starts: np.ndarray, terminals: int = TERMINALS, least: int = LEAST) -> bytes:
     """A file of ``ids`` (below ``terminals``); ``starts`` are the documents' first ids."""
-    s = ids.astype(np.uint16)
-    rules: list[np.ndarray] = []
-    n = 0
-    for mult in _HASHES[:ROUNDS]:
-        room = min(PER_ROUND, 65_536 - terminals - n)
-        if len(s) < 2 or room <= 0:
-            break
-        s, pairs = one_round(s, room, LEAST, terminals + n, mult)
-        if not len(pairs):
-            break
-        rules.append(pairs)
-        n += len(pairs)
-    pairs = np.concatenate(rules) if rules else np.empty(0, np.uint32)
-    left, right = (pairs >> np.uint32(16)).astype(np.int64), (pairs & np.uint32(0xFFFF)).astype(np.int64)
-    lengths = _lengths(left, right, [len(r) for r in rules], terminals)
+    if len(ids) and int(ids.max()) >= terminals or terminals + len(ids) > 1 << 24:
+        raise ValueError(f"ids must be below {terminals}, and these with as many rules below {1 << 24}")
+    s, pairs = grammar(ids, terminals, least)
+    rules = np.stack([pairs >> _HIGH, pairs & _LOW], 1)
+    lengths = _lengths(rules, terminals)
     sizes = np.ones(len(s), np.int64)
     big = s >= terminals
-    sizes[big] = lengths[s[big].astype(np.int64) - terminals]
+    sizes[big] = lengths[s[big] - terminals]
     ends = np.cumsum(sizes)
     marks = np.concatenate([[0], ends])[: len(s) : STEP] if len(s) else np.empty(0, np.int64)
     return b"".join(
         [
             MAGIC,
-            struct.pack("<IIIIQ", terminals, n, len(s), len(starts), len(ids)),
-            np.stack([left, right], 1).astype("<u2").tobytes(),
+            struct.pack("<IIIIQ", terminals, len(pairs), len(s), len(starts), len(ids)),
+            _planes(rules.ravel()),
             lengths.astype("<u4").tobytes(),
-            s.astype("<u2").tobytes(),
+            _planes(s),
             marks.astype("<u8").tobytes(),
             np.asarray(starts).astype("<u8").tobytes(),
         ]
     )
 
 
-def _lengths(left: np.ndarray, right: np.ndarray, rounds: list[int], terminals: int) -> np.ndarray:
-    out = np.zeros(len(left), np.int64)
-    at = 0
-    for n in rounds:
-        a, b = left[at : at + n], right[at : at + n]
-        size = lambda x: np.where(x >= terminals, out[np.maximum(x - terminals, 0)], 1)
-        out[at : at + n] = size(a) + size(b)
-        at += n
+def _runs(rules: np.ndarray, terminals: int):
+    """Runs lo, hi of rules that refer to rules before ``lo`` only."""
+    last = rules.max(axis=1) - terminals if len(rules) else np.empty(0, np.int64)
+    lo = 0
+    while lo < len(rules):
+        inside = last[lo:] >= lo
+        hi = lo + int(inside.argmax()) if inside.any() else len(rules)
+        yield lo, hi
+        lo = hi
+
+
+def _lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
+    """How many ids each rule expands to."""
+    out = np.ones(len(rules), np.int64)
+    for lo, hi in _runs(rules, terminals):
+        part = rules[lo:hi]
+        out[lo:hi] = np.where(part >= terminals, out[np.maximum(part - terminals, 0)], 1).sum(axis=1)
     return out
 
 
@@ -156,38 +218,40 @@ class File:
             at += out.nbytes
             return out
 
-        self.rules = take("<u2", 2 * rules).reshape(-1, 2)
-        self.lengths = take("<u4", rules)
-        self.symbols = take("<u2", symbols)
+        def symbols_of(n: int) -> np.ndarray:
+            low = take("<u2", n).astype(np.int64)
+            return low | take("u1", n).astype(np.int64) << 16
+
+        self.rules = symbols_of(2 * rules).reshape(-1, 2)
+        self.lengths = take("<u4", rules).astype(np.int64)
+        self.symbols = symbols_of(symbols)
         self.marks = take("<u8", -(-symbols // STEP))
         self.starts = take("<u8", docs).astype(np.int64)
 
         # Every symbol's ids, one after the other: a symbol expands to a slice.
-        self.first = np.arange(self.terminals + rules, dtype=np.int32)
-        self.size = np.ones(self.terminals + rules, np.int32)
-        self.size[self.terminals :] = self.lengths
-        ends = self.terminals + np.cumsum(self.lengths, dtype=np.int64)
-        self.first[self.terminals :] = ends - self.lengths
-        self.flat = np.empty(int(ends[-1]) if rules else self.terminals, np.uint16)
+        self.size = np.concatenate([np.ones(self.terminals, np.int64), self.lengths])
+        ends = np.cumsum(self.size)
+        self.first = ends - self.size
+        self.flat = np.empty(int(ends[-1]) if len(ends) else 0, "<u4")
         self.flat[: self.terminals] = np.arange(self.terminals)
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            at, cut, n = int(self.first[self.terminals + k]), int(self.size[a]), int(self.lengths[k])
-            self.flat[at : at + cut] = self.flat[self.first[a] : self.first[a] + cut]
-            self.flat[at + cut : at + n] = self.flat[self.first[b] : self.first[b] + n - cut]
+        for lo, hi in _runs(self.rules, self.terminals):
+            lo_at = int(self.first[self.terminals + lo])
+            made = self.expand(self.rules[lo:hi].ravel())
+            self.flat[lo_at : lo_at + len(made)] = made
 
     def expand(self, s: np.ndarray) -> np.ndarray:
         """The ids of symbols."""
         sizes = self.size[s]
-        ends = np.cumsum(sizes, dtype=np.int32)
+        ends = np.cumsum(sizes)
         if not len(ends):
-            return np.empty(0, np.uint16)
+            return np.empty(0, "<u4")
         at = np.repeat(self.first[s] - (ends - sizes), sizes)
-        at += np.arange(ends[-1], dtype=np.int32)
+        at += np.arange(ends[-1])
         return self.flat[at]
 
     def all(self) -> np.ndarray:
         """All ids of the file."""
-        return self.expand(self.symbols).astype("<u4")
+        return self.expand(self.symbols)
 
     def ids(self, lo: int, hi: int) -> np.ndarray:
         """Ids lo..hi of the file, decoding only the blocks of symbols that hold them."""
@@ -196,12 +260,12 @@ class File:
         block = int(np.searchsorted(self.marks, lo, side="right")) - 1
         last = int(np.searchsorted(self.marks, hi, side="left"))
         s = self.symbols[block * STEP : last * STEP]
-        sizes = np.where(s >= self.terminals, self.lengths[np.maximum(s.astype(np.int64) - self.terminals, 0)] if len(self.lengths) else 1, 1)
-        ends = np.cumsum(sizes, dtype=np.int64) + int(self.marks[block])
+        sizes = self.size[s]
+        ends = np.cumsum(sizes) + int(self.marks[block])
         a = int(np.searchsorted(ends, lo, side="right"))
         b = int(np.searchsorted(ends, hi, side="left")) + 1
         first = int(ends[a] - sizes[a])
-        return self.expand(s[a:b])[lo - first : hi - first].astype("<u4")
+        return self.expand(s[a:b])[lo - first : hi - first]
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the file's document ``k``."""

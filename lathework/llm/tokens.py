@@ -59,6 +59,8 @@ class WordEncoder:
         self.names = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.other = _Held(lambda piece: self._library_ids([piece])[0])
         self.plain = _Held(self._piece_ids)
+        #: Between white space, for vocabularies without spaces in their pieces.
+        self.chunk = _Held(lambda chunk: b"".join(map(self._piece_ids, _WORD_PLAIN.findall(chunk))))
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)
 
@@ -77,8 +79,9 @@ class WordEncoder:
         if _PLAIN.search(text):
             pieces = _SPACED.findall(text) if self.spaced else text.split()
             return b"".join(map(self.other.__getitem__, pieces))
-        pieces = _SPACED_PLAIN.findall(text) if self.spaced else _WORD_PLAIN.findall(text.lower())
-        return b"".join(map(self.plain.__getitem__, pieces))
+        if not self.spaced:
+            return b"".join(map(self.chunk.__getitem__, text.lower().split()))
+        return b"".join(map(self.plain.__getitem__, _SPACED_PLAIN.findall(text)))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         return [self.encode(t) for t in texts]

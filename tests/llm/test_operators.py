@@ -445,6 +445,57 @@ def test_compression_round_trip_and_random_access():
                 assert (f.document(k) == ids[a:b]).all()
 
 
+def one_by_one(ids, pairs, terminals):
+    """The rules applied one after the other, each from the left: what is left, and how often each was applied."""
+    s, counts = list(ids), []
+    for k, (a, b) in enumerate(pairs):
+        out, n, i = [], 0, 0
+        while i < len(s):
+            if i + 1 < len(s) and (s[i], s[i + 1]) == (a, b):
+                out.append(terminals + k)
+                n, i = n + 1, i + 2
+            else:
+                out.append(s[i])
+                i += 1
+        s = out
+        counts.append(n)
+    return s, counts
+
+
+def counted_from_the_left(s):
+    """How often each pair occurs without overlapping itself."""
+    n, last = collections.Counter(), {}
+    for i, p in enumerate(zip(s, s[1:], strict=False)):
+        if last.get(p) != i - 1 or p[0] != p[1]:
+            n[p] += 1
+            last[p] = i
+    return n
+
+
+@pytest.mark.parametrize("ratio", [2, 16])
+@pytest.mark.parametrize("least", [2, 4])
+def test_grammar_is_re_pair(least, ratio):
+    rng = np.random.default_rng(least)
+    for n, top in ((0, 3), (1, 3), (40, 1), (300, 2), (900, 4), (2500, 30), (2500, 700)):
+        ids = rng.zipf(1.4, n) % top
+        s, pairs = repair_ids.grammar(ids, top, least, ratio)
+        pairs = [(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in pairs]
+        left, counts = one_by_one(ids.tolist(), pairs, top)
+        assert left == s.tolist() and len(set(pairs)) == len(pairs)
+        assert all(c >= least for c in counts)
+        # None is left, and the first rule is one of the most frequent pairs.
+        assert max(counted_from_the_left(left).values(), default=0) < least
+        if pairs:
+            assert counts[0] == max(counted_from_the_left(ids.tolist()).values())
+
+
+def test_ids_out_of_range_are_refused():
+    with pytest.raises(ValueError):
+        repair_ids.compress(np.array([5, 9]), np.array([0]), terminals=9)
+    wide = np.array([70_000, 1, 70_000, 1, 70_000, 1])
+    assert (repair_ids.File(repair_ids.compress(wide, np.array([0]), terminals=100_000)).all() == wide).all()
+
+
 def test_files_round_trip(spark, monkeypatch):
     monkeypatch.setattr(repair_ids, "PARTITION_BYTES", 4000)
     docs = [(d, t) for d, t, _ in EDGE if d != 9] + [(100 + i, t) for i, t in random_docs(80, 3)]
