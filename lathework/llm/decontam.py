@@ -1,31 +1,42 @@
-"""Benchmark decontamination with a distributed positional inverted index.
+"""Benchmark decontamination with a stored, distributed positional inverted index.
 
 The index is partitioned by document: each segment holds the postings of a few
 megabytes of text (the arrangement of web search engines), so building it needs
-no shuffle and each segment is searched where it lies.  A segment row has
+no shuffle and each segment is searched where it lies.  It is written once, with
+all terms, and can be read and searched again.  A segment row has
 
-* ``key``        the row keys of its documents, in order,
+* ``segment``    its number,
+* ``key``        the row keys of its documents, in order, and ``n_words`` of each,
 * ``bases``      where each document starts in the segment's position space;
-                 documents are ``GAP`` positions apart so no phrase crosses one,
-* ``n_words``    words of each document,
-* ``terms``      the terms, sorted, ``offsets`` into ``postings``,
-* ``postings``   the positions of each term, ascending.
-
-A search takes each phrase's terms from the rarest in the segment on, and
-intersects the posting lists shifted by the term's offset in the phrase.  What
-is left after the last term is where the phrase starts.  The proximity search
-keeps a start when every term lies within ``slop`` words of its place.
+                 documents are ``GAP`` positions apart so no match crosses one,
+* ``terms``      the terms, sorted, and ``offsets`` into ``postings``,
+* ``postings``   the positions of each term, ascending, as differences.
+
+A search takes a block of items.  Each window (``WINDOW`` words of an item; a
+shorter item is one) has an anchor: its rarest term by the counts of the whole
+index, the first of equal ones.  The anchor's postings are the candidates; they
+are intersected with the lists of the terms beside it, shifted by the offsets,
+to both sides until one fails.  All windows and candidates of a segment go
+together as arrays (in slices of ``CANDIDATES``), and the lists of a term are
+laid out over the positions, so that a step of the intersection is one look-up
+for each candidate that is left.
+
+* Exact: the run of consecutive matches through a candidate is as long as the
+  window; then each of its words is hit.
+* Proximity: every term of the window lies within ``SLOP`` words of its place
+  beside the anchor.
 
 Words are the runs of ``[0-9a-z\\x80-...]`` after A-Z are lower-cased.
 
 The benchmark is the stated query set: it is taken to the executors in blocks
-of at most ``block_bytes``, each searched over all segments, so nothing that is
-broadcast grows with the data.
+of at most ``block_bytes``, each searched over the stored index in the same way,
+and only documents with a match travel on; so nothing that is broadcast grows
+with the data.
 
 Defined results: a null or empty text, or one without words, has no hits and is
 not contaminated; an item without words has no window; rows with the same id
 are judged one by one; a null item text or id is skipped (null id) or has no
-window; an empty benchmark leaves every document clean.
+window; an empty benchmark leaves every document clean; a null key is kept.
 """
 
 from __future__ import annotations
@@ -37,21 +48,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, tidy, written
 
 WINDOW = 13
 GAP = 64
+SLOP = 3
 SEGMENT_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
+CANDIDATES = 1 << 20
 
 #: Bytes of words stay (A-Z lower-cased), all others become a space.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 
-_SEGMENT = (
-    "key array<bigint>, bases binary, n_words binary, terms array<binary>, offsets binary, postings binary"
-)
+_SEGMENT = "segment bigint, key array<bigint>, n_words array<int>, bases binary, terms array<binary>, offsets binary, postings binary"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -67,200 +78,266 @@ def windows(text: str | None, size: int = WINDOW) -> list[tuple[bytes, ...]]:
     return [tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))]
 
 
-def _segment(keys: list[int], bodies: list[list[bytes]], vocabulary: dict[bytes, int] | None, gap: int) -> dict:
-    """One segment's row; positions are those of the segment."""
-    ids: dict[bytes, int] = {} if vocabulary is None else vocabulary
-    counts = np.array([len(b) for b in bodies], np.int64)
-    bases = np.zeros(len(bodies), np.int64)
-    np.cumsum(counts[:-1] + gap, out=bases[1:])
-    codes = np.full(int(counts.sum()), -1, np.int64)
-    at = 0
-    for body in bodies:
-        if vocabulary is None:
-            for w in body:
-                ids.setdefault(w, len(ids))
-        codes[at : at + len(body)] = np.fromiter((ids.get(w, -1) for w in body), np.int64, len(body))
-        at += len(body)
-    places = np.arange(len(codes), dtype=np.int64) + np.repeat(np.arange(len(bodies), dtype=np.int64) * gap, counts)
-    held = np.flatnonzero(codes >= 0)
-    order = held[np.argsort(codes[held], kind="stable")]
-    found, starts = np.unique(codes[order], return_index=True)
-    names = list(ids)
-    terms = [names[c] for c in found]
-    return {
-        "key": keys,
-        "bases": bases.astype("<u4").tobytes(),
-        "n_words": counts.astype("<u4").tobytes(),
-        "terms": terms,
-        "offsets": np.append(starts, len(order)).astype("<u4").tobytes(),
-        "postings": places[order].astype("<u4").tobytes(),
-    }
-
-
-def build_index(
-    docs: DataFrame,
-    key: str,
-    text: str = "text",
-    vocabulary: list[bytes] | None = None,
-    gap: int = GAP,
-    segment_bytes: int = SEGMENT_BYTES,
-) -> DataFrame:
-    """The segments of ``docs``; ``key`` is a bigint column.
-
-    With a ``vocabulary`` only its terms get postings: no other term is ever
-    asked for.  Each segment is complete for its documents.
-    """
-    known = None if vocabulary is None else {w: i for i, w in enumerate(sorted(set(vocabulary)))}
+class _Numbers(dict):
+    """A number for each different word, in the order that they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+class _Segment:
+    """A segment in the making."""
+
+    def __init__(self):
+        self.numbers = _Numbers()
+        self.keys: list[int | None] = []
+        self.codes: list[np.ndarray] = []
+        self.bytes = 0
+
+    def add(self, key: int | None, text: str | None) -> None:
+        body = words(text)
+        self.keys.append(key)
+        self.codes.append(np.fromiter(map(self.numbers.__getitem__, body), np.int32, len(body)))
+        self.bytes += len(text or "") + 64
+
+    def batch(self, number: int, gap: int) -> pa.RecordBatch:
+        counts = np.array([len(c) for c in self.codes], np.int64)
+        bases = np.zeros(len(counts), np.int64)
+        np.cumsum(counts[:-1] + gap, out=bases[1:])
+        names = list(self.numbers)
+        order = sorted(range(len(names)), key=names.__getitem__)
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        codes = rank[np.concatenate(self.codes)] if len(names) else np.empty(0, np.int64)
+        places = np.arange(len(codes)) + np.repeat(np.arange(len(counts)) * gap, counts)
+        # By term and place in one sort.
+        postings = np.sort(codes << 32 | places) & 0xFFFFFFFF
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(names)))])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([number], pa.int64()),
+                pa.array([self.keys], pa.list_(pa.int64())),
+                pa.array([counts.astype(np.int32)], pa.list_(pa.int32())),
+                pa.array([bases.astype("<u4").tobytes()], pa.binary()),
+                pa.array([[names[i] for i in order]], pa.list_(pa.binary())),
+                pa.array([offsets.astype("<u4").tobytes()], pa.binary()),
+                pa.array([np.diff(postings, prepend=0).astype("<u4").tobytes()], pa.binary()),
+            ],
+            names=["segment", "key", "n_words", "bases", "terms", "offsets", "postings"],
+        )
+
+
+def build_index(docs: DataFrame, key: str, text: str = "text", gap: int = GAP, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """The segments of ``docs``; ``key`` is a bigint column.  Each is complete for its documents.  Write it before it is searched."""
 
     def build(batches):
-        keys, bodies, size = [], [], 0
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held = _Segment()
         for batch in slices(batches):
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = t.as_py()
-                body = words(t)
-                keys.append(k)
-                bodies.append(body)
-                size += len(t or "") + 64
-                if size >= segment_bytes:
-                    yield _as_batch(_segment(keys, bodies, known, gap))
-                    keys, bodies, size = [], [], 0
-        if keys:
-            yield _as_batch(_segment(keys, bodies, known, gap))
+                held.add(k, t.as_py())
+                if held.bytes >= segment_bytes:
+                    yield held.batch(number, gap)
+                    number, held = number + 1, _Segment()
+        if held.keys:
+            yield held.batch(number, gap)
+        del held
+        tidy()
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(build, _SEGMENT)
 
 
-def _as_batch(row: dict) -> pa.RecordBatch:
-    types = {"key": pa.list_(pa.int64()), "terms": pa.list_(pa.binary())}
-    return pa.RecordBatch.from_arrays(
-        [pa.array([v], types.get(k, pa.binary())) for k, v in row.items()], names=list(row)
-    )
-
-
-class _Reader:
-    """A segment's postings by term."""
-
-    def __init__(self, row: dict):
+class Block:
+    """A block of items as arrays: their words one after the other, the windows, and each window's anchor."""
+
+    def __init__(self, items: list[tuple[object, str | None]], size: int = WINDOW):
+        numbers = _Numbers()
+        bodies = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in (words(t) for _, t in items)]
+        sizes = np.array([len(b) for b in bodies], np.int64)
+        self.vocabulary: dict[bytes, int] = dict(numbers)
+        self.items = [str(i) for i, _ in items]
+        self.words = np.concatenate(bodies) if bodies else np.empty(0, np.int64)
+        ends = np.cumsum(sizes)
+        #: Of each word: its item, and where that starts and ends.
+        self.item = np.repeat(np.arange(len(sizes)), sizes)
+        self.lo, self.hi = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
+        #: Each window's length, by its first word; 0 where none starts.
+        at = np.arange(len(self.words))
+        whole = np.minimum(self.hi - self.lo, size)
+        self.length = np.where(at + whole <= self.hi, whole, 0)
+        self.size = size
+
+    def anchor(self, counts: np.ndarray) -> None:
+        """Choose anchors by the ``counts`` of the vocabulary in the whole index.
+
+        Keeps, for each anchor, the first and last window that it is the anchor of, and their length.
+        """
+        rarity = counts[self.words]
+        starts, anchors = [], []
+        for n in np.unique(self.length[self.length > 0]).tolist():
+            first = np.flatnonzero(self.length == n)
+            view = np.lib.stride_tricks.sliding_window_view(rarity, n)
+            for lo in range(0, len(first), 1 << 17):
+                some = first[lo : lo + (1 << 17)]
+                best = view[some].argmin(axis=1)
+                # A window with a term that no document has matches nothing.
+                held = rarity[some + best] > 0
+                starts.append(some[held])
+                anchors.append((some + best)[held])
+        first = np.concatenate(starts) if starts else np.empty(0, np.int64)
+        at = np.concatenate(anchors) if anchors else np.empty(0, np.int64)
+        order = np.lexsort((first, at))
+        first, at = first[order], at[order]
+        new = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
+        self.at = at[new]
+        self.first = first[new]
+        self.last = first[np.append(new[1:], len(at)) - 1] if len(at) else first
+        self.n = self.length[self.first]
+
+
+class Reader:
+    """A segment laid out for a block: the block's number of the word at each place (-1: none of its words)."""
+
+    def __init__(self, row: dict, vocabulary: dict[bytes, int]):
+        self.segment = row["segment"]
         self.keys = row["key"]
         self.bases = np.frombuffer(row["bases"], "<u4").astype(np.int64)
-        self.n_words = np.frombuffer(row["n_words"], "<u4").astype(np.int64)
-        self.ids = {t: i for i, t in enumerate(row["terms"])}
-        self.offsets = np.frombuffer(row["offsets"], "<u4")
-        self.all = np.frombuffer(row["postings"], "<u4").astype(np.int64)
-
-    def postings(self, term: bytes) -> np.ndarray | None:
-        i = self.ids.get(term)
-        return None if i is None else self.all[self.offsets[i] : self.offsets[i + 1]]
-
-    def lists(self, phrase: tuple[bytes, ...]) -> list[tuple[int, int, np.ndarray]] | None:
-        """(length, offset, postings) from the rarest term on; None when a term is absent."""
-        out = []
-        for offset, term in enumerate(phrase):
-            i = self.ids.get(term)
-            if i is None:
-                return None
-            lo, hi = int(self.offsets[i]), int(self.offsets[i + 1])
-            out.append((hi - lo, offset, lo))
-        out.sort()
-        return [(n, offset, self.all[lo : lo + n]) for n, offset, lo in out]
-
-    def exact(self, phrase: tuple[bytes, ...]) -> np.ndarray:
-        """Where the phrase starts."""
-        lists = self.lists(phrase)
-        if lists is None:
-            return np.empty(0, np.int64)
-        _, offset, starts = lists[0]
-        starts = starts - offset
-        for _, offset, places in lists[1:]:
-            if not len(starts):
-                break
-            at = np.searchsorted(places, starts + offset)
-            at[at == len(places)] = 0
-            starts = starts[places[at] == starts + offset]
-        return starts
-
-    def near(self, phrase: tuple[bytes, ...], slop: int) -> np.ndarray:
-        """Starts (by the rarest term) at which every term lies within ``slop`` words of its place."""
-        lists = self.lists(phrase)
-        if lists is None:
-            return np.empty(0, np.int64)
-        _, offset, starts = lists[0]
-        starts = starts - offset
-        for _, offset, places in lists[1:]:
-            if not len(starts):
-                break
-            want = starts + offset
-            right = np.searchsorted(places, want)
-            after = places[np.minimum(right, len(places) - 1)]
-            before = places[np.maximum(right - 1, 0)]
-            starts = starts[np.minimum(np.abs(after - want), np.abs(before - want)) <= slop]
-        return starts
+        counts = np.array(row["n_words"], np.int64)
+        offsets = np.frombuffer(row["offsets"], "<u4").astype(np.int64)
+        places = np.cumsum(np.frombuffer(row["postings"], "<u4"), dtype=np.uint32).astype(np.int64)
+        own = np.fromiter((vocabulary.get(t, -1) for t in row["terms"]), np.int64, len(row["terms"]))
+        held = np.flatnonzero(own >= 0)
+        self.from_ = np.zeros(len(vocabulary), np.int64)
+        self.count = np.zeros(len(vocabulary), np.int64)
+        self.from_[own[held]] = offsets[held]
+        self.count[own[held]] = offsets[held + 1] - offsets[held]
+        self.places = places
+        # GAP empty places before the first document and after the last.
+        end = int(self.bases[-1] + counts[-1]) if len(counts) else 0
+        self.word = np.full(end + 2 * GAP, -1, np.int32)
+        which = np.repeat(own, np.diff(offsets))
+        some = which >= 0
+        self.word[places[some] + GAP] = which[some]
 
     def documents(self, places: np.ndarray) -> np.ndarray:
-        """The number, in the segment, of the document at each place (starts may lie before it by the slop)."""
-        return np.clip(np.searchsorted(self.bases, places, side="right") - 1, 0, len(self.bases) - 1)
-
-
-def _phrases(items: list[tuple[object, str | None]], size: int) -> dict[tuple[bytes, ...], list[object]]:
-    """Each different window, with the items that have it."""
-    out: dict[tuple[bytes, ...], list[object]] = {}
-    for item, text in items:
-        for w in windows(text, size):
-            held = out.setdefault(w, [])
-            if not held or held[-1] != item:
-                held.append(item)
+        """The number, in the segment, of the document at each place."""
+        return np.clip(np.searchsorted(self.bases, places, side="right") - 1, 0, max(0, len(self.bases) - 1))
+
+    def candidates(self, block: Block):
+        """Slices of (anchor's number, posting) over all anchors that the segment has."""
+        n = self.count[block.words[block.at]]
+        held = np.flatnonzero(n > 0)
+        n = n[held]
+        cuts = np.concatenate([[0], np.cumsum(n)])
+        lo = 0
+        while lo < len(held):
+            hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + CANDIDATES, side="right")) - 1)
+            many, first = n[lo:hi], self.from_[block.words[block.at[held[lo:hi]]]]
+            which = np.repeat(held[lo:hi], many)
+            index = np.arange(int(many.sum())) + np.repeat(first - (np.cumsum(many) - many), many)
+            yield which, self.places[index]
+            lo = hi
+
+    def reach(self, block: Block, which: np.ndarray, place: np.ndarray, step: int, slop: int) -> np.ndarray:
+        """How many terms beside each candidate's anchor follow in their places (within ``slop``), to one side."""
+        at = block.at[which]
+        out = np.zeros(len(which), np.int64)
+        left = np.arange(len(which))
+        most = int(block.n[which].max(initial=1)) - 1
+        for k in range(1, most + 1):
+            j = at[left] + step * k
+            inside = (j >= block.lo[at[left]]) & (j < block.hi[at[left]])
+            left, j = left[inside], j[inside]
+            want = block.words[j]
+            where = place[left] + step * k + GAP
+            ok = self.word[where] == want
+            for s in range(1, slop + 1):
+                ok |= self.word[where + s] == want
+                ok |= self.word[where - s] == want
+            left = left[ok]
+            if not len(left):
+                break
+            out[left] = k
+        return out
+
+    def matches(self, block: Block, slop: int = SLOP):
+        """Exact hits (first and last place, item) and proximity matches (place, item) of the segment."""
+        exact, near = [], []
+        for which, place in self.candidates(block):
+            n, at = block.n[which], block.at[which]
+            back, on = self.reach(block, which, place, -1, slop), self.reach(block, which, place, 1, slop)
+            # Some window with this anchor lies within what was reached.
+            some = np.maximum(block.first[which], at - back) <= np.minimum(block.last[which], at + on - n + 1)
+            near.append((place[some], block.item[at[some]]))
+            # Whatever is exact is near, so only these are tried.
+            which, place, n, at = which[some], place[some], n[some], at[some]
+            back, on = self.reach(block, which, place, -1, 0), self.reach(block, which, place, 1, 0)
+            some = back + on + 1 >= n
+            exact.append((place[some] - back[some], place[some] + on[some] + 1, block.item[at[some]]))
+        cat = lambda rows, i: np.concatenate([r[i] for r in rows]) if rows else np.empty(0, np.int64)
+        return tuple(cat(exact, i) for i in range(3)), tuple(cat(near, i) for i in range(2))
+
+
+def term_counts(index: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
+    """How often each term of a block's vocabulary occurs in the whole index (only terms and offsets are read)."""
+
+    def count(batches):
+        total = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            for terms, offsets in zip(batch.column(0), batch.column(1), strict=True):
+                own = np.fromiter((vocabulary.get(t, -1) for t in terms.as_py()), np.int64, len(terms))
+                n = np.diff(np.frombuffer(offsets.as_py(), "<u4").astype(np.int64))
+                total[own[own >= 0]] += n[own >= 0]
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
+
+    rows = index.select("terms", "offsets").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    out = np.zeros(len(vocabulary), np.int64)
+    for r in rows.collect():  # a number for each term of the block at most
+        out[r["term"]] = r["n"]
     return out
 
 
-def search(index: DataFrame, items: list[tuple[object, str | None]], size: int = WINDOW) -> DataFrame:
-    """Exact matches, one row for each document of the index: key, n_words, hit places and items.
+_FOUND = "segment bigint, doc int, starts array<bigint>, ends array<bigint>, items array<string>, near array<string>"
 
-    ``hits`` holds the hit words' numbers as ``start:end`` runs.
-    """
-    phrases = _phrases(items, size)
+
+def search(index: DataFrame, items: list[tuple[object, str | None]], size: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """One row for each document of a written index with a match: segment, its number there, hit runs, items, items nearby."""
+    block = Block(items, size)
+    block.anchor(term_counts(index, block.vocabulary))
 
     def run(batches):
         for batch in batches:
-            out = {"key": [], "n_words": [], "starts": [], "ends": [], "items": []}
-            for row in batch.to_pylist():
-                seg = _Reader(row)
-                found: dict[int, set] = {}
-                los, his = [], []
-                for phrase, own in phrases.items():
-                    starts = seg.exact(phrase)
-                    if len(starts):
-                        los.append(starts)
-                        his.append(starts + len(phrase))
-                        for d in np.unique(seg.documents(starts)).tolist():
-                            found.setdefault(d, set()).update(own)
-                runs: dict[int, tuple[list[int], list[int]]] = {}
-                if los:
-                    lo, hi = _merge(np.concatenate(los), np.concatenate(his))
+            for i in range(batch.num_rows):
+                seg = Reader(batch.slice(i, 1).to_pylist()[0], block.vocabulary)
+                (lo, hi, item), (place, near) = seg.matches(block, slop)
+                out: dict[int, tuple[list, list, set, set]] = {}
+                for d, x in set(zip(seg.documents(place).tolist(), near.tolist(), strict=True)):
+                    out.setdefault(d, ([], [], set(), set()))[3].add(block.items[x])
+                for d, x in set(zip(seg.documents(lo).tolist(), item.tolist(), strict=True)):
+                    out[d][2].add(block.items[x])
+                if len(lo):
+                    lo, hi = _merge(lo, hi)
                     for d, a, b in zip(seg.documents(lo).tolist(), lo.tolist(), hi.tolist(), strict=True):
-                        r = runs.setdefault(d, ([], []))
-                        r[0].append(a - int(seg.bases[d]))
-                        r[1].append(b - int(seg.bases[d]))
-                for d, k in enumerate(seg.keys):
-                    a, b = runs.get(d, ([], []))
-                    out["key"].append(k)
-                    out["n_words"].append(int(seg.n_words[d]))
-                    out["starts"].append(a)
-                    out["ends"].append(b)
-                    out["items"].append(sorted(map(str, found.get(d, ()))))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(out["key"], pa.int64()),
-                    pa.array(out["n_words"], pa.int64()),
-                    pa.array(out["starts"], pa.list_(pa.int64())),
-                    pa.array(out["ends"], pa.list_(pa.int64())),
-                    pa.array(out["items"], pa.list_(pa.string())),
-                ],
-                names=list(out),
-            )
-
-    return index.mapInArrow(
-        run, "key bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>"
-    )
+                        out[d][0].append(a - int(seg.bases[d]))
+                        out[d][1].append(b - int(seg.bases[d]))
+                rows = sorted(out.items())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([seg.segment] * len(rows), pa.int64()),
+                        pa.array([d for d, _ in rows], pa.int32()),
+                        *(pa.array([r[k] for _, r in rows], pa.list_(pa.int64())) for k in (0, 1)),
+                        *(pa.array([sorted(r[k]) for _, r in rows], pa.list_(pa.string())) for k in (2, 3)),
+                    ],
+                    names=["segment", "doc", "starts", "ends", "items", "near"],
+                )
+                del seg
+        tidy()
+
+    return index.mapInArrow(run, _FOUND)
 
 
 def _merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,34 +349,13 @@ def _merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[first], hi[last]
 
 
-def proximity(index: DataFrame, items: list[tuple[object, str | None]], size: int = WINDOW, slop: int = 3) -> DataFrame:
-    """Documents (key) and items whose window has all its terms within ``slop`` words of their places."""
-    phrases = _phrases(items, size)
-
-    def run(batches):
-        for batch in batches:
-            keys, names = [], []
-            for row in batch.to_pylist():
-                seg = _Reader(row)
-                pairs = set()
-                for phrase, own in phrases.items():
-                    for d in np.unique(seg.documents(seg.near(phrase, slop))).tolist():
-                        pairs.update((d, str(i)) for i in own)
-                for d, i in sorted(pairs):
-                    keys.append(seg.keys[d])
-                    names.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.string())], names=["key", "item"])
-
-    return index.mapInArrow(run, "key bigint, item string")
-
-
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int):
     """The benchmark in blocks of at most about ``block_bytes``, streamed to the driver and held one at a time."""
     block, size = [], 0
     rows = benchmark.where(F.col(item).isNotNull()).select(item, text).toLocalIterator()
     for row in rows:
         block.append((row[0], row[1]))
-        size += 8 + len((row[1] or "").encode())
+        size += 8 + len((row[1] or "").encode("utf-8", "surrogatepass"))
         if size >= block_bytes:
             yield block
             block, size = [], 0
@@ -314,56 +370,36 @@ def judge(
     text: str = "text",
     item: str = "item_id",
     item_text: str = "text",
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int | None = None,
+    slop: int = SLOP,
 ) -> DataFrame:
-    """One row for each row of ``docs``: key, n_words, n_hit, items (strings, sorted), contaminated."""
-    one = only_block(benchmark, item, item_text, block_bytes)
-    if one is not None:
-        # One block: the segment is searched in the task that builds it and nothing is written.
-        index = build_index(docs, key, text, [w for _, t in one for w in words(t)])
-        return _totals(search(index, one))
-    # More blocks: the index is stored once, with all terms, and each block is searched over it.
-    numbered = docs.select(F.col(key), F.col(text)).withColumn("_row", F.monotonically_increasing_id())
-    numbered = written(numbered, "decontam-rows")
-    index = written(build_index(numbered, "_row", text), "decontam-index")
-    found = None
-    for block in _blocks(benchmark, item, item_text, block_bytes):
+    """One row for each row of ``docs``: key, n_words, n_hit, items and near (strings, sorted), contaminated."""
+    index = written(build_index(docs, key, text), "decontam-index")
+    found = docs.sparkSession.createDataFrame([], _FOUND)
+    for block in _blocks(benchmark, item, item_text, block_bytes or BLOCK_BYTES):
         # Written, so that the driver and the tasks hold one block at a time.
-        part = written(search(index, block), "decontam-hits")
-        found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("key").agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("runs"),
+        found = found.unionByName(written(search(index, block, slop=slop), "decontam-hits"))
+    merged = found.groupBy("segment", "doc").agg(
+        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"),
     )
-    merged = merged.withColumn("starts", F.col("runs.starts")).withColumn("ends", F.col("runs.ends")).drop("runs")
-    ids = numbered.select(F.col("_row").alias("key"), F.col(key).alias("_id"))
-    return _totals(merged.join(ids, "key").drop("key").withColumnRenamed("_id", "key"))
-
-
-def only_block(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[tuple] | None:
-    """The benchmark's items when they fit one block; the size is asked before any row is fetched."""
-    kept = benchmark.where(F.col(item).isNotNull())
-    size = kept.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 8)).first()[0] or 0
-    return [(r[0], r[1]) for r in kept.select(item, text).collect()] if size <= block_bytes else None
-
-
-def _totals(found: DataFrame) -> DataFrame:
-    """Counts from the hit runs; runs of one document may overlap between blocks."""
-    merged = F.aggregate(
-        F.array_sort(F.arrays_zip("starts", "ends")),
+    every = index.select("segment", F.posexplode(F.arrays_zip("key", "n_words")).alias("doc", "own"))
+    every = every.select("segment", "doc", F.col("own.key").alias("key"), F.col("own.n_words").cast("long").alias("n_words"))
+    # Runs of one document may overlap between blocks.
+    n_hit = F.aggregate(
+        "runs",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
         lambda a, r: F.struct(
             (a["n"] + F.greatest(F.lit(0).cast("long"), r["ends"] - F.greatest(r["starts"], a["to"]))).alias("n"),
             F.greatest(a["to"], r["ends"]).alias("to"),
         ),
     )["n"]
-    return found.select(
-        "key",
-        "n_words",
-        merged.alias("n_hit"),
-        "items",
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    none = F.array().cast("array<string>")
+    out = every.join(merged, ["segment", "doc"], "left").select(
+        "key", "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near", none).alias("near")
+    )
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def digest(items: list[str]) -> str:
@@ -374,53 +410,13 @@ def digest(items: list[str]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the contaminated rows; every row is judged by its own text, whatever its id.
 
-    A text's verdict travels with the row: the judged columns are appended in
-    the task that reads the row, so no join on ids is needed.
+    Rows with a null or empty text stay; repeated rows stay or go together; all
+    columns are kept; an empty table or benchmark takes nothing away.
     """
-    one = only_block(benchmark, item, item_text, BLOCK_BYTES)
-    if one is not None:
-        return _without(docs, one, text)
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-docs")
-    judged = judge(numbered, benchmark, "_row", text, item, item_text)
-    gone = judged.where("contaminated").select(F.col("key").alias("_row"))
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
-
-
-def _without(docs: DataFrame, block: list[tuple], text: str) -> DataFrame:
-    """Rows that the items of ``block`` do not contaminate, with all their columns."""
-    phrases = _phrases(block, WINDOW)
-    vocabulary = {w: i for i, w in enumerate(sorted({w for p in phrases for w in p}))}
-    at = docs.columns.index(text)
-
-    def run(batches):
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            bodies, rows, size = [], [], 0
-            column = batch.column(at)
-
-            def settle():
-                seg = _Reader(_segment(rows, bodies, vocabulary, GAP))
-                los, his = [], []
-                for phrase in phrases:
-                    starts = seg.exact(phrase)
-                    if len(starts):
-                        los.append(starts)
-                        his.append(starts + len(phrase))
-                if los:
-                    lo, hi = _merge(np.concatenate(los), np.concatenate(his))
-                    hit = np.bincount(seg.documents(lo), hi - lo, len(rows))
-                    keep[np.array(rows)[(hit > 0) & (20 * hit >= seg.n_words)]] = False
-
-            for i in range(batch.num_rows):
-                t = column[i].as_py()
-                bodies.append(words(t))
-                rows.append(i)
-                size += len(t or "") + 64
-                if size >= SEGMENT_BYTES:
-                    settle()
-                    bodies, rows, size = [], [], 0
-            if rows:
-                settle()
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-docs")
+    judged = judge(numbered, benchmark, row, text, item, item_text)
+    gone = judged.where("contaminated").select(F.col("key").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)

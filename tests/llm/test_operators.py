@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lathework.llm import decontam, fingerprints, html_extract, langid, neardup, packing, quality, repair_ids, secrets_scan, shards, tokens
+from lathework.llm import common, decontam, fingerprints, html_extract, langid, neardup, packing, quality, repair_ids, secrets_scan, shards, tokens
 from lathework.llm.components import components
 
 from .helpers import EDGE, LONG, edge_docs, empty_docs, random_docs
@@ -254,13 +254,48 @@ def test_decontamination_equals_brute_force(spark, block_bytes, monkeypatch):
     assert kept == sorted(((d, t) for d, t in docs if d not in gone), key=repr)
 
 
-def test_proximity_allows_small_shifts(spark):
-    item = " ".join(f"t{i}" for i in range(13))
-    near = item.replace("t5 ", "t5 extra ")
-    df = spark.createDataFrame([(1, item), (2, near), (3, "t1 t2 t3")], "doc_id long, text string")
-    index = decontam.build_index(df, "doc_id")
-    assert {r.key for r in decontam.search(index, [(7, item)]).where("size(items) > 0").collect()} == {1}
-    assert {(r.key, r.item) for r in decontam.proximity(index, [(7, item)], slop=2).collect()} == {(1, "7"), (2, "7")}
+def brute_near(docs, items, slop, size=13):
+    """(key, item) with a window whose terms all lie within ``slop`` of their places beside its rarest."""
+    bodies = [(k, decontam.words(t)) for k, t in docs]
+    often = collections.Counter(w for _, body in bodies for w in body)
+    out = set()
+    for i, t in items:
+        for x in decontam.windows(t, size):
+            if min(often[w] for w in x) == 0:
+                continue
+            a = min(range(len(x)), key=lambda k: (often[x[k]], k))
+            for key, body in bodies:
+                for p in (q for q, w in enumerate(body) if w == x[a]):
+                    if all(x[k] in body[max(0, p + k - a - slop) : max(0, p + k - a + slop + 1)] for k in range(len(x))):
+                        out.add((key, str(i)))
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 2, 3])
+def test_proximity_equals_brute_force(spark, slop, monkeypatch):
+    monkeypatch.setattr(decontam, "CANDIDATES", 50)
+    rng = random.Random(slop)
+    docs = random_docs(60, 11, 25)
+    items = []
+    for i, (_, t) in enumerate(docs[:20]):
+        w = t.split()[:30]
+        for _ in range(rng.randint(0, 3)):
+            w.insert(rng.randint(0, len(w)), "extra" if rng.random() < 0.5 else "zzz")
+        items.append((i, " ".join(w)))
+    docs += [(500, "extra zzz")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    index = common.written(decontam.build_index(df, "doc_id", segment_bytes=2000), "index")
+    places = {(r.segment, d): k for r in index.select("segment", "key").collect() for d, k in enumerate(r.key)}
+    got = {(places[(r.segment, r.doc)], x) for r in decontam.search(index, items, slop=slop).collect() for x in r.near}
+    assert got == brute_near(docs, items, slop) and (slop == 0 or len(got) > 20)
+
+
+def test_the_index_is_stored_with_all_terms(spark):
+    docs = [(1, "One two, two"), (2, None), (3, "three")]
+    index = common.written(decontam.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), "doc_id"), "index")
+    rows = index.collect()
+    assert [(list(r.key), list(r.n_words), [bytes(t) for t in r.terms]) for r in rows] == [([1, 2, 3], [3, 0, 1], [b"one", b"three", b"two"])]
+    assert np.cumsum(np.frombuffer(rows[0].postings, "<u4"), dtype=np.uint32).tolist() == [0, 3 + 2 * decontam.GAP, 1, 2]
 
 
 def test_decontamination_edges(spark):
@@ -268,6 +303,7 @@ def test_decontamination_edges(spark):
     assert {r.contaminated for r in decontam.judge(edge_docs(spark, ("key", "items")), b).collect()} == {False}
     assert decontam.judge(empty_docs(spark), b).count() == 0
     assert decontam.decontaminate(edge_docs(spark, ("key", "_row")), b).count() == len(EDGE)
+    assert {r["_row"] for r in decontam.decontaminate(edge_docs(spark, ("_row",)), b).collect()} == {"clash"}
 
 
 # -- 6: secrets -------------------------------------------------------------------
