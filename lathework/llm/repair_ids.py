@@ -54,9 +54,9 @@ MAGIC = b"LRP2"
 TERMINALS = 49_408
 END_ID = 1
 LEAST = 2
-RATIO = 16
+RATIO = 64
 STEP = 256
-FILE_IDS = 1 << 18
+FILE_IDS = 1 << 17
 PARTITION_BYTES = 24 << 20
 
 _HIGH = 32
@@ -98,9 +98,21 @@ def grammar(ids: np.ndarray, terminals: int, least: int = LEAST, ratio: int = RA
     often[:terminals] = np.bincount(s, minlength=terminals)
     level = max(least, int(often.max(initial=0)) // ratio)
     rules: list[np.ndarray] = []
+    # What was too rare at this level stays so: after a batch only pairs with a new symbol and
+    # pairs that did not fit into the batch are counted again.
+    fresh, rest = None, np.empty(0, np.int64)
     while len(s) > 1:
-        f = np.take(often[:n] >= level, s)
-        at = np.flatnonzero(f[:-1] & f[1:])
+        mark = (often[:n] >= level).astype(np.uint8)
+        if fresh is not None:
+            mark[fresh:] |= 2
+            mark[rest >> _HIGH] |= 4
+            mark[rest & _LOW] |= 8
+        f = np.take(mark, s)
+        x, y = f[:-1], f[1:]
+        held = x & y & 1
+        if fresh is not None:
+            held &= (x | y) >> 1 | x >> 2 & y >> 3
+        at = np.flatnonzero(held)
         pair, right = np.take(s, at), np.take(s[1:], at)
         twice = pair == right
         pair <<= _HIGH
@@ -114,12 +126,15 @@ def grammar(ids: np.ndarray, terminals: int, least: int = LEAST, ratio: int = RA
         if not len(top):
             if level == least:
                 break
-            level = max(least, level // ratio)
+            level, fresh = max(least, level // ratio), None
             continue
         pairs, count = pair[first[top]], count[top]
         order = np.argsort(-count, kind="stable")
         pairs, count = pairs[order], count[order]
         side, taken = _batch(pairs, n)
+        left = np.ones(len(pairs), bool)
+        left[taken] = False
+        fresh, rest = n, pairs[left]
         pairs, count = pairs[taken], count[taken]
         s = _replace(s, pairs, np.frombuffer(side, np.uint8), n)
         gone = np.bincount(pairs >> _HIGH, count, n) + np.bincount(pairs & _LOW, count, n)
