@@ -74,11 +74,20 @@ def scratch(spark: SparkSession, name: str) -> str:
 _BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
+#: Tables whose rows hold megabytes: few rows in a page and in what a scan takes at once.
+_WIDE = {"spark.sql.parquet.columnarReaderBatchSize": "8", "spark.sql.execution.arrow.maxRecordsPerBatch": "8"}
+_WIDE_PAGES = {"parquet.page.row.count.limit": "4", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4", "parquet.enable.dictionary": "false"}
+
+
 @contextlib.contextmanager
-def small_batches(spark: SparkSession):
-    """Small Arrow batches while an action of this package runs; the session's own settings come back after it."""
-    before = {k: spark.conf.get(k, None) for k in _BATCHES}
-    for k, v in _BATCHES.items():
+def small_batches(spark: SparkSession, wide: bool = False):
+    """Small Arrow batches while an action of this package runs; the session's own settings come back after it.
+
+    ``wide``: the action reads a table whose rows hold megabytes.
+    """
+    own = _BATCHES | _WIDE if wide else _BATCHES
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -90,15 +99,18 @@ def small_batches(spark: SparkSession):
                 spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None, wide: str = "") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
 
     Spark's committer writes it, so a lost executor costs only its tasks.
+    ``wide``: rows of megabytes are "read" by it or "written".
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     writer = df.write.mode("overwrite").option("compression", "zstd")
-    with small_batches(spark):
+    if wide == "written":
+        writer = writer.options(**_WIDE_PAGES)
+    with small_batches(spark, wide == "read"):
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
     out._written_at = path

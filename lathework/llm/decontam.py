@@ -1,7 +1,7 @@
 """Benchmark decontamination with a stored, distributed positional inverted index.
 
-The index is partitioned by document: each segment holds the postings of a few
-megabytes of text (the arrangement of web search engines), so building it needs
+The index is partitioned by document: each segment holds the postings of about a
+megabyte of text (the arrangement of web search engines), so building it needs
 no shuffle and each segment is searched where it lies.  It is written once, with
 all terms, and can be read and searched again.  A segment row has
 
@@ -48,14 +48,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tidy, written
+from .common import slices, small_batches, tidy, written
 
 WINDOW = 13
 GAP = 64
 SLOP = 3
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
-CANDIDATES = 1 << 20
+CANDIDATES = 1 << 18
 
 #: Bytes of words stay (A-Z lower-cased), all others become a space.
 _FOLD = bytes(
@@ -296,7 +296,9 @@ def term_counts(index: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
 
     rows = index.select("terms", "offsets").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     out = np.zeros(len(vocabulary), np.int64)
-    for r in rows.collect():  # a number for each term of the block at most
+    with small_batches(index.sparkSession, wide=True):
+        found = rows.collect()  # a number for each term of the block at most
+    for r in found:
         out[r["term"]] = r["n"]
     return out
 
@@ -374,11 +376,11 @@ def judge(
     slop: int = SLOP,
 ) -> DataFrame:
     """One row for each row of ``docs``: key, n_words, n_hit, items and near (strings, sorted), contaminated."""
-    index = written(build_index(docs, key, text), "decontam-index")
+    index = written(build_index(docs, key, text), "decontam-index", wide="written")
     found = docs.sparkSession.createDataFrame([], _FOUND)
     for block in _blocks(benchmark, item, item_text, block_bytes or BLOCK_BYTES):
         # Written, so that the driver and the tasks hold one block at a time.
-        found = found.unionByName(written(search(index, block, slop=slop), "decontam-hits"))
+        found = found.unionByName(written(search(index, block, slop=slop), "decontam-hits", wide="read"))
     merged = found.groupBy("segment", "doc").agg(
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),

@@ -330,7 +330,7 @@ def write_files(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
         if held:
             yield flush()
 
-    return written(ordered.mapInArrow(make, f"part int, file int, n_ids bigint, keys array<{kind}>, payload binary"), "ids")
+    return written(ordered.mapInArrow(make, f"part int, file int, n_ids bigint, keys array<{kind}>, payload binary"), "ids", wide="written")
 
 
 def read_files(files: DataFrame, key: str = "doc_id") -> DataFrame:
