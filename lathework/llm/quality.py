@@ -1,32 +1,37 @@
 """Quality classifier: a weak-label model whose posteriors train a hashed linear scorer.
 
-Two questions are asked of each text: is it junk, is it toxic.  For each there
-are overlapping heuristic labellers that vote bad, good or abstain:
-
-junk    symbols among the characters; capitals; list bars; exclamation runs;
-        repeated words; sentence punctuation; word length
-toxic   insults from a short list, by length of the text; stems that labelled
-        rows have taught, by length of the text
+Three questions are asked of each text: is it noise, is it repetition, is it
+toxic.  For each there are overlapping heuristic labellers that vote bad, good
+or abstain; each fault is seen by several of them:
+
+noise   symbols among the characters, words that end in one, letters among the
+        characters; capitals, words in capitals, exclamation runs; list bars,
+        parts without a word; sentence punctuation of any script
+repeats different words among all, words that echo the one before, different
+        pairs of neighbours, the commonest word's share
+toxic   insults from a short list; beginnings of words and whole words that
+        labelled rows have taught (all three by length of the text); hits that
+        stand close together
 
 Toxicity by length is the log-likelihood ratio of two Poisson rates of hits a
-word, so a stray hit in a long text counts for nothing.  Stems are beginnings
-of words (``STEM`` letters) that are many times as frequent, and significantly
-so, in toxic texts among at most ``LABELLED_ROWS`` labelled ones.
+word, so a stray hit in a long text counts for nothing.  A beginning (``STEM``
+letters) or word is taught when it is many times as frequent, and significantly
+so, in toxic texts among about ``LABELLED_ROWS`` labelled ones at most.
 
 The label model knows no truth.  Expectation-maximisation estimates from the
-votes alone how often each labeller that votes is right about either class.
-Votes are counted over all rows; equal vote vectors are one row of the counts,
-so what reaches the driver is bounded by the number of vote vectors (3 to the
-power of the labellers).
+votes alone how often each labeller that votes is right about either class; both
+rates are free, with priors of ``PRIOR`` texts.  Votes are counted over all rows;
+equal vote vectors are one row of the counts, so what reaches the driver is
+bounded by the number of vote vectors that occur.
 
-The posteriors of a bounded sample (``SAMPLE_ROWS``, by the hash of the text)
+The posteriors of a sample of ``SAMPLE_ROWS`` texts (by the hash of the text)
 train a logistic scorer over hashed words and bad votes.  Only buckets that
 differ between the classes by more than ``SCREEN`` standard errors get a weight,
 so long clean texts gather no noise.  The scorer decides: a row is rejected when
-either probability reaches ``THRESHOLD``.
+any of the probabilities reaches ``THRESHOLD``.
 
 Defined results: a null or empty text, or one without a word, has no evidence
-against it: both probabilities are 0 and it is kept; equal rows get equal
+against it: all probabilities are 0 and it is kept; equal rows get equal
 results; without labelled rows nothing is learnt from them; an empty table gives
 no row; a sample of one class only leaves the label model's posterior to decide.
 """
@@ -34,6 +39,7 @@ no row; a sample of one class only leaves the label model's posterior to decide.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +47,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 
 SAMPLE_ROWS = 12_000
 LABELLED_ROWS = 20_000
-#: A labeller knows one fault, or one language's words: it is taken to miss this share of the bad texts at least.
-MISSES = 0.5
-#: Its bad votes are built to be precise: on good texts it casts this share of them at most.
-FALSE_ALARMS = 0.002
+#: Texts that the label model's priors count for, in each class and for each labeller.
+PRIOR = 2.0
 STEM = range(4, 9)
 STEM_TEXTS, STEM_RATIO, STEM_Z = 6, 8.0, 6.0
 BITS = 18
@@ -68,10 +72,18 @@ _SYMBOLS = b"#$%&*|<>{}[]~^=_\\/@+!"
 _CAPITALS = bytes(range(65, 91))
 _SMALL = bytes(range(97, 123))
 
-JUNK = ("symbols", "capitals", "bars", "exclamations", "repeats", "sentences")
-TOXIC = ("insults", "stems")
+QUESTIONS = {
+    "noise": ("symbols", "marked", "letters", "capitals", "shouted", "exclamations", "bars", "wordless", "sentences"),
+    "repeats": ("distinct", "echoes", "pairs", "commonest"),
+    "toxic": ("insults", "beginnings", "words", "close"),
+}
 BAD, GOOD, ABSTAIN = 2, 1, 0
 
+_MARKED = re.compile(r"[#$%&*|<>{}\[\]~^=_\\/@+!](?!\S)")
+_ENDS = re.compile(r"[.,;:!?\u2026\u061f\u060c\u06d4\u0964\u0965](?!\S)|[\u3001\u3002\uff01\uff0c\uff1b\uff1f]")
+#: Hits within so many words of each other are close.
+CLOSE = 60
+
 
 def _vote(value: float, good: float, bad: float) -> int:
     """Bad from ``bad`` on, good up to ``good``; either may be the larger."""
@@ -80,67 +92,107 @@ def _vote(value: float, good: float, bad: float) -> int:
     return BAD if value <= bad else GOOD if value >= good else ABSTAIN
 
 
-class Stems:
-    """Learnt stems with their rates a word in toxic and in other texts."""
+class Lexicon:
+    """Learnt beginnings of words, or whole words (``whole``), with their rates a word in toxic and in other texts."""
 
-    def __init__(self, stems: frozenset[str] = frozenset(), toxic: float = 0.02, other: float = 0.0005):
-        self.stems, self.toxic, self.other = stems, toxic, other
-        self.held = _Stemmed(stems)
+    def __init__(self, found: frozenset[str] = frozenset(), toxic: float = 0.02, other: float = 0.0005, whole: bool = False):
+        self.found, self.toxic, self.other, self.whole = found, toxic, other, whole
+        self.held = _Held(found, whole)
 
-    def evidence(self, own: set[str], words: int) -> float:
-        return evidence(sum(map(self.held.__getitem__, own)), words, self.toxic, self.other)
+    def evidence(self, hits: int, words: int) -> float:
+        return evidence(hits, words, self.toxic, self.other)
 
 
-class _Stemmed(dict):
-    """Whether a word has a stem; at most 150,000 words stay."""
+class _Held(dict):
+    """Whether a word is in a lexicon; at most 150,000 words stay."""
 
-    def __init__(self, stems: frozenset[str]):
+    def __init__(self, found: frozenset[str], whole: bool):
         super().__init__()
-        self.stems, self.sizes = stems, sorted({len(s) for s in stems})
+        self.found, self.whole, self.sizes = found, whole, sorted({len(s) for s in found})
 
     def __reduce__(self):
-        return _Stemmed, (self.stems,)
+        return _Held, (self.found, self.whole)
 
     def __missing__(self, word: str) -> int:
-        has = int(any(word[:k] in self.stems for k in self.sizes))
+        has = int(word in self.found if self.whole else any(word[:k] in self.found for k in self.sizes))
         if len(self) < 150_000:
             self[word] = has
         return has
 
 
+class Lexicons:
+    """What labelled rows have taught."""
+
+    def __init__(self, beginnings: Lexicon | None = None, words: Lexicon | None = None):
+        self.beginnings, self.words = beginnings or Lexicon(), words or Lexicon(whole=True)
+
+    def __bool__(self) -> bool:
+        return bool(self.beginnings.found or self.words.found)
+
+
 def evidence(hits: int, words: int, toxic: float = 0.017, other: float = 0.0003) -> float:
     """Log-likelihood ratio of a toxic to another rate of hits a word."""
     return hits * float(np.log(toxic / other)) - words * (toxic - other)
 
 
-def votes(text: str, words: list[str], stems: Stems) -> tuple[list[int], list[int]]:
-    """The labellers' votes on a text with words."""
+def _weighed(value: float) -> int:
+    return BAD if value > 3 else GOOD if value < 1 else ABSTAIN
+
+
+def votes(text: str, words: list[str], learnt: Lexicons) -> tuple[list[int], list[int], list[int]]:
+    """The labellers' votes on a text with words, for each question."""
     data = text.encode("utf-8", "surrogatepass")
     parts = text.split()
     n = len(parts)
     capitals = len(data) - len(data.translate(None, _CAPITALS))
     small = len(data) - len(data.translate(None, _SMALL))
     symbols = len(data) - len(data.translate(None, _SYMBOLS))
-    ends = text.count(". ") + text.count(", ") + text.count(".\n") + text.count(",\n") + text.endswith(".")
+    ends = text.count(". ") + text.count(", ") + text.count(".\n") + text.count(",\n")
+    if ends < 0.04 * n:
+        ends = len(_ENDS.findall(text))
     letters = sum(map(len, words))
+    body = sum(map(len, parts))
     long_text = n >= 12
-    junk = [
+    upper = capitals / max(1, capitals + small)
+    noise = [
         _vote(symbols / len(text), 0.06, 0.12),
-        _vote(capitals / max(1, capitals + small), 0.4, 0.6) if letters >= 20 else ABSTAIN,
-        _vote(parts.count("|") / n, 0.1, 0.2) if long_text else ABSTAIN,
+        _vote(len(_MARKED.findall(text)) / n if symbols else 0.0, 0.15, 0.3) if n >= 5 else ABSTAIN,
+        _vote(letters / body, 0.93, 0.88) if long_text else ABSTAIN,
+        _vote(upper, 0.4, 0.6) if letters >= 20 else ABSTAIN,
+        _vote(sum(map(str.isupper, parts)) / n if upper > 0.2 else 0.0, 0.4, 0.6) if n >= 5 else ABSTAIN,
         _vote(text.count("!!") / n, 0.1, 0.3) if n >= 5 else ABSTAIN,
-        _vote(len(set(parts)) / n, 0.3, 0.22) if long_text else ABSTAIN,
+        _vote(parts.count("|") / n, 0.1, 0.2) if long_text else ABSTAIN,
+        _vote(len(words) / n, 0.85, 0.7) if long_text else ABSTAIN,
         _vote(ends / n, 0.04, 0.02) if n >= 25 else ABSTAIN,
     ]
+    repeats = [ABSTAIN] * 4
+    if long_text:
+        count = Counter(parts)
+        distinct = len(count) / n
+        repeats[0] = _vote(distinct, 0.3, 0.22)
+        # With so many different words the others are good.
+        few = distinct < 0.45
+        repeats[1] = _vote(sum(map(str.__eq__, parts, parts[1:])) / n, 0.1, 0.25) if few else GOOD
+        repeats[2] = _vote(len(set(zip(parts, parts[1:]))) / n, 0.55, 0.4) if few else GOOD
+        repeats[3] = _vote(max(count.values()) / n, 0.1, 0.15) if few else GOOD
+    m = len(words)
     own = set(words)
-    hits = len(own & INSULTS)
-    by_length = evidence(hits, len(words))
-    learnt = stems.evidence(own, len(words)) if stems.stems else None
-    toxic = [
-        BAD if by_length > 3 else GOOD if by_length < 1 else ABSTAIN,
-        ABSTAIN if learnt is None or 2 <= learnt <= 5 else BAD if learnt > 5 else GOOD,
-    ]
-    return junk, toxic
+    insults = len(own & INSULTS)
+    toxic = [_weighed(evidence(insults, m)), ABSTAIN, ABSTAIN, ABSTAIN]
+    begun = learnt.beginnings.held
+    hits = sum(map(begun.__getitem__, own))
+    if learnt.beginnings.found:
+        value = learnt.beginnings.evidence(hits, m)
+        toxic[1] = BAD if value > 5 else GOOD if value < 2 else ABSTAIN
+    if learnt.words.found:
+        toxic[2] = _weighed(learnt.words.evidence(sum(map(learnt.words.held.__getitem__, own)), m))
+    if hits + insults < 2:
+        toxic[3] = GOOD
+    else:
+        at = [i for i, w in enumerate(words) if w in INSULTS or learnt.beginnings.found and begun[w]]
+        close = sum(b - a <= CLOSE for a, b in zip(at, at[1:], strict=False))
+        toxic[3] = BAD if 2 * close >= len(at) else GOOD if 4 * close < len(at) else ABSTAIN
+    return noise, repeats, toxic
 
 
 def _code(v: list[int]) -> int:
@@ -161,7 +213,7 @@ def _vector(code: int, n: int) -> list[int]:
 class LabelModel:
     """How often each labeller votes each way for either class, by expectation-maximisation."""
 
-    def __init__(self, labellers: int, rounds: int = 60):
+    def __init__(self, labellers: int, rounds: int = 100):
         self.labellers, self.rounds = labellers, rounds
         self.prior = 0.1
         self.rates = np.full((2, labellers, 3), 1 / 3)
@@ -171,16 +223,17 @@ class LabelModel:
             return self
         v = np.array([_vector(c, self.labellers) for c in counts])
         n = np.array(list(counts.values()), float)
-        # To begin with, any bad vote counts: most labellers know one fault only.
-        p = np.where((v == BAD).any(1), 0.9, 0.02)
+        # To begin with, two bad votes count, one hardly.
+        bad = (v == BAD).sum(1)
+        p = np.where(bad >= 2, 0.95, np.where(bad == 1, 0.3, 0.01))
         for _ in range(self.rounds):
             for c, w in ((0, n * (1 - p)), (1, n * p)):
                 for k in range(self.labellers):
-                    cast = np.bincount(v[:, k], w, 3)[1:] + 0.5
-                    good = cast[0] / cast.sum()
-                    good = max(good, MISSES if c else 1 - FALSE_ALARMS)
+                    cast = np.bincount(v[:, k], w, 3)[1:]
+                    # On good texts a labeller is taken to be mostly right, on bad ones as often as not.
+                    good = (cast[0] + PRIOR * (0.5 if c else 0.9)) / (cast.sum() + PRIOR)
                     self.rates[c, k] = [1.0, good, 1 - good]
-            self.prior = float(np.clip((n * p).sum() / n.sum(), 1e-4, 0.6))
+            self.prior = float(((n * p).sum() + PRIOR * 0.1) / (n.sum() + PRIOR))
             p = self._posterior(v)
         return self
 
@@ -216,10 +269,10 @@ def _forget() -> None:
     _buckets.clear()
 
 
-def features(words: list[str], codes: tuple[int, int]) -> np.ndarray:
-    """The distinct buckets of a text's words and votes."""
+def features(words: list[str], codes: tuple[int, ...]) -> np.ndarray:
+    """The distinct buckets of a text's words and bad votes."""
     f = np.fromiter(map(_buckets.__getitem__, words), np.int32, len(words))
-    marks = [_buckets[f"#{kind}{k}"] for kind, code, n in (("j", codes[0], len(JUNK)), ("t", codes[1], len(TOXIC))) for k, x in enumerate(_vector(code, n)) if x == BAD]
+    marks = [_buckets[f"#{name}"] for code, names in zip(codes, QUESTIONS.values(), strict=True) for name, x in zip(names, _vector(code, len(names)), strict=True) if x == BAD]
     return np.unique(np.concatenate([f, np.array(marks, np.int32)]))
 
 
@@ -270,147 +323,153 @@ class Scorer:
 
 
 class Model:
-    def __init__(self, learnt: Stems, labels: tuple[LabelModel, LabelModel], scorers: tuple[Scorer, Scorer]):
+    """The learnt lexicons, a label model for each question and a scorer for each."""
+
+    def __init__(self, learnt: Lexicons, labels: tuple[LabelModel, ...], scorers: tuple[Scorer, ...]):
         self.learnt, self.labels, self.scorers = learnt, labels, scorers
 
-    def probabilities(self, text: str | None) -> tuple[float, float]:
-        """Of junk and of toxicity."""
+    def probabilities(self, text: str | None) -> tuple[float, ...]:
+        """Of each question's fault."""
         words = _WORD.findall((text or "").lower())
         if not words:
-            return 0.0, 0.0
-        j, t = votes(text, words, self.learnt)
-        f = features(words, (_code(j), _code(t)))
-        return self.scorers[0].probability(f), self.scorers[1].probability(f)
+            return (0.0,) * len(QUESTIONS)
+        f = features(words, tuple(map(_code, votes(text, words, self.learnt))))
+        return tuple(s.probability(f) for s in self.scorers)
 
+    def keeps(self, text: str | None) -> bool:
+        return max(self.probabilities(text)) < THRESHOLD
 
-def learn_stems(docs: DataFrame, labels: DataFrame | None, key: str, text: str, rows: int = LABELLED_ROWS) -> Stems:
-    """Stems that mark toxic texts, from at most ``rows`` labelled rows taken by the hash of the id."""
+
+def learn(docs: DataFrame, labels: DataFrame | None, key: str, text: str, rows: int = LABELLED_ROWS) -> Lexicons:
+    """Beginnings and words that mark toxic texts, from about ``rows`` labelled rows at most, taken by the hash of the id."""
     if labels is None:
-        return Stems()
+        return Lexicons()
     some = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).select(key, "toxic")
-    some = some.orderBy(F.xxhash64(key), key, "toxic").limit(rows)
+    some = some.groupBy(key).agg(F.max("toxic").alias("toxic"))
+    share = min(1.0, rows / max(1, some.count()))
+    if share < 1:
+        some = some.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(share * (1 << 40)))
     # Bounded by ``rows``, so the texts need not move.
     pairs = docs.select(F.col(key), F.col(text).cast("string").alias("_t")).join(F.broadcast(some), key).where("_t is not null")
 
-    def stems_of(batches):
-        for batch in batches:
-            n: dict[str, list[int]] = {"": [0, 0, 0]}
+    def count(batches):
+        for batch in slices(batches, 1024):
+            n: dict[tuple[int, str], list[int]] = {(0, ""): [0, 0, 0], (1, ""): [0, 0, 0]}
             for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = _WORD.findall(t.lower())
-                n[""][1 if x else 0] += len(words)
+                n[(0, "")][1 if x else 0] += len(words)
+                n[(1, "")][1 if x else 0] += len(words)
                 own = set(words)
-                for k in STEM:
-                    seen = set()
-                    for w in own:
-                        if len(w) >= k:
-                            c = n.setdefault(w[:k], [0, 0, 0])
-                            c[1 if x else 0] += 1
-                            if x and w[:k] not in seen:
-                                seen.add(w[:k])
-                                c[2] += 1
+                seen = set()
+                for w in own:
+                    for what in ((1, w), *((0, w[:k]) for k in STEM if len(w) >= k)):
+                        c = n.setdefault(what, [0, 0, 0])
+                        c[1 if x else 0] += 1
+                        if x and what not in seen:
+                            seen.add(what)
+                            c[2] += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(n), pa.string()), *(pa.array([c[i] for c in n.values()], pa.int64()) for i in range(3))], names=["stem", "other", "toxic", "texts"]
+                [pa.array([k for k, _ in n], pa.int32()), pa.array([s for _, s in n], pa.string()), *(pa.array([c[i] for c in n.values()], pa.int64()) for i in range(3))],
+                names=["whole", "stem", "other", "toxic", "texts"],
             )
 
-    seen = pairs.select("_t", "toxic").mapInArrow(stems_of, "stem string, other bigint, toxic bigint, texts bigint")
-    counts = seen.groupBy("stem").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"))
-    counts = counts.where(f"stem = '' or texts >= {STEM_TEXTS}").orderBy(F.col("toxic").desc(), "stem").limit(200_000)
-    held = {r["stem"]: (r["other"], r["toxic"]) for r in counts.collect()}
-    other, toxic = held.pop("", (0, 0))
-    if not other or not toxic:
-        return Stems()
-    found: dict[str, tuple[int, int]] = {}
-    for stem in sorted(held, key=lambda s: (len(s), s)):
-        a, b = held[stem]
-        expected = (a + 0.5) * toxic / other
-        if b >= STEM_RATIO * expected and b - expected >= STEM_Z * np.sqrt(expected + 1) and not any(stem[:k] in found for k in STEM):
-            found[stem] = (a, b)
-    if not found:
-        return Stems()
-    a, b = sum(x for x, _ in found.values()), sum(x for _, x in found.values())
-    return Stems(frozenset(found), b / toxic, (a + 1) / other)
+    seen = pairs.select("_t", "toxic").mapInArrow(count, "whole int, stem string, other bigint, toxic bigint, texts bigint")
+    counts = written(seen.groupBy("whole", "stem").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts")), "stems")
+    total = counts.where("whole = 0 and stem = ''").first()
+    if total is None or not total["other"] or not total["toxic"]:
+        return Lexicons()
+    # Only what is significant comes to the driver: some words of a bounded number of texts.
+    expected = (F.col("other") + 0.5) * F.lit(total["toxic"] / total["other"])
+    marks = counts.where((F.col("stem") != "") & (F.col("texts") >= STEM_TEXTS) & (F.col("toxic") >= STEM_RATIO * expected) & (F.col("toxic") - expected >= STEM_Z * F.sqrt(expected + 1)))
+    held: tuple[dict, dict] = {}, {}
+    for r in sorted(marks.collect(), key=lambda r: (len(r["stem"]), r["stem"])):
+        own = held[r["whole"]]
+        if r["whole"] or not any(r["stem"][:k] in own for k in STEM):
+            own[r["stem"]] = (r["other"], r["toxic"])
+
+    def lexicon(own: dict, whole: bool) -> Lexicon:
+        if not own:
+            return Lexicon(whole=whole)
+        a, b = (sum(x[i] for x in own.values()) for i in (0, 1))
+        return Lexicon(frozenset(own), b / total["toxic"], (a + 1) / total["other"], whole)
+
+    return Lexicons(lexicon(held[0], False), lexicon(held[1], True))
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_ROWS) -> Model:
-    learnt = learn_stems(docs, labels, key, text)
+    learnt = learn(docs, labels, key, text)
+
+    names = [f"q{k}" for k in range(len(QUESTIONS))]
+
+    def coded(bodies):
+        """The words and vote codes of the texts that have words."""
+        for body in bodies:
+            words = _WORD.findall((body or "").lower())
+            if words:
+                yield words, tuple(map(_code, votes(body, words, learnt)))
 
     def cast_votes(batches):
         for batch in slices(batches, 2048):
-            j, t = [], []
-            for body in batch.column(0).to_pylist():
-                words = _WORD.findall((body or "").lower())
-                if words:
-                    a, b = votes(body, words, learnt)
-                    j.append(_code(a))
-                    t.append(_code(b))
-            pairs, n = np.unique(np.array([j, t], np.int64), axis=1, return_counts=True) if j else (np.empty((2, 0), np.int64), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n.astype(np.int64))], names=["j", "t", "n"])
+            n = Counter(codes for _, codes in coded(batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*(pa.array([c[k] for c in n], pa.int64()) for k in range(len(names))), pa.array(list(n.values()), pa.int64())], names=[*names, "n"])
 
     rows = docs.select(F.col(text).cast("string").alias("_t"))
-    counts = rows.mapInArrow(cast_votes, "j bigint, t bigint, n bigint").groupBy("j", "t").agg(F.sum("n").alias("n")).collect()
-    junk: dict[int, int] = {}
-    toxic: dict[int, int] = {}
-    total = 0
-    for r in counts:
-        junk[r["j"]] = junk.get(r["j"], 0) + r["n"]
-        toxic[r["t"]] = toxic.get(r["t"], 0) + r["n"]
-        total += r["n"]
-    models = LabelModel(len(JUNK)).fit(junk), LabelModel(len(TOXIC)).fit(toxic)
+    schema = ", ".join(f"{x} bigint" for x in names)
+    counts = rows.mapInArrow(cast_votes, f"{schema}, n bigint").groupBy(*names).agg(F.sum("n").alias("n")).collect()
+    models = []
+    for x, labellers in zip(names, QUESTIONS.values(), strict=True):
+        seen = Counter()
+        for r in counts:
+            seen[r[x]] += r["n"]
+        models.append(LabelModel(len(labellers)).fit(dict(seen)))
+    total = sum(r["n"] for r in counts)
 
     def sampled(batches):
         for batch in slices(batches):
-            j, t, f = [], [], []
-            for body in batch.column(0).to_pylist():
-                words = _WORD.findall((body or "").lower())
-                if words:
-                    a, b = votes(body, words, learnt)
-                    j.append(_code(a))
-                    t.append(_code(b))
-                    f.append(features(words, (j[-1], t[-1])).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(j, pa.int64()), pa.array(t, pa.int64()), pa.array(f, pa.binary())], names=["j", "t", "f"])
+            out = [(codes, features(words, codes).astype("<i4").tobytes()) for words, codes in coded(batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(pa.array([c[k] for c, _ in out], pa.int64()) for k in range(len(names))), pa.array([f for _, f in out], pa.binary())], names=[*names, "f"])
         _forget()
 
-    # The rows whose text hashes lowest: about ``sample`` of them, whatever the table's size.
+    # The texts that hash lowest, each once: ``sample`` of them on average at most, whatever the table's size.
     share = min(1.0, sample / max(1, total))
     low = F.pmod(F.xxhash64("_t"), F.lit(1 << 40)) < int(share * (1 << 40)) if share < 1 else F.lit(True)
-    held = rows.where(low).dropDuplicates(["_t"]).limit(2 * sample).mapInArrow(sampled, "j bigint, t bigint, f binary").collect()
+    held = rows.where(low).dropDuplicates(["_t"]).mapInArrow(sampled, f"{schema}, f binary").collect()
     f = [np.frombuffer(r["f"], "<i4") for r in held]
-    scorers = tuple(
-        Scorer().fit(f, m.posterior([r[c] for r in held]) if held else np.empty(0)) for m, c in zip(models, ("j", "t"), strict=True)
-    )
-    return Model(learnt, models, scorers)
+    scorers = tuple(Scorer().fit(f, m.posterior([r[x] for r in held]) if held else np.empty(0)) for m, x in zip(models, names, strict=True))
+    return Model(learnt, tuple(models), scorers)
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with p_junk, p_toxic and kept (columns of these names are replaced); the model travels in the closure (bounded)."""
-    docs = docs.drop("p_junk", "p_toxic", "kept")
+    """``docs`` with p_noise, p_repeats, p_toxic and kept (columns of these names are replaced); the model travels in the closure (bounded)."""
+    added = [*(f"p_{q}" for q in QUESTIONS), "kept"]
+    docs = docs.drop(*added)
     at = docs.columns.index(text)
-    schema = docs.limit(0).withColumn("p_junk", F.lit(0.0)).withColumn("p_toxic", F.lit(0.0)).withColumn("kept", F.lit(True)).schema
+    schema = docs.limit(0).withColumns({c: F.lit(True) if c == "kept" else F.lit(0.0) for c in added}).schema
     for field in schema:
         field.nullable = True
 
     def run(batches):
         for batch in slices(batches):
             p = [model.probabilities(t) for t in batch.column(at).cast(pa.string()).to_pylist()]
-            j, t = [x for x, _ in p], [x for _, x in p]
-            keep = [a < THRESHOLD and b < THRESHOLD for a, b in p]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(j, pa.float64()), pa.array(t, pa.float64()), pa.array(keep, pa.bool_())], names=[f.name for f in schema]
-            )
+            columns = [pa.array([x[k] for x in p], pa.float64()) for k in range(len(added) - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array([max(x) < THRESHOLD for x in p], pa.bool_())], names=[f.name for f in schema])
         _forget()
 
     return docs.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns."""
+    """The rows of ``docs`` that are not rejected, with their columns.
+
+    Rows with a null or empty text or without a word stay; repeated rows stay or
+    go together; an empty table gives an empty result.
+    """
     model = fit(docs, labels, key, text)
     at = docs.columns.index(text)
 
     def run(batches):
         for batch in slices(batches):
-            p = [model.probabilities(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([a < THRESHOLD and b < THRESHOLD for a, b in p], pa.bool_()))
+            yield batch.filter(pa.array([model.keeps(t) for t in batch.column(at).cast(pa.string()).to_pylist()], pa.bool_()))
         _forget()
 
     return docs.mapInArrow(run, docs.schema)

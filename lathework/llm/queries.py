@@ -70,7 +70,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs.select("doc_id", "text"), model).select("doc_id", "p_junk", "p_toxic", "kept")
+    return quality.classify(docs.select("doc_id", "text"), model).drop("text")
 
 
 def queries() -> dict:
