@@ -112,7 +112,7 @@ def grammar(ids: np.ndarray, terminals: int, least: int = LEAST, ratio: int = RA
         held = x & y & 1
         if fresh is not None:
             held &= (x | y) >> 1 | x >> 2 & y >> 3
-        at = np.flatnonzero(held)
+        at = np.flatnonzero(held.view(bool))
         pair, right = np.take(s, at), np.take(s[1:], at)
         twice = pair == right
         pair <<= _HIGH
