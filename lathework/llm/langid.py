@@ -45,6 +45,7 @@ from .common import mix64, scratch, slices, written
 ORDER = 4
 PART_ROWS = 1 << 20
 CALIBRATION_ROWS = 2_000
+PIECE = 40
 
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -92,8 +93,12 @@ def count(docs: DataFrame, text: str, lang: str, order: int = ORDER) -> DataFram
                     by.setdefault(g, []).append("\n" * (order - 2) + fold(t))
             for g, folded in by.items():
                 s = symbols(folded)
-                codes, first, n = _distinct(grams(s, order))
-                at = first[:, None] - np.arange(order - 1, -1, -1)[None, :]
+                # Nothing ends in the padding or the first boundary, so no n-gram spans two texts.
+                sizes = np.fromiter(map(len, folded), np.int64, len(folded))
+                inside = np.arange(len(s)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                own = np.flatnonzero(inside >= order - 1)
+                codes, first, n = _distinct(grams(s, order)[own])
+                at = own[first][:, None] - np.arange(order - 1, -1, -1)[None, :]
                 window = np.where(at >= 0, s[np.maximum(at, 0)], 10).astype("<u4")
                 rows = window.view(f"<U{order}").ravel().tolist() if len(window) else []
                 yield pa.RecordBatch.from_arrays(
@@ -380,34 +385,49 @@ def _store(rows: DataFrame, path: str, bits: int) -> None:
     dealt.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
 
 
-def calibrate(model: Model, docs: DataFrame, text: str, lang: str, rows: int = CALIBRATION_ROWS) -> Model:
-    """Set strength and floor on about ``rows`` training texts, taken by the hash of the text.
+def calibrate(model: Model, docs: DataFrame, key: str, text: str, lang: str, rows: int = CALIBRATION_ROWS, piece: int = PIECE) -> Model:
+    """Set strength and floor on one piece of each of about ``rows`` training texts at most, taken by the hash of id and text.
 
-    The strength makes the mean confidence on pieces of 40 symbols agree with
-    the share that is right; the floor is the confidence that one text in a
-    thousand of these pieces stays under.
+    A piece is ``piece`` symbols from anywhere in the whole text, by the same
+    hash.  The strength makes the mean confidence on these pieces agree with the
+    share that is right; the floor is the confidence that one in a thousand of
+    them stays under.  Equal pieces travel once, with their number.
     """
     if not model.langs:
         return model
-    some = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("g"))
-    # The row count costs no column; the hash then takes about ``rows`` of them, where they lie.
+    some = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    some = some.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("g"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
     share = min(1.0, rows / max(1, docs.count()))
     if share < 1:
-        some = some.where(F.pmod(F.xxhash64("t"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    some = some.select(F.substring("t", 1, 200).alias("t"), "g").collect()
-    some = [(fold(r["t"])[:41] + "\n", r["g"]) for r in some if has_letter(r["t"])]
-    if not some:
+        some = some.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
+
+    def cut(batches):
+        for batch in slices(batches):
+            out = ([], [])
+            for t, g, h in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if has_letter(t):
+                    folded = fold(t)
+                    at = (h >> 8) % max(1, len(folded) - piece)
+                    out[0].append("\n" + folded[at : at + piece].strip("\n") + "\n")
+                    out[1].append(g)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["t", "g"])
+
+    held = some.mapInArrow(cut, "t string, g string").groupBy("t", "g").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not held:
         return model
-    e = model.entropies([t for t, _ in some])
-    right = np.array([model.langs[b] == g for b, (_, g) in zip(e.argmin(axis=1).tolist(), some, strict=True)])
-    sizes = np.array([len(t) for t, _ in some])
+    e = model.entropies([r["t"] for r in held])
+    right = np.array([model.langs[b] == r["g"] for b, r in zip(e.argmin(axis=1).tolist(), held, strict=True)])
+    sizes = np.array([len(r["t"]) for r in held])
+    n = np.array([r["n"] for r in held], float)
     best = None
     for strength in (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0):
         model.strength = strength
         c = model.confidence(e, sizes)
-        loss = -np.mean(np.where(right, np.log(np.maximum(c, 1e-9)), np.log(np.maximum(1 - c, 1e-9))))
+        loss = -np.average(np.where(right, np.log(np.maximum(c, 1e-9)), np.log(np.maximum(1 - c, 1e-9))), weights=n)
         if best is None or loss < best[0]:
-            best = (loss, strength, float(np.quantile(c, 0.001)))
+            order = np.argsort(c)
+            floor = c[order][np.searchsorted(np.cumsum(n[order]), 0.001 * n.sum())]
+            best = (loss, strength, float(floor))
     _, model.strength, model.floor = best
     return model
 
@@ -436,7 +456,7 @@ def train_and_identify(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """key, held_out, lang_pred, score, rejected: learns from the rows that are not held out."""
     held_out = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2
     train = docs.where(F.coalesce(~held_out, F.lit(True)))
-    model = calibrate(fit(train, text, lang), train, text, lang)
+    model = calibrate(fit(train, text, lang), train, key, text, lang)
     out = identify(docs.select(F.col(key), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text)), model, text)
     # Run here, in small batches: the model and a large batch together would strain a small executor.
     return written(out, "languages")

@@ -84,6 +84,59 @@ def test_kneser_ney_probabilities_sum_to_at_most_one(spark):
     assert 0.8 < total <= 1.0001
 
 
+def plain_kneser_ney(texts, order=langid.ORDER):
+    """One language's P(last symbol | the others), by the definition, from dictionaries."""
+    counts = {order: collections.Counter()}
+    for t in texts:
+        s = "\n" * (order - 2) + langid.fold(t)
+        for i in range(order - 1, len(s)):
+            counts[order][s[i - order + 1 : i + 1]] += 1
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    d = {}
+    for k, c in counts.items():
+        a, b = (sum(n == x for n in c.values()) for x in (1, 2))
+        d[k] = min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
+
+    def p(g):
+        k = len(g)
+        if k == 1:
+            whole, size = sum(counts[1].values()), len(counts[1])
+            return max(counts[1][g] - d[1], 0) / whole + d[1] * (size + 1) / whole / (size + 1001)
+        own = {x: n for x, n in counts[k].items() if x[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        total = sum(own.values())
+        return max(own.get(g, 0) - d[k], 0) / total + d[k] * len(own) / total * p(g[1:])
+
+    return p
+
+
+def test_models_equal_plain_kneser_ney(spark):
+    rng = random.Random(3)
+    texts = {"aa": [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(8)) for _ in range(12)], "bb": ["Été à la mer, 日本 où", "la mer", "la mer"]}
+    rows = [(i, t, g) for i, (g, t) in enumerate((g, t) for g, ts in texts.items() for t in ts)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    windows = ["".join(rng.choice("abc\nlamerétx") for _ in range(4)) for _ in range(200)] + ["\nabc", "la\nm", "\n\nla"]
+    got = model.gram_scores(np.array([[ord(c) for c in w] for w in windows], np.uint32))
+    for k, g in enumerate(model.langs):
+        p = plain_kneser_ney(texts[g])
+        assert np.allclose(got[:, k], [np.log2(p(w)) for w in windows], atol=1e-6)
+
+
+def test_held_out_accuracy_and_calibration(spark):
+    rng = random.Random(8)
+    parts = {"aa": ["bal", "dor", "kin", "el", "sta"], "bb": ["uzh", "ov", "ich", "na", "el"], "cc": ["que", "ment", "ou", "el", "sta"]}
+    rows = [(i, " ".join("".join(rng.choice(parts[g]) for _ in range(3)) for _ in range(rng.randint(1, 20))), g) for i, g in enumerate(list(parts) * 120)]
+    # A third of all rows is one text under one id: it is one calibration piece.
+    rows += [(9_999, "baldorkin " * 30, "aa")] * 180
+    got = langid.train_and_identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    truth = {i: g for i, _, g in rows}
+    held = [r for r in got if r.held_out]
+    assert len(held) > 60 and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.98 * len(held)
+    assert sum(r.rejected for r in got) <= 0.05 * len(got)
+
+
 def test_a_language_s_model_does_not_depend_on_the_others(spark, monkeypatch):
     rng = np.random.default_rng(4)
     # 450,000 different n-grams, each seen twice.
@@ -668,8 +721,67 @@ def test_label_model_recovers_accuracies():
     assert m.posterior([quality._code([quality.GOOD] * 3)])[0] < 0.1
 
 
+def test_label_model_finds_a_noisy_labeller():
+    rng = random.Random(4)
+    counts = collections.Counter()
+    for _ in range(20_000):
+        bad = rng.random() < 0.2
+        rates = (0.9, 0.8, 0.7, 0.35) if bad else (0.02, 0.01, 0.05, 0.3)
+        counts[quality._code([quality.BAD if rng.random() < x else quality.GOOD for x in rates])] += 1
+    m = quality.LabelModel(4).fit(counts)
+    assert abs(m.prior - 0.2) < 0.03
+    assert np.allclose(m.rates[1, :, quality.BAD], (0.9, 0.8, 0.7, 0.35), atol=0.05)
+    assert np.allclose(m.rates[0, :, quality.BAD], (0.02, 0.01, 0.05, 0.3), atol=0.05)
+    # The noisy one alone says nothing.
+    assert m.posterior([quality._code([quality.GOOD] * 3 + [quality.BAD])])[0] < 0.05
+
+
+def test_label_model_equals_a_plain_one_over_rows():
+    rng = random.Random(5)
+    rows = [[rng.choice((0, 1, 1, 2)) for _ in range(3)] for _ in range(60)] + [[2, 2, rng.choice((0, 2))] for _ in range(20)]
+    m = quality.LabelModel(3, rounds=30).fit(collections.Counter(quality._code(v) for v in rows))
+    p = [0.95 if v.count(2) >= 2 else 0.3 if v.count(2) else 0.01 for v in rows]
+    for _ in range(30):
+        rate = [[0, 0, 0], [0, 0, 0]]
+        for c in (0, 1):
+            for k in range(3):
+                w = [x if c else 1 - x for x in p]
+                good = sum(a for a, v in zip(w, rows) if v[k] == 1) + quality.PRIOR * (0.5 if c else 0.9)
+                rate[c][k] = good / (sum(a for a, v in zip(w, rows) if v[k]) + quality.PRIOR)
+        prior = (sum(p) + 0.1 * quality.PRIOR) / (len(p) + quality.PRIOR)
+        out = []
+        for v in rows:
+            like = [1 - prior, prior]
+            for c in (0, 1):
+                for k in range(3):
+                    like[c] *= (1, rate[c][k], 1 - rate[c][k])[v[k]]
+            out.append(like[1] / sum(like))
+        p = out
+    assert np.allclose(m.posterior([quality._code(v) for v in rows]), p, atol=1e-9)
+
+
+def test_scorer_judges_rows_it_did_not_learn_from(spark):
+    rows, truth = quality_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(k in (2, 3))) for i, k in truth.items() if i % 2 == 0 or k == 3], "doc_id long, quality int, toxic int")
+    model = quality.fit(df.where("doc_id < 700"), labels.where("doc_id < 700"))
+    kept = {r.doc_id: r.kept for r in quality.classify(df.where("doc_id >= 700"), model).collect()}
+    right = [kept[i] == (truth[i] > 3) for i in kept]
+    assert sum(right) >= 0.95 * len(right)
+
+
+def test_repetition_is_a_fault_of_its_own(spark):
+    rows, truth = quality_rows()
+    rng = random.Random(3)
+    more = [(2000 + i, " ".join(f"{w} " * 12 for w in rng.sample(rows[4][1].split(), 6))) for i in range(60)]
+    model = quality.fit(spark.createDataFrame(rows + more, "doc_id long, text string"))
+    got = quality.classify(spark.createDataFrame(rows + more, "doc_id long, text string"), model).collect()
+    assert all(not r.kept and r.p_repeats >= 0.5 for r in got if r.doc_id >= 2000)
+    assert not any(r.p_repeats >= 0.5 for r in got if truth.get(r.doc_id, 0) > 3)
+
+
 def test_quality_edges(spark):
-    df = edge_docs(spark, ("p_junk", "kept", "j", "_t"))
+    df = edge_docs(spark, ("p_noise", "kept", "q0", "f", "_t"))
     got = quality.classify(df, quality.fit(df)).collect()
     assert len(got) == len(EDGE)
     assert all(r.kept for r in got if r.doc_id in (1, 2, 3))
