@@ -7,13 +7,13 @@ identifier, a long hex run.  Weak kinds are too common to report alone:
                 lower case and digits: a candidate secret;
 * ``endpoint``  a URL's scheme and host: a candidate end point.
 
-A scope is one text.  Inside a scope the parts are laid out by position and each
-weak part is joined with the nearest parts before and after it whose kind
-complements its own (an interval join by sorting: the nearest part decides, so
-no pairs are made).  A weak part is reported when a complement lies within
-``reach`` code points: a blob beside an access identifier or an endpoint with
-its own access identifier or assignment, an endpoint beside an access
-identifier, an assignment or a reported blob's access identifier.
+A scope is one text, so the parts are linked inside the row.  The interval join
+goes by blocks: the parts of a kind lie in order and do not overlap, so a block
+of ``BLOCK`` of them is an interval; a weak part asks the blocks that its own
+interval, widened by ``reach`` code points, meets, and then their parts.  No pairs
+are made and nothing is shuffled.  A weak part is reported when a complement
+lies within ``reach``: a blob beside an access identifier, an endpoint beside an
+access identifier or an assignment.
 
 Spans are ``kind:start:end`` in code points, end exclusive.
 
@@ -24,7 +24,7 @@ result; ties (same start) go by the order of kinds below.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,6 +35,7 @@ ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?"
 
 KINDS = ("assign", "access", "hex", "blob", "endpoint")
 REACH = 400
+BLOCK = 64
 
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 
@@ -97,20 +98,20 @@ def scan(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
     (strings) and ``n_weak``.  The text column itself is dropped: the caller
     joins or redacts by span.  Columns of ``docs`` with a name added here are replaced.
     """
-    added = ("n_assign", "n_access", "n_hex", "n_weak", "spans", "base_spans", "_scope", "_of", "_base", "_extra", "_weak", "_text")
-    base = _base(docs.drop(*[c for c in added if c != text]), text)
-    linked = _linked(base, reach)
-    out = base.join(linked, base["_scope"] == linked["_of"], "left")
-    extra = F.coalesce(F.col("_extra"), F.array().cast(_SPAN))
+    added = ("n_assign", "n_access", "n_hex", "n_weak", "spans", "base_spans", "_text", "_base", "_extra", "_assign", "_access", "_hex", "_blob", "_endpoint")
+    found = _found(docs.drop(*[c for c in added if c != text]), text, reach)
+    for kind in ("assign", "access", "hex"):
+        found = found.withColumn(f"n_{kind}", F.size(f"_{kind}").cast("long"))
     return (
-        out.withColumn("n_weak", F.size(extra).cast("long"))
-        .withColumn("spans", _joined(F.concat("_base", extra)))
+        found.withColumn("n_weak", F.size("_extra").cast("long"))
+        .withColumn("spans", _joined(F.concat("_base", "_extra")))
         .withColumn("base_spans", _joined(F.col("_base")))
-        .drop("_scope", "_of", "_base", "_extra", "_weak")
+        .drop("_base", "_extra", "_assign", "_access", "_hex", "_blob", "_endpoint", "_text")
     )
 
 
-def _base(docs: DataFrame, text: str) -> DataFrame:
+def _found(docs: DataFrame, text: str, reach: int) -> DataFrame:
+    """``docs`` with the spans of each kind, ``_base`` (all base ones) and ``_extra`` (the reported weak ones) in place of the text."""
     df = docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     if text != "_text":
         df = df.drop(text)
@@ -120,42 +121,32 @@ def _base(docs: DataFrame, text: str) -> DataFrame:
     df = _spans(df, "_text", "_hex", HEX, 2, None)
     df = _spans(df, "_text", "_blob", BLOB, 3, None)
     df = _spans(df, "_text", "_endpoint", ENDPOINT, 4, None)
-    for kind in ("assign", "access", "hex"):
-        df = df.withColumn(f"n_{kind}", F.size(f"_{kind}").cast("long"))
-    weak = F.concat("_blob", "_endpoint")
-    strong = F.size("_access") + F.size("_assign") > 0
     df = df.withColumn("_base", F.concat("_assign", "_access", "_hex"))
-    df = df.withColumn("_weak", F.when(strong & (F.size(weak) > 0), weak))
-    # Links depend on the text alone, so equal texts share a scope.
-    df = df.withColumn("_scope", F.when(F.col("_weak").isNotNull(), F.sha2("_text", 256)))
-    return df.drop("_text", "_assign", "_access", "_hex", "_blob", "_endpoint")
+    by_access, by_assign = _near("_access", reach), _near("_assign", reach)
+    # A blob completes an access identifier; an endpoint completes either.
+    blobs = F.filter("_blob", by_access)
+    ends = F.filter("_endpoint", lambda w: by_access(w) | by_assign(w))
+    strong = F.size("_access") + F.size("_assign") > 0
+    return df.withColumn("_extra", F.when(strong, F.concat(blobs, ends)).otherwise(F.array().cast(_SPAN)))
 
 
-def _linked(base: DataFrame, reach: int) -> DataFrame:
-    """Reported weak spans of each scope, by the nearest complementary part on either side."""
-    scopes = base.where(F.col("_weak").isNotNull()).groupBy("_scope").agg(
-        F.first("_base").alias("b"), F.first("_weak").alias("w")
-    )
-    parts = scopes.select(
-        F.col("_scope").alias("_of"), F.inline(F.concat("b", "w"))
-    )
-    before = Window.partitionBy("_of").orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("_of").orderBy("start", "rank", "end").rowsBetween(1, Window.unboundedFollowing)
-    near = lambda which: (
-        F.coalesce(F.col("start") - F.max(F.when(which, F.col("end"))).over(before) <= reach, F.lit(False))
-        | F.coalesce(F.min(F.when(which, F.col("start"))).over(after) - F.col("end") <= reach, F.lit(False))
-    )
-    is_access, is_assign = F.col("rank") == 1, F.col("rank") == 0
-    parts = parts.withColumn("_access_near", near(is_access)).withColumn("_assign_near", near(is_assign))
-    # A blob completes an access identifier; an endpoint completes either.
-    reported = ((F.col("rank") == 3) & F.col("_access_near")) | (
-        (F.col("rank") == 4) & (F.col("_access_near") | F.col("_assign_near"))
-    )
-    return (
-        parts.where(reported)
-        .groupBy("_of")
-        .agg(F.collect_set(F.struct("start", "rank", "end")).cast(_SPAN).alias("_extra"))
+def _near(kind: str, reach: int):
+    """Whether a span lies within ``reach`` of one of the kind's spans."""
+    n = F.size(kind)
+    blocks = F.when(
+        n > 0,
+        F.transform(
+            F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")),
+            lambda b: F.struct(
+                b.alias("b"),
+                F.get(F.col(kind), b * BLOCK)["start"].alias("start"),
+                F.get(F.col(kind), F.least(b * BLOCK + BLOCK, n) - 1)["end"].alias("end"),
+            ),
+        ),
     )
+    meets = lambda x, w: (x["end"] >= w["start"] - reach) & (x["start"] <= w["end"] + reach)
+    inside = lambda x, w: meets(x, w) & F.exists(F.slice(kind, x["b"] * BLOCK + 1, BLOCK), lambda s: meets(s, w))
+    return lambda w: (n > 0) & F.exists(blocks, lambda x: inside(x, w))
 
 
 def redact(docs: DataFrame, text: str = "text", reach: int = REACH, mark: str = "[secret]") -> DataFrame:
@@ -167,12 +158,8 @@ def redact(docs: DataFrame, text: str = "text", reach: int = REACH, mark: str =
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     body = F.col("_row")[text].cast("string")
-    base = _base(docs.select(row.alias("_row"), F.col(text).cast("string").alias("_body")), "_body")
-    linked = _linked(base, reach)
-    # Rows without a scope find nothing; a key of their own spreads them.
-    key = F.coalesce("_scope", F.concat(F.lit("-"), F.xxhash64(body).cast("string")))
-    out = base.withColumn("_key", key).join(linked, F.col("_key") == F.col("_of"), "left")
-    spans = F.concat("_base", F.coalesce(F.col("_extra"), F.array().cast(_SPAN)))
+    out = _found(docs.select(row.alias("_row"), F.col(text).cast("string").alias("_body")), "_body", reach)
+    spans = F.concat("_base", "_extra")
 
     def cut(s: Column) -> Column:
         value = F.char_length(F.regexp_extract(body.substr(s["start"] + 1, s["end"] - s["start"]), ASSIGN, 2))
