@@ -10,8 +10,9 @@ placing piece after piece.  A run says: pieces ``rank`` .. of length ``length``
 go, ``each`` to a bin, into the bins from ``bin`` on, from ``offset`` on.
 
 Every piece then needs its rank among the pieces of its length.  Ranks are
-counted in salted groups of (length, salt), so a length that a third of all
-pieces have is spread over many tasks, and the groups' totals are summed up.
+counted in groups of (length, salt) with as many salts as a length's count asks
+for, so a length that a third of all pieces have is spread over many tasks; the
+groups' totals are summed up by blocks, and a group gets the runs that it meets.
 
 Defined results: a null or empty text is a document of the end id alone; equal
 rows are packed each; a piece never exceeds the capacity; an empty table gives
@@ -32,7 +33,8 @@ from .common import tidy, written
 
 CAPACITY = 1024
 END_ID = 2
-SALTS = 256
+#: Pieces of a group on average, and the runs up to which the plan is broadcast.
+GROUP_ROWS, MOST_RUNS = 20_000, 50_000
 
 
 class TightestOpen:
@@ -143,33 +145,33 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, capacity: int = CAPA
     return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(cut, schema)
 
 
-def pack(rows: DataFrame, length: str = "length", capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(rows: DataFrame, length: str = "length", capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``rows`` with ``sequence_id`` and ``offset``; ``rows`` must read the same each time (a written table)."""
     spark = rows.sparkSession
     columns = rows.columns
-    salt = F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
-    salted = rows.withColumn("_salt", salt)
-    groups = written(salted.groupBy(F.col(length).alias("_length"), "_salt").agg(F.count(F.lit(1)).alias("_n")), "pack-groups")
     # At most capacity rows: one for each length.
-    counts = {int(r[0]): int(r[1]) for r in groups.groupBy("_length").agg(F.sum("_n")).collect()}
+    counts = {int(r[0]): int(r[1]) for r in rows.groupBy(length).count().collect()}
     runs, _ = plan(counts, capacity)
-    before = Window.partitionBy("_length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = groups.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inner = Window.partitionBy(F.col(length), "_salt").orderBy(*[F.col(f"`{c}`") for c in columns])
+    # Each length has as many salts as its pieces need, so no group is large.
+    sizes = F.create_map(*[F.lit(x) for n, c in counts.items() for x in (n, -(-c // group_rows))]) if counts else F.create_map(F.lit(0), F.lit(1))
+    mark = F.xxhash64(*columns)
+    salted = rows.withColumn("_mark", mark).withColumn("_salt", F.pmod("_mark", F.element_at(sizes, F.col(length).cast("int"))))
+    groups = written(salted.groupBy(F.col(length).alias("_length"), "_salt").agg(F.count(F.lit(1)).alias("_n")), "pack-groups")
+    firsts = _firsts(groups)
+    by_length: dict[int, list[tuple[int, int, int, int, int]]] = {}
+    for size, rank, took, each, first, offset in runs:
+        by_length.setdefault(size, []).append((rank, took, each, first, offset))
+    kind = "_size bigint, _runs array<struct<rank:bigint,took:bigint,each:bigint,bin:bigint,offset:bigint>>"
+    lists = spark.createDataFrame(list(by_length.items()), kind)
+    if len(runs) <= MOST_RUNS:
+        lists = F.broadcast(lists)
+    # A group gets the runs that its ranks lie in, so a piece looks through few of them.
+    own = "filter(_runs, r -> r.rank < _first + _n and r.rank + r.took > _first)"
+    firsts = firsts.join(lists, F.col("_length") == F.col("_size")).select("_length", F.col("_salt").alias("_of"), "_first", F.expr(own).alias("_own"))
+    inner = Window.partitionBy(F.col(length), "_salt").orderBy("_mark", *[F.col(f"`{c}`") for c in columns])
     ranked = salted.withColumn("_in", F.row_number().over(inner) - 1)
-    ranked = ranked.join(firsts, (F.col(length) == F.col("_length")) & (ranked["_salt"] == firsts["_salt"])).withColumn(
-        "_rank", F.col("_first") + F.col("_in")
-    )
-    by_length: dict[int, list[tuple[int, int, int, int]]] = {}
-    for size, rank, _took, each, first, offset in runs:
-        by_length.setdefault(size, []).append((rank, each, first, offset))
-    kind = "map<bigint,array<struct<rank:bigint,each:bigint,bin:bigint,offset:bigint>>>"
-    table = spark.createDataFrame([(by_length,)], f"plan {kind}")
-    # One row of the runs for each length; a piece's run is the last that starts at or before its rank.
-    lists = table.select(F.explode("plan").alias("_size", "_runs"))
-    placed = ranked.join(F.broadcast(lists), F.col(length) == F.col("_size")).withColumn(
-        "_run", F.expr("element_at(filter(_runs, r -> r.rank <= _rank), -1)")
-    )
+    placed = ranked.join(firsts, (F.col(length) == F.col("_length")) & (F.col("_salt") == F.col("_of")))
+    placed = placed.withColumn("_rank", F.col("_first") + F.col("_in")).withColumn("_run", F.expr("element_at(filter(_own, r -> r.rank <= _rank), -1)"))
     within = F.col("_rank") - F.col("_run.rank")
     return placed.select(
         *[F.col(f"`{c}`") for c in columns],
@@ -178,6 +180,18 @@ def pack(rows: DataFrame, length: str = "length", capacity: int = CAPACITY, salt
     )
 
 
+def _firsts(groups: DataFrame, block: int = 4096) -> DataFrame:
+    """``groups`` with ``_first``: the pieces of the same length in groups of smaller salt, summed by blocks of salts."""
+    held = groups.withColumn("_block", F.floor(F.col("_salt") / block))
+    blocks = held.groupBy("_length", "_block").agg(F.sum("_n").alias("_all"))
+    upper = Window.partitionBy("_length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("_length", "_block").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    blocks = blocks.select("_length", "_block", F.coalesce(F.sum("_all").over(upper), zero).alias("_before"))
+    joined = held.withColumn("_within", F.coalesce(F.sum("_n").over(inner), zero)).join(blocks, ["_length", "_block"])
+    return joined.select("_length", "_salt", "_n", (F.col("_before") + F.col("_within")).alias("_first"))
+
+
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Cut and pack: key, piece, start, length, ids_crc32, sequence_id, offset."""
     path = path or tokens.default_path("byte_bpe_50k.json")

@@ -498,6 +498,23 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(empty_docs(spark)).count() == 0
 
 
+def test_packing_of_equal_lengths_in_many_groups(spark, monkeypatch):
+    rng = random.Random(12)
+    lengths = [10] * 700 + [rng.randint(1, 16) for _ in range(500)] + [16] * 300
+    rows = spark.createDataFrame([(i % 900, n) for i, n in enumerate(lengths)], "doc_id long, length long")
+    for most in (packing.MOST_RUNS, 0):
+        monkeypatch.setattr(packing, "MOST_RUNS", most)
+        got = packing.pack(common.written(rows, "rows"), capacity=16, group_rows=40).collect()
+        assert sorted((r.doc_id, r.length) for r in got) == sorted((i % 900, n) for i, n in enumerate(lengths))
+        fill = collections.defaultdict(list)
+        for r in got:
+            fill[r.sequence_id].append((r.offset, r.length))
+        assert len(fill) == plain_best_fit(lengths, 16)
+        for v in fill.values():
+            v.sort()
+            assert all(o == sum(n for _, n in v[:k]) for k, (o, _) in enumerate(v)) and sum(n for _, n in v) <= 16
+
+
 def test_sequences_hold_the_ids(spark):
     docs = [(i, t) for i, t in random_docs(40, 5)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
