@@ -38,6 +38,7 @@ no row; a sample of one class only leaves the label model's posterior to decide.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -56,6 +57,7 @@ PRIOR = 2.0
 STEM = range(4, 9)
 STEM_TEXTS, STEM_RATIO, STEM_Z = 6, 8.0, 6.0
 BITS = 18
+KEEP = 250_000
 SCREEN = 6.0
 THRESHOLD = 0.5
 
@@ -93,41 +95,58 @@ def _vote(value: float, good: float, bad: float) -> int:
 
 
 class Lexicon:
-    """Learnt beginnings of words, or whole words (``whole``), with their rates a word in toxic and in other texts."""
+    """Learnt beginnings of words, or whole words, with their rates a word in toxic and in other texts."""
 
-    def __init__(self, found: frozenset[str] = frozenset(), toxic: float = 0.02, other: float = 0.0005, whole: bool = False):
-        self.found, self.toxic, self.other, self.whole = found, toxic, other, whole
-        self.held = _Held(found, whole)
+    def __init__(self, found: frozenset[str] = frozenset(), toxic: float = 0.02, other: float = 0.0005):
+        self.found, self.toxic, self.other = found, toxic, other
 
     def evidence(self, hits: int, words: int) -> float:
         return evidence(hits, words, self.toxic, self.other)
 
 
-class _Held(dict):
-    """Whether a word is in a lexicon; at most 150,000 words stay."""
+class Lexicons:
+    """What labelled rows have taught."""
+
+    def __init__(self, beginnings: Lexicon | None = None, words: Lexicon | None = None):
+        self.beginnings, self.words = beginnings or Lexicon(), words or Lexicon()
+        self.known = Known(self)
+
+
+_BEGUN, _WHOLE, _INSULT, _BITS = 1, 2, 4, 3
 
-    def __init__(self, found: frozenset[str], whole: bool):
+
+class Known(dict):
+    """What there is to know of a word: whether it is in a lexicon (bits), and its bucket plus one if ``buckets`` has it.
+
+    At most ``KEEP`` words stay.
+    """
+
+    def __init__(self, learnt: Lexicons, buckets: frozenset[int] = frozenset()):
         super().__init__()
-        self.found, self.whole, self.sizes = found, whole, sorted({len(s) for s in found})
+        self.begun, self.whole, self.buckets = learnt.beginnings.found, learnt.words.found, buckets
+        self.sizes = sorted({len(s) for s in self.begun})
+        self.heads = {s[: STEM[0]] for s in self.begun}
 
     def __reduce__(self):
-        return _Held, (self.found, self.whole)
+        return _known, (self.begun, self.whole, self.buckets)
 
     def __missing__(self, word: str) -> int:
-        has = int(word in self.found if self.whole else any(word[:k] in self.found for k in self.sizes))
-        if len(self) < 150_000:
-            self[word] = has
-        return has
+        out = _INSULT if word in INSULTS else 0
+        if word in self.whole:
+            out |= _WHOLE
+        if word[: STEM[0]] in self.heads and any(word[:k] in self.begun for k in self.sizes):
+            out |= _BEGUN
+        if self.buckets:
+            b = bucket(word)
+            if b in self.buckets:
+                out |= b + 1 << _BITS
+        if len(self) < KEEP:
+            self[word] = out
+        return out
 
 
-class Lexicons:
-    """What labelled rows have taught."""
-
-    def __init__(self, beginnings: Lexicon | None = None, words: Lexicon | None = None):
-        self.beginnings, self.words = beginnings or Lexicon(), words or Lexicon(whole=True)
-
-    def __bool__(self) -> bool:
-        return bool(self.beginnings.found or self.words.found)
+def _known(begun, whole, buckets) -> Known:
+    return Known(Lexicons(Lexicon(begun), Lexicon(whole)), buckets)
 
 
 def evidence(hits: int, words: int, toxic: float = 0.017, other: float = 0.0003) -> float:
@@ -139,57 +158,52 @@ def _weighed(value: float) -> int:
     return BAD if value > 3 else GOOD if value < 1 else ABSTAIN
 
 
-def votes(text: str, words: list[str], learnt: Lexicons) -> tuple[list[int], list[int], list[int]]:
-    """The labellers' votes on a text with words, for each question."""
+def votes(text: str, words: list[str], own: set[str], found: list[int], learnt: Lexicons) -> tuple[list[int], list[int], list[int]]:
+    """The labellers' votes on a text with words, for each question.
+
+    ``own`` are its different words, ``found`` what is known of those of which something is.
+    """
     data = text.encode("utf-8", "surrogatepass")
     parts = text.split()
-    n = len(parts)
+    n, m = len(parts), len(words)
     capitals = len(data) - len(data.translate(None, _CAPITALS))
     small = len(data) - len(data.translate(None, _SMALL))
     symbols = len(data) - len(data.translate(None, _SYMBOLS))
     ends = text.count(". ") + text.count(", ") + text.count(".\n") + text.count(",\n")
     if ends < 0.04 * n:
         ends = len(_ENDS.findall(text))
-    letters = sum(map(len, words))
-    body = sum(map(len, parts))
+    letters = len("".join(words))
     long_text = n >= 12
     upper = capitals / max(1, capitals + small)
     noise = [
         _vote(symbols / len(text), 0.06, 0.12),
         _vote(len(_MARKED.findall(text)) / n if symbols else 0.0, 0.15, 0.3) if n >= 5 else ABSTAIN,
-        _vote(letters / body, 0.93, 0.88) if long_text else ABSTAIN,
+        _vote(letters / len("".join(parts)), 0.93, 0.88) if long_text else ABSTAIN,
         _vote(upper, 0.4, 0.6) if letters >= 20 else ABSTAIN,
         _vote(sum(map(str.isupper, parts)) / n if upper > 0.2 else 0.0, 0.4, 0.6) if n >= 5 else ABSTAIN,
         _vote(text.count("!!") / n, 0.1, 0.3) if n >= 5 else ABSTAIN,
-        _vote(parts.count("|") / n, 0.1, 0.2) if long_text else ABSTAIN,
-        _vote(len(words) / n, 0.85, 0.7) if long_text else ABSTAIN,
+        _vote(parts.count("|") / n if symbols else 0.0, 0.1, 0.2) if long_text else ABSTAIN,
+        _vote(m / n, 0.85, 0.7) if long_text else ABSTAIN,
         _vote(ends / n, 0.04, 0.02) if n >= 25 else ABSTAIN,
     ]
     repeats = [ABSTAIN] * 4
-    if long_text:
-        count = Counter(parts)
-        distinct = len(count) / n
-        repeats[0] = _vote(distinct, 0.3, 0.22)
+    if m >= 12:
+        distinct = len(own) / m
+        repeats = [_vote(distinct, 0.3, 0.22), GOOD, GOOD, GOOD]
         # With so many different words the others are good.
-        few = distinct < 0.45
-        repeats[1] = _vote(sum(map(str.__eq__, parts, parts[1:])) / n, 0.1, 0.25) if few else GOOD
-        repeats[2] = _vote(len(set(zip(parts, parts[1:]))) / n, 0.55, 0.4) if few else GOOD
-        repeats[3] = _vote(max(count.values()) / n, 0.1, 0.15) if few else GOOD
-    m = len(words)
-    own = set(words)
-    insults = len(own & INSULTS)
-    toxic = [_weighed(evidence(insults, m)), ABSTAIN, ABSTAIN, ABSTAIN]
-    begun = learnt.beginnings.held
-    hits = sum(map(begun.__getitem__, own))
+        if distinct < 0.35:
+            repeats[1] = _vote(sum(map(str.__eq__, words, words[1:])) / m, 0.1, 0.25)
+            repeats[2] = _vote(len(set(zip(words, words[1:]))) / m, 0.55, 0.4)
+            repeats[3] = _vote(max(Counter(words).values()) / m, 0.1, 0.15)
+    hits, whole, insults = (sum(1 for x in found if x & bit) for bit in (_BEGUN, _WHOLE, _INSULT)) if found else (0, 0, 0)
+    toxic = [_weighed(evidence(insults, m)), ABSTAIN, ABSTAIN, GOOD]
     if learnt.beginnings.found:
         value = learnt.beginnings.evidence(hits, m)
         toxic[1] = BAD if value > 5 else GOOD if value < 2 else ABSTAIN
     if learnt.words.found:
-        toxic[2] = _weighed(learnt.words.evidence(sum(map(learnt.words.held.__getitem__, own)), m))
-    if hits + insults < 2:
-        toxic[3] = GOOD
-    else:
-        at = [i for i, w in enumerate(words) if w in INSULTS or learnt.beginnings.found and begun[w]]
+        toxic[2] = _weighed(learnt.words.evidence(whole, m))
+    if hits + insults >= 2:
+        at = [i for i, w in enumerate(words) if learnt.known[w] & (_BEGUN | _INSULT)]
         close = sum(b - a <= CLOSE for a, b in zip(at, at[1:], strict=False))
         toxic[3] = BAD if 2 * close >= len(at) else GOOD if 4 * close < len(at) else ABSTAIN
     return noise, repeats, toxic
@@ -253,27 +267,22 @@ class LabelModel:
         return self.prior * self.rates[1, :, BAD] + (1 - self.prior) * self.rates[0, :, GOOD]
 
 
-class _Buckets(dict):
-    def __missing__(self, word: str) -> int:
-        b = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
-        if len(self) < 150_000:
-            self[word] = b
-        return b
+def bucket(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
 
-_buckets = _Buckets()
+#: The bucket of each labeller's bad vote.
+_MARKS = [[bucket(f"#{name}") for name in names] for names in QUESTIONS.values()]
 
 
-def _forget() -> None:
-    """At a task's end: the process goes on to other work."""
-    _buckets.clear()
+def marks(codes: tuple[int, ...]) -> list[int]:
+    """The buckets of a text's bad votes."""
+    return [b for code, own in zip(codes, _MARKS, strict=True) for b, x in zip(own, _vector(code, len(own)), strict=True) if x == BAD]
 
 
-def features(words: list[str], codes: tuple[int, ...]) -> np.ndarray:
+def features(own: set[str], codes: tuple[int, ...]) -> np.ndarray:
     """The distinct buckets of a text's words and bad votes."""
-    f = np.fromiter(map(_buckets.__getitem__, words), np.int32, len(words))
-    marks = [_buckets[f"#{name}"] for code, names in zip(codes, QUESTIONS.values(), strict=True) for name, x in zip(names, _vector(code, len(names)), strict=True) if x == BAD]
-    return np.unique(np.concatenate([f, np.array(marks, np.int32)]))
+    return np.unique(np.array([*map(bucket, own), *marks(codes)], np.int32))
 
 
 class Scorer:
@@ -317,9 +326,17 @@ class Scorer:
         self.bias = bias
         return self
 
-    def probability(self, f: np.ndarray) -> float:
-        z = float(self.weights[f].sum()) + self.bias
-        return 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
+    def probability(self, buckets: set[int]) -> float:
+        """Of a text by its buckets that have a weight."""
+        z = sum(float(self.weights[b]) for b in buckets) + self.bias
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
+
+
+def parse(text: str | None, known: Known) -> tuple[list[str], set[str], list[int]]:
+    """A text's words, the different ones, and what is known of those of which something is."""
+    words = _WORD.findall((text or "").lower())
+    own = set(words)
+    return words, own, list(filter(None, map(known.__getitem__, own)))
 
 
 class Model:
@@ -327,18 +344,26 @@ class Model:
 
     def __init__(self, learnt: Lexicons, labels: tuple[LabelModel, ...], scorers: tuple[Scorer, ...]):
         self.learnt, self.labels, self.scorers = learnt, labels, scorers
+        #: The buckets that any scorer weighs.
+        weighed = np.flatnonzero(np.any([s.weights != 0 for s in scorers], axis=0))
+        learnt.known = Known(learnt, frozenset(weighed.tolist()))
 
     def probabilities(self, text: str | None) -> tuple[float, ...]:
         """Of each question's fault."""
-        words = _WORD.findall((text or "").lower())
+        words, own, found = parse(text, self.learnt.known)
         if not words:
             return (0.0,) * len(QUESTIONS)
-        f = features(words, tuple(map(_code, votes(text, words, self.learnt))))
-        return tuple(s.probability(f) for s in self.scorers)
+        codes = tuple(map(_code, votes(text, words, own, found, self.learnt)))
+        buckets = {(x >> _BITS) - 1 for x in found if x >> _BITS} | set(marks(codes))
+        return tuple(s.probability(buckets) for s in self.scorers)
 
     def keeps(self, text: str | None) -> bool:
         return max(self.probabilities(text)) < THRESHOLD
 
+    def forget(self) -> None:
+        """At a task's end: the process goes on to other work."""
+        self.learnt.known.clear()
+
 
 def learn(docs: DataFrame, labels: DataFrame | None, key: str, text: str, rows: int = LABELLED_ROWS) -> Lexicons:
     """Beginnings and words that mark toxic texts, from about ``rows`` labelled rows at most, taken by the hash of the id."""
@@ -387,13 +412,13 @@ def learn(docs: DataFrame, labels: DataFrame | None, key: str, text: str, rows:
         if r["whole"] or not any(r["stem"][:k] in own for k in STEM):
             own[r["stem"]] = (r["other"], r["toxic"])
 
-    def lexicon(own: dict, whole: bool) -> Lexicon:
+    def lexicon(own: dict) -> Lexicon:
         if not own:
-            return Lexicon(whole=whole)
+            return Lexicon()
         a, b = (sum(x[i] for x in own.values()) for i in (0, 1))
-        return Lexicon(frozenset(own), b / total["toxic"], (a + 1) / total["other"], whole)
+        return Lexicon(frozenset(own), b / total["toxic"], (a + 1) / total["other"])
 
-    return Lexicons(lexicon(held[0], False), lexicon(held[1], True))
+    return Lexicons(lexicon(held[0]), lexicon(held[1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_ROWS) -> Model:
@@ -402,16 +427,17 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
     names = [f"q{k}" for k in range(len(QUESTIONS))]
 
     def coded(bodies):
-        """The words and vote codes of the texts that have words."""
+        """The different words and vote codes of the texts that have words."""
         for body in bodies:
-            words = _WORD.findall((body or "").lower())
+            words, own, found = parse(body, learnt.known)
             if words:
-                yield words, tuple(map(_code, votes(body, words, learnt)))
+                yield own, tuple(map(_code, votes(body, words, own, found, learnt)))
 
     def cast_votes(batches):
         for batch in slices(batches, 2048):
             n = Counter(codes for _, codes in coded(batch.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([*(pa.array([c[k] for c in n], pa.int64()) for k in range(len(names))), pa.array(list(n.values()), pa.int64())], names=[*names, "n"])
+        learnt.known.clear()
 
     rows = docs.select(F.col(text).cast("string").alias("_t"))
     schema = ", ".join(f"{x} bigint" for x in names)
@@ -426,9 +452,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
 
     def sampled(batches):
         for batch in slices(batches):
-            out = [(codes, features(words, codes).astype("<i4").tobytes()) for words, codes in coded(batch.column(0).to_pylist())]
+            out = [(codes, features(own, codes).astype("<i4").tobytes()) for own, codes in coded(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(pa.array([c[k] for c, _ in out], pa.int64()) for k in range(len(names))), pa.array([f for _, f in out], pa.binary())], names=[*names, "f"])
-        _forget()
+        learnt.known.clear()
 
     # The texts that hash lowest, each once: ``sample`` of them on average at most, whatever the table's size.
     share = min(1.0, sample / max(1, total))
@@ -453,7 +479,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             p = [model.probabilities(t) for t in batch.column(at).cast(pa.string()).to_pylist()]
             columns = [pa.array([x[k] for x in p], pa.float64()) for k in range(len(added) - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array([max(x) < THRESHOLD for x in p], pa.bool_())], names=[f.name for f in schema])
-        _forget()
+        model.forget()
 
     return docs.mapInArrow(run, schema)
 
@@ -470,6 +496,6 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_
     def run(batches):
         for batch in slices(batches):
             yield batch.filter(pa.array([model.keeps(t) for t in batch.column(at).cast(pa.string()).to_pylist()], pa.bool_()))
-        _forget()
+        model.forget()
 
     return docs.mapInArrow(run, docs.schema)
