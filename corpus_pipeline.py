@@ -1,4 +1,12 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+Every stage takes whatever its predecessor kept, whole, and returns the columns
+of its input; the last returns the packed pieces.  Defined results, for each:
+null and empty texts stay (a null text is packed as the end token alone);
+repeated rows are judged alike and stay or go together, but for near-duplicates,
+where rows with one id are one document; an empty table gives an empty result;
+other columns are carried along whatever their names, up to the packing.
+"""
 
 from __future__ import annotations
 
@@ -9,22 +17,22 @@ from lathework.llm.common import table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; it learns from this stage's input and the labels."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return neardup.keep_one(docs)
+    """Of each group of near-duplicates (five words a shingle, 0.8 or more) the document with the smallest id stays."""
+    return neardup.keep_one(docs, size=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Documents whose words are benchmark passages by a twentieth or more go."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every found secret is replaced in the text; no document goes."""
+    """Every span that the scan reports, base or linked, is replaced in the text; no document goes."""
     return secrets_scan.redact(docs)
 
 
@@ -41,7 +49,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The packing and the classifier have no SQL form; tests hold the rows against brute force.
+#: The classifier and the packing have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
