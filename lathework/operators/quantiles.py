@@ -2,14 +2,18 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 buffer.  Here a sketch (``percentile_approx``, whose rank error is bounded by
-rows / ``ACCURACY``) brackets each quantile, the rows below the bracket are
-counted, and only the different values inside it are looked at, with their
-counts: some ten-thousandths of the group.
+rows / ``ACCURACY``) brackets each quantile.  One more pass counts the rows
+beyond every bracket by how many brackets they lie above, and the different
+values inside one by value: each row adds to one count, before any shuffle.
+What is left, some ten-thousandths of the rows, is put in order with running
+counts; nothing is gathered into a list but the quantiles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
@@ -27,39 +31,38 @@ def quantiles(df: DataFrame, x: Column, qs: list[float], keys: list[str] | None
     base = df.select(*[F.col(f"`{k}`").alias(o) for k, o in zip(keys, own, strict=True)], x.cast("double").alias("_x")).where("_x is not null")
     ends = [p for q in qs for p in (max(0.0, q - _MARGIN), min(1.0, q + _MARGIN))]
     sketch = base.groupBy(*own).agg(F.count("_x").alias("_n"), F.percentile_approx("_x", ends, ACCURACY).alias("_p"))
-    renamed = sketch.withColumnsRenamed({o: f"{o}s" for o in own})
-    same = [base[o].eqNullSafe(renamed[f"{o}s"]) for o in own]
-    # Without keys the sketch is one row.
-    both = base.join(renamed, same) if keys else base.join(F.broadcast(renamed))
-    p, v = F.col("_p"), F.col("_x")
-    marks = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.when(v < p[2 * i], 0).when(v <= p[2 * i + 1], 1).otherwise(2).alias("side")) for i in range(len(qs))
-    ])
-    # Rows beyond every bracket are counted by the side they lie on; only values inside stay apart.
-    told = both.select(*own, "_n", "_x", F.explode(F.filter(marks, lambda m: m["side"] < 2)).alias("_m"))
-    told = told.groupBy(*own, "_n", F.col("_m.i").alias("_i"), F.when(F.col("_m.side") == 1, v).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    got = told.groupBy(*own, "_n", "_i").agg(
-        F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("_below"),
-        F.array_sort(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct(F.col("_v").alias("v"), F.col("_c").alias("c"))))).alias("_inside"),
-    )
-    share = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("_i") + 1)
-    at = share * (F.col("_n") - 1)
-    # A rank that misses a whole number by rounding only is that number.
-    at = F.when(F.abs(at - F.round(at)) < 1e-7, F.round(at)).otherwise(at)
-    low = F.floor(at)
-    start = F.struct(F.col("_below").cast("bigint").alias("cum"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
+    sketch = sketch.select(*[F.col(o).alias(f"{o}s") for o in own], "_n", *[F.col("_p")[k].alias(f"_p{k}") for k in range(len(ends))])
 
-    def step(acc: Column, e: Column) -> Column:
-        cum = acc["cum"] + e["c"]
-        return F.struct(
-            cum.alias("cum"),
-            F.coalesce(acc["a"], F.when(cum > F.col("_low"), e["v"])).alias("a"),
-            F.coalesce(acc["b"], F.when(cum > F.col("_low") + 1, e["v"])).alias("b"),
-        )
+    def bracketed(rows: DataFrame) -> DataFrame:
+        # Without keys the sketch is one row.
+        return rows.join(sketch, [rows[o].eqNullSafe(sketch[f"{o}s"]) for o in own]) if keys else rows.join(F.broadcast(sketch))
 
-    found = got.withColumn("_low", low).withColumn("_at", at).withColumn("_f", F.aggregate("_inside", start, step))
-    value = F.col("_f.a") + (F.coalesce(F.col("_f.b"), F.col("_f.a")) - F.col("_f.a")) * (F.col("_at") - F.col("_low"))
-    out = found.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct(F.col("_i"), value.alias("v")))).alias("_q"))
+    v = F.col("_x")
+    span = range(len(qs))
+    inside = reduce(Column.__or__, [v.between(F.col(f"_p{2 * i}"), F.col(f"_p{2 * i + 1}")) for i in span])
+    # A bit for each bracket that the value is not below.
+    above = reduce(Column.__add__, [F.when(v >= F.col(f"_p{2 * i}"), F.lit(1 << i).cast("long")).otherwise(0) for i in span])
+    told = bracketed(base).groupBy(*own, F.when(inside, v).alias("_x"), F.when(~inside, above).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    # A row of the counts is below quantile i, among its candidates, or beyond.
+    beyond = F.lit(None).cast("struct<i:int,low:double,at:double,v:double>")
+    marks = []
+    for i, q in enumerate(qs):
+        at = F.lit(float(q)) * (F.col("_n") - 1)
+        # A rank that misses a whole number by rounding only is that number.
+        at = F.when(F.abs(at - F.round(at)) < 1e-7, F.round(at)).otherwise(at)
+        lo, hi = F.col(f"_p{2 * i}"), F.col(f"_p{2 * i + 1}")
+        below = F.when(v.isNull(), F.col("_b").bitwiseAND(F.lit(1 << i).cast("long")) == 0).otherwise(v < lo)
+        one = lambda value: F.struct(F.lit(i).alias("i"), F.floor(at).cast("double").alias("low"), at.alias("at"), value.cast("double").alias("v"))  # noqa: E731, B023
+        marks.append(F.when(below, one(F.lit(None))).when(v.between(lo, hi), one(v)).otherwise(beyond))
+    told = bracketed(told).select(*own, "_c", F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("_m"))
+    told = told.select(*own, "_c", "_m.*")
+    order = Window.partitionBy(*own, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = told.withColumn("_upto", F.sum("_c").over(order))
+    found = upto.groupBy(*own, "i").agg(
+        F.min(F.when(F.col("_upto") > F.col("low"), F.col("v"))).alias("a"), F.min(F.when(F.col("_upto") > F.col("low") + 1, F.col("v"))).alias("b"), F.max(F.col("at") - F.col("low")).alias("part")
+    )
+    value = F.col("a") + (F.coalesce("b", "a") - F.col("a")) * F.col("part")
+    out = found.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))).alias("_q"))
     out = out.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], F.transform("_q", lambda s: s["v"]).alias(name))
     if keys:
         return out
