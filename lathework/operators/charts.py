@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregate import finite
-from .quantiles import quantiles
+from .quantiles import quantiles, with_quantiles
 from .pivot import top_n_other
 
 
@@ -69,31 +69,38 @@ def t95(df_: Column) -> Column:
 def error_bars(df: DataFrame, column: str, group: str, kind: str = "ci") -> DataFrame:
     """Mean with its bars: ci (95 %, Student), se, sd or range (p2.5 to p97.5)."""
     x = finite(F.col(column))
-    g = df.where(x.isNotNull()).groupBy(group).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.percentile(x, F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
+    known = df.where(x.isNotNull())
+    g = known.groupBy(group).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
     se = F.col("sd") / F.sqrt("n")
     half = {"ci": t95(F.col("n") - 1) * se, "se": se, "sd": F.col("sd")}.get(kind)
     if half is None:
-        return g.select(group, "n", "mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+        return with_quantiles(g, known, x, [0.025, 0.975], [group], "_q").select(group, "n", "mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
     return g.select(group, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
 def bootstrap(df: DataFrame, column: str, group: str, rounds: int = 1000, seed: int = 20261103) -> DataFrame:
     """95 % bars of the mean by the Poisson bootstrap: each row counts a Poisson(1) number of times in each round.
 
-    The weights come from the row itself, so partial sums are taken where the
-    rows lie and a group of any size is never gathered.
+    A task draws for a few hundred of its rows at a time, seeded by its place, so
+    equal rows draw apart; partial sums are taken where the rows lie and a group
+    of any size is never gathered.
     """
-    rows = df.select(F.col(group).cast("string").alias("group"), finite(F.col(column)).alias("x"), F.xxhash64(*df.columns).alias("h")).where("x is not null")
+    rows = df.select(F.col(group).cast("string").alias("group"), finite(F.col(column)).alias("x")).where("x is not null")
 
     def partial(batches):
+        from pyspark import TaskContext
+
+        rng = np.random.default_rng((seed, TaskContext.get().partitionId()))
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for pdf in batches:
-            for g, part in pdf.groupby("group", dropna=False):
+            for g, part in pdf.groupby("group", dropna=False, sort=True):
                 s, n = held.setdefault(g, (np.zeros(rounds), np.zeros(rounds)))
-                for x, h in zip(part["x"].to_numpy(), part["h"].to_numpy(), strict=True):
-                    w = np.random.default_rng((seed, int(h) & (2**63 - 1))).poisson(1.0, rounds)
-                    s += w * x
-                    n += w
+                x = part["x"].to_numpy()
+                for lo in range(0, len(x), 512):
+                    some = x[lo : lo + 512]
+                    w = rng.poisson(1.0, (rounds, len(some))).astype(float)
+                    s += w @ some
+                    n += w.sum(1)
         out = [(g, i, float(s[i]), float(n[i])) for g, (s, n) in held.items() for i in range(rounds)]
         yield pd.DataFrame(out, columns=["group", "round", "s", "n"])
 
@@ -108,8 +115,8 @@ def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def summary(df: DataFrame, column: str) -> DataFrame:
     x = finite(F.col(column))
-    q = F.percentile(x, F.array(*[F.lit(v) for v in (0.25, 0.5, 0.75)]))
-    return df.agg(F.count(x).alias("n"), F.sum(x).alias("sum"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max")).select("n", "sum", "mean", "sd", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max")
+    one = df.agg(F.count(x).alias("n"), F.sum(x).alias("sum"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return with_quantiles(one, df, x, [0.25, 0.5, 0.75], [], "_q").select("n", "sum", "mean", "sd", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max")
 
 
 def frames(df: DataFrame, frame: Column, category: str, column: str) -> DataFrame:
@@ -147,7 +154,7 @@ def class_breaks(df: DataFrame, column: str, n: int, how: str = "quantile") -> l
     if how == "stddev":
         return sorted({min(hi, max(lo, mean + sd * k)) for k in range(-(n // 2), n // 2 + 1)} | {lo, hi})
     if how == "quantile":
-        return list(df.agg(F.percentile(x, F.array(*[F.lit(i / n) for i in range(n + 1)]))).first()[0])
+        return list(quantiles(df, x, [i / n for i in range(n + 1)]).first()[0])
     sample = np.array(df.agg(F.percentile_approx(x, [i / 1000 for i in range(1001)])).first()[0])
     return _jenks(np.unique(sample), n)
 
@@ -216,5 +223,11 @@ def scatter(df: DataFrame, x: str, y: str, limit: int = 5000, seed: int = 1) ->
 def region_aggregate(df: DataFrame, region: Column, value: str, frame: Column | None = None) -> DataFrame:
     """Count, sum, mean, median, min and max of a value by region (and frame)."""
     v = finite(F.col(value))
-    keys = [region.alias("region")] + ([frame.alias("frame")] if frame is not None else [])
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+    named = df.withColumn("region", region)
+    keys = ["region"]
+    if frame is not None:
+        named = named.withColumn("frame", frame)
+        keys.append("frame")
+    one = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    one = with_quantiles(one, named, v, [0.5], keys, "_mid")
+    return one.select(*keys, "n", "sum", "mean", F.get("_mid", F.lit(0)).alias("median"), "min", "max")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .aggregate import finite
-from .quantiles import quantiles
+from .quantiles import quantiles, with_quantiles
 
 
 def key_token(c: Column, kind: str, lower: bool = False) -> Column:
@@ -146,25 +146,26 @@ EPSILON = 1e-4
 
 
 def psi(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
-    """Population stability index over A's deciles, and the standardised mean difference."""
+    """Population stability index over A's deciles, and the standardised mean difference.
+
+    One aggregate a side: how many values reach each edge, mean and variance.
+    """
     x = finite(F.col(column))
     edges = quantiles(a, x, [i / 10 for i in range(1, 10)], name="_edges")
 
-    def shares(df: DataFrame, name: str) -> DataFrame:
-        at = F.size(F.filter(F.col("_edges"), lambda e: e <= x))
-        counts = df.join(F.broadcast(edges)).where(x.isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-        total = counts.agg(F.sum("n").alias("t"))
-        return counts.join(F.broadcast(total)).select("bin", (F.col("n") / F.col("t")).alias(name))
-
-    bins = a.sparkSession.range(10).select(F.col("id").cast("int").alias("bin"))
-    joined = bins.join(shares(a, "p"), "bin", "left").join(shares(b, "q"), "bin", "left")
-    p, q = F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(EPSILON)), F.greatest(F.coalesce("q", F.lit(0.0)), F.lit(EPSILON))
-    stat = joined.agg(F.sum((q - p) * F.log(q / p)).alias("psi"))
-    ma = a.agg(F.avg(x).alias("ma"), F.var_samp(x).alias("va"))
-    mb = b.agg(F.avg(x).alias("mb"), F.var_samp(x).alias("vb"))
+    def side(df: DataFrame, s: str) -> DataFrame:
+        reach = [F.count_if(x >= F.col("_edges")[i]).alias(f"r{i}") for i in range(9)]
+        one = df.join(F.broadcast(edges)).agg(F.count(x).alias("n"), F.avg(x).alias(f"m{s}"), F.var_samp(x).alias(f"v{s}"), *reach)
+        upto = [F.col("n"), *[F.col(f"r{i}") for i in range(9)], F.lit(0)]
+        shares = [F.greatest(F.coalesce(F.try_divide(upto[i] - upto[i + 1], F.col("n")), F.lit(0.0)), F.lit(EPSILON)) for i in range(10)]
+        return one.select(f"m{s}", f"v{s}", F.array(*shares).alias(f"s{s}"))
+
+    both = side(a, "a").crossJoin(side(b, "b"))
+    terms = F.zip_with("sa", "sb", lambda p, q: (q - p) * F.log(q / p))
+    both = both.withColumn("psi", F.aggregate(terms, F.lit(0.0), lambda t, v: t + v))
     smd = F.try_divide(F.col("mb") - F.col("ma"), F.sqrt((F.col("va") + F.col("vb")) / 2))
     band = F.when(F.col("psi") < 0.1, "none").when(F.col("psi") < 0.25, "mild").otherwise("large")
-    return stat.crossJoin(ma).crossJoin(mb).select(F.lit(column).alias("column"), "psi", smd.alias("smd"), band.alias("shift"))
+    return both.select(F.lit(column).alias("column"), "psi", smd.alias("smd"), band.alias("shift"))
 
 
 def category_shift(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
@@ -274,10 +275,9 @@ def side_totals(matched: DataFrame, column: str) -> DataFrame:
 def diff_summary(diffs: DataFrame) -> DataFrame:
     """Of a table with ``diff``: rows, sum, mean, median, the reach that holds 95 %, the extremes."""
     x = F.col("diff")
-    return diffs.agg(
-        F.count(x).alias("n"), F.sum(x).alias("sum"), F.avg(x).alias("mean"), F.median(x).alias("median"),
-        F.percentile(F.abs(x), 0.95).alias("p95_reach"), F.min(x).alias("min"), F.max(x).alias("max"),
-    )
+    one = diffs.agg(F.count(x).alias("n"), F.sum(x).alias("sum"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"))
+    one = with_quantiles(with_quantiles(one, diffs, x, [0.5], [], "_mid"), diffs, F.abs(x), [0.95], [], "_reach")
+    return one.select("n", "sum", "mean", F.get("_mid", F.lit(0)).alias("median"), F.get("_reach", F.lit(0)).alias("p95_reach"), "min", "max")
 
 
 def suggest_renames(a: DataFrame, b: DataFrame, left: list[str], right: list[str], least: float = 0.9, kinds: int = 20) -> DataFrame:

@@ -11,12 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 DONORS = 20_000
 
 
 def _sample(df: DataFrame, columns: list[str], n: int, seed: int) -> pd.DataFrame:
     some = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    return some.orderBy(F.xxhash64(F.lit(seed), *columns), *columns).limit(n).toPandas()
+    # Each row draws for itself, so copies of one row do not come together.
+    return some.orderBy(F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *columns), *columns).limit(n).toPandas()
 
 
 def knn_impute(df: DataFrame, target: str, predictors: list[str], k: int = 5, donors: int = DONORS, seed: int = 3) -> DataFrame:
@@ -34,21 +37,38 @@ def knn_impute(df: DataFrame, target: str, predictors: list[str], k: int = 5, do
         rows = np.flatnonzero(t.isna().to_numpy())
         out = t.to_numpy(copy=True)
         q = (np.column_stack([c.astype(float).to_numpy() for c in cols[1:]]) - mu) / sd
-        for r in rows:
-            seen = np.isfinite(q[r])
-            if not seen.any():
-                out[r] = middle
-                continue
-            dist = ((z[:, seen] - q[r, seen]) ** 2).sum(1) * (z.shape[1] / seen.sum())
-            near = np.argpartition(dist, min(k, len(dist) - 1))[:k]
-            dn = np.sqrt(dist[near])
-            out[r] = y[near][dn < 1e-12].mean() if (dn < 1e-12).any() else np.average(y[near], weights=1 / dn)
+        out[rows] = _nearest(q[rows], z, y, k, middle)
         return pd.Series(out)
 
     udf = F.pandas_udf(fill, "double")
     return df.withColumn(target, udf(F.col(target).cast("double"), *[F.col(c).cast("double") for c in predictors]))
 
 
+def _nearest(q: np.ndarray, z: np.ndarray, y: np.ndarray, k: int, middle: float, block: int = 256) -> np.ndarray:
+    """For each row of ``q`` (NaN: unknown) the inverse-distance mean of the k nearest donors; exact matches win.
+
+    Distances of a block of rows are one matrix product over what each row knows.
+    """
+    out = np.full(len(q), middle)
+    squares = z * z
+    for lo in range(0, len(q), block):
+        part = q[lo : lo + block]
+        seen = np.isfinite(part)
+        known = seen.any(1)
+        full = np.where(seen, part, 0.0)
+        dist = seen @ squares.T - 2 * full @ z.T + (full * full).sum(1)[:, None]
+        dist = np.maximum(dist, 0.0) * (z.shape[1] / np.maximum(seen.sum(1), 1))[:, None]
+        n = min(k, len(z))
+        near = np.argpartition(dist, n - 1, axis=1)[:, :n]
+        dn = np.sqrt(np.take_along_axis(dist, near, 1))
+        # Rounding of the product leaves this much of a distance of zero.
+        same = dn < 1e-6
+        weight = np.where(same.any(1)[:, None], same, 1 / np.where(same, 1.0, dn))
+        got = (weight * y[near]).sum(1) / weight.sum(1)
+        out[lo : lo + block][known] = got[known]
+    return out
+
+
 def knn_holdout(df: DataFrame, target: str, predictors: list[str], ks: tuple[int, ...] = (1, 2, 3, 5, 8, 12, 20, 30, 50), sample: int = 2000, seed: int = 3) -> dict[int, float]:
     """Mean absolute error of each k on a held-out fifth of the sample."""
     d = _sample(df, [*predictors, target], sample, seed)
@@ -167,5 +187,5 @@ def local_outlier_factor(df: DataFrame, columns: list[str], k: int = 20, sample:
 
 def flag_top(df: DataFrame, share: float = 0.01) -> DataFrame:
     """``df`` with ``outlier``: the rows whose score is in the top share."""
-    cut = df.agg(F.percentile("outlier_score", 1 - share).alias("_cut"))
+    cut = quantiles(df, F.col("outlier_score"), [1 - share], name="_cut").select(F.get("_cut", F.lit(0)).alias("_cut"))
     return df.join(F.broadcast(cut)).withColumn("outlier", F.coalesce(F.col("outlier_score") > F.col("_cut"), F.lit(False))).drop("_cut")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 32
+SAMPLE = 100
 
 
 def parts_of(df: DataFrame) -> int:
@@ -20,11 +20,13 @@ def parts_of(df: DataFrame) -> int:
 def range_part(df: DataFrame, order: str, parts: int | None = None) -> Column:
     """The number of the range that holds a row's order value; nulls are in the first.
 
-    Bounds are literals, so each use of the expression cuts alike.
+    Bounds are literals, so each use of the expression cuts alike.  The sample is
+    of rows, so a value that many rows have weighs as many.
     """
     parts = parts or parts_of(df)
     kind = df.schema[order].dataType
-    some = df.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(parts * SAMPLE).collect()
+    draw = F.xxhash64(F.monotonically_increasing_id(), order)
+    some = df.select(order).where(F.col(order).isNotNull()).orderBy(draw).limit(parts * SAMPLE).collect()
     values = sorted(r[0] for r in some)
     bounds = sorted({values[i * len(values) // parts] for i in range(1, parts)}) if values else []
     if not bounds:

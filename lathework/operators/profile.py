@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .aggregate import finite
-from .quantiles import quantiles
+from .quantiles import quantiles, with_quantiles
 
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -118,18 +118,20 @@ def value_anomalies(df: DataFrame, column: str) -> DataFrame:
 def length_fence(df: DataFrame, column: str) -> DataFrame:
     """Texts over 3 times the 90th percentile of length, from 8 values on."""
     n = F.char_length(F.col(column).cast("string"))
-    f = df.agg(F.percentile(n, 0.9).alias("p90"), F.count(n).alias("k"))
-    return df.join(F.broadcast(f)).where((F.col("k") >= 8) & (n > 3 * F.col("p90"))).drop("p90", "k")
+    f = with_quantiles(df.agg(F.count(n).alias("_k")), df, n, [0.9], [], "_p90")
+    return df.join(F.broadcast(f)).where((F.col("_k") >= 8) & (n > 3 * F.get("_p90", F.lit(0)))).drop("_p90", "_k")
 
 
 def group_anomalies(df: DataFrame, column: str, group: str, least: int = 30, limit: float = 3.5) -> DataFrame:
     """Rows far from their own group's median, by robust z; groups of ``least`` or more with a MAD above 0."""
     x = finite(F.col(column))
-    mid = df.where(x.isNotNull()).groupBy(group).agg(F.median(x).alias("_mid"), F.count(x).alias("_n")).where(F.col("_n") >= least)
+    known = df.where(x.isNotNull() & F.col(f"`{group}`").isNotNull())
+    many = known.groupBy(group).agg(F.count(x).alias("_n")).where(F.col("_n") >= least)
+    mid = with_quantiles(many, known, x, [0.5], [group], "_mid").select(group, F.get("_mid", F.lit(0)).alias("_mid"))
     near = df.join(mid, group)
-    mad = near.groupBy(group).agg(F.median(F.abs(x - F.col("_mid"))).alias("_mad")).where("_mad > 0")
+    mad = quantiles(near, F.abs(x - F.col("_mid")), [0.5], [group], "_mad").select(group, F.get("_mad", F.lit(0)).alias("_mad")).where("_mad > 0")
     z = 0.6745 * (x - F.col("_mid")) / F.col("_mad")
-    return near.join(mad, group).withColumn("z", z).where(F.abs(F.col("z")) > limit).drop("_mid", "_n", "_mad")
+    return near.join(mad, group).withColumn("z", z).where(F.abs(F.col("z")) > limit).drop("_mid", "_mad")
 
 
 # -- duplicates, keys, dependencies ------------------------------------------
@@ -444,7 +446,7 @@ def score(df: DataFrame, rules: list[Rule], columns: list[str] | None = None) ->
 
 def drift_halves(df: DataFrame, column: str, order: str) -> tuple[DataFrame, DataFrame]:
     """The first and second half of the rows in row order, split at the order column's median."""
-    mid = df.agg(F.percentile(F.col(order).cast("double"), 0.5).alias("_mid"))
+    mid = quantiles(df, F.col(order), [0.5], name="_mid").select(F.get("_mid", F.lit(0)).alias("_mid"))
     both = df.join(F.broadcast(mid))
     return both.where(F.col(order) <= F.col("_mid")).drop("_mid"), both.where(F.col(order) > F.col("_mid")).drop("_mid")
 

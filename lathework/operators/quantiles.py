@@ -68,3 +68,13 @@ def quantiles(df: DataFrame, x: Column, qs: list[float], keys: list[str] | None
         return out
     nothing = F.array(*[F.lit(None).cast("double") for _ in qs])
     return out.agg(F.first(name).alias(name)).select(F.when(F.size(name) > 0, F.col(name)).otherwise(nothing).alias(name))
+
+
+def with_quantiles(grouped: DataFrame, df: DataFrame, x: Column, qs: list[float], keys: list[str], name: str = "q") -> DataFrame:
+    """``grouped`` (one row for each ``keys``, null keys too) with the quantiles of ``x`` in ``df`` by these keys."""
+    q = quantiles(df, x, qs, keys, "_found")
+    if not keys:
+        return grouped.join(F.broadcast(q)).withColumnRenamed("_found", name)
+    q = q.withColumnsRenamed({k: f"_of_{i}" for i, k in enumerate(keys)})
+    same = [grouped[k].eqNullSafe(q[f"_of_{i}"]) for i, k in enumerate(keys)]
+    return grouped.join(q, same, "left").drop(*[f"_of_{i}" for i in range(len(keys))]).withColumnRenamed("_found", name)

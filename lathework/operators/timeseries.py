@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import buckets
 from .aggregate import finite
+from .quantiles import quantiles, with_quantiles
 
 
 def series(df: DataFrame, ts: str, value: str | None, grain: str, agg: str = "sum", every: int = 1, by: str | None = None) -> DataFrame:
@@ -29,13 +30,13 @@ def series(df: DataFrame, ts: str, value: str | None, grain: str, agg: str = "su
     return df.where(F.col(ts).isNotNull()).groupBy(*keys, slot.alias("slot")).agg(how().cast("double").alias("value"))
 
 
-def time_weighted_mean(df: DataFrame, ts: str, value: str, grain: str, by: str) -> DataFrame:
+def time_weighted_mean(df: DataFrame, ts: str, value: str, grain: str, by: str, then: tuple[str, ...] = ()) -> DataFrame:
     """Each reading holds until the next one of its group, three usual gaps at most, the last one for one; split at slot edges."""
-    w = Window.partitionBy(by).orderBy(ts)
+    w = Window.partitionBy(by).orderBy(ts, *then)
     held = df.where(F.col(ts).isNotNull() & finite(F.col(value)).isNotNull()).withColumn("_next", F.lead(ts).over(w))
     seconds = F.timestamp_diff("SECOND", F.col(ts), F.col("_next"))
-    usual = held.groupBy(by).agg(F.median(seconds).alias("_usual"))
-    held = held.join(usual, by).withColumn("_hold", F.coalesce(F.least(seconds.cast("double"), 3 * F.col("_usual")), F.col("_usual"), F.lit(1.0)))
+    usual = quantiles(held, seconds, [0.5], [by], "_usual").select(F.col(by).alias("_by"), F.get("_usual", F.lit(0)).alias("_usual"))
+    held = held.join(usual, held[by].eqNullSafe(usual["_by"]), "left").drop("_by").withColumn("_hold", F.coalesce(F.least(seconds.cast("double"), 3 * F.col("_usual")), F.col("_usual"), F.lit(1.0)))
     step = {"week": "INTERVAL 7 DAYS", "quarter": "INTERVAL 3 MONTHS"}.get(grain, f"INTERVAL 1 {grain.upper()}")
     end = F.timestamp_add("SECOND", F.col("_hold").cast("int"), F.col(ts))
     held = held.withColumn("_end", end)
@@ -380,7 +381,9 @@ def typical(df: DataFrame, ts: str, value: str, part: str = "dow") -> DataFrame:
     """The usual course of a day, week or year: mean, median and quartiles by a part of the date."""
     label, rank = buckets.date_part(F.col(ts), part)
     x = finite(F.col(value))
-    g = df.groupBy(label.alias("label"), rank.alias("rank")).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    named = df.withColumns({"label": label, "rank": rank})
+    g = named.groupBy("label", "rank").agg(F.count(x).alias("n"), F.avg(x).alias("mean"))
+    g = with_quantiles(g, named, x, [0.25, 0.5, 0.75], ["label", "rank"], "q")
     return g.select("label", "rank", "n", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .aggregate import finite
 from .order import carry
-from .quantiles import quantiles
+from .quantiles import quantiles, with_quantiles
 
 
 def unique_name(df: DataFrame, name: str) -> str:
@@ -91,11 +91,18 @@ def impute(df: DataFrame, column: str, method: str, value=None, by: list[str] |
         return df.withColumn(column, F.coalesce(c, F.lit(value)))
     if method in ("forward", "backward"):
         return carry(df, column, order, method == "forward")
-    how = {"mean": lambda: F.round(F.avg(finite(c)), 6), "median": lambda: F.round(F.median(finite(c)), 6), "mode": lambda: F.mode(c, True)}[method]
-    out = df.join(F.broadcast(df.agg(how().alias("_all"))))
+    how = {"mean": lambda: F.round(F.avg(finite(c)), 6), "median": None, "mode": lambda: F.mode(c, True)}[method]
+
+    def found(keys: list[str], name: str) -> DataFrame:
+        if method != "median":
+            return df.groupBy(*keys).agg(how().alias(name))
+        middle = quantiles(df, finite(c), [0.5], keys, name)
+        return middle.select(*[F.col(f"`{k}`") for k in keys], F.round(F.get(name, F.lit(0)), 6).alias(name))
+
+    out = df.join(F.broadcast(found([], "_all")))
     fill = F.col("_all")
     if by:
-        groups = df.groupBy(*by).agg(how().alias("_own"))
+        groups = found(by, "_own")
         groups = groups.select(*[F.col(b).alias(f"_{b}") for b in by], "_own")
         cond = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
         out = out.join(groups, cond, "left").drop(*[f"_{b}" for b in by])
@@ -130,8 +137,11 @@ def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
 def group_simple(df: DataFrame, dim: str, agg: str, column: str | None = None) -> DataFrame:
     """One dimension, one measure; the key is the raw text."""
     x = finite(F.col(column)) if column else None
-    how = {"count": lambda: F.count(F.lit(1)), "sum": lambda: F.sum(x), "mean": lambda: F.avg(x), "min": lambda: F.min(x), "max": lambda: F.max(x), "median": lambda: F.median(x)}[agg]
+    how = {"count": lambda: F.count(F.lit(1)), "sum": lambda: F.sum(x), "mean": lambda: F.avg(x), "min": lambda: F.min(x), "max": lambda: F.max(x), "median": None}[agg]
     title = f"{agg.title()}({column})" if column else "Count"
+    if agg == "median":
+        one = df.groupBy(dim).agg(F.count(F.lit(1)).alias("_n"))
+        return with_quantiles(one, df, x, [0.5], [dim], title).select(dim, F.get(F.col(f"`{title}`"), F.lit(0)).alias(title))
     return df.groupBy(dim).agg(how().alias(title))
 
 
@@ -166,6 +176,6 @@ def flag_anomalies(df: DataFrame, column: str, name: str | None = None) -> DataF
         bad = (F.col(column) < F.col("_low")) | (F.col(column) > F.col("_high"))
     else:
         n = F.char_length(F.col(column).cast("string"))
-        fence = df.agg(F.percentile(n, 0.9).alias("_low"), F.count(n).alias("_high"))
-        bad = (F.col("_high") >= 8) & (n > 3 * F.col("_low"))
+        fence = with_quantiles(df.agg(F.count(n).alias("_high")), df, n, [0.9], [], "_low")
+        bad = (F.col("_high") >= 8) & (n > 3 * F.get("_low", F.lit(0)))
     return flag(df.join(F.broadcast(fence)), name or f"{column} anomaly", bad).drop("_low", "_high")

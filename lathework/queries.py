@@ -405,7 +405,7 @@ def filter_phonetic(spark, d):
     return filters.phonetic(t(spark, d, "customer"), "c_mktsegment", "bilding").select("c_custkey", "c_mktsegment")
 
 
-@query()
+@query("""SELECT c_mktsegment AS value, count(*) AS n, CAST(3 AS DOUBLE) AS score FROM customer WHERE lower(c_mktsegment) LIKE 'mach%' GROUP BY 1""")
 def suggest_values(spark, d):
     return filters.suggestions(t(spark, d, "customer"), "c_mktsegment", "mach")
 
@@ -739,9 +739,15 @@ def dq_fence_mad(spark, d):
     return profile.value_fence(t(spark, d, "customer"), "c_acctbal").select("column", r("low", 4), r("high", 4))
 
 
-@query()
+@query("""WITH v AS (SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 100000 + value ELSE value END AS x FROM events), m AS (SELECT count(x) AS n, min(x) AS lo, quantile_cont(x, [0.005, 0.25, 0.5, 0.75, 0.995]) AS q FROM v),
+k AS (SELECT *, lo >= 0 AND coalesce((q[4] + q[2] - 2 * q[3]) / nullif(q[4] - q[2], 0), 0) > 0.1 AS lg FROM m),
+y AS (SELECT event_id, x, CASE WHEN lg THEN ln(1 + greatest(x, 0)) ELSE x END AS y, CASE WHEN lg THEN ln(1 + greatest(q[3], 0)) ELSE q[3] END AS mid, lg, n, q FROM v, k WHERE x IS NOT NULL),
+s AS (SELECT median(abs(y - mid)) AS mad FROM y), f AS (SELECT event_id, x, n, q, mad, lg, CASE WHEN lg THEN exp(mid - 3.5 / 0.6745 * mad) - 1 ELSE mid - 3.5 / 0.6745 * mad END AS a, CASE WHEN lg THEN exp(mid + 3.5 / 0.6745 * mad) - 1 ELSE mid + 3.5 / 0.6745 * mad END AS b FROM y, s),
+w AS (SELECT *, count(*) FILTER (x < a OR x > b) OVER () AS bad FROM f)
+SELECT event_id, round(x, 4) AS x FROM w WHERE n >= 20 AND mad > 0 AND CASE WHEN n >= 500 AND bad > 0.02 * n THEN x < q[1] OR x > q[5] ELSE x < a OR x > b END""")
 def dq_value_anomalies(spark, d):
-    return profile.value_anomalies(t(spark, d, "orders"), "o_totalprice").select("o_orderkey", "o_totalprice")
+    e = t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 97 == 0, 100000 + F.col("value")).otherwise(F.col("value")).alias("x"))
+    return profile.value_anomalies(e, "x").select("event_id", r("x", 4))
 
 
 @query("""WITH f AS (SELECT quantile_cont(length(text), 0.9) AS p, count(*) AS k FROM documents) SELECT doc_id FROM documents, f WHERE k >= 8 AND length(text) > 3 * p""")
@@ -842,10 +848,15 @@ def pair_check(spark, d):
     return profile.pair_check(t(spark, d, "lineitem"), "l_extendedprice", "l_quantity", "gte")
 
 
-@query()
+@query("""WITH m AS (SELECT median(o_orderkey) AS m FROM orders), a AS (SELECT o_totalprice AS x FROM orders, m WHERE o_orderkey <= m), b AS (SELECT o_totalprice AS x FROM orders, m WHERE o_orderkey > m),
+e AS (SELECT quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM a),
+p AS (SELECT len(list_filter(e, lambda v: v <= x)) AS bin, count(*) AS n FROM a, e GROUP BY 1), q AS (SELECT len(list_filter(e, lambda v: v <= x)) AS bin, count(*) AS n FROM b, e GROUP BY 1),
+s AS (SELECT greatest(coalesce(p.n, 0) / (SELECT count(*) FROM a), 0.0001) AS p, greatest(coalesce(q.n, 0) / (SELECT count(*) FROM b), 0.0001) AS q FROM (SELECT unnest(range(10)) AS bin) i LEFT JOIN p ON p.bin = i.bin LEFT JOIN q ON q.bin = i.bin),
+t AS (SELECT sum((q - p) * ln(q / p)) AS psi FROM s)
+SELECT 'o_totalprice' AS "column", round(psi, 8) AS psi, round(((SELECT avg(x) FROM b) - (SELECT avg(x) FROM a)) / sqrt(((SELECT var_samp(x) FROM a) + (SELECT var_samp(x) FROM b)) / 2), 8) AS smd, CASE WHEN psi < 0.1 THEN 'none' WHEN psi < 0.25 THEN 'mild' ELSE 'large' END AS shift FROM t""")
 def drift_psi(spark, d):
     a, b = profile.drift_halves(t(spark, d, "orders"), "o_totalprice", "o_orderkey")
-    return compare.psi(a, b, "o_totalprice")
+    return compare.psi(a, b, "o_totalprice").select("column", r("psi", 8), r("smd", 8), "shift")
 
 
 @query("""SELECT lower(p_type) AS key, CAST(2 AS BIGINT) AS spellings, count(*) AS rows FROM part GROUP BY 1""")
@@ -868,7 +879,7 @@ def outliers_pca(spark, d):
 
 @query()
 def outliers_lof(spark, d):
-    out = models.local_outlier_factor(t(spark, d, "customer"), ["c_acctbal", "c_nationkey"], sample=1000)
+    out = models.local_outlier_factor(t(spark, d, "customer"), ["c_acctbal", "c_nationkey"])
     return models.flag_top(out).where("outlier").select("c_custkey", "outlier_score")
 
 
@@ -919,9 +930,16 @@ def review_reference(spark, d):
     return review.reference_accuracy(t(spark, d, "events").select(names.alias("x")), "x")
 
 
-@query()
+@query("""WITH e AS (SELECT l_quantity, l_extendedprice, l_quantity * 1000 + l_extendedprice AS mix, CASE WHEN l_quantity > 25 THEN 'many' ELSE 'few' END AS lot, l_returnflag FROM lineitem),
+p AS (SELECT 'l_quantity' AS a, 'mix' AS b, 'pearson' AS kind, corr(l_quantity, mix) AS x FROM e UNION ALL SELECT 'l_extendedprice', 'mix', 'pearson', corr(l_extendedprice, mix) FROM e UNION ALL SELECT 'l_quantity', 'l_extendedprice', 'pearson', corr(l_quantity, l_extendedprice) FROM e),
+o AS (SELECT lot, l_returnflag, count(*) AS o FROM e GROUP BY 1, 2), v AS (SELECT 'lot' AS a, 'l_returnflag' AS b, 'cramer' AS kind, sqrt(greatest(0, sum(o * o / ((SELECT sum(o) FROM o x WHERE x.lot = o.lot) * (SELECT sum(o) FROM o y WHERE y.l_returnflag = o.l_returnflag))) - 1) / (least(count(DISTINCT lot), count(DISTINCT l_returnflag)) - 1)) AS x FROM o),
+u AS (SELECT c, n, x, k FROM e UNPIVOT (x FOR n IN (l_quantity, l_extendedprice, mix)) UNPIVOT (k FOR c IN (lot, l_returnflag))),
+g AS (SELECT c, n, k, count(*) AS m, avg(x) AS s FROM u GROUP BY 1, 2, 3), w AS (SELECT c, n, avg(x) AS s, var_pop(x) * count(*) AS v FROM u GROUP BY 1, 2),
+h AS (SELECT g.c AS a, g.n AS b, 'eta' AS kind, sqrt(sum(m * pow(g.s - w.s, 2)) / max(v)) AS x FROM g JOIN w ON w.c = g.c AND w.n = g.n GROUP BY 1, 2)
+SELECT a, b, kind, round(x, 6) AS effect FROM (FROM p UNION ALL FROM v UNION ALL FROM h) WHERE abs(x) >= 0.3""")
 def column_network(spark, d):
-    return review.column_network(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_returnflag", "l_linestatus"])
+    li = t(spark, d, "lineitem").withColumn("mix", F.col("l_quantity") * 1000 + F.col("l_extendedprice")).withColumn("lot", F.when(F.col("l_quantity") > 25, "many").otherwise("few"))
+    return review.column_network(li, ["l_quantity", "l_extendedprice", "mix"], ["lot", "l_returnflag"]).select("a", "b", "kind", r("effect", 6))
 
 
 # -- charts -------------------------------------------------------------------
@@ -1004,9 +1022,14 @@ def ts_rolling(spark, d):
     return timeseries.rolling(s, 7).select(buckets.bucket_label(F.col("slot"), "day").alias("day"), r("smooth", 4))
 
 
-@query()
+@query("""WITH h AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events WHERE value IS NOT NULL), g AS (SELECT *, CAST(floor(epoch(nx - ts)) AS BIGINT) AS s FROM h), u AS (SELECT user_id, median(s) AS usual FROM g GROUP BY 1),
+e AS (SELECT user_id, ts, value, ts + to_seconds(CAST(floor(coalesce(least(s, 3 * usual), usual, 1)) AS BIGINT)) AS z FROM g JOIN u USING (user_id)),
+c AS (SELECT user_id, value, ts, z, unnest(generate_series(date_trunc('day', ts), date_trunc('day', z), INTERVAL 1 DAY)) AS slot FROM e),
+w AS (SELECT user_id, slot, value, CAST(floor(epoch(least(z, slot + INTERVAL 1 DAY) - greatest(ts, slot))) AS BIGINT) AS w FROM c)
+SELECT user_id, strftime(slot, '%Y-%m-%d') AS slot, round(sum(value * w) / sum(w), 4) AS value FROM w WHERE w > 0 GROUP BY 1, 2""")
 def ts_time_weighted(spark, d):
-    return timeseries.time_weighted_mean(t(spark, d, "events"), "ts", "value", "day", "event_type").withColumn("slot", buckets.bucket_label(F.col("slot"), "day"))
+    out = timeseries.time_weighted_mean(t(spark, d, "events"), "ts", "value", "day", "user_id", then=("event_id",))
+    return out.select("user_id", buckets.bucket_label(F.col("slot"), "day").alias("slot"), r("value", 4))
 
 
 @query()
@@ -1078,7 +1101,9 @@ def dq_identifiers(spark, d):
     return profile.identifier_like(t(spark, d, "customer"), ["c_custkey", "c_mktsegment"])
 
 
-@query()
+@query("""WITH v AS (SELECT DISTINCT CAST(o_orderkey + 4111111111111111 AS VARCHAR) AS v FROM orders), g AS (SELECT v, length(v) - i AS back, CAST(substr(v, i, 1) AS INTEGER) AS dg FROM (SELECT v, unnest(range(1, length(v) + 1)) AS i FROM v)),
+c AS (SELECT v FROM g GROUP BY 1 HAVING sum(CASE WHEN back % 2 = 0 THEN dg WHEN dg > 4 THEN dg * 2 - 9 ELSE dg * 2 END) % 10 = 0)
+SELECT 'card' AS kind, count(*) AS n FROM c UNION ALL SELECT 'iban', 0 UNION ALL SELECT 'abn', 0 UNION ALL SELECT 'tfn', 0""")
 def pii_check_digits(spark, d):
     return profile.checked_numbers(t(spark, d, "orders").select((F.col("o_orderkey") + 4111111111111111).alias("k")), "k")
 
