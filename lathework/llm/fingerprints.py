@@ -8,6 +8,9 @@ boundaries with it, so only the chunks that it touches change.  Sizes and masks
 are the same at every depth, so a passage is cut alike wherever it lies; they
 are small so that short texts have several chunks.
 
+The edited text's fingerprint is kept as what the own one lost and got, and both
+are written out at the end.
+
 A fingerprint is the set of chunks, each as ``DIGITS`` hex digits of its digest
 and two of its length, sorted, in one string.  Likeness is the containment of
 the smaller set in the other, weighted by length: shared bytes over its bytes.
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 #: Least, usual and most bytes of a chunk; bits asked for before and after the usual size.
 LEAST, USUAL, MOST = 8, 32, 128
@@ -84,27 +87,47 @@ def boundaries(data: bytes) -> list[int]:
     return out
 
 
-def chunks(data: bytes) -> dict[str, int]:
-    """Each different chunk's digest and length as hex digits, and its length in bytes."""
+def chunks(data: bytes) -> dict[bytes, int]:
+    """Each different chunk's code (the beginning of its digest, and its length) and its length in bytes."""
     out, at = {}, 0
-    digest = xxhash.xxh3_64_hexdigest
+    digest = xxhash.xxh3_64_digest
     for end in boundaries(data):
-        out[digest(data[at:end])[:DIGITS] + f"{end - at:02x}"] = end - at
+        out[digest(data[at:end])[: DIGITS // 2] + bytes((end - at,))] = end - at
         at = end
     return out
 
 
-def fingerprint(parts: dict[str, int]) -> str:
-    return "".join(sorted(parts))
+def fingerprint(parts: dict[bytes, int]) -> str:
+    return b"".join(sorted(parts)).hex()
 
 
-def parse(text: str) -> dict[str, int]:
+def parse(text: str) -> dict[bytes, int]:
     """The chunks of a fingerprint."""
-    w = DIGITS + 2
-    return {text[i : i + w]: int(text[i + DIGITS : i + w], 16) for i in range(0, len(text), w)}
+    return {c: c[-1] for c in codes(bytes.fromhex(text))}
+
+
+def codes(held: bytes) -> list[bytes]:
+    """The codes that lie one after the other in ``held``."""
+    w = DIGITS // 2 + 1
+    return [held[i : i + w] for i in range(0, len(held), w)]
+
+
+def changed(own: dict[bytes, int], parts: dict[bytes, int]) -> tuple[bytes, bytes, bytes]:
+    """The codes of a text, which of them its edited text lost (a bit each), and the codes that it got."""
+    mine = sorted(own)
+    lost = np.packbits([c not in parts for c in mine]).tobytes() if mine else b""
+    return b"".join(mine), lost, b"".join(c for c in parts if c not in own)
 
 
-def likeness(a: dict[str, int], b: dict[str, int]) -> float:
+def restored(own: bytes, lost: bytes, got: bytes) -> tuple[str, str]:
+    """Both fingerprints."""
+    mine = codes(own)
+    gone = np.unpackbits(np.frombuffer(lost, np.uint8), count=len(mine)).tolist() if mine else []
+    edited = [c for c, g in zip(mine, gone, strict=True) if not g] + codes(got)
+    return own.hex(), b"".join(sorted(edited)).hex()
+
+
+def likeness(a: dict[bytes, int], b: dict[bytes, int]) -> float:
     """Shared bytes over the bytes of the smaller set; 1 for two empty sets, 0 for one."""
     if not a or not b:
         return float(not a and not b)
@@ -112,7 +135,7 @@ def likeness(a: dict[str, int], b: dict[str, int]) -> float:
     return sum(n for k, n in small.items() if k in large) / min(sum(a.values()), sum(b.values()))
 
 
-def resemblance(a: dict[str, int], b: dict[str, int]) -> float:
+def resemblance(a: dict[bytes, int], b: dict[bytes, int]) -> float:
     """Shared bytes over all bytes of two chunk sets."""
     if not a and not b:
         return 1.0
@@ -120,7 +143,7 @@ def resemblance(a: dict[str, int], b: dict[str, int]) -> float:
     return shared / (sum(a.values()) + sum(b.values()) - shared)
 
 
-def containment(a: dict[str, int], b: dict[str, int]) -> float:
+def containment(a: dict[bytes, int], b: dict[bytes, int]) -> float:
     """Shared bytes over the bytes of ``a``."""
     if not a:
         return 1.0
@@ -133,38 +156,38 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _row(text: str, following: str, own: dict[str, int], other: dict[str, int]) -> tuple:
+def _row(text: str, following: str, own: dict[bytes, int], other: dict[bytes, int]) -> tuple:
     edited = edit(text, following)
     data = edited.encode("utf-8", "surrogatepass")
     parts = own if edited == text else chunks(data)
     return (
         len(text),
         hashlib.sha256(data).hexdigest(),
-        fingerprint(own),
-        fingerprint(parts),
+        *changed(own, parts),
         likeness(own, parts),
         likeness(own, other),
     )
 
 
-def _parts(text: str) -> dict[str, int]:
+def _parts(text: str) -> dict[bytes, int]:
     return chunks(text.encode("utf-8", "surrogatepass"))
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
     kind = docs.schema[key].dataType.simpleString()
-    fields = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    fields = "n_chars bigint, edited_sha256 string, own binary, lost binary, got binary, near_edited double, near_next double"
+    # Rows of one id are spread by their text's beginning.
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = max(1, -(-int(size) // PARTITION_BYTES))
     order = [F.col("key").asc_nulls_first(), F.col("text")]
-    ordered = rows.repartitionByRange(parts, F.col("key").asc_nulls_first()).sortWithinPartitions(*order)
+    ordered = rows.repartitionByRange(parts, F.col("key").asc_nulls_first(), F.substring("text", 1, 32)).sortWithinPartitions(*order)
     names = ["key", *(f.split()[0] for f in fields.split(", ")), "part", "edge", "text"]
 
     def batch_of(keys, done, part, edge, texts, key_type):
-        columns = list(zip(*done, strict=True)) if done else [[]] * 6
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        columns = list(zip(*done, strict=True)) if done else [[]] * 7
+        kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
         n = len(keys)
         return pa.RecordBatch.from_arrays(
             [pa.array(keys, key_type), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array([part] * n, pa.int32()), pa.array([edge] * n, pa.string()), pa.array(texts, pa.string())],
@@ -184,14 +207,14 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                 for k, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     own = _parts(t)
                     if last is None:
-                        yield batch_of([None], [(None,) * 6], part, "first", [t], key_type)
+                        yield batch_of([None], [(None,) * 7], part, "first", [t], key_type)
                     else:
                         keys.append(last[0])
                         done.append(_row(last[1], t, last[2], own))
                     last = (k, t, own)
                 yield batch_of(keys, done, part, None, [None] * len(keys), key_type)
         if last is not None:
-            yield batch_of([last[0]], [(None,) * 6], part, "last", [last[1]], key_type)
+            yield batch_of([last[0]], [(None,) * 7], part, "last", [last[1]], key_type)
 
     schema = f"key {kind}, {fields}, part int, edge string, text string"
     held = written(ordered.mapInArrow(walk, schema), "fingerprints")
@@ -207,7 +230,16 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 done.append(_row(t, n, _parts(t), _parts(n)))
             out = batch_of([None] * len(done), done, 0, None, [None] * len(done), keys.type)
-            yield pa.RecordBatch.from_arrays([keys, *out.columns[1:7]], names=names[:7])
+            yield pa.RecordBatch.from_arrays([keys, *out.columns[1:8]], names=names[:8])
 
     closed = lasts.select("key", "text", "following").mapInArrow(close, f"key {kind}, {fields}")
-    return held.where("edge is null").select(*names[:7]).unionByName(closed).withColumnRenamed("key", key)
+    every = held.where("edge is null").select(*names[:8]).unionByName(closed)
+
+    def finish(batches):
+        for batch in slices(batches):
+            both = [restored(*row) for row in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True)]
+            prints = [pa.array([b[k] for b in both], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *prints, *batch.columns[6:]], names=[key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+
+    out = f"`{key}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return every.mapInArrow(finish, out)
