@@ -9,16 +9,25 @@ from pyspark.sql import functions as F
 
 #: Texts that stand for a missing value, after trimming and lower-casing; fixed values.
 NULL_TOKENS = (
-    "", "na", "n/a", "n.a.", "n.a", "#n/a", "#na", "nan", "null", "none", "nil", "missing", "unknown", "undefined", "(blank)", "blank",
-    "(empty)", "empty", "-", "--", "---", "–", "—", "?", "??", ".", "..", "...", "tbd", "tba", "not available", "not applicable",
-    "not provided", "not specified", "no data", "#null!", "#value!", "#ref!", "#div/0!", "#name?", "#num!", "\\n", "<na>", "<null>", "[null]",
+    "", "-", "--", "---", "----", "—", "–", "?", "??", "???", "...", "…", "####", "null", "nil", "none", "nan", "na", "n/a", "n.a", "n.a.", "#n/a",
+    "undefined", "missing", "unknown", "unspecified", "tbd", "tba", "empty", "blank", "(empty)", "(blank)", "(null)", "[empty]", "[blank]", "[null]",
+    "<na>", "<null>", "<none>", "not available", "not applicable", "not provided", "not specified", "no data", "no value", "no answer", "no response",
+    "null value", "none supplied", "\\n", "#value!", "#div/0!", "#ref!", "#name?", "#num!", "#null!", "#error!", "error", "#error",
+)
+#: What is left of them without punctuation and spacing; fixed values.
+COMPACT_TOKENS = (
+    "na", "null", "nil", "none", "nan", "undefined", "missing", "unknown", "unspecified", "tbd", "tba", "empty", "blank", "notavailable", "notapplicable",
+    "notprovided", "notspecified", "nodata", "novalue", "noanswer", "noresponse", "nullvalue", "nonesupplied", "error",
 )
 
 
 def is_missing(c: Column, extra: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> Column:
     """Whether a raw cell is missing: ``keep`` (exact) beats ``extra`` (exact) beats the tokens."""
     text = c.cast("string")
-    token = F.lower(F.trim(text)).isin(*NULL_TOKENS)
+    plain = F.lower(F.regexp_replace(text, r"^[\s\u200b-\u200d\u2060\ufeff]+|[\s\u200b-\u200d\u2060\ufeff]+$", ""))
+    # "N / A", "N.A." and "<NA>" are one token; a digit or a long text is none.
+    compact = F.regexp_replace(plain, r"[^\p{L}\p{N}]", "")
+    token = plain.isin(*NULL_TOKENS) | (F.char_length(plain) <= 24) & compact.isin(*COMPACT_TOKENS)
     out = text.isNull() | token
     if extra:
         out = F.when(text.isin(*extra), True).otherwise(out)

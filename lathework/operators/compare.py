@@ -196,8 +196,11 @@ def group_shift(a: DataFrame, b: DataFrame, group: str, column: str, top: int =
 # -- fuzzy keys --------------------------------------------------------------
 
 #: Abbreviations spelt out and words that say little; fixed values.
-ABBREVIATIONS = {"st": "street", "rd": "road", "ave": "avenue", "dr": "drive", "pty": "proprietary", "co": "company", "corp": "corporation", "intl": "international", "dept": "department", "univ": "university", "mt": "mount"}
-NOISE = frozenset("the and of ltd limited inc incorporated proprietary company corporation llc plc gmbh".split())
+ABBREVIATIONS = {
+    "st": "street", "rd": "road", "ave": "avenue", "av": "avenue", "dr": "drive", "ln": "lane", "ct": "court", "pl": "place", "blvd": "boulevard", "hwy": "highway",
+    "mt": "mount", "ste": "suite", "apt": "apartment", "intl": "international", "assoc": "associates", "bros": "brothers",
+}
+NOISE = frozenset("the pty ltd limited inc incorporated llc co corp corporation company plc gmbh and".split())
 
 
 def fuzzy_key(text: str | None) -> str:

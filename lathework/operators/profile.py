@@ -57,8 +57,9 @@ def top_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
 def dataset_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows, duplicate rows beyond the first, groups of duplicates, rows in these, empty rows, rows and cells with nulls."""
     columns = columns or [c for c in df.columns if c != "_input_filename"]
-    cells = sum((F.col(f"`{c}`").isNull().cast("int") for c in columns), F.lit(0))
-    copies = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("n")).withColumn("nulls", cells)
+    copies = df.groupBy(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)]).agg(F.count(F.lit(1)).alias("n"))
+    cells = sum((F.col(f"_{i}").isNull().cast("int") for i in range(len(columns))), F.lit(0))
+    copies = copies.select("n", cells.alias("nulls"))
     return copies.agg(
         F.sum("n").alias("rows"),
         F.sum(F.col("n") - 1).alias("duplicates"),
@@ -207,7 +208,7 @@ def similar_clusters(df: DataFrame, column: str, least: float = 0.9) -> DataFram
     return out.withColumn("members", F.count(F.lit(1)).over(size)).where("members > 1")
 
 
-#: Words that say nothing about a text's subject; fixed values.
+#: Words that say nothing about a text's subject: an own short list, a parameter of the profile.
 STOP_WORDS = "a an and are as at be but by for from has he in is it its of on or that the this to was were will with".split()
 
 #: Shapes of values in the order in which they are tried; fixed values.
@@ -256,9 +257,9 @@ def sensitivity(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("level", level)
 
 
-def text_profile(df: DataFrame, column: str, top: int = 50) -> DataFrame:
+def text_profile(df: DataFrame, column: str, top: int = 50, stop: list[str] | None = None) -> DataFrame:
     """The most frequent words of two letters or more, stop words left out."""
-    w = df.select(F.explode(T.tokens(F.col(column))).alias("word")).where((F.char_length("word") >= 2) & ~F.col("word").isin(*STOP_WORDS))
+    w = df.select(F.explode(T.tokens(F.col(column))).alias("word")).where((F.char_length("word") >= 2) & ~F.col("word").isin(*(STOP_WORDS if stop is None else stop)))
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word").limit(top)
 
 
@@ -498,7 +499,7 @@ def identifier_like(df: DataFrame, columns: list[str]) -> DataFrame:
     return stats.withColumn("identifier", (F.col("rows") > 20) & (F.col("distinct") >= 0.98 * (F.col("rows") - F.col("nulls")))).select("column", "identifier")
 
 
-#: What words in a column's name say about it; fixed values.
+#: What words in a column's name say about it; an own list.
 NAME_HINTS = {
     "email": "email", "mail": "email", "phone": "phone", "mobile": "phone", "address": "address", "postcode": "postcode", "zip": "postcode", "lat": "latitude", "latitude": "latitude",
     "lon": "longitude", "lng": "longitude", "longitude": "longitude", "date": "date", "time": "time", "amount": "money", "price": "money", "cost": "money", "total": "money",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import buckets, cleans, formula
 from .functions import text as T
-from .operators import charts, compare, filters, models, pivot, profile, review, timeseries, transforms
+from .operators import charts, compare, filters, models, pivot, profile, review, scorecard, timeseries, transforms
 from .operators.aggregate import (
     BinEdges, BinQuantile, BinWidth, Cohort, DatePart, Measure, Since, Time, Value, View, Where, aggregate, partial_periods, post, totals,
 )
@@ -717,6 +717,46 @@ def dq_column_stats(spark, d):
     return profile.column_stats(t(spark, d, "customer"), ["c_acctbal", "c_mktsegment"]).select("column", "rows", "nulls", "distinct", "min", "max", r("mean", 4), r("sd", 4))
 
 
+_FLAWED = """WITH v AS (SELECT c_custkey AS k, CASE WHEN k % 10 = 0 THEN lower(c_mktsegment) WHEN k % 17 = 0 THEN 'N/A' WHEN k % 13 = 0 THEN NULL ELSE c_mktsegment END AS segment,
+CASE WHEN k % 9 = 0 THEN '$' || k WHEN k % 8 = 0 THEN 'oops' ELSE k || '.5' END AS amount, CASE WHEN k % 20 = 0 THEN 'AB' || k ELSE 'AB-' || k END AS code, CASE WHEN k % 7 = 0 THEN '25/12/2023' ELSE '2023-12-25' END AS day, CASE WHEN k % 50 = 0 THEN 240 ELSE k % 90 END AS age FROM customer),
+g AS (SELECT *, k % 10 <> 0 AND k % 17 = 0 AS holder, segment IS NULL AS blank, k % 10 = 0 AS variant, k % 9 <> 0 AND k % 8 = 0 AS oops, k % 20 = 0 AS off, k % 7 = 0 AS minor, k % 9 = 0 AS symbol, k % 50 = 0 AS old FROM v)
+"""
+
+
+def _flawed(spark, d):
+    """Customers with planted flaws: a minority spelling, placeholders, blanks, numbers and dates written two ways, impossible ages."""
+    k, s = F.col("c_custkey"), F.col("c_mktsegment")
+    return t(spark, d, "customer").select(
+        k.alias("k"),
+        F.when(k % 10 == 0, F.lower(s)).when(k % 17 == 0, "N/A").when(k % 13 == 0, None).otherwise(s).alias("segment"),
+        F.when(k % 9 == 0, F.concat(F.lit("$"), k.cast("string"))).when(k % 8 == 0, "oops").otherwise(F.concat(k.cast("string"), F.lit(".5"))).alias("amount"),
+        F.concat(F.when(k % 20 == 0, "AB").otherwise("AB-"), k.cast("string")).alias("code"),
+        F.when(k % 7 == 0, "25/12/2023").otherwise("2023-12-25").alias("day"),
+        F.when(k % 50 == 0, 240).otherwise(k % 90).alias("age"),
+    )
+
+
+@query(_FLAWED + """, c AS (SELECT count(*) AS n, count(*) FILTER (holder OR blank) AS nulls, count(*) FILTER (oops) AS oops, count(*) FILTER (off) AS off, count(*) FILTER (minor) AS minor, count(*) FILTER (symbol) AS symbol, count(*) FILTER (old) AS old, count(*) FILTER (variant) AS variant FROM g),
+r AS (SELECT 100 * (6 * n - nulls) / (6 * n) AS completeness, 100 * (1 - (oops + off + minor + symbol + old) / (6 * n - nulls + n + n - oops + n)) AS validity, 100 * (1 - variant / (n - nulls)) AS consistency FROM c)
+SELECT round((30 * completeness + 30 * validity + 15 * 100 + 15 * consistency) / 90, 6) AS score, round(completeness, 6) AS completeness, round(validity, 6) AS validity, 100.0 AS uniqueness, round(consistency, 6) AS consistency FROM r""")
+def dq_scorecard(spark, d):
+    return scorecard.score(_flawed(spark, d)).select(r("score", 6), r("completeness", 6), r("validity", 6), "uniqueness", r("consistency", 6))
+
+
+@query(_FLAWED + """SELECT count(*) FILTER (holder OR variant OR oops OR off OR minor OR symbol) AS affected, count(*) AS rows FROM g""")
+def dq_findings_rows(spark, d):
+    df = _flawed(spark, d)
+    return scorecard.rows_affected(df, scorecard.find(df))
+
+
+@query(_FLAWED + """SELECT k AS row, 'segment' AS "column", CASE WHEN holder THEN 'placeholder' WHEN blank THEN 'completeness' ELSE 'consistency.variants' END AS "check", coalesce(segment, '') AS value FROM g WHERE holder OR blank OR variant
+UNION ALL SELECT k, 'amount', CASE WHEN oops THEN 'validity' ELSE 'validity.symbols' END, amount FROM g WHERE oops OR symbol
+UNION ALL SELECT k, 'code', 'validity.pattern', code FROM g WHERE off UNION ALL SELECT k, 'day', 'validity.dateformat', day FROM g WHERE minor UNION ALL SELECT k, 'age', 'validity.range', CAST(age AS VARCHAR) FROM g WHERE old""")
+def dq_findings_cells(spark, d):
+    df = _flawed(spark, d)
+    return scorecard.exceptions(df, scorecard.find(df), "k").select("row", "column", "check", "value")
+
+
 @query("SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, value LIMIT 3")
 def dq_top_values(spark, d):
     return profile.top_values(t(spark, d, "customer"), "c_mktsegment", 3)
