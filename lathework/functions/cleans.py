@@ -64,6 +64,28 @@ def number(c: Column, comma: bool = False) -> Column:
     return F.when(negative, -value).otherwise(value)
 
 
+def repair_decimal(c: Column, comma: bool = False) -> Column:
+    """Numbers written with the other decimal mark rewritten with a point; the column's own way (``comma``) stays as it is.
+
+    Only a value that cannot be read the column's own way is rewritten: one mark
+    with other than three digits after it, or both marks in the other order.
+    """
+    text = F.trim(c.cast("string"))
+    group, mark = (r"\.", ",") if comma else (",", r"\.")
+    # The other way: ``group`` is the decimal mark and ``mark`` groups thousands.
+    other = text.rlike(rf"^[+-]?\d{{1,3}}({mark}\d{{3}})+{group}\d+$") | text.rlike(rf"^[+-]?\d+{group}(\d{{1,2}}|\d{{4,}})$")
+    plain = F.regexp_replace(F.regexp_replace(text, mark, ""), group, ".")
+    return F.when(other, plain).otherwise(c)
+
+
+def set_cells(c: Column, order: Column, edits: dict) -> Column:
+    """Single cells set by the row's order value."""
+    out = c.cast("string")
+    for row, value in edits.items():
+        out = F.when(order == F.lit(row), F.lit(value)).otherwise(out)
+    return out
+
+
 def to_number(c: Column, comma: bool = False) -> Column:
     """Canonical number text, or the text unchanged."""
     n = number(c, comma)

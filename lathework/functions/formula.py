@@ -49,6 +49,21 @@ def _tokens(text: str) -> list[tuple[str, str]]:
     return out
 
 
+_PARTS = re.compile(r"\"(?:[^\"]|\"\")*\"|\[((?:[^\]]|\]\])+)\]")
+
+
+def rename(text: str, names: dict[str, str]) -> str:
+    """A formula with the columns it names renamed; quoted texts stay."""
+    new = {k.strip().lower(): v for k, v in names.items()}
+
+    def one(m: re.Match) -> str:
+        own = m[1]
+        to = None if own is None else new.get(own.replace("]]", "]").strip().lower())
+        return m[0] if to is None else f"[{to.replace(']', ']]')}]"
+
+    return _PARTS.sub(one, text)
+
+
 class _Parser:
     def __init__(self, text: str):
         self.tokens, self.at = _tokens(text), 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .aggregate import finite
+from .durable import durable
 from .quantiles import quantiles, with_quantiles
 
 
@@ -124,20 +127,74 @@ def pair_columns(a: list[str], b: list[str]) -> dict[str, str]:
     return out
 
 
+#: A key's most flawed rows, its least shared values, and the columns of which pairs are tried; fixed values.
+MOST_FLAWED, LEAST_SHARED, POOL = 0.01, 0.1, 6
+#: What ranks keys of like overlap: an id-like name, a type that keys have, flaws; fixed values.
+NAMED, KEY_TYPE, FLAWED = 0.1, 0.02, 0.005
+
+
+def id_like(name: str) -> bool:
+    """Whether a column's name says that it names rows."""
+    return bool(re.search(r"(^|[^a-z])(id|key|code|no|number|ref|uuid|guid)$|key$|Id$|ID$", name if re.search(r"I[dD]$", name) else name.lower()))
+
+
 def suggest_keys(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
-    """For each column: rows, empty, distinct on A, and the share of A's values that B has too."""
-    out = None
+    """For each column: rows, empty, distinct on A, the share of A's values that B has too, and a score.
+
+    Usable keys are filled and unique on both sides but for ``MOST_FLAWED`` of the
+    rows and share ``LEAST_SHARED`` of B's values.  An id-like name and a whole
+    number or text edge out near ties.
+    """
+    return _keys(a, b, [[c] for c in columns])
+
+
+def suggest_key_pairs(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """The best keys: usable single columns, or else pairs of the most varied columns without blanks."""
+    singles = _keys(a, b, [[c] for c in columns])
+    found = singles.collect()  # a row for each column
+    if any(r["usable"] for r in found):
+        return singles.where("usable").orderBy(F.col("score").desc(), "column")
     n = a.count()
-    for c in columns:
-        va = a.select(F.col(c).cast("string").alias("v")).where("v is not null")
-        vb = b.select(F.col(c).cast("string").alias("v")).where("v is not null").distinct()
-        da = va.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        shared = da.join(vb.withColumn("hit", F.lit(1)), "v", "left")
-        one = shared.agg(F.lit(c).alias("column"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("filled"), F.count("hit").alias("shared"))
-        out = one if out is None else out.unionByName(one)
-    flawed = (F.lit(n) - F.col("kinds")) / n
-    overlap = F.try_divide(F.col("shared"), F.col("kinds"))
-    return out.withColumn("flawed", flawed).withColumn("overlap", overlap).withColumn("score", overlap - 0.005 * flawed).withColumn("usable", (flawed <= 0.01) & (overlap >= 0.1))
+    pool = sorted((r for r in found if r["filled"] == n and r["kinds"] > 1), key=lambda r: (-r["kinds"], columns.index(r["column"])))[:POOL]
+    names = sorted((r["column"] for r in pool), key=columns.index)
+    pairs = [[x, y] for i, x in enumerate(names) for y in names[i + 1 :]]
+    if not pairs:
+        return singles.where("usable")
+    return _keys(a, b, pairs).where("usable").orderBy(F.col("score").desc(), "column")
+
+
+def _keys(a: DataFrame, b: DataFrame, keys: list[list[str]]) -> DataFrame:
+    """All keys in one aggregate a side: each row gives one token for each key."""
+
+    def tokens(df: DataFrame) -> DataFrame:
+        cells = []
+        for i, k in enumerate(keys):
+            parts = [F.trim(F.col(f"`{c}`").cast("string")) for c in k]
+            whole = F.concat_ws("\x1f", *parts)
+            full = [p.isNotNull() & (p != "") for p in parts]
+            cells.append(F.struct(F.lit(i).alias("key"), F.when(full[0] if len(full) == 1 else full[0] & full[1], whole).alias("v")))
+        return df.select(F.inline(F.array(*cells))).groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"))
+
+    left, right = tokens(a), tokens(b)
+    both = left.where("v is not null").withColumnRenamed("n", "na").join(right.where("v is not null").withColumnRenamed("n", "nb"), ["key", "v"], "full")
+    found = both.groupBy("key").agg(
+        F.count("na").alias("kinds"), F.sum("na").alias("filled"), F.count_if(F.col("na").isNotNull() & F.col("nb").isNotNull()).alias("shared"),
+        F.count("nb").alias("kinds_b"), F.sum("nb").alias("filled_b"), F.coalesce(F.sum(F.when(F.col("na").isNotNull(), F.col("nb"))), F.lit(0)).alias("hits"),
+    )
+    rows = left.groupBy("key").agg(F.sum("n").alias("rows")).join(right.groupBy("key").agg(F.sum("n").alias("rows_b")), "key")
+    kinds = [a.schema[k[0]].dataType.simpleString() for k in keys]
+    named = F.array(*[F.lit(NAMED if len(k) == 1 and id_like(k[0]) else 0.0) for k in keys])
+    typed = F.array(*[F.lit(KEY_TYPE if t in ("string", "int", "bigint", "smallint", "tinyint") else 0.0) for t in kinds])
+    names = F.array(*[F.lit(" + ".join(k)) for k in keys])
+    out = rows.join(found, "key")
+    flawed = (F.col("rows") - F.col("kinds")) / F.col("rows")
+    flawed_b = (F.col("rows_b") - F.col("kinds_b")) / F.col("rows_b")
+    overlap = F.coalesce(F.try_divide(F.col("hits"), F.col("filled_b")), F.lit(0.0))
+    out = out.withColumn("flawed", flawed).withColumn("flawed_b", flawed_b).withColumn("overlap", overlap)
+    any_flaw = F.when((F.col("flawed") > 0) | (F.col("flawed_b") > 0), FLAWED).otherwise(0.0)
+    score = F.col("overlap") + F.get(named, F.col("key")) + F.get(typed, F.col("key")) - any_flaw
+    usable = (F.col("flawed") <= MOST_FLAWED) & (F.col("flawed_b") <= MOST_FLAWED) & (F.col("overlap") >= LEAST_SHARED)
+    return out.select(F.get(names, F.col("key")).alias("column"), "rows", "kinds", "filled", "shared", "flawed", "flawed_b", "overlap", score.alias("score"), usable.alias("usable"))
 
 
 # -- shifts ------------------------------------------------------------------
@@ -209,19 +266,21 @@ def fuzzy_key(text: str | None) -> str:
     return " ".join([w for w in words if w not in NOISE] or words)
 
 
-def fuzzy_match(a: DataFrame, b: DataFrame, key: str, a_id: str, b_id: str, least: float = 0.8) -> DataFrame:
+def fuzzy_match(a: DataFrame, b: DataFrame, key: str, a_id: str, b_id: str, least: float = 0.8, checks: list[str] | None = None) -> DataFrame:
     """Pairs of leftover rows whose text keys are alike: candidates share a word or a 4-letter beginning.
 
     Blocks that more than 150 keys share say nothing and are left out, as in the
     rule this follows; each row's best 40 candidates by shared blocks are
-    scored; a pair stays when it is the best for both sides.
+    scored; pairs are taken from the highest rank down, each row once.  Columns
+    in ``checks`` that agree raise a pair's rank.  Texts whose numbers differ
+    never match.
     """
     key_udf = F.pandas_udf(lambda s: s.map(fuzzy_key), "string")
 
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y, strict=True):
-            if "".join(c for c in p if c.isdigit()) != "".join(c for c in q if c.isdigit()):
+            if re.findall(r"\d+", p) != re.findall(r"\d+", q):
                 out.append(0.0)
             else:
                 out.append(max(T.jaro_winkler(p, q), T.jaro_winkler(" ".join(sorted(p.split())), " ".join(sorted(q.split())))))
@@ -239,12 +298,46 @@ def fuzzy_match(a: DataFrame, b: DataFrame, key: str, a_id: str, b_id: str, leas
     votes = left.join(right.join(small, "block", "left_semi"), "block").groupBy("a_id", "b_id", "a_key", "b_key").agg(F.count(F.lit(1)).alias("votes"))
     top = Window.partitionBy("a_id").orderBy(F.col("votes").desc(), "b_id")
     scored = votes.withColumn("_n", F.row_number().over(top)).where("_n <= 40").withColumn("score", score_udf("a_key", "b_key")).where(F.col("score") >= least)
-    best_a = Window.partitionBy("a_id").orderBy(F.col("score").desc(), "b_id")
-    best_b = Window.partitionBy("b_id").orderBy(F.col("score").desc(), "a_id")
-    ranked = scored.withColumn("ra", F.row_number().over(best_a)).withColumn("rb", F.row_number().over(best_b))
-    second = F.lead("score").over(best_a)
-    ranked = ranked.withColumn("ambiguous", F.coalesce(F.col("score") - second < 0.02, F.lit(False)))
-    return ranked.where("ra = 1 and rb = 1").select("a_id", "b_id", "score", "ambiguous", (F.col("score") >= 0.96).alias("confident"))
+    scored = scored.select("a_id", "b_id", "score")
+    rank, support = F.col("score"), F.lit(False)
+    if checks:
+        # Columns that agree lift a pairing, those that differ lower it a little.
+        pick = lambda df, ident, n: df.select(F.col(ident).alias(f"{n}_id"), *[F.col(f"`{c}`").cast("string").alias(f"_{n}{i}") for i, c in enumerate(checks)])
+        scored = scored.join(pick(a, a_id, "a"), "a_id").join(pick(b, b_id, "b"), "b_id")
+        known = [F.col(f"_a{i}").isNotNull() & F.col(f"_b{i}").isNotNull() for i in range(len(checks))]
+        checked = sum((k.cast("int") for k in known), F.lit(0))
+        agree = sum(((k & (F.col(f"_a{i}") == F.col(f"_b{i}"))).cast("int") for i, k in enumerate(known)), F.lit(0))
+        share = F.try_divide(agree, checked)
+        rank = F.col("score") + F.coalesce(0.08 * share - 0.02 * (1 - share), F.lit(0.0))
+        support = F.coalesce(share >= 0.5, F.lit(False))
+    best = Window.partitionBy("a_id").orderBy(F.col("score").desc(), "b_id")
+    gap = F.coalesce(F.col("_best") - F.col("_next") < GAP, F.lit(False))
+    scored = scored.withColumn("rank", rank).withColumn("support", support).withColumn("_best", F.max("score").over(Window.partitionBy("a_id"))).withColumn("_second", F.lead("score").over(best)).withColumn("_first", F.row_number().over(best))
+    scored = scored.withColumn("_next", F.max(F.when(F.col("_first") == 1, F.col("_second"))).over(Window.partitionBy("a_id"))).withColumn("ambiguous", gap)
+    confident = ~F.col("ambiguous") & ((F.col("score") >= CONFIDENT) | F.col("support") & (F.col("score") >= SUPPORTED))
+    edges = scored.select("a_id", "b_id", "score", "rank", "ambiguous", confident.alias("confident"))
+    return one_to_one(edges).select("a_id", "b_id", "score", "ambiguous", "confident")
+
+
+#: How near a second candidate makes a pairing ambiguous; scores that make one confident, alone or with agreeing columns; fixed values.
+GAP, CONFIDENT, SUPPORTED = 0.02, 0.96, 0.88
+
+
+def one_to_one(edges: DataFrame) -> DataFrame:
+    """Of candidate pairs (a_id, b_id, rank) those that the greedy rule takes: the highest rank first, each id once.
+
+    A pair that is the best one left of both its ids is what the greedy rule
+    takes too, so such pairs are taken in rounds; each round is cut off durably.
+    """
+    order = [F.col("rank").desc(), "a_id", "b_id"]
+    left = durable(edges)
+    taken = None
+    while not left.isEmpty():
+        ranked = left.withColumn("_a", F.row_number().over(Window.partitionBy("a_id").orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy("b_id").orderBy(*order)))
+        best = durable(ranked.where("_a = 1 and _b = 1").drop("_a", "_b"))
+        taken = best if taken is None else taken.unionByName(best)
+        left = durable(left.join(best.select("a_id"), "a_id", "left_anti").join(best.select("b_id"), "b_id", "left_anti"))
+    return edges.limit(0) if taken is None else taken
 
 
 # -- reports ------------------------------------------------------------------

@@ -16,57 +16,125 @@ from .quantiles import quantiles
 DONORS = 20_000
 
 
-def _sample(df: DataFrame, columns: list[str], n: int, seed: int) -> pd.DataFrame:
-    some = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+def _sample(df: DataFrame, columns: list[str], n: int, seed: int, kind: str | None = "double") -> pd.DataFrame:
+    some = df.select(*[F.col(c).cast(kind).alias(c) if kind else F.col(c) for c in columns]).na.drop()
     # Each row draws for itself, so copies of one row do not come together.
     return some.orderBy(F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *columns), *columns).limit(n).toPandas()
 
 
-def knn_impute(df: DataFrame, target: str, predictors: list[str], k: int = 5, donors: int = DONORS, seed: int = 3) -> DataFrame:
-    """Null targets filled by the inverse-distance mean of the nearest complete donors; exact matches win; the median when nothing is known."""
-    d = _sample(df, [*predictors, target], donors, seed)
-    if d.empty:
-        return df
-    x = d[predictors].to_numpy()
-    mu, sd = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
-    z, y = (x - mu) / sd, d[target].to_numpy()
-    middle = float(np.median(y))
+class Neighbours:
+    """Donors laid out for distances: numbers standardised, categories as one column a label.
 
-    def fill(*cols: pd.Series) -> pd.Series:
-        t = cols[0].astype(float)
-        rows = np.flatnonzero(t.isna().to_numpy())
-        out = t.to_numpy(copy=True)
-        q = (np.column_stack([c.astype(float).to_numpy() for c in cols[1:]]) - mu) / sd
-        out[rows] = _nearest(q[rows], z, y, k, middle)
-        return pd.Series(out)
+    Two categories differ by one standard deviation, so a label's column holds
+    the root of a half.  A row is compared on what it knows, scaled to all.
+    """
 
-    udf = F.pandas_udf(fill, "double")
-    return df.withColumn(target, udf(F.col(target).cast("double"), *[F.col(c).cast("double") for c in predictors]))
+    def __init__(self, donors: pd.DataFrame, target: str, predictors: list[str], numeric: list[bool]):
+        self.numeric = numeric
+        self.labels: list[dict] = []
+        self.scale: list[tuple[float, float]] = []
+        columns, self.of = [], []
+        for k, (name, number) in enumerate(zip(predictors, numeric, strict=True)):
+            v = donors[name].to_numpy()
+            if number:
+                v = v.astype(float)
+                mu, sd = float(v.mean()), float(v.std()) or 1.0
+                self.scale.append((mu, sd))
+                self.labels.append({})
+                columns.append((v - mu) / sd)
+                self.of.append(k)
+            else:
+                own = {x: i for i, x in enumerate(sorted(set(v), key=str))}
+                self.scale.append((0.0, 1.0))
+                self.labels.append(own)
+                for x in own:
+                    columns.append((v == x) * np.sqrt(0.5))
+                    self.of.append(k)
+        self.z = np.column_stack(columns) if columns else np.empty((len(donors), 0))
+        self.of = np.array(self.of, int)
+        self.y = donors[target].to_numpy()
+
+    def near(self, rows: list[pd.Series], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k nearest donors of each row, their distances, and whether the row knows anything."""
+        n = len(rows[0]) if rows else 0
+        seen = np.zeros((n, len(self.numeric)), bool)
+        full = np.zeros((n, self.z.shape[1]))
+        own = np.zeros(n)
+        for j, (v, number) in enumerate(zip(rows, self.numeric, strict=True)):
+            at = np.flatnonzero(self.of == j)
+            if number:
+                x = (v.astype(float).to_numpy() - self.scale[j][0]) / self.scale[j][1]
+                seen[:, j] = np.isfinite(x)
+                full[:, at[0]] = np.where(seen[:, j], x, 0.0)
+                own += full[:, at[0]] ** 2
+            else:
+                known = v.notna().to_numpy()
+                seen[:, j] = known
+                code = v.map(self.labels[j]).to_numpy(dtype=float)
+                hit = np.flatnonzero(np.isfinite(code))
+                full[hit, at[0] + code[hit].astype(int)] = np.sqrt(0.5)
+                own += 0.5 * known
+        wide = seen[:, self.of].astype(float)
+        dist = wide @ (self.z * self.z).T - 2 * full @ self.z.T + own[:, None]
+        dist = np.maximum(dist, 0.0) * (len(self.numeric) / np.maximum(seen.sum(1), 1))[:, None]
+        m = min(k, len(self.z))
+        # Of equal donors the first ones count.
+        dist += np.arange(len(self.z)) * 1e-12
+        near = np.argpartition(dist, m - 1, axis=1)[:, :m]
+        found = np.take_along_axis(dist, near, 1)
+        order = np.argsort(found, axis=1, kind="stable")
+        return np.take_along_axis(near, order, 1), np.sqrt(np.take_along_axis(found, order, 1)), seen.any(1)
+
+    def mean(self, rows: list[pd.Series], k: int, middle: float) -> np.ndarray:
+        """The inverse-distance mean of the nearest; exact matches win."""
+        near, d, known = self.near(rows, k)
+        # Rounding of the product leaves this much of a distance of zero.
+        same = d < 1e-6
+        weight = np.where(same.any(1)[:, None], same, 1 / np.where(same, 1.0, d))
+        got = (weight * self.y[near].astype(float)).sum(1) / weight.sum(1)
+        return np.where(known, got, middle)
+
+    def vote(self, rows: list[pd.Series], k: int, usual) -> list:
+        """The label with the most weight among the nearest; ties go to the nearer one."""
+        near, d, known = self.near(rows, k)
+        same = d < 1e-6
+        weight = np.where(same.any(1)[:, None], same, 1 / np.where(same, 1.0, d))
+        out = []
+        for at, w, ok in zip(self.y[near], weight, known, strict=True):
+            votes: dict = {}
+            for label, x in zip(at, w, strict=True):
+                votes[label] = votes.get(label, 0.0) + x
+            out.append(max(votes, key=votes.get) if ok else usual)
+        return out
 
 
-def _nearest(q: np.ndarray, z: np.ndarray, y: np.ndarray, k: int, middle: float, block: int = 256) -> np.ndarray:
-    """For each row of ``q`` (NaN: unknown) the inverse-distance mean of the k nearest donors; exact matches win.
+def knn_impute(df: DataFrame, target: str, predictors: list[str], k: int = 5, donors: int = DONORS, seed: int = 3) -> DataFrame:
+    """Null targets filled from the nearest complete donors: a number's inverse-distance mean, a label's vote.
 
-    Distances of a block of rows are one matrix product over what each row knows.
+    Predictors are numbers or labels (texts).  Exact matches win; the median or
+    the commonest label when a row knows nothing.  Donors are a bounded sample.
     """
-    out = np.full(len(q), middle)
-    squares = z * z
-    for lo in range(0, len(q), block):
-        part = q[lo : lo + block]
-        seen = np.isfinite(part)
-        known = seen.any(1)
-        full = np.where(seen, part, 0.0)
-        dist = seen @ squares.T - 2 * full @ z.T + (full * full).sum(1)[:, None]
-        dist = np.maximum(dist, 0.0) * (z.shape[1] / np.maximum(seen.sum(1), 1))[:, None]
-        n = min(k, len(z))
-        near = np.argpartition(dist, n - 1, axis=1)[:, :n]
-        dn = np.sqrt(np.take_along_axis(dist, near, 1))
-        # Rounding of the product leaves this much of a distance of zero.
-        same = dn < 1e-6
-        weight = np.where(same.any(1)[:, None], same, 1 / np.where(same, 1.0, dn))
-        got = (weight * y[near]).sum(1) / weight.sum(1)
-        out[lo : lo + block][known] = got[known]
-    return out
+    is_number = lambda c: df.schema[c].dataType.simpleString() != "string"
+    numeric = [is_number(c) for c in predictors]
+    pick = [F.col(c).cast("double" if n else "string").alias(c) for c, n in zip([*predictors, target], [*numeric, is_number(target)], strict=True)]
+    d = _sample(df.select(*pick), [*predictors, target], donors, seed, None)
+    if d.empty:
+        return df
+    model = Neighbours(d, target, predictors, numeric)
+    number = is_number(target)
+    usual = float(np.median(model.y)) if number else d[target].mode().iloc[0]
+
+    def fill(*cols: pd.Series) -> pd.Series:
+        out = cols[0].copy()
+        gaps = np.flatnonzero(out.isna().to_numpy())
+        for lo in range(0, len(gaps), 256):
+            at = gaps[lo : lo + 256]
+            rows = [c.iloc[at].reset_index(drop=True) for c in cols[1:]]
+            out.iloc[at] = model.mean(rows, k, usual) if number else model.vote(rows, k, usual)
+        return out
+
+    udf = F.pandas_udf(fill, "double" if number else "string")
+    return df.withColumn(target, udf(*[F.col(c).cast("double" if n else "string") for c, n in zip([target, *predictors], [number, *numeric], strict=True)]))
 
 
 def knn_holdout(df: DataFrame, target: str, predictors: list[str], ks: tuple[int, ...] = (1, 2, 3, 5, 8, 12, 20, 30, 50), sample: int = 2000, seed: int = 3) -> dict[int, float]:

@@ -186,19 +186,22 @@ def variants(df: DataFrame, column: str) -> DataFrame:
 
 
 def similar_clusters(df: DataFrame, column: str, least: float = 0.9) -> DataFrame:
-    """Distinct values that look alike, within blocks of one sound and first letter (at most 300 values)."""
+    """Distinct values that look alike, within blocks of one sound, first letter and the same digits (values with other digits are never alike)."""
     v = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    keyed = v.withColumn("block", F.concat(T.metaphone_udf("value"), F.lit("|"), F.substring(T.normalize(F.col("value")), 1, 1)))
+    digits = F.trim(F.regexp_replace("value", r"\D+", " "))
+    keyed = v.withColumn("block", F.concat_ws("|", T.metaphone_udf("value"), F.substring(T.normalize(F.col("value")), 1, 1), digits))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "value"], ascending=[False, True]).head(300)
-        heads: list[str] = []
+        pdf = pdf.sort_values(["n", "value"], ascending=[False, True])
+        # Heads by length: a similarity of 0.75 or more needs lengths within a factor of two.
+        heads: dict[int, list[tuple[int, str, str]]] = {}
         rows = []
-        for value, n in zip(pdf["value"], pdf["n"], strict=True):
-            digits = re.sub(r"\D+", " ", value).strip()
-            home = next((h for h in heads if re.sub(r"\D+", " ", h).strip() == digits and T.jaro_winkler(T.normalize_full(h), T.normalize_full(value)) >= least), None)
+        for k, (value, n) in enumerate(zip(pdf["value"], pdf["n"], strict=True)):
+            own = T.normalize_full(value)
+            near = sorted(h for size, hs in heads.items() if least < 0.75 or size <= 2 * len(own) and len(own) <= 2 * size for h in hs)
+            home = next((h for _, h, folded in near if T.jaro_winkler(folded, own) >= least), None)
             if home is None:
-                heads.append(value)
+                heads.setdefault(len(own), []).append((k, value, own))
                 home = value
             rows.append((home, value, n))
         return pd.DataFrame(rows, columns=["cluster", "value", "n"])
