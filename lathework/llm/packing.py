@@ -34,7 +34,7 @@ from .common import tidy, written
 CAPACITY = 1024
 END_ID = 2
 #: Pieces of a group on average, and the runs up to which the plan is broadcast.
-GROUP_ROWS, MOST_RUNS = 20_000, 50_000
+GROUP_ROWS, MOST_RUNS = 1_000, 50_000
 
 
 class TightestOpen:
