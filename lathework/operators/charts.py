@@ -143,13 +143,23 @@ def places(df: DataFrame, lat: str, lon: str, value: str, limit: int = 500) -> D
     return g.orderBy(F.col("n").desc(), "lat", "lon").limit(limit)
 
 
-def class_breaks(df: DataFrame, column: str, n: int, how: str = "quantile") -> list[float]:
-    """Class edges: quantile, equal, stddev, or natural (Jenks over 1,000 quantiles, so of bounded size)."""
+def class_breaks(df: DataFrame, column: str, n: int, how: str = "quantile", edges: list[float] | None = None) -> list[float]:
+    """Class edges: quantile, equal, stddev, pretty (round steps), log, manual (``edges``), or natural (Jenks over 1,000 quantiles, so of bounded size)."""
     x = finite(F.col(column))
     lo, hi, mean, sd = df.agg(F.min(x), F.max(x), F.avg(x), F.stddev_pop(x)).first()
     if lo is None:
         return []
-    if how == "equal":
+    if how == "manual":
+        return sorted({lo, hi, *(e for e in edges or () if lo < e < hi)})
+    if how == "pretty":
+        raw = (hi - lo) / n or 1.0
+        size = 10.0 ** np.floor(np.log10(raw))
+        step = float(size * next(m for m in (1, 2, 5, 10) if m * size >= raw * (1 - 1e-9)))
+        first = np.floor(lo / step + 1e-9) * step
+        return [float(round(first + i * step, 12)) for i in range(int(np.ceil((hi - first) / step - 1e-9)) + 1)]
+    if how == "log" and lo > 0:
+        return [float(lo * (hi / lo) ** (i / n)) for i in range(n + 1)]
+    if how in ("equal", "log"):
         return [lo + (hi - lo) * i / n for i in range(n + 1)]
     if how == "stddev":
         return sorted({min(hi, max(lo, mean + sd * k)) for k in range(-(n // 2), n // 2 + 1)} | {lo, hi})
@@ -181,21 +191,46 @@ def _jenks(v: np.ndarray, n: int) -> list[float]:
 
 
 def points_in_polygons(points: DataFrame, lon: str, lat: str, polygons: list[tuple[str, list[list[tuple[float, float]]]]]) -> DataFrame:
-    """``points`` with the name of the first polygon (rings by the even-odd rule) that holds each; polygons are a bounded parameter."""
+    """``points`` with the name of the first polygon (rings by the even-odd rule) that holds each; polygons are a bounded parameter.
+
+    A grid over all polygons knows which of them each cell meets, so a point is
+    tried against these alone, a cell's points together.
+    """
+    boxes = [(min(x for r in rings for x, _ in r), min(y for r in rings for _, y in r), max(x for r in rings for x, _ in r), max(y for r in rings for _, y in r)) for _, rings in polygons]
+    x0, y0 = (min((b[i] for b in boxes), default=0.0) for i in (0, 1))
+    x1, y1 = (max((b[i] for b in boxes), default=0.0) for i in (2, 3))
+    side = int(np.clip(np.ceil(np.sqrt(4 * len(polygons))), 1, 256))
+    width, height = (x1 - x0) / side or 1.0, (y1 - y0) / side or 1.0
+    cells: dict[int, list[int]] = {}
+    at = lambda v, lo, step: min(side - 1, max(0, int((v - lo) / step)))
+    for k, (a, b, c, d) in enumerate(boxes):
+        for i in range(at(a, x0, width), at(c, x0, width) + 1):
+            for j in range(at(b, y0, height), at(d, y0, height) + 1):
+                cells.setdefault(i * side + j, []).append(k)
+    edges = [np.array([(*p, *q) for ring in rings for p, q in zip(ring, ring[1:] + ring[:1], strict=True) if p[1] != q[1]], float).reshape(-1, 4) for _, rings in polygons]
+    names = np.array([n for n, _ in polygons] + [None], object)
 
     def locate(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = np.array([None] * len(x), object)
         px, py = x.to_numpy(float), y.to_numpy(float)
-        for name, rings in polygons:
-            inside = np.zeros(len(px), bool)
-            for ring in rings:
-                for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
-                    if y1 == y2:
-                        continue
-                    cross = ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
-                    inside ^= cross
-            out[inside & np.array([o is None for o in out])] = name
-        return pd.Series(out)
+        found = np.full(len(px), len(polygons))
+        near = np.flatnonzero((px >= x0) & (px <= x1) & (py >= y0) & (py <= y1))
+        i = np.clip(((px[near] - x0) / width).astype(int), 0, side - 1)
+        j = np.clip(((py[near] - y0) / height).astype(int), 0, side - 1)
+        cell = i * side + j
+        order = np.argsort(cell, kind="stable")
+        for own in np.split(near[order], np.flatnonzero(np.diff(cell[order])) + 1) if len(near) else ():
+            i, j = (min(side - 1, max(0, int((v - lo) / step))) for v, lo, step in ((px[own[0]], x0, width), (py[own[0]], y0, height)))
+            for k in cells.get(i * side + j, ()):
+                left = own[found[own] == len(polygons)]
+                if not len(left):
+                    break
+                ax, ay, bx, by = edges[k].T
+                for lo in range(0, len(left), 4096):
+                    some = left[lo : lo + 4096]
+                    u, v = px[some][:, None], py[some][:, None]
+                    cross = ((by > v) != (ay > v)) & (u < (bx - ax) * (v - ay) / (by - ay) + ax)
+                    found[some[cross.sum(1) % 2 == 1]] = k
+        return pd.Series(names[found])
 
     return points.withColumn("region", F.pandas_udf(locate, "string")(F.col(lon), F.col(lat)))
 

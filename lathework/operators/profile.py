@@ -162,6 +162,30 @@ def dependency(df: DataFrame, determinant: str, dependent: str, order: str) -> D
     return out.withColumn("holds", F.col("violations") <= 0.02 * F.col("rows"))
 
 
+def dependencies(df: DataFrame, columns: list[str], order: str, most: float = 0.02) -> DataFrame:
+    """Every ordered pair of columns of which the first determines the second in all but ``most`` of the rows.
+
+    determinant, dependent, rows, violations (rows that differ from the first
+    value seen with their determinant).  Determinants repeat and dependents vary;
+    the pairs that are left are judged in one pass of three aggregates.
+    """
+    kinds = df.agg(F.count(F.lit(1)).alias("rows"), *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(columns)]).first()
+    # Near-unique determinants say nothing; the sketch's error is far below this bound.
+    left = [c for i, c in enumerate(columns) if 1 < kinds[f"k{i}"] <= 0.5 * kinds["rows"]]
+    right = [c for i, c in enumerate(columns) if kinds[f"k{i}"] > 1]
+    pairs = [(a, b) for a in left for b in right if a != b]
+    kind = "determinant string, dependent string, rows bigint, violations bigint"
+    if not pairs:
+        return df.sparkSession.createDataFrame([], kind)
+    cells = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(f"`{a}`").cast("string").alias("a"), F.col(f"`{b}`").cast("string").alias("b")) for i, (a, b) in enumerate(pairs)])
+    rows = df.select(F.col(order).alias("_order"), F.inline(cells)).where("a is not null and b is not null")
+    counts = rows.groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("_order").alias("_order"))
+    groups = counts.groupBy("pair", "a").agg(F.sum("n").alias("n"), F.min_by("n", F.struct("_order", "b")).alias("same"))
+    found = groups.groupBy("pair").agg(F.sum("n").alias("rows"), F.sum(F.col("n") - F.col("same")).alias("violations"))
+    name = lambda k: F.get(F.array(*[F.lit(p[k]) for p in pairs]), F.col("pair"))
+    return found.where(F.col("violations") <= most * F.col("rows")).select(name(0).alias("determinant"), name(1).alias("dependent"), "rows", "violations")
+
+
 # -- masks, variants, text ---------------------------------------------------
 
 

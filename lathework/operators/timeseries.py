@@ -525,3 +525,29 @@ def drivers(y: np.ndarray, others: dict[str, np.ndarray], lags: int = 3) -> list
             if e0 > 0 and e1 < 0.95 * e0:
                 out.append((name, lag, 1 - e1 / e0))
     return sorted(out, key=lambda r: -r[2])
+
+
+def from_view(view: DataFrame, time: str, measure: str, split: str | None = None, raw: tuple | None = None, step: float = 0.0) -> DataFrame:
+    """A grouped view's periods as series: series, slot, value, partial.
+
+    The periods are taken as they are.  The first and the last may be cut short:
+    with ``raw`` (first and last time of the rows, and ``step``, their usual
+    spacing in seconds) a period counts as partial when less than 95 % of its
+    length is covered, the length being that of its neighbour.  Fewer than
+    three periods are no series.
+    """
+    rows = view.where(F.col(time).isNotNull()).select(
+        (F.coalesce(F.col(split).cast("string"), F.lit("(empty)")) if split else F.lit("all")).alias("series"), F.col(time).cast("timestamp_ntz").alias("slot"), F.col(measure).cast("double").alias("value")
+    )
+    starts = rows.select("slot").distinct()
+    ends = starts.agg(F.count(F.lit(1)).alias("_n"), F.min("slot").alias("_a"), F.max("slot").alias("_z"))
+    ends = ends.crossJoin(starts.orderBy("slot").limit(2).agg(F.max("slot").alias("_b"))).crossJoin(starts.orderBy(F.col("slot").desc()).limit(2).agg(F.min("slot").alias("_y")))
+    out = rows.join(F.broadcast(ends)).where("_n >= 3")
+    partial = F.lit(False)
+    if raw:
+        seconds = lambda a, b: F.timestamp_diff("SECOND", a, b).cast("double")
+        lo, hi = (F.lit(x).cast("timestamp_ntz") for x in raw)
+        first = (F.col("slot") == F.col("_a")) & (seconds(lo, F.col("_b")) / seconds(F.col("_a"), F.col("_b")) < 0.95)
+        last = (F.col("slot") == F.col("_z")) & ((seconds(F.col("_z"), hi) + F.lit(float(step))) / seconds(F.col("_y"), F.col("_z")) < 0.95)
+        partial = first | last
+    return out.select("series", "slot", "value", partial.alias("partial"))
