@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import buckets
+from . import forecasting
 from .aggregate import finite
 from .quantiles import quantiles, with_quantiles
 
@@ -306,6 +307,7 @@ def arima(y: np.ndarray, h: int, m: int = 1) -> np.ndarray:
 MODELS = {
     "seasonal_naive": seasonal_naive, "naive": naive, "mean": mean, "drift": drift, "ses": ses, "holt_winters": holt_winters, "theta": theta,
     "climatology": climatology, "regression": regression, "arima": arima,
+    "ets": forecasting.ets, "sarima": forecasting.sarima, "changing_trend": forecasting.changing_trend, "imapa": forecasting.imapa,
     "croston": croston, "sba": lambda y, h, m=1: croston(y, h, kind="sba"), "tsb": lambda y, h, m=1: croston(y, h, kind="tsb"),
 }
 
@@ -316,10 +318,15 @@ def combination(y: np.ndarray, h: int, m: int) -> np.ndarray:
 
 
 MODELS["combination"] = combination
+#: What auto chooses from.
+AUTO = ("seasonal_naive", "holt_winters", "theta", "regression", "ses", "arima")
 
 
-def backtest(y: np.ndarray, model: str, h: int, m: int, origins: int = 10) -> dict[str, float]:
-    """Errors over up to ten origins: MASE, MAE, RMSE, WAPE, sMAPE, bias."""
+def backtest(y: np.ndarray, model: str, h: int, m: int, origins: int = 10, window: int | None = None) -> dict[str, float]:
+    """Errors over up to ten origins: MASE, MAE, RMSE, WAPE, MAPE (of values that are not 0), sMAPE, bias.
+
+    The series before an origin grows, or with ``window`` keeps its length.
+    """
     least = max(m + max(4, -(-m // 4)), 8)
     step = max(1, round(h / 3))
     starts = [t for k in range(origins) if (t := len(y) - h - k * step) >= least]
@@ -329,12 +336,14 @@ def backtest(y: np.ndarray, model: str, h: int, m: int, origins: int = 10) -> di
     scale = np.mean(np.abs(first[m:] - first[:-m])) if len(first) > m else np.nan
     e, a, f = [], [], []
     for t in starts:
-        p = MODELS[model](y[:t], h, m)
+        p = MODELS[model](y[max(0, t - window) if window else 0 : t], h, m)
         e.append(y[t : t + h] - p)
         a.append(y[t : t + h])
         f.append(p)
     e, a, f = (np.concatenate(v) for v in (e, a, f))
+    some = a != 0
     return {
+        "mape": float(np.mean(np.abs(e[some] / a[some]))) if some.any() else float("nan"),
         "mase": float(np.mean(np.abs(e)) / scale) if scale else float("nan"), "mae": float(np.mean(np.abs(e))), "rmse": float(np.sqrt(np.mean(e * e))),
         "wape": float(np.abs(e).sum() / max(1e-12, np.abs(a).sum())), "smape": float(np.mean(2 * np.abs(e) / np.maximum(1e-12, np.abs(a) + np.abs(f)))), "bias": float(np.mean(e)),
     }
@@ -351,7 +360,7 @@ def forecast(s: DataFrame, h: int, m: int, model: str = "auto", by: str = "serie
         if len(y) < 3:
             return pd.DataFrame({by: [], "step": [], "forecast": [], "low": [], "high": [], "model": []})
         if model == "auto":
-            tests = {k: backtest(y, k, h, m) for k in ("seasonal_naive", "holt_winters", "theta", "regression", "ses", "arima")}
+            tests = {k: backtest(y, k, h, m) for k in AUTO}
             # A series that repeats itself exactly has no scale: the errors themselves decide.
             scaled = all(np.isfinite(e.get("mase", np.nan)) for e in tests.values())
             name = min(tests, key=lambda k: (tests[k].get("mase" if scaled else "rmse", np.inf), k))
@@ -363,6 +372,25 @@ def forecast(s: DataFrame, h: int, m: int, model: str = "auto", by: str = "serie
     return s.groupBy(by).applyInPandas(run, f"{by} string, step int, forecast double, low double, high double, model string")
 
 
+def coverage(df: DataFrame, ts: str, grain: str, by: str | None = None) -> DataFrame:
+    """series, slot, n, coverage, partial: the readings of each slot against those that its length and the usual gap promise.
+
+    The first and the last slot of a series are partial under 95 %.
+    """
+    keys = ["series"]
+    rows = df.where(F.col(ts).isNotNull()).select((F.col(by).cast("string") if by else F.lit("all")).alias("series"), F.col(ts).alias("_at"))
+    gaps = rows.withColumn("_gap", F.timestamp_diff("SECOND", F.lag("_at").over(Window.partitionBy("series").orderBy("_at")), F.col("_at"))).where("_gap > 0")
+    usual = quantiles(gaps, F.col("_gap"), [0.5], keys, "_usual").select("series", F.get("_usual", F.lit(0)).alias("_usual"))
+    step = {"week": "INTERVAL 7 DAYS", "quarter": "INTERVAL 3 MONTHS"}.get(grain, f"INTERVAL 1 {grain.upper()}")
+    n = rows.groupBy("series", buckets.bucket(F.col("_at"), grain).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    length = F.timestamp_diff("SECOND", F.col("slot"), F.expr(f"slot + {step}")).cast("double")
+    share = F.least(F.lit(1.0), F.col("n") * F.col("_usual") / length)
+    own = Window.partitionBy("series")
+    edge = (F.col("slot") == F.min("slot").over(own)) | (F.col("slot") == F.max("slot").over(own))
+    out = n.join(F.broadcast(usual), "series").withColumn("coverage", share).withColumn("_edge", edge)
+    return out.select("series", "slot", "n", "coverage", (F.col("_edge") & (F.col("coverage") < 0.95)).alias("partial"))
+
+
 def decompose_frame(s: DataFrame, m: int, by: str = "series") -> DataFrame:
     """by, slot, value, trend, season, rest, anomaly of each series."""
 
