@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import buckets, cleans, formula
 from .functions import text as T
-from .operators import charts, compare, filters, models, pivot, profile, review, scorecard, timeseries, transforms
+from .operators import charts, compare, filters, models, pivot, profile, review, scorecard, sensitive, timeseries, transforms
 from .operators.aggregate import (
     BinEdges, BinQuantile, BinWidth, Cohort, DatePart, Measure, Since, Time, Value, View, Where, aggregate, partial_periods, post, totals,
 )
@@ -1148,6 +1148,56 @@ def pii_check_digits(spark, d):
     return profile.checked_numbers(t(spark, d, "orders").select((F.col("o_orderkey") + 4111111111111111).alias("k")), "k")
 
 
+@query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (c_custkey % 5 <> 0) AS mails, count(*) FILTER (c_custkey % 4 = 0) AS phones FROM customer)
+SELECT 'contact_mail' AS "column", 'contact' AS "class", 'high' AS confidence, 'confidential' AS label, round(mails / n, 6) AS share FROM c UNION ALL SELECT 'mobile', 'contact', 'medium', 'confidential', round(phones / n, 6) FROM c
+UNION ALL SELECT 'paid_with', 'financial', 'high', 'confidential', 1.0 UNION ALL SELECT 'remark', 'free_text', 'medium', 'confidential', round(mails / n, 6) FROM c UNION ALL SELECT 'gender', 'demographic', 'low', 'internal', 0.0""")
+def pii_scan(spark, d):
+    k = F.col("c_custkey")
+    mail = F.concat(F.lit("user"), k.cast("string"), F.lit("@mail.example"))
+    df = t(spark, d, "customer").select(
+        F.when(k % 5 != 0, mail).otherwise("none").alias("contact_mail"),
+        F.when(k % 4 == 0, "0412 345 678").otherwise("n").alias("mobile"),
+        F.lit("4111 1111 1111 1111").alias("paid_with"),
+        F.when(k % 5 != 0, F.concat(F.lit("please write to "), mail, F.lit(" soon"))).otherwise("nothing to say here").alias("remark"),
+        F.lit("x").alias("gender"),
+        F.col("c_mktsegment").alias("segment"),
+    )
+    return sensitive.scan(df).select("column", "class", "confidence", "label", r("share", 6))
+
+
+@query("""WITH v AS (SELECT c_custkey AS id, c_custkey % 20 AS a, c_custkey % 20 % 6 AS b, CASE WHEN c_custkey = 77 THEN 99 ELSE c_custkey % 20 % 4 END AS c FROM customer), n AS (SELECT count(*) AS n FROM v)
+SELECT 'a' AS determinant, 'b' AS dependent, n AS rows, CAST(0 AS BIGINT) AS violations FROM n UNION ALL SELECT 'a', 'c', n, CAST((SELECT count(*) FROM v WHERE c = 99) AS BIGINT) FROM n""")
+def dq_dependencies(spark, d):
+    k = F.col("c_custkey")
+    df = t(spark, d, "customer").select(k.alias("id"), (k % 20).alias("a"), (k % 20 % 6).alias("b"), F.when(k == 77, 99).otherwise(k % 20 % 4).alias("c"))
+    return profile.dependencies(df, ["a", "b", "c"], "id")
+
+
+@query("""SELECT 'l_orderkey + l_linenumber' AS "column", count(*) AS rows, count(DISTINCT (l_orderkey, l_linenumber)) AS kinds, CAST(1 AS DOUBLE) AS overlap FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)""")
+def compare_key_pairs(spark, d):
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    return compare.suggest_key_pairs(li, li, ["l_orderkey", "l_linenumber"]).select("column", "rows", "kinds", "overlap")
+
+
+@query("""WITH g AS (SELECT user_id, ts, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS gap FROM events), u AS (SELECT user_id, median(floor(gap)) AS usual FROM g WHERE floor(gap) > 0 GROUP BY 1),
+n AS (SELECT user_id, date_trunc('week', ts) AS slot, count(*) AS n FROM events GROUP BY 1, 2), e AS (SELECT n.user_id, slot, n, least(1, n * usual / 604800) AS coverage, slot = min(slot) OVER w OR slot = max(slot) OVER w AS edge FROM n JOIN u ON u.user_id = n.user_id WINDOW w AS (PARTITION BY n.user_id))
+SELECT CAST(user_id AS VARCHAR) AS series, strftime(slot, '%Y-%m-%d') AS slot, n, round(coverage, 6) AS coverage, edge AND coverage < 0.95 AS partial FROM e""")
+def ts_coverage(spark, d):
+    out = timeseries.coverage(t(spark, d, "events"), "ts", "week", "user_id")
+    return out.select("series", F.date_format("slot", "yyyy-MM-dd").alias("slot"), "n", r("coverage", 6), "partial")
+
+
+@query("""WITH v AS (SELECT o_orderstatus AS series, date_trunc('month', o_orderdate) AS slot, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2), e AS (SELECT min(o_orderdate) AS a, max(o_orderdate) AS z FROM orders),
+s AS (SELECT min(slot) AS a, max(slot) AS z FROM v), f AS (SELECT s.a, s.z, (epoch(s.a + INTERVAL 1 MONTH) - floor(epoch(e.a))) / (epoch(s.a + INTERVAL 1 MONTH) - epoch(s.a)) AS first, (floor(epoch(e.z)) - epoch(s.z)) / (epoch(s.z) - epoch(s.z - INTERVAL 1 MONTH)) AS last FROM s, e)
+SELECT series, strftime(slot, '%Y-%m-%d') AS slot, round(value, 2) AS value, slot = f.a AND first < 0.95 OR slot = f.z AND last < 0.95 AS partial FROM v, f""")
+def ts_from_view(spark, d):
+    o = t(spark, d, "orders")
+    view = o.groupBy("o_orderstatus", F.date_trunc("month", "o_orderdate").alias("month")).agg(F.sum("o_totalprice").alias("total"))
+    ends = o.agg(F.min("o_orderdate"), F.max("o_orderdate")).first()
+    out = timeseries.from_view(view, "month", "total", "o_orderstatus", tuple(ends))
+    return out.select("series", F.date_format("slot", "yyyy-MM-dd").alias("slot"), r("value"), "partial")
+
+
 # -- plain joins (engine plumbing) --------------------------------------------
 
 
