@@ -6,7 +6,7 @@ except exclusions, which keep it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -86,10 +86,19 @@ def versus_average(df: DataFrame, column: str, above: bool = True, base: DataFra
 
 
 def in_duplicate_group(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows of which the table holds another copy."""
+    """Rows of which the table holds another copy (in ``columns``).
+
+    Copies are counted where they lie.  Whole rows are given back from their
+    counts; other columns are fetched by a join, which Spark splits when a key is hot.
+    """
     columns = columns or df.columns
-    same = Window.partitionBy(*[F.col(f"`{c}`") for c in columns])
-    return df.withColumn("_n", F.count(F.lit(1)).over(same)).where("_n > 1").drop("_n")
+    many = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if set(columns) == set(df.columns):
+        copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_i")
+        return many.select(*[F.col(f"`{c}`") for c in df.columns], copies).drop("_i")
+    keys = many.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(columns)])
+    same = [df[f"`{c}`"].eqNullSafe(keys[f"_k{i}"]) for i, c in enumerate(columns)]
+    return df.join(keys, same, "left_semi")
 
 
 def any_null(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ column (``_row_id`` of a loaded table, or a natural key).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregate import finite
@@ -77,11 +77,16 @@ def winsorize(df: DataFrame, column: str, percent: float) -> DataFrame:
 def dedupe(df: DataFrame, keep: str = "first", order: str = "_row_id", columns: list[str] | None = None) -> DataFrame:
     """Whole-row duplicates: the first or last copy stays, or none of them."""
     columns = columns or [c for c in df.columns if c != order]
-    same = Window.partitionBy(*[F.col(f"`{c}`") for c in columns])
+    rest = [c for c in df.columns if c not in columns]
+    # One row of each group is kept by an aggregate, so copies come together where they lie
+    # and no group of them has to fit in one task.  A null order value is the first.
+    ahead = [order] if order in rest else []
+    row = F.struct(*[F.col(f"`{c}`") for c in (*ahead, *(c for c in rest if c != order))]) if rest else F.lit(0)
+    kept = {"first": F.min, "last": F.max, "none": F.any_value}[keep](row)
+    out = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(kept.alias("_kept"), F.count(F.lit(1)).alias("_n"))
     if keep == "none":
-        return df.withColumn("_n", F.count(F.lit(1)).over(same)).where("_n = 1").drop("_n")
-    by = F.col(order).asc() if keep == "first" else F.col(order).desc()
-    return df.withColumn("_n", F.row_number().over(same.orderBy(by))).where("_n = 1").drop("_n")
+        out = out.where("_n = 1")
+    return out.select(*[F.col("_kept")[c].alias(c) if c in rest else F.col(f"`{c}`") for c in df.columns])
 
 
 def impute(df: DataFrame, column: str, method: str, value=None, by: list[str] | None = None, order: str = "_row_id") -> DataFrame:
