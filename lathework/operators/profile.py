@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from itertools import combinations
@@ -83,30 +84,30 @@ def value_fence(df: DataFrame, column: str) -> DataFrame:
     negative and the quartiles lean right; the 0.5 % tails when a fence would
     flag more than 2 % of 500 or more values; none when the MAD is 0.
     """
-    x = finite(F.col(column))
+    kind, low, high = fence(df, column)
+    return df.sparkSession.createDataFrame([(column, kind, low, high)], "column string, kind string, low double, high double")
+
+
+def fence(df: DataFrame, column: str) -> tuple[str, float | None, float | None]:
+    """Kind, low and high of a column's fence; three one-row results reach the driver."""
+    x = finite(F.col(column).cast("double"))
     base = df.select(x.alias("x")).where("x is not null")
-    q = base.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo")).crossJoin(F.broadcast(quantiles(base, F.col("x"), [0.005, 0.25, 0.5, 0.75, 0.995])))
-    at = lambda i: F.col("q")[i]
-    lean = F.try_divide(at(3) + at(1) - 2 * at(2), at(3) - at(1))
-    q = q.withColumn("log", (F.col("lo") >= 0) & (F.coalesce(lean, F.lit(0.0)) > 0.1))
-    y = F.when(F.col("log"), F.log1p(F.greatest(F.col("x"), F.lit(0.0)))).otherwise(F.col("x"))
-    mid = F.when(F.col("log"), F.log1p(F.greatest(at(2), F.lit(0.0)))).otherwise(at(2))
-    mad = quantiles(base.join(F.broadcast(q)), F.abs(y - mid), [0.5], name="_mad").select(F.get("_mad", F.lit(0)).alias("mad"))
-    f = q.crossJoin(F.broadcast(mad))
-    low, high = mid - REACH * F.col("mad"), mid + REACH * F.col("mad")
-    back = lambda v: F.when(F.col("log"), F.expm1(v)).otherwise(v)
-    f = f.withColumn("low", back(low)).withColumn("high", back(high))
-    flagged = base.join(F.broadcast(f)).agg(F.count_if((F.col("x") < F.col("low")) | (F.col("x") > F.col("high"))).alias("flagged"))
-    f = f.crossJoin(F.broadcast(flagged))
-    many = (F.col("n") >= 500) & (F.col("flagged") > 0.02 * F.col("n"))
-    none = (F.col("n") < 20) | (F.col("mad") == 0) | F.col("mad").isNull()
-    kind = F.when(none, "none").when(many, "quantile").when(F.col("log"), "log").otherwise("linear")
-    return f.select(
-        F.lit(column).alias("column"),
-        kind.alias("kind"),
-        F.when(~none, F.when(many, at(0)).otherwise(F.col("low"))).alias("low"),
-        F.when(~none, F.when(many, at(4)).otherwise(F.col("high"))).alias("high"),
-    )
+    first = quantiles(base, F.col("x"), [0.005, 0.25, 0.5, 0.75, 0.995], least="lo", rows="n").first()
+    (far_low, q1, mid, q3, far_high), n = first["q"], first["n"] or 0
+    if n < 20:
+        return "none", None, None
+    log = first["lo"] >= 0 and q3 > q1 and (q3 + q1 - 2 * mid) / (q3 - q1) > 0.1
+    y, middle = (F.log1p("x"), math.log1p(mid)) if log else (F.col("x"), mid)
+    mad = quantiles(base, F.abs(y - F.lit(middle)), [0.5]).first()["q"][0]
+    if not mad:
+        return "none", None, None
+    low, high = middle - REACH * mad, middle + REACH * mad
+    if log:
+        # Beyond what a number can be there is no fence.
+        low, high = (math.expm1(min(v, 700.0)) for v in (low, high))
+    if n >= 500 and base.agg(F.count_if((F.col("x") < low) | (F.col("x") > high))).first()[0] > 0.02 * n:
+        return "quantile", far_low, far_high
+    return "log" if log else "linear", low, high
 
 
 def value_anomalies(df: DataFrame, column: str) -> DataFrame:

@@ -11,8 +11,6 @@ counts; nothing is gathered into a list but the quantiles.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,54 +18,50 @@ ACCURACY = 10_000
 _MARGIN = 3 / ACCURACY
 
 
-def quantiles(df: DataFrame, x: Column, qs: list[float], keys: list[str] | None = None, name: str = "q") -> DataFrame:
+def quantiles(df: DataFrame, x: Column, qs: list[float], keys: list[str] | None = None, name: str = "q", least: str | None = None, rows: str | None = None) -> DataFrame:
     """``keys`` and ``name``: the quantiles (at (n - 1) q, interpolated) of the numbers of each group, as an array.
 
-    A group without a number has no row; without keys a table without a number
-    has one row of nulls.
+    ``least`` and ``rows`` name columns for the least number and how many there
+    are, which the first pass knows.  A group without a number has no row;
+    without keys a table without a number has one row of nulls.
     """
     keys = keys or []
     own = [f"_k{i}" for i in range(len(keys))]
+    m = len(qs)
     base = df.select(*[F.col(f"`{k}`").alias(o) for k, o in zip(keys, own, strict=True)], x.cast("double").alias("_x")).where("_x is not null")
     ends = [p for q in qs for p in (max(0.0, q - _MARGIN), min(1.0, q + _MARGIN))]
-    sketch = base.groupBy(*own).agg(F.count("_x").alias("_n"), F.percentile_approx("_x", ends, ACCURACY).alias("_p"))
-    sketch = sketch.select(*[F.col(o).alias(f"{o}s") for o in own], "_n", *[F.col("_p")[k].alias(f"_p{k}") for k in range(len(ends))])
+    sketch = base.groupBy(*own).agg(F.expr("count(_x) as _n"), F.expr("min(_x) as _least"), F.percentile_approx("_x", ends, ACCURACY).alias("_p"))
+    sketch = sketch.selectExpr(*[f"{o} as {o}s" for o in own], "_n", "_least", "_p", *[f"_p[{k}] as _p{k}" for k in range(2 * m)])
+    same = " and ".join(f"{o} <=> {o}s" for o in own)
 
-    def bracketed(rows: DataFrame) -> DataFrame:
+    def bracketed(held: DataFrame) -> DataFrame:
         # Without keys the sketch is one row.
-        return rows.join(sketch, [rows[o].eqNullSafe(sketch[f"{o}s"]) for o in own]) if keys else rows.join(F.broadcast(sketch))
+        return held.join(sketch, F.expr(same)) if keys else held.join(F.broadcast(sketch))
 
-    v = F.col("_x")
-    span = range(len(qs))
-    inside = reduce(Column.__or__, [v.between(F.col(f"_p{2 * i}"), F.col(f"_p{2 * i + 1}")) for i in span])
+    inside = " or ".join(f"_x between _p{2 * i} and _p{2 * i + 1}" for i in range(m))
     # A bit for each bracket that the value is not below.
-    above = reduce(Column.__add__, [F.when(v >= F.col(f"_p{2 * i}"), F.lit(1 << i).cast("long")).otherwise(0) for i in span])
-    told = bracketed(base).groupBy(*own, F.when(inside, v).alias("_x"), F.when(~inside, above).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-    # A row of the counts is below quantile i, among its candidates, or beyond.
-    beyond = F.lit(None).cast("struct<i:int,low:double,at:double,v:double>")
-    marks = []
-    for i, q in enumerate(qs):
-        at = F.lit(float(q)) * (F.col("_n") - 1)
-        # A rank that misses a whole number by rounding only is that number.
-        at = F.when(F.abs(at - F.round(at)) < 1e-7, F.round(at)).otherwise(at)
-        lo, hi = F.col(f"_p{2 * i}"), F.col(f"_p{2 * i + 1}")
-        below = F.when(v.isNull(), F.col("_b").bitwiseAND(F.lit(1 << i).cast("long")) == 0).otherwise(v < lo)
-        one = lambda value: F.struct(F.lit(i).alias("i"), F.floor(at).cast("double").alias("low"), at.alias("at"), value.cast("double").alias("v"))  # noqa: E731, B023
-        marks.append(F.when(below, one(F.lit(None))).when(v.between(lo, hi), one(v)).otherwise(beyond))
-    told = bracketed(told).select(*own, "_c", F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("_m"))
-    told = told.select(*own, "_c", "_m.*")
-    order = Window.partitionBy(*own, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    upto = told.withColumn("_upto", F.sum("_c").over(order))
+    above = " + ".join(f"if(_x >= _p{2 * i}, {1 << i}L, 0L)" for i in range(m))
+    told = bracketed(base).selectExpr(*own, f"if({inside}, _x, null) as _x", f"if({inside}, null, {above}) as _b")
+    told = told.groupBy(*own, "_x", "_b").agg(F.expr("count(1) as _c"))
+    # A row of the counts is below quantile i (no value), among its candidates, or beyond.
+    near = f"filter(sequence(0, {m - 1}), i -> if(_x is null, (shiftright(_b, i) & 1L) = 0L, _x <= _p[2 * i + 1]))"
+    told = bracketed(told).selectExpr(*own, "_n", "_least", "_p", "_x", "_c", f"explode({near}) as i")
+    order = Window.partitionBy(*own, "i").orderBy(F.expr("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = told.selectExpr(*own, "_n", "_least", "i", "_c", "if(_x >= _p[2 * i], _x, null) as v").withColumn("_upto", F.expr("sum(_c)").over(order))
+    share = f"array({', '.join(f'{float(q)!r}D' for q in qs)})[i] * (_n - 1)"
+    # A rank that misses a whole number by rounding only is that number.
+    upto = upto.selectExpr(*own, "_n", "_least", "i", "v", "_upto", f"if(abs({share} - round({share})) < 1e-7, round({share}), {share}) as at")
     found = upto.groupBy(*own, "i").agg(
-        F.min(F.when(F.col("_upto") > F.col("low"), F.col("v"))).alias("a"), F.min(F.when(F.col("_upto") > F.col("low") + 1, F.col("v"))).alias("b"), F.max(F.col("at") - F.col("low")).alias("part")
+        F.expr("min(if(_upto > floor(at), v, null)) as a"), F.expr("min(if(_upto > floor(at) + 1, v, null)) as b"), F.expr("max(at - floor(at)) as part"), F.expr("max(_n) as _n"), F.expr("max(_least) as _least")
     )
-    value = F.col("a") + (F.coalesce("b", "a") - F.col("a")) * F.col("part")
-    out = found.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))).alias("_q"))
-    out = out.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], F.transform("_q", lambda s: s["v"]).alias(name))
+    out = found.groupBy(*own).agg(F.expr("array_sort(collect_list(struct(i, a + (coalesce(b, a) - a) * part as v))) as _q"), F.expr("max(_n) as _n"), F.expr("max(_least) as _least"))
+    more = [F.col(own_).alias(n) for own_, n in (("_least", least), ("_n", rows)) if n]
+    out = out.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], F.expr("_q.v").alias(name), *more)
     if keys:
         return out
     nothing = F.array(*[F.lit(None).cast("double") for _ in qs])
-    return out.agg(F.first(name).alias(name)).select(F.when(F.size(name) > 0, F.col(name)).otherwise(nothing).alias(name))
+    one = out.agg(F.first(name).alias(name), *[F.first(n).alias(n) for n in (least, rows) if n])
+    return one.select(F.when(F.size(name) > 0, F.col(name)).otherwise(nothing).alias(name), *[F.coalesce(F.col(n), F.lit(0)).alias(n) if n == rows else F.col(n) for n in (least, rows) if n])
 
 
 def with_quantiles(grouped: DataFrame, df: DataFrame, x: Column, qs: list[float], keys: list[str], name: str = "q") -> DataFrame:
