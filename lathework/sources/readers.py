@@ -6,10 +6,13 @@ reader, so any file system that Spark reads will do.
 
 from __future__ import annotations
 
+import bz2
 import io
 import re
 import zipfile
+import zlib
 from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +24,29 @@ _NUMBER = re.compile(r"^[-+(]?[$€£]?\d[\d,. ]*%?\)?$")
 
 
 def head(spark: SparkSession, path: str, n: int = HEAD_BYTES) -> bytes:
-    """The first bytes of a file."""
-    found = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n).alias("c")).first()
-    return bytes(found["c"]) if found else b""
+    """The first bytes of a file (of a folder or pattern: of its first file), through Spark's file systems; no more is read.
+
+    What gzip or bzip2 has packed is unpacked.
+    """
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((f for f in fs.globStatus(at) or ()), key=lambda f: f.getPath().toString())
+    while found and found[0].isDirectory():
+        inner = [f for f in fs.listStatus(found[0].getPath()) if not f.getPath().getName().startswith(("_", "."))]
+        found = sorted(inner, key=lambda f: f.getPath().toString())
+    if not found:
+        return b""
+    stream = fs.open(found[0].getPath())
+    try:
+        data = bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+    if data.startswith(b"\x1f\x8b"):
+        return zlib.decompressobj(31).decompress(data, n)
+    if data.startswith(b"BZh"):
+        return bz2.BZ2Decompressor().decompress(data, n)
+    return data
 
 
 def sniff_encoding(data: bytes) -> str:
@@ -151,18 +174,45 @@ def unique_headers(names: list[str]) -> list[str]:
     return out
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header: bool | None = None, order: str = "_row_id", cut_footer: bool = True, limit: int | None = None) -> DataFrame:
-    """All cells as text under found or given layout, with a row number column.
+def _cuts(delimiter: str) -> tuple[str, str]:
+    """Patterns of an opening quote that its line never closes, and of a whole quoted cell."""
+    d = re.escape(delimiter)
+    return rf'(^|{d})"(?=[^"]*$)', r'"(?:[^"]|"")*"'
+
+
+def repair_line(line: str, delimiter: str) -> str:
+    """A line without the opening quote that it never closes."""
+    return re.sub(_cuts(delimiter)[0], r"\1", line) if line.count('"') % 2 else line
+
+
+def stray_quotes(lines: list[str], delimiter: str) -> bool:
+    """Whether lines with an odd number of quotes hold stray ones, not cells with line breaks: without them each is a whole row."""
+    odd = [x for x in lines if x.count('"') % 2]
+    counts = Counter(len(split_line(x, delimiter)) for x in lines if x.strip() and x.count('"') % 2 == 0)
+    return bool(odd and counts) and all(len(split_line(repair_line(x, delimiter), delimiter)) >= counts.most_common(1)[0][0] for x in odd)
+
+
+@dataclass
+class Layout:
+    """How a delimited file is laid out, from its head."""
+
+    encoding: str
+    delimiter: str
+    names: list[str]
+    skip: int  # the header's record; -1 without a header
+    multiline: bool
+
+
+def layout_of(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header: bool | None = None) -> Layout:
+    import csv
 
-    Rows are padded or cut to the header's width.  The row number follows the
-    file order: partition index first, then the place in the partition.
-    """
     data = head(spark, path)
     encoding = encoding or sniff_encoding(data)
-    text = data.decode({"windows-1252": "cp1252"}.get(encoding, encoding), "replace").lstrip("﻿")
+    text = data.decode({"windows-1252": "cp1252"}.get(encoding, encoding), "replace").lstrip("\ufeff")
     delimiter = delimiter or sniff_delimiter(text)
-    import csv
-
+    physical = text.splitlines()
+    if stray_quotes(physical[:200], delimiter):
+        text = "\n".join(repair_line(x, delimiter) for x in physical)
     lines = [r for r in csv.reader(io.StringIO(text), delimiter=delimiter) if r][:60]
     rows = [r for r in lines if any(c.strip() for c in r)][:30]
     found = find_header(rows) if header is not False else None
@@ -172,24 +222,60 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
         found = merged_header(rows, *found)
     width = len(found[1]) if found else max((len(r) for r in rows), default=1)
     names = found[1] if found else [f"column_{i + 1}" for i in range(width)]
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    # Cells with line breaks keep a file in one task; without any in the head it can be read in splits.
-    broken = any("\n" in c for r in lines for c in r)
-    body = spark.read.schema(schema).csv(path, sep=delimiter, header=False, multiLine=broken, quote='"', escape='"', encoding="ISO-8859-1" if encoding == "windows-1252" else encoding, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=True)
+    return Layout(encoding, delimiter, names, lines.index(rows[found[0]]) if found else -1, any("\n" in c for r in lines for c in r))
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header: bool | None = None, order: str = "_row_id", cut_footer: bool = True, limit: int | None = None) -> DataFrame:
+    """All cells as text under found or given layout, with a row number column.
+
+    Rows are padded or cut to the header's width (``ragged`` counts them).  A
+    quote that its line never closes is dropped, unless cells have line breaks.
+    The row number follows the file order: partition index first, then the place
+    in the partition.
+    """
+    at = layout_of(spark, path, delimiter, encoding, header)
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(at.names))])
+    # Cells with line breaks keep a file in one task; without any in the head it is read line by line, in splits.
+    if at.multiline or at.encoding not in ("utf-8", "utf-8-sig", "ascii", "UTF-8"):
+        body = spark.read.schema(schema).csv(path, sep=at.delimiter, header=False, multiLine=at.multiline, quote='"', escape='"', encoding="ISO-8859-1" if at.encoding == "windows-1252" else at.encoding, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=True)
+    else:
+        line = F.regexp_replace("value", "^\ufeff", "")
+        whole = F.when(F.length(F.regexp_replace(line, '[^"]', "")) % 2 == 1, F.regexp_replace(line, _cuts(at.delimiter)[0], "$1")).otherwise(line)
+        options = {"sep": at.delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        body = lines.select(F.from_csv(whole, schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("r")).select("r.*")
     numbered = body.withColumn(order, F.monotonically_increasing_id())
-    if found:
+    if at.skip >= 0:
         # Titles and header are the first records of the file, and so the first row numbers.
-        numbered = numbered.where(F.col(order) > F.lit(lines.index(rows[found[0]])))
-    cells = numbered.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], order)
+        numbered = numbered.where(F.col(order) > F.lit(at.skip))
+    cells = numbered.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(at.names)], order)
     empty = F.lit(True)
-    for n in names:
+    for n in at.names:
         empty = empty & (F.trim(F.coalesce(F.col(f"`{n}`"), F.lit(""))) == "")
     out = cells.where(~empty)
-    if cut_footer and found:
-        out = without_footer(out, names, order)
+    if cut_footer and at.skip >= 0:
+        out = without_footer(out, at.names, order)
     return out.orderBy(order).limit(limit) if limit is not None else out
 
 
+def ragged(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None) -> DataFrame:
+    """One row: lines of a delimited file, short ones (padded), long ones (cut), the filled cells that these lose, lines with a stray quote.
+
+    For files whose cells have no line breaks.
+    """
+    at = layout_of(spark, path, delimiter, None, header)
+    width = len(at.names)
+    value = F.col("value")
+    odd = F.length(F.regexp_replace(value, '[^"]', "")) % 2 == 1
+    stray, cell = _cuts(at.delimiter)
+    whole = F.when(odd, F.regexp_replace(value, stray, "$1")).otherwise(value)
+    parts = F.split(F.regexp_replace(whole, cell, "q"), re.escape(at.delimiter), -1)
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.size(parts).alias("n"), (odd & (whole != value)).alias("stray"), F.when(F.size(parts) > width, F.size(F.filter(F.slice(parts, width + 1, F.size(parts)), lambda x: F.trim(x) != ""))).otherwise(0).alias("extra"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("n") < width).alias("padded"), F.count_if(F.col("extra") > 0).alias("cut"), F.coalesce(F.sum("extra"), F.lit(0)).alias("lost_cells"), F.count_if("stray").alias("stray_quotes")
+    )
+
+
 def flatten(df: DataFrame) -> DataFrame:
     """Structs to dotted columns, arrays and maps to JSON text."""
     while True:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lathework import check
 from lathework.functions import by_example
 from lathework.operators import charts, profile, timeseries
+from lathework.sources import readers
 
 
 def test_formulas_from_examples(spark):
@@ -86,3 +87,20 @@ def test_class_edges(spark):
     assert charts.class_breaks(df, "v", 5, "pretty") == [0.0, 20.0, 40.0, 60.0, 80.0, 100.0]
     assert np.allclose(charts.class_breaks(df, "v", 2, "log"), [1, 97**0.5, 97])
     assert charts.class_breaks(df, "v", 3, "manual", [10, 50, 500]) == [1.0, 10, 50, 97.0]
+
+
+def test_stray_quotes_and_ragged_rows(spark, tmp_path):
+    rows = [f'{i},"a, b {i}",{i * 2}' for i in range(50)]
+    rows[7] = '7,"open and never closed,14'
+    rows[20] = '20,5" pipe,40'
+    rows[30] = "30,short"
+    rows[31] = "31,x,62,more,,again"
+    rows[32] = "32,x,64,,"
+    (tmp_path / "t.csv").write_text("id,what,n\n" + "\n".join(rows) + "\n")
+    at = str(tmp_path / "t.csv")
+    got = {r.id: (r.what, r.n) for r in readers.read_delimited(spark, at).collect()}
+    assert len(got) == 50 and got["7"] == ("open and never closed", "14") and got["20"] == ('5" pipe', "40") and got["3"] == ("a, b 3", "6")
+    assert got["30"] == ("short", None) and got["31"] == ("x", "62")
+    assert tuple(readers.ragged(spark, at).first()) == (51, 1, 1, 2, 1)
+    (tmp_path / "m.csv").write_text('id,what\n1,"two\nlines"\n2,"one"\n')
+    assert [r.what for r in readers.read_delimited(spark, str(tmp_path / "m.csv")).collect()] == ["two\nlines", "one"]
