@@ -284,6 +284,43 @@ def check_table(df: DataFrame, columns: list[str] | None = None, more: list[Chec
     return df.sparkSession.createDataFrame(rows, "dimension string, check string, column string, passed bigint, failed bigint, na bigint, optional boolean")
 
 
+#: Share of a column's cells that a conversion may blank; fixed value.
+MOST_LOST = 0.1
+
+
+def suggestions(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """What could be done, one row each: kind, column, rows it touches, whether it is held back as it would lose too much.
+
+    Conversions of texts that read as numbers or dates, one date format or order,
+    numbers without signs, one spelling a value, placeholders as blanks, wrongly
+    decoded text, impossible values, codes for missing numbers, empty columns,
+    duplicate rows.
+    """
+    facts = find(df, columns)
+    results = checks(df, facts)
+    aggs = [F.count_if(F.coalesce(dict((c, b) for c, _, _, b in _findings(f))["placeholder"], F.lit(False))).alias(f"p{i}") for i, f in enumerate(facts) if f.text and not f.empty]
+    held = df.agg(*aggs).first() if aggs else {}
+    rows: list[tuple[str, str | None, int, bool]] = []
+    for i, f in enumerate(facts):
+        n, filled = f.counts, f.rows - f.nulls
+        if f.empty:
+            rows.append(("drop", f.column, f.rows, False))
+            continue
+        if f.text and held[f"p{i}"]:
+            rows.append(("blank placeholders", f.column, held[f"p{i}"], False))
+        if f.intended:
+            rows.append((f"convert to {f.intended}", f.column, filled, n["nonconforming"] > MOST_LOST * filled))
+        for kind, count in (("one date format", n.get("minority")), ("choose a date order", n.get("minority_order")), ("strip signs", n.get("symbols")), ("merge spellings", n.get("spellings")), ("repair text", n.get("garbled")), ("review values", n.get("outside")), ("review format", n.get("off"))):
+            if count:
+                rows.append((kind, f.column, count, False))
+        if not f.text and profile.is_number(df, f.column):
+            rows += [(f"missing code {r['value']:g}", f.column, r["n"], False) for r in review.sentinels(df, f.column).collect()]
+    copies = next(c for c in results if c.check == "uniqueness.rows")
+    if copies.failed:
+        rows.append(("remove duplicates", None, copies.failed, False))
+    return df.sparkSession.createDataFrame(rows, "kind string, column string, rows bigint, blocked boolean")
+
+
 # -- rows and cells -----------------------------------------------------------
 
 

@@ -743,6 +743,13 @@ def dq_scorecard(spark, d):
     return scorecard.score(_flawed(spark, d)).select(r("score", 6), r("completeness", 6), r("validity", 6), "uniqueness", r("consistency", 6))
 
 
+@query(_FLAWED + """, n AS (SELECT count(*) AS n, count(*) FILTER (holder) AS holder, count(*) FILTER (variant) AS variant, count(*) FILTER (symbol) AS symbol, count(*) FILTER (oops) AS oops, count(*) FILTER (off) AS off, count(*) FILTER (minor) AS minor, count(*) FILTER (old) AS old FROM g)
+SELECT 'blank placeholders' AS kind, 'segment' AS "column", holder AS rows, false AS blocked FROM n UNION ALL SELECT 'merge spellings', 'segment', variant, false FROM n UNION ALL SELECT 'convert to number', 'amount', n, oops > 0.1 * n FROM n UNION ALL SELECT 'strip signs', 'amount', symbol, false FROM n
+UNION ALL SELECT 'review format', 'code', off, false FROM n UNION ALL SELECT 'convert to date', 'day', n, false FROM n UNION ALL SELECT 'one date format', 'day', minor, false FROM n UNION ALL SELECT 'review values', 'age', old, false FROM n""")
+def dq_suggestions(spark, d):
+    return scorecard.suggestions(_flawed(spark, d), ["segment", "amount", "code", "day", "age"])
+
+
 @query(_FLAWED + """SELECT count(*) FILTER (holder OR variant OR oops OR off OR minor OR symbol) AS affected, count(*) AS rows FROM g""")
 def dq_findings_rows(spark, d):
     df = _flawed(spark, d)

@@ -85,3 +85,21 @@ def test_checks_asked_for(spark):
     assert S.key(df, ["a"]) == S.Check("uniqueness", "uniqueness.key", "a", 4, 1)
     assert S.fresh(df, "t", "2023-01-01") == S.Check("timeliness", "timeliness.fresh", "t", 3, 1, 1)
     assert S.reference(df, "d", "weekday") == S.Check("accuracy", "accuracy.reference", "d", 4, 1)
+
+
+def test_suggestions_follow_the_findings(spark):
+    df = flawed(spark).withColumn("blank", F.lit(None).cast("string")).withColumn("score", F.when(F.col("k") % 20 == 0, -999).otherwise(F.col("k") % 50))
+    got = {(r.kind, r.column): (r["rows"], r.blocked) for r in S.suggestions(df, ["colour", "amount", "code", "day", "age", "blank", "score"]).collect()}
+    oops = sum(i % 9 != 0 and i % 8 == 0 for i in rows())
+    assert got == {
+        ("blank placeholders", "colour"): (sum(i % 17 == 0 and i % 10 != 0 for i in rows()), False),
+        ("merge spellings", "colour"): (40, False),
+        ("convert to number", "amount"): (400, oops > 40),
+        ("strip signs", "amount"): (sum(i % 9 == 0 for i in rows()), False),
+        ("review format", "code"): (20, False),
+        ("convert to date", "day"): (400, False),
+        ("one date format", "day"): (sum(i % 7 == 0 for i in rows()), False),
+        ("review values", "age"): (8, False),
+        ("drop", "blank"): (400, False),
+        ("missing code -999", "score"): (20, False),
+    }
