@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, skewed_join, slices, written
+from .common import mix64, skewed_join, slices, tidy, written
 from .components import components
 
 BANDS, ROWS = 32, 4
 SHINGLE = 4
 NUMERATOR, DENOMINATOR = 80, 100
-BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 MEMBERS = 2048
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -252,7 +252,9 @@ def _rest(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
             t.column("node").to_pylist(), t.column("label").to_pylist(), t.column("set").to_pylist(),
             [o == i for o in t.column("own").to_pylist()],
         )
-        return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
+        out = pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
+        tidy()
+        return out
 
     return rows.groupBy("key", "i", "j").applyInArrow(compare, "u bigint, v bigint")
 
