@@ -99,15 +99,18 @@ def small_batches(spark: SparkSession, wide: bool = False):
                 spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None, wide: str = "") -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None, wide: str = "", few: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
 
     Spark's committer writes it, so a lost executor costs only its tasks.
-    ``wide``: rows of megabytes are "read" by it or "written".
+    ``wide``: rows of megabytes are "read" by it or "written".  ``few``: many
+    tasks give a few rows each, which are brought together first; on a local
+    file system without Hadoop's native library the executor launches three
+    processes for every file.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    writer = df.write.mode("overwrite").option("compression", "zstd")
+    writer = (df.hint("rebalance") if few else df).write.mode("overwrite").option("compression", "zstd")
     if wide == "written":
         writer = writer.options(**_WIDE_PAGES)
     with small_batches(spark, wide == "read"):

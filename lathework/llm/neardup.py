@@ -274,9 +274,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     close = F.lit(DENOMINATOR) * F.least("n", "leader_n") >= F.lit(NUMERATOR) * F.greatest("n", "leader_n")
     pairs = written(buckets.where(close & (F.col("node") != F.col("leader"))).select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
     sets = written(_sets(docs, buckets.select("node").distinct(), key, text, size), "sets")
-    links = written(_verified(pairs, sets), "links")
+    links = written(_verified(pairs, sets), "links", few=True)
     labels = components(links)
-    more = written(_rest(buckets, labels, sets), "links")
+    more = written(_rest(buckets, labels, sets), "links", few=True)
     copies = skewed_join(has.select(own.alias("u"), "print"), classes.select("print", "node", "m"), "print", "m").select("u", F.col("node").alias("v"))
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))

@@ -257,6 +257,14 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000}
 
 
+def test_few_rows_of_many_tasks_are_one_file(spark):
+    df = spark.range(0, 40, 1, 20)
+    t = common.written(df, "few", few=True)
+    assert len(t.inputFiles()) == 1
+    assert sorted(r.id for r in t.collect()) == list(range(40))
+    assert common.written(df.where("id < 0"), "few", few=True).count() == 0
+
+
 def test_forest_joins_what_pairs_would():
     rng = np.random.default_rng(1)
     base = np.sort(rng.integers(0, 2**63, 200, dtype=np.uint64))
