@@ -74,24 +74,56 @@ def _alternate(at: np.ndarray, twice: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _batch(pairs: np.ndarray, symbols: int) -> tuple[bytearray, list[int]]:
-    """Of ``pairs`` in order those that fit together, and each symbol's side: 1 left, 2 right, 3 both (its own pair)."""
-    side = bytearray(symbols)
+def _batch(left: np.ndarray, right: np.ndarray, symbols: int) -> np.ndarray:
+    """Of the pairs in order those that fit together: no symbol is a left one of some and a right one of others."""
+    side = bytearray(symbols)  # 1 left, 2 right, 3 both (its own pair)
     taken = []
-    for i, (a, b) in enumerate(zip((pairs >> _HIGH).tolist(), (pairs & _LOW).tolist(), strict=True)):
-        if a == b:
-            if not side[a]:
-                side[a] = 3
-                taken.append(i)
-        elif side[a] < 2 and side[b] in (0, 2):
-            side[a], side[b] = 1, 2
-            taken.append(i)
-    return side, taken
+    take = taken.append
+    i = 0
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+        x = side[a]
+        if x < 2:
+            if a == b:
+                if not x:
+                    side[a] = 3
+                    take(i)
+            else:
+                y = side[b]
+                if y == 2:
+                    side[a] = 1
+                    take(i)
+                elif not y:
+                    side[a], side[b] = 1, 2
+                    take(i)
+        i += 1
+    return np.array(taken, np.int64)
+
+
+def _grouped(left: np.ndarray, right: np.ndarray, at: np.ndarray, symbols: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places ``at`` by pair (left, then right, then place), each pair's first row there, and its count."""
+    wide, places = symbols.bit_length(), length.bit_length()
+    pair = left.astype(np.int64)
+    pair <<= wide
+    pair |= right
+    if 2 * wide + places < 64:
+        # A pair and its place are one number.
+        pair <<= places
+        pair |= at
+        pair.sort()
+        at = pair & ((1 << places) - 1)
+        pair >>= places
+    else:
+        order = np.argsort(pair, kind="stable")
+        at, pair = at[order], pair[order]
+    new = np.ones(len(pair), bool)
+    np.not_equal(pair[1:], pair[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return at, first, np.diff(first, append=len(pair))
 
 
 def grammar(ids: np.ndarray, terminals: int, least: int = LEAST, ratio: int = RATIO) -> tuple[np.ndarray, np.ndarray]:
     """What Re-Pair leaves of ``ids``, and the rules' pairs (left << 32 | right); rule k is the symbol ``terminals + k``."""
-    s = ids.astype(np.int64)
+    s = ids.astype(np.int32 if terminals + len(ids) < 1 << 31 else np.int64)
     n = terminals
     # How often each symbol stands there: a pair is no more frequent than either.
     often = np.zeros(terminals + len(s), np.int64)
@@ -100,72 +132,57 @@ def grammar(ids: np.ndarray, terminals: int, least: int = LEAST, ratio: int = RA
     rules: list[np.ndarray] = []
     # What was too rare at this level stays so: after a batch only pairs with a new symbol and
     # pairs that did not fit into the batch are counted again.
-    fresh, rest = None, np.empty(0, np.int64)
+    fresh, rest = None, None
     while len(s) > 1:
-        mark = (often[:n] >= level).astype(np.uint8)
+        mark = (often[:n] >= level).view(np.uint8)
         if fresh is not None:
             mark[fresh:] |= 2
-            mark[rest >> _HIGH] |= 4
-            mark[rest & _LOW] |= 8
+            mark[rest[0]] |= 4
+            mark[rest[1]] |= 8
         f = np.take(mark, s)
         x, y = f[:-1], f[1:]
         held = x & y & 1
         if fresh is not None:
             held &= (x | y) >> 1 | x >> 2 & y >> 3
         at = np.flatnonzero(held.view(bool))
-        pair, right = np.take(s, at), np.take(s[1:], at)
-        twice = pair == right
-        pair <<= _HIGH
-        pair |= right
+        left, right = np.take(s, at), np.take(s[1:], at)
+        twice = left == right
         if twice.any():
-            pair = pair[_alternate(at, twice)]
-        pair.sort()
-        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.empty(0, np.int64)
-        count = np.diff(np.append(first, len(pair)))
+            keep = _alternate(at, twice)
+            at, left, right = at[keep], left[keep], right[keep]
+        at, first, count = _grouped(left, right, at, n, len(s))
         top = np.flatnonzero(count >= level)
         if not len(top):
             if level == least:
                 break
             level, fresh = max(least, level // ratio), None
             continue
-        pairs, count = pair[first[top]], count[top]
-        order = np.argsort(-count, kind="stable")
-        pairs, count = pairs[order], count[order]
-        side, taken = _batch(pairs, n)
-        left = np.ones(len(pairs), bool)
-        left[taken] = False
-        fresh, rest = n, pairs[left]
-        pairs, count = pairs[taken], count[taken]
-        s = _replace(s, pairs, np.frombuffer(side, np.uint8), n)
-        gone = np.bincount(pairs >> _HIGH, count, n) + np.bincount(pairs & _LOW, count, n)
-        often[:n] -= gone.astype(np.int64)
-        often[n : n + len(pairs)] = count
-        n += len(pairs)
-        rules.append(pairs)
+        top = top[np.argsort(-count[top], kind="stable")]
+        first, count = first[top], count[top]
+        left, right = np.take(s, at[first]).astype(np.int64), np.take(s[1:], at[first]).astype(np.int64)
+        taken = _batch(left, right, n)
+        other = np.ones(len(top), bool)
+        other[taken] = False
+        fresh, rest = n, (left[other], right[other])
+        left, right, first, count = left[taken], right[taken], first[taken], count[taken]
+        s = _replace(s, at, first, count, n)
+        np.subtract.at(often, left, count)
+        np.subtract.at(often, right, count)
+        often[n : n + len(taken)] = count
+        n += len(taken)
+        rules.append(left << _HIGH | right)
     return s, np.concatenate(rules) if rules else np.empty(0, np.int64)
 
 
-def _replace(s: np.ndarray, pairs: np.ndarray, side: np.ndarray, first: int) -> np.ndarray:
-    """``s`` (changed) with each occurrence of ``pairs[k]`` replaced by the symbol ``first + k``."""
-    sides = np.take(side, s)
-    x, y = sides[:-1], sides[1:]
-    at = np.flatnonzero(((x == 1) & (y == 2)) | ((x == 3) & (y == 3)))
-    found, right = np.take(s, at), np.take(s[1:], at)
-    twice = found == right
-    found <<= _HIGH
-    found |= right
-    order = np.argsort(pairs)
-    held = pairs[order]
-    k = np.searchsorted(held, found)
-    k[k == len(held)] = 0
-    hit = np.take(held, k) == found
-    at, k, twice = at[hit], k[hit], twice[hit]
-    if twice.any():
-        keep = _alternate(at, twice)
-        at, k = at[keep], k[keep]
-    s[at] = first + order[k]
+def _replace(s: np.ndarray, at: np.ndarray, first: np.ndarray, count: np.ndarray, symbol: int) -> np.ndarray:
+    """``s`` (changed) with pair k, at the ``count[k]`` places in ``at`` from ``first[k]`` on, replaced by ``symbol + k``."""
+    ends = np.cumsum(count)
+    rows = np.repeat(first - (ends - count), count)
+    rows += np.arange(len(rows))
+    places = np.take(at, rows)
+    s[places] = np.repeat(np.arange(symbol, symbol + len(count), dtype=s.dtype), count)
     keep = np.ones(len(s), bool)
-    keep[at + 1] = False
+    keep[places + 1] = False
     return s[keep]
 
 
@@ -318,10 +335,11 @@ def write_files(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
 
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                for k, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    held.append(encode.encode(t or "") + end)
+            for lo in range(0, batch.num_rows, 2000):
+                some = batch.slice(lo, 2000)
+                texts = [t or "" for t in some.column(1).to_pylist()]
+                for k, ids in zip(some.column(0).to_pylist(), encode.encode_many(texts), strict=True):
+                    held.append(ids + end)
                     keys.append(k)
                     size += len(held[-1]) // 4
                     if size >= FILE_IDS:

@@ -597,6 +597,40 @@ def test_piecewise_ids_are_the_library_s(name, spaced):
         assert e.encode(t) == e.whole(t), repr(t)
 
 
+def test_texts_divided_together_have_the_ids_of_each(monkeypatch):
+    e = tokens.WordEncoder(tokens.default_path("word_bpe_49k.json"), False)
+    rng = random.Random(11)
+    parts = ["'", "''", "'s", "'T", "'re", "'ve", "'ll", "'lx", "'m", "'d", "'r", "'v", "don't", "we'Re9", "a'sb", "7", "42", "x1y", "É", "ÿß", ",", "...", "-'s", "'s's", " ", "  ", "\n", "\t\r", "Word", "<", "|"]
+    texts = ["", " ", "'", "'s", "'l", "end'", "'ll", *("".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(400))]
+    texts += ["日本 café", "a <|endoftext|> b", "\x1c odd", "nul\0here", "'s " * 30]
+    want = [e.whole(t) for t in texts]
+    assert e.encode_many(texts) == want == [e.encode(t) for t in texts]
+    monkeypatch.setattr(tokens, "GROUP", 20)
+    assert e.encode_many(texts) == want
+    assert e.encode_many([]) == [] and e.encode_many([""]) == [b""]
+
+
+def test_a_piece_is_encoded_once_for_texts_divided_together(monkeypatch):
+    monkeypatch.setattr(tokens, "KEEP", 0)
+    e = tokens.WordEncoder(tokens.default_path("word_bpe_49k.json"), False)
+    asked, own = [], e.plain.ids
+    e.plain.ids = lambda piece: asked.append(piece) or own(piece)
+    e.encode_many(["aa bb aa", "bb, AA"])
+    assert sorted(asked) == [",", "aa", "bb"]
+
+
+@pytest.mark.parametrize("symbols", [40, 1 << 30])
+def test_places_by_pair_whatever_the_symbols(symbols):
+    rng = np.random.default_rng(5)
+    s = rng.integers(0, 6, 300)
+    at = np.flatnonzero(s[:-1] != s[1:])
+    places, first, count = repair_ids._grouped(s[at], s[at + 1], at, symbols, len(s))
+    want = collections.defaultdict(list)
+    for i in at.tolist():
+        want[s[i], s[i + 1]].append(i)
+    assert [places[a : a + n].tolist() for a, n in zip(first.tolist(), count.tolist(), strict=True)] == [want[k] for k in sorted(want)]
+
+
 def test_compression_round_trip_and_random_access():
     rng = np.random.default_rng(5)
     for n in (0, 1, 2, 3, 50, 5000):
