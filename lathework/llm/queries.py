@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, html_extract, langid, neardup, oracles, packing, quality, repair_ids, secrets_scan, shards
+from . import ann, decontam, fingerprints, html_extract, langid, neardup, oracles, packing, quality, ranked, repair_ids, secrets_scan, shards, whitening
 from .common import table
 
 
@@ -73,6 +73,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_all(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_main_text": op1_main_text,
@@ -85,8 +97,11 @@ def queries() -> dict:
         "op8_token_ids": op8_token_ids,
         "op9_fingerprints": op9_fingerprints,
         "op10_quality": op10_quality,
+        "op11_nearest": op11_nearest,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_duplicates": oracles.OP3, "op5_decontamination": oracles.OP5}
+    return {"op3_near_duplicates": oracles.OP3, "op5_decontamination": oracles.OP5, "op12_ranked_search": oracles.OP12}
