@@ -21,8 +21,8 @@ so, in toxic texts among about ``LABELLED_ROWS`` labelled ones at most.
 The label model knows no truth.  Expectation-maximisation estimates from the
 votes alone how often each labeller that votes is right about either class; both
 rates are free, with priors of ``PRIOR`` texts.  Votes are counted over all rows;
-equal vote vectors are one row of the counts, so what reaches the driver is
-bounded by the number of vote vectors that occur.
+equal vote vectors of a question are one row of the counts, so what reaches the
+driver is bounded by the number of vote vectors of its labellers.
 
 The posteriors of a sample of ``SAMPLE_ROWS`` texts (by the hash of the text)
 train a logistic scorer over hashed words and bad votes.  Only buckets that
@@ -32,7 +32,7 @@ any of the probabilities reaches ``THRESHOLD``.
 
 Defined results: a null or empty text, or one without a word, has no evidence
 against it: all probabilities are 0 and it is kept; equal rows get equal
-results; without labelled rows nothing is learnt from them; an empty table gives
+results; texts of any length are read whole; without labelled rows nothing is learnt from them; an empty table gives
 no row; a sample of one class only leaves the label model's posterior to decide.
 """
 
@@ -61,7 +61,7 @@ KEEP = 250_000
 SCREEN = 6.0
 THRESHOLD = 0.5
 
-#: Common English insults; fixed values.
+#: Common English insults: an own list, the heuristic that needs no labelled row.
 INSULTS = frozenset(
     "bastard bitch bozo clown coward creep crook cretin disgusting dimwit dolt dumb dumbass dunce fool freak garbage "
     "halfwit idiot idiotic ignoramus imbecile jackass jerk liar loser lowlife lunatic maggot moron moronic nitwit "
@@ -158,10 +158,11 @@ def _weighed(value: float) -> int:
     return BAD if value > 3 else GOOD if value < 1 else ABSTAIN
 
 
-def votes(text: str, words: list[str], own: set[str], found: list[int], learnt: Lexicons) -> tuple[list[int], list[int], list[int]]:
+def votes(text: str, words: list[str], own: Counter[str], found: list[int], learnt: Lexicons) -> tuple[list[int], list[int], list[int]]:
     """The labellers' votes on a text with words, for each question.
 
-    ``own`` are its different words, ``found`` what is known of those of which something is.
+    ``own`` are its different words with their counts, ``found`` what is known of those of which something is.
+    Every labeller that does not abstain (for want of words or of a lexicon) is computed on the text itself.
     """
     data = text.encode("utf-8", "surrogatepass")
     parts = text.split()
@@ -169,6 +170,7 @@ def votes(text: str, words: list[str], own: set[str], found: list[int], learnt:
     capitals = len(data) - len(data.translate(None, _CAPITALS))
     small = len(data) - len(data.translate(None, _SMALL))
     symbols = len(data) - len(data.translate(None, _SYMBOLS))
+    # The plain count is a part of the full one and need not be exceeded once it is enough for a good vote.
     ends = text.count(". ") + text.count(", ") + text.count(".\n") + text.count(",\n")
     if ends < 0.04 * n:
         ends = len(_ENDS.findall(text))
@@ -180,7 +182,7 @@ def votes(text: str, words: list[str], own: set[str], found: list[int], learnt:
         _vote(len(_MARKED.findall(text)) / n if symbols else 0.0, 0.15, 0.3) if n >= 5 else ABSTAIN,
         _vote(letters / len("".join(parts)), 0.93, 0.88) if long_text else ABSTAIN,
         _vote(upper, 0.4, 0.6) if letters >= 20 else ABSTAIN,
-        _vote(sum(map(str.isupper, parts)) / n if upper > 0.2 else 0.0, 0.4, 0.6) if n >= 5 else ABSTAIN,
+        _vote(sum(map(str.isupper, parts)) / n, 0.4, 0.6) if n >= 5 else ABSTAIN,
         _vote(text.count("!!") / n, 0.1, 0.3) if n >= 5 else ABSTAIN,
         _vote(parts.count("|") / n if symbols else 0.0, 0.1, 0.2) if long_text else ABSTAIN,
         _vote(m / n, 0.85, 0.7) if long_text else ABSTAIN,
@@ -188,13 +190,13 @@ def votes(text: str, words: list[str], own: set[str], found: list[int], learnt:
     ]
     repeats = [ABSTAIN] * 4
     if m >= 12:
-        distinct = len(own) / m
-        repeats = [_vote(distinct, 0.3, 0.22), GOOD, GOOD, GOOD]
-        # With so many different words the others are good.
-        if distinct < 0.35:
-            repeats[1] = _vote(sum(map(str.__eq__, words, words[1:])) / m, 0.1, 0.25)
-            repeats[2] = _vote(len(set(zip(words, words[1:]))) / m, 0.55, 0.4)
-            repeats[3] = _vote(max(Counter(words).values()) / m, 0.1, 0.15)
+        after = words[1:]
+        repeats = [
+            _vote(len(own) / m, 0.3, 0.22),
+            _vote(sum(map(str.__eq__, words, after)) / m, 0.1, 0.25),
+            _vote(len(set(zip(words, after))) / m, 0.55, 0.4),
+            _vote(max(own.values()) / m, 0.1, 0.15),
+        ]
     hits, whole, insults = (sum(1 for x in found if x & bit) for bit in (_BEGUN, _WHOLE, _INSULT)) if found else (0, 0, 0)
     toxic = [_weighed(evidence(insults, m)), ABSTAIN, ABSTAIN, GOOD]
     if learnt.beginnings.found:
@@ -202,6 +204,7 @@ def votes(text: str, words: list[str], own: set[str], found: list[int], learnt:
         toxic[1] = BAD if value > 5 else GOOD if value < 2 else ABSTAIN
     if learnt.words.found:
         toxic[2] = _weighed(learnt.words.evidence(whole, m))
+    # Fewer than two hits cannot stand close together: that is this labeller's own answer, good.
     if hits + insults >= 2:
         at = [i for i, w in enumerate(words) if learnt.known[w] & (_BEGUN | _INSULT)]
         close = sum(b - a <= CLOSE for a, b in zip(at, at[1:], strict=False))
@@ -280,7 +283,7 @@ def marks(codes: tuple[int, ...]) -> list[int]:
     return [b for code, own in zip(codes, _MARKS, strict=True) for b, x in zip(own, _vector(code, len(own)), strict=True) if x == BAD]
 
 
-def features(own: set[str], codes: tuple[int, ...]) -> np.ndarray:
+def features(own: Counter[str], codes: tuple[int, ...]) -> np.ndarray:
     """The distinct buckets of a text's words and bad votes."""
     return np.unique(np.array([*map(bucket, own), *marks(codes)], np.int32))
 
@@ -332,10 +335,10 @@ class Scorer:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
 
-def parse(text: str | None, known: Known) -> tuple[list[str], set[str], list[int]]:
-    """A text's words, the different ones, and what is known of those of which something is."""
+def parse(text: str | None, known: Known) -> tuple[list[str], Counter[str], list[int]]:
+    """A text's words, the different ones with their counts, and what is known of those of which something is."""
     words = _WORD.findall((text or "").lower())
-    own = set(words)
+    own = Counter(words)
     return words, own, list(filter(None, map(known.__getitem__, own)))
 
 
@@ -435,20 +438,17 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
 
     def cast_votes(batches):
         for batch in slices(batches, 2048):
-            n = Counter(codes for _, codes in coded(batch.column(0).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(pa.array([c[k] for c in n], pa.int64()) for k in range(len(names))), pa.array(list(n.values()), pa.int64())], names=[*names, "n"])
+            n = Counter((k, code) for _, codes in coded(batch.column(0).to_pylist()) for k, code in enumerate(codes))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in n], pa.int32()), pa.array([c for _, c in n], pa.int64()), pa.array(list(n.values()), pa.int64())], names=["question", "code", "n"])
         learnt.known.clear()
 
     rows = docs.select(F.col(text).cast("string").alias("_t"))
     schema = ", ".join(f"{x} bigint" for x in names)
-    counts = rows.mapInArrow(cast_votes, f"{schema}, n bigint").groupBy(*names).agg(F.sum("n").alias("n")).collect()
-    models = []
-    for x, labellers in zip(names, QUESTIONS.values(), strict=True):
-        seen = Counter()
-        for r in counts:
-            seen[r[x]] += r["n"]
-        models.append(LabelModel(len(labellers)).fit(dict(seen)))
-    total = sum(r["n"] for r in counts)
+    # Three to the power of a question's labellers is the most that comes to the driver for it.
+    counts = sorted(rows.mapInArrow(cast_votes, "question int, code bigint, n bigint").groupBy("question", "code").agg(F.sum("n").alias("n")).collect())
+    seen = [{r["code"]: r["n"] for r in counts if r["question"] == k} for k in range(len(names))]
+    models = [LabelModel(len(labellers)).fit(own) for own, labellers in zip(seen, QUESTIONS.values(), strict=True)]
+    total = sum(seen[0].values())
 
     def sampled(batches):
         for batch in slices(batches):

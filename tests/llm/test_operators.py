@@ -897,3 +897,106 @@ def test_quality_edges(spark):
     assert len(got) == len(EDGE)
     assert all(r.kept for r in got if r.doc_id in (1, 2, 3))
     assert quality.classify(empty_docs(spark), quality.fit(empty_docs(spark))).count() == 0
+
+
+PLAIN_WORD = re.compile(r"[^\W\d_]+")
+
+
+def plain_votes(text, learnt):
+    """Every labeller by its definition, one at a time, with no answer taken from another."""
+    B, G, A = quality.BAD, quality.GOOD, quality.ABSTAIN
+    up = lambda x, good, bad: B if x >= bad else G if x <= good else A
+    down = lambda x, good, bad: B if x <= bad else G if x >= good else A
+    words, parts = PLAIN_WORD.findall(text.lower()), text.split()
+    n, m, letters = len(parts), len(words), sum(map(len, words))
+    symbols = set("#$%&*|<>{}[]~^=_\\/@+!")
+    upper = sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text) / max(1, sum(c.isascii() and c.isalpha() for c in text))
+    ends = sum(1 for i, c in enumerate(text) if c in ".,;:!?\u2026\u061f\u060c\u06d4\u0964\u0965" and (i + 1 == len(text) or text[i + 1].isspace()) or c in "\u3001\u3002\uff01\uff0c\uff1b\uff1f")
+    marked = sum(1 for i, c in enumerate(text) if c in symbols and (i + 1 == len(text) or text[i + 1].isspace()))
+    noise = [
+        up(sum(c in symbols for c in text) / len(text), 0.06, 0.12),
+        up(marked / n, 0.15, 0.3) if n >= 5 else A,
+        down(letters / sum(map(len, parts)), 0.93, 0.88) if n >= 12 else A,
+        up(upper, 0.4, 0.6) if letters >= 20 else A,
+        up(sum(p.isupper() for p in parts) / n, 0.4, 0.6) if n >= 5 else A,
+        up(text.count("!!") / n, 0.1, 0.3) if n >= 5 else A,
+        up(sum(p == "|" for p in parts) / n, 0.1, 0.2) if n >= 12 else A,
+        down(m / n, 0.85, 0.7) if n >= 12 else A,
+        down(ends / n, 0.04, 0.02) if n >= 25 else A,
+    ]
+    pairs = [(words[i], words[i + 1]) for i in range(m - 1)]
+    repeats = [A] * 4
+    if m >= 12:
+        repeats = [down(len(set(words)) / m, 0.3, 0.22), up(sum(a == b for a, b in pairs) / m, 0.1, 0.25), down(len(set(pairs)) / m, 0.55, 0.4), up(max(words.count(w) for w in set(words)) / m, 0.1, 0.15)]
+    begun = lambda w: any(w.startswith(s) for s in learnt.beginnings.found)
+    ratio = lambda hits, bad, other: hits * np.log(bad / other) - m * (bad - other)
+    weighed = lambda v, good=1, bad=3: B if v > bad else G if v < good else A
+    own = set(words)
+    insults = sum(w in quality.INSULTS for w in own)
+    toxic = [weighed(ratio(insults, 0.017, 0.0003)), A, A, G]
+    if learnt.beginnings.found:
+        toxic[1] = weighed(ratio(sum(map(begun, own)), learnt.beginnings.toxic, learnt.beginnings.other), 2, 5)
+    if learnt.words.found:
+        toxic[2] = weighed(ratio(sum(w in learnt.words.found for w in own), learnt.words.toxic, learnt.words.other))
+    if sum(map(begun, own)) + insults >= 2:
+        at = [i for i, w in enumerate(words) if begun(w) or w in quality.INSULTS]
+        close = sum(b - a <= quality.CLOSE for a, b in zip(at, at[1:]))
+        toxic[3] = B if 2 * close >= len(at) else G if 4 * close < len(at) else A
+    return noise, repeats, toxic
+
+
+def odd_texts(n, seed=5):
+    """Prose, one word many times among different ones, capitals, bars, insults, other scripts."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    out = ["a b " * 40, " ".join([word() for _ in range(40)] + ["same"] * 60), "IT IS A " + "lowercaseword " * 6]
+    while len(out) < n:
+        body = [word() for _ in range(rng.randint(1, 120))]
+        for _ in range(rng.randint(0, 3)):
+            kind, k = rng.randrange(7), rng.randint(1, 60)
+            more = [[rng.choice(body)] * k, [w.upper() for w in rng.choices(body, k=k)], ["|"] * k, [rng.choice(sorted(quality.INSULTS)) for _ in range(k % 9)], ["!!!", "#", "a=b", "x@"] * (k % 7), ["日本語。", "été,", "Ну."] * (k % 9), ["badstem" + word() for _ in range(k % 6)]][kind]
+            at = rng.randrange(len(body) + 1)
+            body[at:at] = more
+        out.append(rng.choice([" ", ". ", ", ", "\n"]).join(body))
+    return out
+
+
+def test_every_labeller_is_computed_on_every_text():
+    learnt = quality.Lexicons(quality.Lexicon(frozenset({"badst"})), quality.Lexicon(frozenset({"same", "clown"})))
+    seen = collections.Counter()
+    for text in odd_texts(2000):
+        words, own, found = quality.parse(text, learnt.known)
+        if words:
+            got = quality.votes(text, words, own, found, learnt)
+            assert got == plain_votes(text, learnt), text
+            seen.update((q, k, v) for q, vs in enumerate(got) for k, v in enumerate(vs))
+    assert all(seen[q, k, v] for q, names in enumerate(quality.QUESTIONS.values()) for k in range(len(names)) for v in (quality.BAD, quality.GOOD))
+
+
+def plain_probabilities(text, model):
+    """The scorers over all of a text's words and bad votes, with the votes of ``plain_votes``."""
+    words = set(PLAIN_WORD.findall((text or "").lower()))
+    if not words:
+        return (0.0,) * 3
+    buckets = {quality.bucket(w) for w in words}
+    for names, own in zip(quality.QUESTIONS.values(), plain_votes(text, model.learnt)):
+        buckets |= {quality.bucket(f"#{name}") for name, v in zip(names, own) if v == quality.BAD}
+    return tuple(1 / (1 + np.exp(-np.clip(sum(float(s.weights[b]) for b in buckets) + s.bias, -30, 30))) for s in model.scorers)
+
+
+def test_classification_equals_the_plain_computation(spark):
+    rows, truth = quality_rows()
+    rows = rows + [(5000 + i, t) for i, t in enumerate(odd_texts(150, 9))] + [(6000, None), (6001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(k in (2, 3))) for i, k in truth.items()], "doc_id long, quality int, toxic int")
+    model = quality.fit(df, labels)
+    # The label models are those of the plain votes, counted over all rows.
+    cast = [plain_votes(t, model.learnt) for _, t in rows if t and PLAIN_WORD.search(t)]
+    for k, (own, names) in enumerate(zip(model.labels, quality.QUESTIONS.values())):
+        plain = quality.LabelModel(len(names)).fit(dict(sorted(collections.Counter(quality._code(v[k]) for v in cast).items())))
+        assert np.allclose(own.rates, plain.rates, atol=1e-9) and own.prior == pytest.approx(plain.prior)
+    got = quality.classify(df, model).collect()
+    text = dict(rows)
+    for r in got:
+        want = plain_probabilities(text[r.doc_id], model)
+        assert np.allclose((r.p_noise, r.p_repeats, r.p_toxic), want, atol=1e-9) and r.kept == (max(want) < quality.THRESHOLD)

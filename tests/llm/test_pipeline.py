@@ -6,7 +6,7 @@ import corpus_pipeline as pipeline
 from lathework.llm import quality, queries, secrets_scan, tokens
 
 from .helpers import LONG
-from .test_operators import brute_all_spans, brute_components, brute_judge, plain_best_fit, quality_rows
+from .test_operators import brute_all_spans, brute_components, brute_judge, plain_best_fit, plain_probabilities, quality_rows
 
 
 def test_stages_keep_the_columns_and_work_on_what_is_left(spark, tmp_path):
@@ -73,9 +73,9 @@ def test_every_stage_equals_brute_force(spark, tmp_path):
     df = tables(spark, path, [(i, t, "en", "s", len(t or "")) for i, t in docs], items, labels)
     seen = whole_pipeline(spark, path)
     kept = [{r.doc_id: r.text for r in d.collect()} for d in seen[:4]]
-    # 10: each text by the model alone.
+    # 10: each text by the plain votes and scorers.
     model = quality.fit(df, spark.read.parquet(f"{path}/labels.parquet"))
-    assert kept[0] == {i: t for i, t in docs if max(model.probabilities(t)) < quality.THRESHOLD}
+    assert kept[0] == {i: t for i, t in docs if max(plain_probabilities(t, model)) < quality.THRESHOLD}
     assert len(kept[0]) < len(docs)
     # 3, 5, 6: by comparing all with all.
     home = brute_components(sorted(kept[0].items()), 5)
