@@ -250,8 +250,8 @@ def _search(index: Index, asked: DataFrame, k: int) -> DataFrame:
         values, rows = table["impacts"].combine_chunks(), table["rows"].combine_chunks()
         ends = np.concatenate([[0], np.cumsum(values.value_lengths().to_numpy())])
         values, rows = values.flatten().to_numpy(), rows.flatten().to_numpy()
-        base = rows.min(initial=np.iinfo(np.int64).max)
-        rows, span = rows - base, int(rows.max(initial=base) - base) + 1
+        different, rows = np.unique(rows, return_inverse=True)
+        span = len(different)
         kept, whose, sums, most_sums = [], [], [], []
         for i, name in enumerate(items):
             got, seen, some = np.zeros(span), np.zeros(span), False
@@ -267,7 +267,7 @@ def _search(index: Index, asked: DataFrame, k: int) -> DataFrame:
             if some:
                 reach = got + (rest[order[starts[i] : starts[i + 1]]].sum() - seen)
                 stay = np.flatnonzero((got > 0) & (reach * (1 + 1e-9) >= least_score[i]))
-                kept.append(stay + base)
+                kept.append(different[stay])
                 whose.append(np.full(len(stay), name))
                 sums.append(got[stay])
                 most_sums.append(reach[stay])

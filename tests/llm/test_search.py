@@ -142,7 +142,7 @@ def test_ranked_search_equals_scoring_every_document(spark):
     assert index.postings.groupBy("term").count().agg(F.max("count")).first()[0] > 2  # common lists are split
     want = ranked_by_hand(docs, items)
     assert rows_of(ranked.search(index, b)) == want
-    assert rows_of(ranked.search(index, b, block_bytes=2000)) == want  # the items in several blocks
+    assert rows_of(ranked.search(index, b, block_bytes=30_000)) == want  # the items in several blocks
     assert rows_of(ranked.search(index, b, k=3)) == ranked_by_hand(docs, items, 3)
 
 
