@@ -61,7 +61,7 @@ def number(c: Column, comma: bool = False) -> Column:
     if comma:
         plain = F.replace(plain, F.lit(","), F.lit("."))
     value = F.when(body.rlike(shape) & body.rlike(r"\d"), plain.try_cast("double"))
-    return F.when(negative, -value).otherwise(value)
+    return value * F.when(negative, -1.0).otherwise(1.0)
 
 
 def repair_decimal(c: Column, comma: bool = False) -> Column:
@@ -170,6 +170,72 @@ def number_to_date(c: Column, kind: str) -> Column:
     return F.when(text.rlike(r"^(18|19|20)\d{6}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date"))
 
 
+def loses_digits(c: Column) -> Column:
+    """Whether a number would change the text's digits: leading zeros, or more digits than a double holds."""
+    return F.trim(c.cast("string")).rlike(r"^[+-]?0\d|^[+-]?\d{16,}$")
+
+
+def clock_ms(c: Column) -> Column:
+    """``H:MM``, ``H:MM:SS.mmm``, with or without am and pm, to milliseconds of the day; else null."""
+    text = F.trim(c.cast("string"))
+    shape = r"(?i)^(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,3}))?)?\s*(?:([ap])\.?m\.?)?$"
+    part = lambda i: F.regexp_extract(text, shape, i)
+    hour, minute, second = part(1).try_cast("int"), part(2).try_cast("int"), F.coalesce(part(3).try_cast("int"), F.lit(0))
+    half = F.lower(part(5))
+    hour = F.when(half == "", hour).when(~hour.between(1, 12), None).when((half == "p") & (hour != 12), hour + 12).when((half == "a") & (hour == 12), 0).otherwise(hour)
+    milli = F.coalesce(F.rpad(part(4), 3, "0").try_cast("int"), F.lit(0))
+    return F.when(text.rlike(shape) & (hour <= 23) & (minute <= 59) & (second <= 59), ((hour * 60 + minute) * 60 + second).cast("long") * 1000 + milli)
+
+
+#: Milliseconds of a unit of elapsed time by its first letter; fixed values.
+UNIT_MS = {"d": 86_400_000, "h": 3_600_000, "m": 60_000, "s": 1_000}
+
+
+def elapsed_ms(c: Column) -> Column:
+    """``H:MM:SS`` (any number of hours) or units (``1h 30m``, ``2 days``) to milliseconds; else null."""
+    text = F.trim(c.cast("string"))
+    clock = r"^(\d{1,9}):([0-5]\d):([0-5]\d)(?:\.(\d{1,3}))?$"
+    part = lambda i: F.coalesce(F.regexp_extract(text, clock, i).try_cast("long"), F.lit(0))
+    unit = r"(?i)(\d+(?:\.\d+)?)\s*(days?|d|hours?|hrs?|h|minutes?|mins?|m|seconds?|secs?|s)"
+    amounts, names = F.regexp_extract_all(text, F.lit(unit), F.lit(1)), F.regexp_extract_all(text, F.lit(unit), F.lit(2))
+    each = F.transform(F.arrays_zip(amounts.alias("a"), names.alias("u")), lambda p: p["a"].cast("double") * F.create_map(*[x for k, v in UNIT_MS.items() for x in (F.lit(k), F.lit(float(v)))])[F.lower(F.left(p["u"], F.lit(1)))])
+    rest = F.regexp_replace(F.regexp_replace(text, unit, ""), r"[\s,]+", "")
+    milli = F.coalesce(F.rpad(F.regexp_extract(text, clock, 4), 3, "0").try_cast("long"), F.lit(0))
+    return F.when(text.rlike(clock), (((part(1) * 60 + part(2)) * 60 + part(3)) * 1000 + milli).cast("double")).when(
+        text.rlike(r"(?i)[a-z]") & (F.size(amounts) > 0) & (rest == ""), F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+    )
+
+
+def _let(x: Column, f) -> Column:
+    """``f`` of ``x``, which is computed once however often ``f`` names it (and keeps the generated code small)."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _plain_number(n: Column) -> Column:
+    return F.when((n == F.floor(n)) & (F.abs(n) < 1e15), n.cast("bigint").cast("string")).otherwise(n.cast("string"))
+
+
+def canonical(c: Column, target: str, comma: bool = False, order: str = "dmy") -> Column:
+    """The text as ``target`` (integer, number, date, datetime, time, duration, boolean) writes it; null where it is none."""
+    text = F.trim(c.cast("string"))
+    if target in ("integer", "number"):
+        return _let(number(c, comma), lambda n: _plain_number(n if target == "number" else F.when(n == F.floor(n), n)))
+    if target == "date":
+        return F.date_format(F.coalesce(to_date(c, order), text.try_cast("timestamp_ntz").cast("date")), "yyyy-MM-dd")
+    if target == "datetime":
+        stamp = F.date_format(F.coalesce(text.try_cast("timestamp_ntz"), to_date(c, order).cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+        return F.concat(F.regexp_replace(stamp, r"\.000$", ""), F.lit("Z"))
+    if target == "time":
+        return _let(F.floor(clock_ms(c) / 60_000 + 0.5), lambda m: F.concat(F.lpad((F.floor(m / 60) % 24).cast("string"), 2, "0"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0")))
+    if target == "duration":
+        two = lambda x: F.lpad((x % 60).cast("string"), 2, "0")
+        return _let(F.floor(elapsed_ms(c) / 1000 + 0.5), lambda s: F.concat(F.floor(s / 3600).cast("string"), F.lit(":"), two(F.floor(s / 60)), F.lit(":"), two(s)))
+    if target == "boolean":
+        low = F.lower(text)
+        return F.when(low.isin("true", "t", "yes", "y", "1"), "true").when(low.isin("false", "f", "no", "n", "0"), "false")
+    raise ValueError(f"no such target: {target}")
+
+
 def cast(c: Column, target: str, on_fail: str = "coerce") -> Column:
     """Cast without throwing: ``coerce`` gives null where it fails, ``keep`` the text."""
     text = F.trim(c.cast("string"))

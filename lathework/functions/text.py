@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 #: Letters that decompose to a base letter; fixed values.
 _MARKED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ"
@@ -74,49 +75,9 @@ def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-_VOWELS = set("AEIOUY")
-
-
-def metaphone(word: str) -> str:
-    """A phonetic key: consonant classes of a word as it sounds in English, four symbols at most."""
-    w = "".join(c for c in normalize_full(word).upper() if "A" <= c <= "Z")
-    for a, b in (("PH", "F"), ("GH", ""), ("KN", "N"), ("WR", "R"), ("PS", "S"), ("SCH", "SK"), ("SH", "X"), ("CH", "X"), ("TH", "0"), ("CK", "K"), ("QU", "K"), ("DG", "J")):
-        w = w.replace(a, b)
-    out: list[str] = []
-    for i, c in enumerate(w):
-        n = w[i + 1] if i + 1 < len(w) else ""
-        if c in _VOWELS:
-            code = "A" if i == 0 else ""
-        elif c == "C":
-            code = "S" if n and n in "EIY" else "K"
-        elif c == "G":
-            code = "J" if n and n in "EIY" else "K"
-        elif c in "SZ":
-            code = "S"
-        elif c in "DT":
-            code = "T"
-        elif c in "BP":
-            code = "P"
-        elif c in "FV":
-            code = "F"
-        elif c == "X":
-            code = "X"
-        elif c in "KQ":
-            code = "K"
-        elif c == "H" or c == "W":
-            code = "" if i else "H"
-        else:
-            code = c
-        if code and (not out or out[-1] != code):
-            out.append(code)
-        if len(out) == 4:
-            break
-    return "".join(out)
-
-
-@F.pandas_udf(StringType())
-def metaphone_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: metaphone(x or ""))
+def query_words(query: str | None) -> list[str]:
+    """The words of a query, as ``tokens`` splits a cell."""
+    return re.findall(r"[^\W_]+", normalize_full(query))
 
 
 def tokens(c: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregate import finite
@@ -78,6 +80,75 @@ def error_bars(df: DataFrame, column: str, group: str, kind: str = "ci") -> Data
     return g.select(group, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
+#: Up to so many rows the ranks are exact; beyond, by the normal approximation; fixed values.
+EXACT_RANKS, Z975 = 1000, 1.959964
+
+
+def median_ranks(n: int) -> tuple[int, int] | None:
+    """Ranks (from 0) of the order statistics between which the median lies with 95 % or more; None below six rows."""
+    if n < 6:
+        return None
+    if n > EXACT_RANKS:
+        half = 0.5 * Z975 * math.sqrt(n)
+        return max(0, math.floor(n / 2 - half) - 1), min(n - 1, math.ceil(n / 2 + half))
+    below, k = 0, -1
+    # Binomial tails in whole numbers: 2 P(X <= k) <= 0.05.
+    while 40 * (below + math.comb(n, k + 1)) <= 1 << n:
+        k += 1
+        below += math.comb(n, k)
+    return k, n - 1 - k
+
+
+def median_bars(df: DataFrame, column: str, group: str) -> DataFrame:
+    """``group``, ``n``, ``median`` and the distribution-free 95 % interval ``low``, ``high`` (null below six numbers).
+
+    The bounds are order statistics: the values at two ranks that depend on the
+    group's count alone.  They are taken from the running counts of the group's
+    different values, in ranges cut at literal quantiles, so a group of any size
+    is never one task and no list of values is made.  Missing numbers do not
+    count; a group without a number has no row.
+    """
+    x = finite(F.col(column))
+    known = df.where(x.isNotNull()).select(F.col(group), x.alias("_x"))
+    counts = known.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    exact = df.sparkSession.createDataFrame([(n, *pair) for n in range(EXACT_RANKS + 1) if (pair := median_ranks(n))], "n bigint, _a bigint, _b bigint")
+    half = 0.5 * Z975 * F.sqrt("n")
+    a = F.when(F.col("n") > EXACT_RANKS, F.greatest(F.lit(0), F.floor(F.col("n") / 2 - half) - 1)).otherwise(F.coalesce("_a", F.lit(-1)))
+    b = F.when(F.col("n") > EXACT_RANKS, F.least(F.col("n") - 1, F.ceil(F.col("n") / 2 + half))).otherwise(F.coalesce("_b", F.lit(-1)))
+    ranks = F.array(a.cast("long"), b.cast("long"), F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
+    wanted = counts.join(F.broadcast(exact), "n", "left").select(group, "n", ranks.alias("_ranks"))
+    picked = order_statistics(known, group, wanted)
+    at = [F.get("_v", F.lit(i)) for i in range(4)]
+    return picked.select(group, "n", ((at[2] + at[3]) / 2).alias("median"), at[0].alias("low"), at[1].alias("high"))
+
+
+#: Ranges of a group's values by the sketch; each is ordered by itself.
+RANGES = 256
+
+
+def order_statistics(known: DataFrame, group: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (group, n, ``_ranks`` from 0) with ``_v``: the values of ``known`` (group, ``_x``) at these ranks, null for a negative one.
+
+    A sketch cuts each group into ``RANGES`` ranges.  Their counts tell in which
+    range each rank lies; only the different values of these ranges are put in
+    order, each range for itself, with running counts.
+    """
+    cuts = known.groupBy(group).agg(F.percentile_approx("_x", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_cuts")).withColumnRenamed(group, "_g")
+    values = known.groupBy(group, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    # How many cuts are not above the value.
+    placed = values.join(cuts, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_r", F.size(F.filter("_cuts", lambda c: c <= F.col("_x")))).drop("_cuts", "_g")
+    sizes = placed.groupBy(group, "_r").agg(F.sum("_c").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # RANGES rows a group
+    ranks = wanted.select(F.col(group).alias("_g"), F.posexplode("_ranks").alias("_i", "_k"))
+    met = sizes.withColumn("_before", before).join(ranks, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_m")))
+    met = met.select("_g", F.col("_r").alias("_at"), "_i", (F.col("_k") - F.col("_before")).alias("_k"))
+    ordered = Window.partitionBy("_g", "_at", "_i").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.join(met, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_r") == F.col("_at"))).withColumn("_upto", F.sum("_c").over(ordered))
+    found = inside.where((F.col("_k") < F.col("_upto")) & (F.col("_k") >= F.col("_upto") - F.col("_c"))).groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_x"))).alias("_m"))
+    out = wanted.join(found, F.col(group).eqNullSafe(F.col("_g")), "left")
+    return out.withColumn("_v", F.transform(F.sequence(F.lit(0), F.size("_ranks") - 1), lambda i: F.col("_m")[i])).drop("_m", "_g")
+
+
 def bootstrap(df: DataFrame, column: str, group: str, rounds: int = 1000, seed: int = 20261103) -> DataFrame:
     """95 % bars of the mean by the Poisson bootstrap: each row counts a Poisson(1) number of times in each round.
 
@@ -143,8 +214,17 @@ def places(df: DataFrame, lat: str, lon: str, value: str, limit: int = 500) -> D
     return g.orderBy(F.col("n").desc(), "lat", "lon").limit(limit)
 
 
-def class_breaks(df: DataFrame, column: str, n: int, how: str = "quantile", edges: list[float] | None = None) -> list[float]:
-    """Class edges: quantile, equal, stddev, pretty (round steps), log, manual (``edges``), or natural (Jenks over 1,000 quantiles, so of bounded size)."""
+def class_breaks(df: DataFrame, column: str, n: int, how: str = "quantile", edges: list[float] | None = None, exact: int = 20_000) -> list[float]:
+    """Class edges: quantile, equal, stddev, pretty (round steps), log, manual (``edges``), or natural.
+
+    Natural breaks (Fisher-Jenks) weigh each different value by its rows: the
+    sum of squared deviations in the classes is least over all divisions.  They
+    are the first values of the classes and the last value.  Up to ``exact``
+    different values the division is exact; of more, the values of ``exact / 2``
+    ranges of about equal counts go as one with their exact sums, and the ranges
+    beside a break are cut again until each holds one value, so that breaks fall
+    between single values; the driver holds ranges only.
+    """
     x = finite(F.col(column))
     lo, hi, mean, sd = df.agg(F.min(x), F.max(x), F.avg(x), F.stddev_pop(x)).first()
     if lo is None:
@@ -165,28 +245,78 @@ def class_breaks(df: DataFrame, column: str, n: int, how: str = "quantile", edge
         return sorted({min(hi, max(lo, mean + sd * k)) for k in range(-(n // 2), n // 2 + 1)} | {lo, hi})
     if how == "quantile":
         return list(quantiles(df, x, [i / n for i in range(n + 1)]).first()[0])
-    sample = np.array(df.agg(F.percentile_approx(x, [i / 1000 for i in range(1001)])).first()[0])
-    return _jenks(np.unique(sample), n)
-
-
-def _jenks(v: np.ndarray, n: int) -> list[float]:
-    n = min(n, len(v))
-    s, s2 = np.concatenate([[0], np.cumsum(v)]), np.concatenate([[0], np.cumsum(v * v)])
-    m = len(v)
-    best = np.full((n + 1, m + 1), np.inf)
-    back = np.zeros((n + 1, m + 1), int)
-    best[0, 0] = 0
+    counts = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    held = counts.orderBy("v").limit(exact + 1).collect()  # bounded by ``exact``
+    if len(held) <= exact:
+        v, w = np.array([r["v"] for r in held]), np.array([r["n"] for r in held], float)
+        return _natural(v, v, w, w * v, w * v * v, n)
+    return _natural_of_many(counts, n, exact)
+
+
+def _ranged(counts: DataFrame, borders: list[float]) -> DataFrame:
+    """``counts`` with ``i``, the place of the last border that is not above ``v``."""
+    held = np.array(borders)
+
+    @F.pandas_udf("int")
+    def place(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(held, v.to_numpy(), "right") - 1).astype("int32")
+
+    return counts.withColumn("i", place("v"))
+
+
+#: Parts into which a range beside a break is cut again.
+OPENED = 64
+
+
+def _natural_of_many(counts: DataFrame, n: int, exact: int) -> list[float]:
+    """Breaks of more different values than fit: over ranges, of which those beside a break are cut again until they hold one value."""
+    m = exact // 2
+    borders = sorted(set(counts.agg(F.percentile_approx("v", [i / m for i in range(m + 1)], 4 * m)).first()[0]))
+    v = F.col("v")
+    while True:
+        placed = _ranged(counts, borders)
+        parts = placed.groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("w"), F.sum(F.col("n") * v).alias("s1"), F.sum(F.col("n") * v * v).alias("s2"))
+        rows = sorted(parts.collect(), key=lambda r: r["lo"])  # one for each range
+        lo, hi, w, s1, s2 = (np.array([r[c] for r in rows], float) for c in ("lo", "hi", "w", "s1", "s2"))
+        edges = _natural(lo, hi, w, s1, s2, n)
+        beside = {k for e in edges[1:-1] for k in (int(np.searchsorted(lo, e)) - 1, int(np.searchsorted(lo, e)))}
+        wide = [k for k in beside if lo[k] < hi[k]]
+        if not wide:
+            return edges
+        finer = placed.where(F.col("i").isin([rows[k]["i"] for k in wide])).groupBy("i").agg(F.percentile_approx("v", [i / OPENED for i in range(OPENED + 1)], 4 * OPENED).alias("q"))
+        borders = sorted({*borders, *(x for r in finer.collect() for x in r["q"]), *(rows[k]["hi"] for k in wide)})
+
+
+def _natural(lo: np.ndarray, hi: np.ndarray, w: np.ndarray, s1: np.ndarray, s2: np.ndarray, n: int) -> list[float]:
+    """The best division of ordered units (weight, sum, sum of squares) into ``n`` runs, by divide and conquer over each class's last unit."""
+    m, n = len(lo), min(n, len(lo))
+    shift = s1.sum() / w.sum()
+    # About the mean, so that differences of sums keep their digits.
+    s2, s1 = s2 - 2 * shift * s1 + shift * shift * w, s1 - shift * w
+    cw, c1, c2 = (np.concatenate([[0.0], np.cumsum(a)]) for a in (w, s1, s2))
+    best = np.concatenate([[0.0], np.full(m, np.inf)])
+    starts = []
     for k in range(1, n + 1):
-        for j in range(k, m + 1):
-            i = np.arange(k - 1, j)
-            d = s[j] - s[i]
-            cost = best[k - 1, i] + (s2[j] - s2[i] - d * d / (j - i))
+        new, start = np.full(m + 1, np.inf), np.zeros(m + 1, int)
+        todo = [(k, m, k - 1, m - 1)]
+        while todo:
+            a, b, first, last = todo.pop()
+            if a > b:
+                continue
+            j = (a + b) // 2
+            i = np.arange(first, min(last, j - 1) + 1)
+            d = c1[j] - c1[i]
+            cost = best[i] + (c2[j] - c2[i] - d * d / (cw[j] - cw[i]))
             at = int(np.argmin(cost))
-            best[k, j], back[k, j] = cost[at], i[at]
-    edges, j = [float(v[-1])], m
-    for k in range(n, 0, -1):
-        j = back[k, j]
-        edges.append(float(v[j]))
+            new[j], start[j] = cost[at], i[at]
+            # Where the best start of j lies bounds those of its neighbours.
+            todo += [(a, j - 1, first, start[j]), (j + 1, b, start[j], last)]
+        best = new
+        starts.append(start)
+    edges, j = [float(hi[-1])], m
+    for start in reversed(starts):
+        j = int(start[j])
+        edges.append(float(lo[j]))
     return edges[::-1]
 
 

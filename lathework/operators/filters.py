@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import phonetics
 from ..functions import text as T
 from .aggregate import finite
 from .quantiles import quantiles
@@ -88,14 +89,11 @@ def versus_average(df: DataFrame, column: str, above: bool = True, base: DataFra
 def in_duplicate_group(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows of which the table holds another copy (in ``columns``).
 
-    Copies are counted where they lie.  Whole rows are given back from their
-    counts; other columns are fetched by a join, which Spark splits when a key is hot.
+    Copies are counted where they lie, and rows are kept by a semi-join with the
+    repeated keys, which Spark splits when a key is hot: no list of copies is made.
     """
     columns = columns or df.columns
     many = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    if set(columns) == set(df.columns):
-        copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_i")
-        return many.select(*[F.col(f"`{c}`") for c in df.columns], copies).drop("_i")
     keys = many.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(columns)])
     same = [df[f"`{c}`"].eqNullSafe(keys[f"_k{i}"]) for i, c in enumerate(columns)]
     return df.join(keys, same, "left_semi")
@@ -125,7 +123,7 @@ def fuzzy(df: DataFrame, column: str, query: str, level: str = "normal") -> Data
     and a similar length, then Jaro-Winkler decides; short query words match by
     containment.  Rows are kept by a semi-join on their distinct values.
     """
-    words = T.normalize_full(query).split()
+    words = T.query_words(query)
     if not words:
         return df
     cells = df.select(F.col(column).cast("string").alias("_v")).distinct()
@@ -146,15 +144,17 @@ def fuzzy(df: DataFrame, column: str, query: str, level: str = "normal") -> Data
 
 
 def phonetic(df: DataFrame, column: str, query: str) -> DataFrame:
-    """Rows where each word of the query sounds like some word of the cell."""
-    words = T.normalize_full(query).split()
+    """Rows where each word of the query has a Double Metaphone code of some word of the cell; either code may match."""
+    words = T.query_words(query)
+    if not words:
+        return df
     cells = df.select(F.col(column).cast("string").alias("_v")).distinct()
     pairs = cells.select("_v", F.explode(T.tokens(F.col("_v"))).alias("_w")).distinct()
-    codes = pairs.select("_w").distinct().withColumn("_code", T.metaphone_udf("_w"))
+    codes = pairs.select("_w").distinct().withColumn("_codes", phonetics.codes_udf("_w"))
     kept = cells
     for q in words:
-        hit = codes.where(F.col("_code") == T.metaphone(q))
-        kept = kept.join(pairs.join(hit, "_w", "left_semi").select("_v"), "_v", "left_semi")
+        own = F.array(*[F.lit(c) for c in dict.fromkeys(phonetics.double_metaphone(q)) if c]).cast("array<string>")
+        kept = kept.join(pairs.join(codes.where(F.arrays_overlap("_codes", own)), "_w", "left_semi").select("_v"), "_v", "left_semi")
     return df.join(kept, df[column].cast("string") == kept["_v"], "left_semi")
 
 
@@ -163,8 +163,12 @@ def suggestions(df: DataFrame, column: str, query: str, limit: int = 10) -> Data
     q = T.normalize_full(query)
     values_ = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).where("value is not null")
     n = T.normalize(F.col("value"))
-    score = F.when(n == q, 4.0).when(n.startswith(q), 3.0).when(n.contains(q), 2.0).otherwise(T.jaro_winkler_udf(n, F.lit(q)))
-    return values_.withColumn("score", score).where(F.col("score") >= 0.8).orderBy(F.col("score").desc(), F.col("n").desc(), "value").limit(limit)
+    score = F.when(n == q, 4.0).when(n.startswith(q), 3.0).when(n.contains(q), 2.0)
+    sure = values_.withColumn("score", score).where("score is not null")
+    # Python sees only values that share a letter pair with the query.
+    shared = F.arrays_overlap(_grams(n), F.array(*[F.lit(q[i : i + 2]) for i in range(max(1, len(q) - 1))]))
+    alike = values_.where(score.isNull() & shared).withColumn("score", T.jaro_winkler_udf(n, F.lit(q))).where(F.col("score") >= LEVELS["loose"])
+    return sure.unionByName(alike).orderBy(F.col("score").desc(), F.col("n").desc(), "value").limit(limit)
 
 
 # -- facets and histograms ---------------------------------------------------
@@ -181,16 +185,38 @@ def facets(df: DataFrame, filters: dict[str, Column], columns: list[str]) -> Dat
     return out
 
 
-def histogram(df: DataFrame, column: str, bins: int = 64, base: DataFrame | None = None, clip: bool = True) -> DataFrame:
-    """Counts in equal bins over the base table's range (p1 to p99 when clipped); values beyond go to the outer bins."""
+#: A span of so many interquartile ranges is a heavy tail; a chart of fewer numbers than ``LEAST_NUMBERS`` is not scaled; fixed values.
+HEAVY_TAIL, LEAST_NUMBERS = 200, 50
+
+
+def symlog(x: Column) -> Column:
+    """Logarithm of 1 + the size, with the number's sign."""
+    return F.signum(x) * F.log1p(F.abs(x))
+
+
+def histogram(df: DataFrame, column: str, bins: int = 64, base: DataFrame | None = None, clip: bool = True, scale: str = "linear") -> DataFrame:
+    """Counts in equal bins over the base table's range (p1 to p99 when clipped); values beyond go to the outer bins.
+
+    ``scale="auto"``: when the base table's span is over ``HEAVY_TAIL`` times its
+    interquartile range the bins are equal in ``symlog`` and cover the whole
+    range, else they are clipped.  Both come from one row of quantiles.  A table
+    without numbers has no bin; equal numbers all fall into bin 0.
+    """
     x = finite(F.col(column))
     whole = base if base is not None else df
-    if clip:
-        ends = quantiles(whole, x, [0.01, 0.99], name="_q").select(F.get("_q", F.lit(0)).alias("_lo"), F.get("_q", F.lit(1)).alias("_hi"))
+    if scale == "auto":
+        q = quantiles(whole, x, [0.0, 0.01, 0.25, 0.75, 0.99, 1.0], name="_q", rows="_n")
+        at = [F.get("_q", F.lit(i)) for i in range(6)]
+        heavy = (at[3] > at[2]) & (at[5] - at[0] > HEAVY_TAIL * (at[3] - at[2])) & (F.col("_n") >= LEAST_NUMBERS)
+        clipped = (at[4] > at[1]) & (F.col("_n") >= LEAST_NUMBERS)
+        ends = q.select(heavy.alias("_s"), F.when(heavy, symlog(at[0])).when(clipped, at[1]).otherwise(at[0]).alias("_lo"), F.when(heavy, symlog(at[5])).when(clipped, at[4]).otherwise(at[5]).alias("_hi"))
+    elif clip:
+        ends = quantiles(whole, x, [0.01, 0.99], name="_q").select(F.lit(False).alias("_s"), F.get("_q", F.lit(0)).alias("_lo"), F.get("_q", F.lit(1)).alias("_hi"))
     else:
-        ends = whole.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+        ends = whole.agg(F.lit(False).alias("_s"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    at = F.when(width > 0, F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((x - F.col("_lo")) / width)))).otherwise(F.lit(0))
+    place = F.when(F.col("_s"), symlog(x)).otherwise(x) if scale == "auto" else x
+    at = F.when(width > 0, F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((place - F.col("_lo")) / width)))).otherwise(F.lit(0))
     return df.join(F.broadcast(ends)).where(x.isNotNull()).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

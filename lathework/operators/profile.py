@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import phonetics
 from ..functions import text as T
 from .aggregate import finite
 from .quantiles import quantiles, with_quantiles
@@ -214,7 +215,7 @@ def similar_clusters(df: DataFrame, column: str, least: float = 0.9) -> DataFram
     """Distinct values that look alike, within blocks of one sound, first letter and the same digits (values with other digits are never alike)."""
     v = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     digits = F.trim(F.regexp_replace("value", r"\D+", " "))
-    keyed = v.withColumn("block", F.concat_ws("|", T.metaphone_udf("value"), F.substring(T.normalize(F.col("value")), 1, 1), digits))
+    keyed = v.withColumn("block", F.concat_ws("|", F.left(F.coalesce(F.get(phonetics.codes_udf("value"), F.lit(0)), F.lit("")), F.lit(4)), F.substring(T.normalize(F.col("value")), 1, 1), digits))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "value"], ascending=[False, True])

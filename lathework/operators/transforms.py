@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cleans
 from .aggregate import finite
 from .order import carry
 from .quantiles import quantiles, with_quantiles
@@ -184,3 +185,58 @@ def flag_anomalies(df: DataFrame, column: str, name: str | None = None) -> DataF
         fence = with_quantiles(df.agg(F.count(n).alias("_high")), df, n, [0.9], [], "_low")
         bad = (F.col("_high") >= 8) & (n > 3 * F.get("_low", F.lit(0)))
     return flag(df.join(F.broadcast(fence)), name or f"{column} anomaly", bad).drop("_low", "_high")
+
+
+# -- casts that tell what failed ----------------------------------------------
+
+
+_CAST = ("_empty", "_value", "_failed")
+
+
+def _cast_cells(df: DataFrame, column: str, target: str, comma: bool = False, order: str = "dmy") -> DataFrame:
+    """``df`` with ``_empty`` (a null or a null token), ``_value`` (canonical text, null if none) and ``_failed``, each computed once."""
+    c = F.col(f"`{column}`")
+    out = df.withColumn("_empty", cleans.is_missing(c))
+    out = out.withColumn("_value", F.when(~F.col("_empty"), cleans.canonical(c, target, comma, order)))
+    return out.withColumn("_failed", ~F.col("_empty") & F.col("_value").isNull())
+
+
+def cast_column(df: DataFrame, column: str, target: str, on_fail: str = "coerce", **how) -> DataFrame:
+    """``df`` with ``column`` cast and ``<column>_failed`` beside it.
+
+    ``coerce`` blanks what fails (null), ``keep`` leaves its text, ``reject``
+    leaves the whole column when any cell fails: one row of counts is broadcast.
+    Missing cells keep their text and never fail; a column of the flag's name is
+    replaced; an empty table stays empty.
+    """
+    raw, failed = F.col(f"`{column}`").cast("string"), F.col("_failed")
+    out = _cast_cells(df, column, target, **how)
+    value = F.when(F.col("_empty"), raw).when(~failed, F.col("_value"))
+    if on_fail != "coerce":
+        value = value.otherwise(raw)
+    if on_fail == "reject":
+        out = out.join(F.broadcast(out.agg(F.count_if(failed).alias("_fails"))))
+        value = F.when(F.col("_fails") > 0, raw).otherwise(value)
+    return out.withColumns({column: value, f"{column}_failed": failed}).drop(*_CAST, "_fails")
+
+
+def cast_failures(df: DataFrame, column: str, target: str, **how) -> DataFrame:
+    """The rows whose cell does not parse under the cast."""
+    return _cast_cells(df, column, target, **how).where("_failed").drop(*_CAST)
+
+
+def cast_report(df: DataFrame, column: str, target: str, on_fail: str = "coerce", **how) -> DataFrame:
+    """One row: ``non_empty``, ``failed``, ``changed``, ``digits_lost``, ``applied`` and ``examples`` (five failing texts, the most frequent first).
+
+    Equal texts are counted first, so each is cast once.
+    """
+    empty, failed = F.col("_empty"), F.col("_failed")
+    texts = _cast_cells(df.groupBy(F.col(f"`{column}`").cast("string").alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "_v", target, **how)
+    total = lambda cond, name: F.coalesce(F.sum(F.when(cond, F.col("_n"))), F.lit(0)).alias(name)
+    changed = ~empty & ~failed & (F.col("_value") != F.col("_v")) | (failed if on_fail == "coerce" else F.lit(False))
+    lost = ~empty & cleans.loses_digits(F.col("_v")) if target in ("integer", "number") else F.lit(False)
+    counts = texts.agg(total(~empty, "non_empty"), total(failed, "failed"), total(changed, "changed"), total(lost, "digits_lost"))
+    some = texts.where(failed).orderBy(F.desc("_n"), "_v").limit(5).agg(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("n"), F.col("_v").alias("v")))).alias("_e"))
+    applied = (F.col("failed") == 0) if on_fail == "reject" else F.lit(True)
+    out = counts.join(F.broadcast(some)).withColumn("applied", applied).withColumn("examples", F.col("_e.v")).drop("_e")
+    return out.withColumn("changed", F.when(F.col("applied"), F.col("changed")).otherwise(F.lit(0)))

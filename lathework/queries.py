@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import buckets, cleans, formula
 from .functions import text as T
-from .operators import charts, compare, filters, models, pivot, profile, review, scorecard, sensitive, timeseries, transforms
+from .operators import charts, compare, filters, fuzzy_index, models, pivot, profile, review, scorecard, sensitive, timeseries, transforms
 from .operators.aggregate import (
     BinEdges, BinQuantile, BinWidth, Cohort, DatePart, Measure, Since, Time, Value, View, Where, aggregate, partial_periods, post, totals,
 )
+from .operators.durable import shared_path
 from .operators.profile import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -410,6 +411,31 @@ def suggest_values(spark, d):
     return filters.suggestions(t(spark, d, "customer"), "c_mktsegment", "mach")
 
 
+def _part_index(spark, d):
+    return fuzzy_index.build(t(spark, d, "part"), "p_name", shared_path(spark, "fuzzy-index"))
+
+
+@query("""WITH w AS (SELECT DISTINCT p_name, unnest(string_split(lower(p_name), ' ')) AS w FROM part), m AS (SELECT p_name, q FROM w, (VALUES ('smal'), ('rng')) v(q)
+WHERE starts_with(w, q) OR abs(length(w) - length(q)) <= 2 AND jaro_winkler_similarity(w, q) >= 0.88)
+SELECT p_partkey, p_name FROM part WHERE p_name IN (SELECT p_name FROM m GROUP BY 1 HAVING count(DISTINCT q) = 2)""")
+def fuzzy_indexed(spark, d):
+    return fuzzy_index.fuzzy(t(spark, d, "part"), "p_name", _part_index(spark, d), "smal rng").select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name = 'cold widget'")
+def phonetic_indexed(spark, d):
+    return fuzzy_index.phonetic(t(spark, d, "part"), "p_name", _part_index(spark, d), "kold wijet").select("p_partkey", "p_name")
+
+
+@query("""WITH v AS (SELECT p_name AS value, count(*) AS n, jaro_similarity(p_name, 'hot bolt') AS j,
+CASE WHEN left(p_name, 4) = 'hot ' THEN 4 WHEN left(p_name, 3) = 'hot' THEN 3 WHEN left(p_name, 2) = 'ho' THEN 2 WHEN left(p_name, 1) = 'h' THEN 1 ELSE 0 END AS p FROM part GROUP BY 1),
+s AS (SELECT value, n, CASE WHEN value = 'hot bolt' THEN 4 WHEN starts_with(value, 'hot bolt') THEN 3 WHEN contains(value, 'hot bolt') THEN 2 ELSE j + p * 0.1 * (1 - j) END AS score FROM v
+WHERE len(list_intersect(list_transform(range(1, length(value)), lambda k: value[k:k+1]), ['ho', 'ot', 't ', ' b', 'bo', 'ol', 'lt'])) > 0)
+SELECT value, n, round(score, 6) AS score FROM s WHERE score >= 0.8 ORDER BY s.score DESC, n DESC, value LIMIT 10""")
+def suggest_indexed(spark, d):
+    return fuzzy_index.suggestions(_part_index(spark, d), "hot bolt").select("value", "n", r("score", 6))
+
+
 @query("""SELECT 'o_orderstatus' AS facet, o_orderstatus AS label, count(*) AS n FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 2
 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders WHERE o_orderstatus IN ('F') GROUP BY 2""")
 def facet_counts(spark, d):
@@ -1227,3 +1253,55 @@ def region_join_key(spark, d):
 @query("""SELECT c_custkey, lower(replace(c_name, '#', '#')) AS n FROM customer""")
 def normalize_names(spark, d):
     return t(spark, d, "customer").select("c_custkey", T.normalize(F.col("c_name")).alias("n"))
+
+
+# -- breaks, bars, scales, casts ------------------------------------------------
+
+
+@query("""WITH c AS (SELECT l_quantity AS v, count(*) AS n FROM lineitem GROUP BY 1), t AS (SELECT sum(n) AS w, sum(n * v) AS s, min(v) AS lo, max(v) AS hi FROM c),
+e AS (SELECT v, sum(n) OVER w AS w0, sum(n * v) OVER w AS s0 FROM c WINDOW w AS (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+d AS (SELECT lo, a.v AS a, b.v AS b, hi, a.s0 * a.s0 / a.w0 + (b.s0 - a.s0) * (b.s0 - a.s0) / (b.w0 - a.w0) + (s - b.s0) * (s - b.s0) / (w - b.w0) AS gain FROM e a JOIN e b ON a.v < b.v, t WHERE a.w0 > 0),
+m AS (SELECT arg_max([lo, a, b, hi], gain) AS edges FROM d) SELECT unnest(range(0, 4)) AS k, unnest(edges) AS edge FROM m""")
+def breaks_natural(spark, d):
+    edges = charts.class_breaks(t(spark, d, "lineitem"), "l_quantity", 3, "natural")
+    return spark.createDataFrame(list(enumerate(edges)), "k bigint, edge double")
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS g, o_totalprice AS x, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
+b AS (SELECT g, x, k, n, greatest(0, floor(n / 2 - 0.5 * 1.959964 * sqrt(n)) - 1) AS lo, least(n - 1, ceil(n / 2 + 0.5 * 1.959964 * sqrt(n))) AS hi FROM o)
+SELECT g AS o_orderpriority, any_value(n) AS n, round(median(x), 2) AS median, round(max(CASE WHEN k = lo THEN x END), 2) AS low, round(max(CASE WHEN k = hi THEN x END), 2) AS high FROM b GROUP BY 1""")
+def error_bars_median(spark, d):
+    return charts.median_bars(t(spark, d, "orders"), "o_totalprice", "o_orderpriority").select("o_orderpriority", "n", r("median"), r("low"), r("high"))
+
+
+_SYMLOG = "sign({x}) * ln(1 + abs({x}))"
+
+
+@query(f"""WITH o AS (SELECT o_orderpriority AS p, exp(o_totalprice / 10000) - 1000000 AS v FROM orders), e AS (SELECT {_SYMLOG.format(x="min(v)")} AS lo, {_SYMLOG.format(x="max(v)")} AS hi FROM o)
+SELECT CAST(greatest(0, least(63, floor(({_SYMLOG.format(x="v")} - lo) / ((hi - lo) / 64)))) AS INTEGER) AS bin, count(*) AS n FROM o, e WHERE p LIKE '1%' GROUP BY 1""")
+def hist_symlog(spark, d):
+    o = t(spark, d, "orders").select("o_orderpriority", (F.exp(F.col("o_totalprice") / 10000) - 1000000).alias("v"))
+    return filters.histogram(o.where(F.col("o_orderpriority").startswith("1")), "v", base=o, scale="auto")
+
+
+_RAW_AMOUNT = "CASE o_orderkey % 6 WHEN 0 THEN '00' || o_custkey WHEN 1 THEN 'oops' WHEN 2 THEN 'n/a' WHEN 3 THEN '$' || o_custkey WHEN 4 THEN o_custkey || '.50' ELSE CAST(o_custkey AS VARCHAR) END"
+
+
+def _raw_amounts(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", F.expr(_RAW_AMOUNT.replace("VARCHAR", "STRING")).alias("amount"))
+
+
+@query(f"""WITH a AS (SELECT {_RAW_AMOUNT} AS v, o_orderkey % 6 AS k FROM orders)
+SELECT count(*) FILTER (k <> 2) AS non_empty, count(*) FILTER (k = 1) AS failed, count(*) FILTER (k IN (0, 1, 3, 4)) AS changed, count(*) FILTER (k = 0) AS digits_lost, true AS applied FROM a""")
+def cast_counts(spark, d):
+    return transforms.cast_report(_raw_amounts(spark, d), "amount", "number").drop("examples")
+
+
+@query(f"SELECT o_orderkey, {_RAW_AMOUNT} AS amount FROM orders WHERE o_orderkey % 6 IN (1, 4)")
+def cast_failing_rows(spark, d):
+    return transforms.cast_failures(_raw_amounts(spark, d), "amount", "integer").select("o_orderkey", "amount")
+
+
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN NULL WHEN 2 THEN 'n/a' WHEN 4 THEN CAST(o_custkey AS VARCHAR) || '.5' ELSE CAST(o_custkey AS VARCHAR) END AS amount, o_orderkey % 6 = 1 AS amount_failed FROM orders""")
+def cast_numbers(spark, d):
+    return transforms.cast_column(_raw_amounts(spark, d), "amount", "number")
