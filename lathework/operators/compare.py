@@ -266,12 +266,13 @@ def fuzzy_key(text: str | None) -> str:
     return " ".join([w for w in words if w not in NOISE] or words)
 
 
-def fuzzy_match(a: DataFrame, b: DataFrame, key: str, a_id: str, b_id: str, least: float = 0.8, checks: list[str] | None = None) -> DataFrame:
-    """Pairs of leftover rows whose text keys are alike: candidates share a word or a 4-letter beginning.
+def fuzzy_match(a: DataFrame, b: DataFrame, key: str, a_id: str, b_id: str, least: float = 0.8, checks: list[str] | None = None, block_limit: int | None = None, candidates: int | None = None) -> DataFrame:
+    """Pairs of leftover rows whose text keys are alike: candidates share a word or a 4-letter beginning, and all numbers.
 
-    Blocks that more than 150 keys share say nothing and are left out, as in the
-    rule this follows; each row's best 40 candidates by shared blocks are
-    scored; pairs are taken from the highest rank down, each row once.  Columns
+    Every such pair is scored, by different keys: equal keys of a side are one.
+    Two limits can be set instead, as the rule this follows has them (150 and
+    40): blocks that more than ``block_limit`` keys share are left out, and only
+    a key's best ``candidates`` by shared blocks are scored.  Pairs are taken from the highest rank down, each row once.  Columns
     in ``checks`` that agree raise a pair's rank.  Texts whose numbers differ
     never match.
     """
@@ -289,15 +290,26 @@ def fuzzy_match(a: DataFrame, b: DataFrame, key: str, a_id: str, b_id: str, leas
     score_udf = F.pandas_udf(score, "double")
 
     def side(df: DataFrame, ident: str, n: str) -> DataFrame:
-        keyed = df.select(F.col(ident).alias(f"{n}_id"), key_udf(F.col(key).cast("string")).alias(f"{n}_key")).where(f"{n}_key != ''")
+        return df.select(F.col(ident).alias(f"{n}_id"), key_udf(F.col(key).cast("string")).alias(f"{n}_key")).where(f"{n}_key != ''")
+
+    def blocked(keyed: DataFrame, n: str) -> DataFrame:
         words = F.split(f"{n}_key", " ")
-        return keyed.withColumn("block", F.explode(F.array_distinct(F.concat(words, F.transform(F.filter(words, lambda w: F.char_length(w) >= 4), lambda w: F.concat(F.lit("^"), F.substring(w, 1, 4)))))))
+        starts = F.transform(F.filter(words, lambda w: F.char_length(w) >= 4), lambda w: F.concat(F.lit("^"), F.substring(w, 1, 4)))
+        # Texts whose numbers differ never match, so the numbers are a part of the block.
+        digits = F.array_join(F.regexp_extract_all(f"{n}_key", F.lit(r"(\d+)"), F.lit(1)), ",")
+        return keyed.select(f"{n}_key").distinct().select(f"{n}_key", digits.alias("digits"), F.explode(F.array_distinct(F.concat(words, starts))).alias("block"))
 
     left, right = side(a, a_id, "a"), side(b, b_id, "b")
-    small = right.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n <= 150").select("block")
-    votes = left.join(right.join(small, "block", "left_semi"), "block").groupBy("a_id", "b_id", "a_key", "b_key").agg(F.count(F.lit(1)).alias("votes"))
-    top = Window.partitionBy("a_id").orderBy(F.col("votes").desc(), "b_id")
-    scored = votes.withColumn("_n", F.row_number().over(top)).where("_n <= 40").withColumn("score", score_udf("a_key", "b_key")).where(F.col("score") >= least)
+    mine, theirs = blocked(left, "a"), blocked(right, "b")
+    if block_limit is not None:
+        small = theirs.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= block_limit).select("block")
+        theirs = theirs.join(small, "block", "left_semi")
+    votes = mine.join(theirs, ["block", "digits"]).groupBy("a_key", "b_key").agg(F.count(F.lit(1)).alias("votes"))
+    if candidates is not None:
+        top = Window.partitionBy("a_key").orderBy(F.col("votes").desc(), "b_key")
+        votes = votes.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= candidates)
+    scored = votes.withColumn("score", score_udf("a_key", "b_key")).where(F.col("score") >= least).select("a_key", "b_key", "score")
+    scored = scored.join(left, "a_key").join(right, "b_key")
     scored = scored.select("a_id", "b_id", "score")
     rank, support = F.col("score"), F.lit(False)
     if checks:
@@ -323,23 +335,81 @@ def fuzzy_match(a: DataFrame, b: DataFrame, key: str, a_id: str, b_id: str, leas
 GAP, CONFIDENT, SUPPORTED = 0.02, 0.96, 0.88
 
 
-def one_to_one(edges: DataFrame) -> DataFrame:
+#: Rounds of mutual best pairs before what is left is resolved by component; edges of a component that one task takes.
+ROUNDS, COMPONENT = 3, 200_000
+
+
+def one_to_one(edges: DataFrame, rounds: int = ROUNDS, component: int = COMPONENT) -> DataFrame:
     """Of candidate pairs (a_id, b_id, rank) those that the greedy rule takes: the highest rank first, each id once.
 
     A pair that is the best one left of both its ids is what the greedy rule
-    takes too, so such pairs are taken in rounds; each round is cut off durably.
+    takes too, so ``rounds`` rounds take such pairs.  A long falling chain of
+    ranks would need as many rounds as it has pairs: what is left then falls into
+    connected components, and one ordered pass resolves each component of at
+    most ``component`` pairs.  Larger ones go on in rounds.  Each step is cut off
+    durably.
     """
-    order = [F.col("rank").desc(), "a_id", "b_id"]
-    left = durable(edges)
-    taken = None
+    taken, left, names = None, durable(edges), edges.columns
     while not left.isEmpty():
-        ranked = left.withColumn("_a", F.row_number().over(Window.partitionBy("a_id").orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy("b_id").orderBy(*order)))
-        best = durable(ranked.where("_a = 1 and _b = 1").drop("_a", "_b"))
-        taken = best if taken is None else taken.unionByName(best)
-        left = durable(left.join(best.select("a_id"), "a_id", "left_anti").join(best.select("b_id"), "b_id", "left_anti"))
+        for _ in range(rounds):
+            left, best = _mutual(left)
+            taken = best if taken is None else taken.unionByName(best)
+        if left.isEmpty():
+            break
+        home = _components(left)
+        sizes = home.groupBy("_root").agg(F.count(F.lit(1)).alias("_n"))
+        placed = durable(home.join(sizes, "_root"))
+        kind = edges.schema
+
+        def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["rank", "a_id", "b_id"], ascending=[False, True, True])
+            a_seen, b_seen, keep = set(), set(), []
+            for x, y in zip(pdf["a_id"], pdf["b_id"], strict=True):
+                ok = x not in a_seen and y not in b_seen
+                if ok:
+                    a_seen.add(x)
+                    b_seen.add(y)
+                keep.append(ok)
+            return pdf[keep][names]
+
+        small = durable(placed.where(F.col("_n") <= component).groupBy("_root").applyInPandas(resolve, kind))
+        taken = taken.unionByName(small)
+        left = durable(placed.where(F.col("_n") > component).select(*edges.columns))
     return edges.limit(0) if taken is None else taken
 
 
+def _mutual(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left after taking the pairs that are best for both ids, and these."""
+    order = [F.col("rank").desc(), "a_id", "b_id"]
+    ranked = left.withColumn("_a", F.row_number().over(Window.partitionBy("a_id").orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy("b_id").orderBy(*order)))
+    best = durable(ranked.where("_a = 1 and _b = 1").drop("_a", "_b"))
+    return durable(left.join(best.select("a_id"), "a_id", "left_anti").join(best.select("b_id"), "b_id", "left_anti")), best
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """``edges`` with ``_root``, one value for each connected component, by alternating stars.
+
+    Nodes are numbers: a hash of the side and the id.  In each step every node
+    ties its larger neighbours, then itself and its smaller ones, to the smallest
+    that it knows, until nothing changes: a few steps for any shape.
+    """
+    node = lambda side, c: F.xxhash64(F.lit(side), F.col(c))
+    named = edges.withColumns({"_u": node("a", "a_id"), "_v": node("b", "b_id")})
+    held = durable(named.select(F.greatest("_u", "_v").alias("u"), F.least("_u", "_v").alias("v")).distinct())
+    while True:
+        both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
+        new = durable(small.where("u != v").distinct())
+        if new.exceptAll(held).isEmpty() and held.exceptAll(new).isEmpty():
+            break
+        held = new
+    roots = held.select(F.col("u").alias("_u"), F.col("v").alias("_root"))
+    return named.join(roots, "_u", "left").withColumn("_root", F.coalesce("_root", "_u")).drop("_u", "_v")
+
+
 # -- reports ------------------------------------------------------------------
 
 

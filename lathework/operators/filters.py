@@ -175,14 +175,23 @@ def suggestions(df: DataFrame, column: str, query: str, limit: int = 10) -> Data
 
 
 def facets(df: DataFrame, filters: dict[str, Column], columns: list[str]) -> DataFrame:
-    """Counts of each label under the filters of all other columns."""
-    out = None
+    """Counts of each label under the filters of all other columns, in one scan.
+
+    A row is expanded only to the facets whose other filters it passes, and all
+    are counted in one aggregate.  A null condition does not pass; missing and
+    blank cells are ``(empty)``; without rows there is no label.
+    """
+    held = df.withColumns({f"_f{k}": F.coalesce(f, F.lit(False)) for k, f in enumerate(filters.values())})
+    entries = []
     for c in columns:
-        kept = apply(df, *[f for k, f in filters.items() if k != c])
+        passed = F.lit(True)
+        for k, name in enumerate(filters):
+            if name != c:
+                passed = passed & F.col(f"_f{k}")
         label = F.coalesce(F.trim(F.col(c).cast("string")), F.lit("(empty)"))
-        part = kept.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("facet"), "label", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+        entries.append(F.when(passed, F.struct(F.lit(c).alias("facet"), label.alias("label"))))
+    each = held.select(F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("e"))
+    return each.groupBy(F.col("e.facet").alias("facet"), F.col("e.label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 #: A span of so many interquartile ranges is a heavy tail; a chart of fewer numbers than ``LEAST_NUMBERS`` is not scaled; fixed values.

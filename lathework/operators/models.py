@@ -1,4 +1,4 @@
-"""Nearest-neighbour imputation and multivariate outliers on bounded samples, applied to every row.
+"""Nearest-neighbour imputation, isolation forest and principal components on bounded samples, applied to every row.
 
 A model is fitted on at most ``sample`` rows taken by hash; every row of the
 table is then scored in Arrow batches.
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import drawn
 from .quantiles import quantiles
 
 DONORS = 20_000
@@ -19,7 +20,7 @@ DONORS = 20_000
 def _sample(df: DataFrame, columns: list[str], n: int, seed: int, kind: str | None = "double") -> pd.DataFrame:
     some = df.select(*[F.col(c).cast(kind).alias(c) if kind else F.col(c) for c in columns]).na.drop()
     # Each row draws for itself, so copies of one row do not come together.
-    return some.orderBy(F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *columns), *columns).limit(n).toPandas()
+    return drawn(some, n, seed).toPandas()
 
 
 class Neighbours:
@@ -226,33 +227,6 @@ def pca_residual(df: DataFrame, columns: list[str], components: int = 8, sample:
     return _score(df, columns, how, mid, mad)
 
 
-def local_outlier_factor(df: DataFrame, columns: list[str], k: int = 20, sample: int = 5_000, seed: int = 5) -> DataFrame:
-    """``df`` with the local outlier factor against a bounded reference sample."""
-    x, mid, mad = _scaled(df, columns, sample, seed)
-    k = max(2, min(50, k, len(x) - 1))
-
-    def near(z: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
-        d = np.sqrt(np.maximum(0, (z * z).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * z @ x.T))
-        if own:
-            np.fill_diagonal(d, np.inf)
-        at = np.argpartition(d, k - 1, axis=1)[:, :k]
-        return at, np.take_along_axis(d, at, 1)
-
-    at, dist = near(x, True)
-    reach = dist.max(1)
-    lrd = 1 / np.maximum(1e-12, np.maximum(dist, reach[at]).mean(1))
-
-    def how(z: np.ndarray) -> np.ndarray:
-        out = np.empty(len(z))
-        for lo in range(0, len(z), 500):
-            a, d = near(z[lo : lo + 500], False)
-            mine = 1 / np.maximum(1e-12, np.maximum(d, reach[a]).mean(1))
-            out[lo : lo + 500] = lrd[a].mean(1) / mine
-        return out
-
-    return _score(df, columns, how, mid, mad)
-
-
 def flag_top(df: DataFrame, share: float = 0.01) -> DataFrame:
     """``df`` with ``outlier``: the rows whose score is in the top share."""
     cut = quantiles(df, F.col("outlier_score"), [1 - share], name="_cut").select(F.get("_cut", F.lit(0)).alias("_cut"))

@@ -17,22 +17,35 @@ def parts_of(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def range_part(df: DataFrame, order: str, parts: int | None = None) -> Column:
-    """The number of the range that holds a row's order value; nulls are in the first.
+def drawn(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """About ``n`` rows of ``df`` at most, each drawn for itself: a filter by hash after a count, so nothing is merged or sorted."""
+    share = min(1.0, n / max(1, df.count()))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(1 << 40))
+    return df.where(draw < int(share * (1 << 40))) if share < 1 else df
+
+
+def place(df: DataFrame, order: str, then: tuple[str, ...] = ()) -> Column:
+    """What rows are put in order by: the order column, ``then``, and a hash of the row for what is equal in these."""
+    return F.struct(F.col(f"`{order}`").alias("o"), *[F.col(f"`{c}`").alias(f"t{i}") for i, c in enumerate(then)], F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h"))
+
+
+def range_part(df: DataFrame, order: str, parts: int | None = None, then: tuple[str, ...] = ()) -> Column:
+    """The number of the range that holds a row's place; rows without an order value are in the first ones.
 
     Bounds are literals, so each use of the expression cuts alike.  The sample is
-    of rows, so a value that many rows have weighs as many.
+    of rows and the places go on with ``then`` and the row's hash, so an order
+    value that many rows have is cut like any other.
     """
     parts = parts or parts_of(df)
-    kind = df.schema[order].dataType
-    draw = F.xxhash64(F.monotonically_increasing_id(), order)
-    some = df.select(order).where(F.col(order).isNotNull()).orderBy(draw).limit(parts * SAMPLE).collect()
-    values = sorted(r[0] for r in some)
-    bounds = sorted({values[i * len(values) // parts] for i in range(1, parts)}) if values else []
+    own = df.select(place(df, order, then).alias("p"))
+    found = drawn(own, parts * SAMPLE).orderBy("p").toArrow()["p"].combine_chunks() if parts > 1 else []
+    at = sorted({i * len(found) // parts for i in range(1, parts)}) if len(found) else []
+    bounds = [found[i].as_py() for i in at if i]
     if not bounds:
         return F.lit(0)
-    cuts = F.array(*[F.lit(b).cast(kind) for b in bounds])
-    return F.size(F.filter(cuts, lambda b: b <= F.col(order)))
+    kind = own.schema["p"].dataType
+    cuts = F.array(*[F.struct(*[F.lit(b[f.name]).cast(f.dataType).alias(f.name) for f in kind]) for b in bounds])
+    return F.size(F.filter(cuts, lambda b: b <= place(df, order, then)))
 
 
 def attach(df: DataFrame, order: str, specs: list[tuple[str, str, Column | None]], then: tuple[str, ...] = ()) -> DataFrame:
@@ -41,9 +54,8 @@ def attach(df: DataFrame, order: str, specs: list[tuple[str, str, Column | None]
     All of them share one cut: a window by range, and one aggregation whose rows
     (one for each range) carry what crosses.
     """
-    keys = [F.col(c).asc_nulls_first() for c in (order, *then)]
-    cut = df.withColumns({"_part": range_part(df, order)} | {f"_v{i}": v for i, (_, _, v) in enumerate(specs) if v is not None})
-    w = Window.partitionBy("_part").orderBy(*keys)
+    cut = df.withColumns({"_part": range_part(df, order, None, then), "_place": place(df, order, then)} | {f"_v{i}": v for i, (_, _, v) in enumerate(specs) if v is not None})
+    w = Window.partitionBy("_part").orderBy("_place")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     inside, ends, crossing = {"_first": F.row_number().over(w) == 1}, [], [F.col("_part")]
@@ -58,7 +70,7 @@ def attach(df: DataFrame, order: str, specs: list[tuple[str, str, Column | None]
             crossing.append(F.sum(f"_e{i}").over(earlier).alias(f"_b{i}"))
         else:
             inside[f"_i{i}"] = F.lag(f"_v{i}").over(w)
-            ends.append(F.max_by(F.struct(f"_v{i}"), F.struct(F.col(order).isNotNull(), order)).alias(f"_e{i}"))
+            ends.append(F.max_by(F.struct(f"_v{i}"), "_place").alias(f"_e{i}"))
             crossing.append(F.lag(f"_e{i}").over(Window.orderBy("_part"))[f"_v{i}"].alias(f"_b{i}"))
     # One row for each range.
     across = cut.groupBy("_part").agg(*ends).select(*crossing)

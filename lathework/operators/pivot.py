@@ -15,36 +15,36 @@ def pivot_long(df: DataFrame, index: list[str], columns: list[str], measures: li
     """One row for each cell; margin rows have ``(total)`` in the summed-over dimensions.
 
     Margins are aggregated from the rows, not from cells: one pass with grouping
-    sets (cells, row totals, column totals, grand total).
+    sets (cells, row totals, column totals, grand total), told apart by their
+    grouping.  A data value ``(total)`` is written ``'(total)'``.
     """
+    return _pivot_sets(df, index, columns, measures, margins).drop("_margin")
+
+
+def _pivot_sets(df: DataFrame, index: list[str], columns: list[str], measures: list[Measure], margins: bool) -> DataFrame:
+    """``pivot_long`` with ``_margin``: a bit for each dimension that is summed over, the last the lowest."""
     dims = [*index, *columns]
     keyed = df
     for d in dims:
-        keyed = keyed.withColumn(d, F.coalesce(F.col(d).cast("string"), F.lit("(missing)")))
+        label = F.coalesce(F.col(d).cast("string"), F.lit("(missing)"))
+        keyed = keyed.withColumn(d, F.when(label == TOTAL, f"'{TOTAL}'").otherwise(label))
     aggs = [measure(m).alias(m.title) for m in measures]
     if not margins:
-        return keyed.groupBy(*dims).agg(*aggs)
+        return keyed.groupBy(*dims).agg(*aggs).withColumn("_margin", F.lit(0))
     sets = [dims, index, columns, []]
     sets = [s for i, s in enumerate(sets) if s not in sets[:i]]
-    out = keyed.groupingSets([[F.col(c) for c in s] for s in sets], *dims).agg(*aggs)
-    return out.select(*[F.coalesce(F.col(d), F.lit(TOTAL)).alias(d) for d in dims], *[F.col(f"`{m.title}`") for m in measures])
+    out = keyed.groupingSets([[F.col(c) for c in s] for s in sets], *dims).agg(*aggs, F.grouping_id().alias("_margin"))
+    return out.select(*[F.coalesce(F.col(d), F.lit(TOTAL)).alias(d) for d in dims], *[F.col(f"`{m.title}`") for m in measures], "_margin")
 
 
 def pivot_percent(df: DataFrame, index: list[str], columns: list[str], m: Measure, of: str = "row") -> DataFrame:
     """Each cell as a share of its row, column or grand total (from rows)."""
-    long = pivot_long(df, index, columns, [m])
+    long = _pivot_sets(df, index, columns, [m], True)
     cell = F.col(f"`{m.title}`").cast("double")
-    keys = {"row": index, "column": columns, "grand": []}[of]
-    inside = long
-    for d in [*index, *columns]:
-        inside = inside.where(F.col(d) != TOTAL)
-    other = [d for d in [*index, *columns] if d not in keys]
-    margin = long
-    for d in other:
-        margin = margin.where(F.col(d) == TOTAL)
-    for d in keys:
-        margin = margin.where(F.col(d) != TOTAL)
-    margin = margin.select(*keys, cell.alias("_margin"))
+    dims, keys = [*index, *columns], {"row": index, "column": columns, "grand": []}[of]
+    bits = sum(1 << (len(dims) - 1 - k) for k, d in enumerate(dims) if d not in keys)
+    inside = long.where("_margin = 0").drop("_margin")
+    margin = long.where(F.col("_margin") == bits).select(*keys, cell.alias("_margin"))
     joined = inside.join(margin, keys) if keys else inside.crossJoin(F.broadcast(margin))
     return joined.withColumn("share", F.try_divide(cell, F.col("_margin"))).drop("_margin")
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import cleans
+from ..functions import text as T
 from .aggregate import finite
 
 #: Layouts of date texts in the order in which they are tried; fixed values.
@@ -191,3 +192,77 @@ def column_network(df: DataFrame, numbers: list[str], categories: list[str], lea
             e = profile.eta_squared(df, c, n).select(F.lit(c).alias("a"), F.lit(n).alias("b"), F.lit("eta").alias("kind"), F.sqrt("eta2").alias("effect"))
             out = e if out is None else out.unionByName(e)
     return out.where(F.abs("effect") >= least)
+
+
+#: Terms tried of a free text, rows that a term must and must not be in, rows of a pair; fixed values.
+TERMS, LEAST_TERM, LEAST_PAIR = 12, 10, 20
+
+
+def text_network(df: DataFrame, text: list[str], categories: list[str] = (), numbers: list[str] = (), top: int = 20, least: float = 0.3, least_overlap: float = 0.08) -> DataFrame:
+    """Associations of text columns: ``a``, ``b``, ``kind``, ``effect``, ``n`` and ``basis`` (the term, of a free text).
+
+    Two texts: the words that they share row by row over all words of both
+    (``overlap``).  A text and a category (Cramér's V) or a number (eta squared):
+    a text of at most ``2 top`` values by its ``top`` values and the rest, any
+    other by whether one of its most widespread words is in it, the best of
+    these.  Words of two letters or more that are no stop words count.
+
+    One aggregate gives the shared words of all pairs; one more, over (feature,
+    code, column, value), every table of counts and means: rows are folded where
+    they lie.  Only the tops of values and words reach the driver.  Missing and
+    blank cells are a value of their own and have no words; pairs of under
+    ``LEAST_PAIR`` rows, and an empty table, give no row.
+    """
+    from itertools import combinations
+
+    from .profile import STOP_WORDS
+
+    spark = df.sparkSession
+    label = lambda c: F.coalesce(F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")), F.lit("(empty)"))
+    terms = lambda c: F.array_distinct(F.filter(T.tokens(F.col(f"`{c}`")), lambda w: (F.char_length(w) >= 2) & ~w.isin(STOP_WORDS)))
+    held = df.select(
+        *[label(c).alias(f"_l{i}") for i, c in enumerate(text)], *[terms(c).alias(f"_t{i}") for i, c in enumerate(text)],
+        *[label(c).alias(f"_c{j}") for j, c in enumerate(categories)], *[finite(F.col(f"`{c}`").cast("double")).alias(f"_n{j}") for j, c in enumerate(numbers)],
+    )
+    parts, pairs = [], list(combinations(range(len(text)), 2))
+    schema = "a string, b string, kind string, effect double, n bigint, basis string"
+    if pairs:
+        both = [(F.size(f"_t{a}") > 0) & (F.size(f"_t{b}") > 0) for a, b in pairs]
+        shared = [F.struct(F.sum(F.when(ok, F.size(F.array_intersect(f"_t{a}", f"_t{b}")))).alias("i"), F.sum(F.when(ok, F.size(F.array_union(f"_t{a}", f"_t{b}")))).alias("u"), F.count_if(ok).alias("n")) for ok, (a, b) in zip(both, pairs, strict=True)]
+        one = held.agg(F.array(*[F.struct(F.lit(text[a]).alias("a"), F.lit(text[b]).alias("b"), s.alias("s")) for s, (a, b) in zip(shared, pairs, strict=True)]).alias("p")).select(F.inline("p"))
+        one = one.select("a", "b", F.lit("overlap").alias("kind"), F.try_divide(F.col("s.i"), F.col("s.u")).alias("effect"), F.col("s.n").alias("n"), F.lit(None).cast("string").alias("basis"))
+        parts.append(one.where(F.col("effect") >= least_overlap))
+    # Features of the texts: a group for each top value, or one word in or out.
+    rows, features = held.count(), []
+    for i in range(len(text)):
+        values = held.groupBy(F.col(f"_l{i}").alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").limit(2 * top + 1).collect()
+        if len(values) <= 2 * top:
+            order = F.array(*[F.lit(r["v"]) for r in values[:top]]) if values else F.array().cast("array<string>")
+            features.append((i, None, F.array_position(order, F.col(f"_l{i}")).cast("int")))
+            continue
+        often = held.select(F.explode(f"_t{i}").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= 2) & (F.col("n") <= rows - 2))
+        for r in often.orderBy(F.desc("n"), "v").limit(TERMS).collect():
+            if min(r["n"], rows - r["n"]) >= LEAST_TERM:
+                features.append((i, r["v"], F.array_contains(f"_t{i}", r["v"]).cast("int")))
+    targets = [(c, F.col(f"_c{j}"), F.lit(None).cast("double")) for j, c in enumerate(categories)] + [(c, F.lit(None).cast("string"), F.col(f"_n{j}")) for j, c in enumerate(numbers)]
+    if features and targets:
+        each = held.select(F.array(*[code for *_, code in features]).alias("f"), F.array(*[F.struct(v.alias("v"), x.alias("x")) for _, v, x in targets]).alias("t"))
+        long = each.select(F.posexplode("f").alias("fi", "code"), "t").select("fi", "code", F.posexplode("t").alias("ti", "t")).select("fi", "code", "ti", "t.v", "t.x").where("v is not null or x is not null")
+        cells = long.groupBy("fi", "code", "ti", "v").agg(F.count(F.lit(1)).alias("o"), F.avg("x").alias("m"), F.var_pop("x").alias("s"))
+        pair, fc, tv = (Window.partitionBy("fi", "ti", *more) for more in ((), ("code",), ("v",)))  # counts only: bounded by the groups of a pair
+        wide = cells.withColumns({"n": F.sum("o").over(pair), "r": F.sum("o").over(fc), "c": F.sum("o").over(tv), "mm": F.sum(F.col("m") * F.col("o")).over(pair) / F.sum("o").over(pair)})
+        between, inside = F.sum(F.col("o") * (F.col("m") - F.col("mm")) ** 2), F.sum(F.col("o") * F.col("s"))
+        told = wide.groupBy("fi", "ti").agg(
+            F.max("n").alias("n"), F.countDistinct("code").alias("kf"), F.countDistinct("v").alias("kt"), (F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))) - 1).alias("chi"), F.try_divide(between, between + inside).alias("eta")
+        )
+        names = spark.createDataFrame([(k, text[i], basis) for k, (i, basis, _) in enumerate(features)], "fi int, a string, basis string")
+        ends = spark.createDataFrame([(k, c, "eta2" if c in numbers else "cramer") for k, (c, *_) in enumerate(targets)], "ti int, b string, kind string")
+        told = told.join(F.broadcast(names), "fi").join(F.broadcast(ends), "ti").where((F.col("n") >= LEAST_PAIR) & (F.col("kf") >= 2) & ((F.col("kind") == "eta2") | (F.col("kt") >= 2)))
+        effect = F.when(F.col("kind") == "eta2", F.col("eta")).otherwise(F.sqrt(F.greatest("chi", F.lit(0.0)) / (F.least("kf", "kt") - 1)))
+        best = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.round("effect", 9).desc_nulls_last(), "fi"))
+        told = told.withColumn("effect", effect).withColumn("_at", best).where((F.col("_at") == 1) & (F.col("effect") >= least))
+        parts.append(told.select("a", "b", "kind", "effect", "n", "basis"))
+    out = spark.createDataFrame([], schema)
+    for part in parts:
+        out = out.unionByName(part)
+    return out

@@ -387,7 +387,7 @@ def coverage(df: DataFrame, ts: str, grain: str, by: str | None = None) -> DataF
     share = F.least(F.lit(1.0), F.col("n") * F.col("_usual") / length)
     own = Window.partitionBy("series")
     edge = (F.col("slot") == F.min("slot").over(own)) | (F.col("slot") == F.max("slot").over(own))
-    out = n.join(F.broadcast(usual), "series").withColumn("coverage", share).withColumn("_edge", edge)
+    out = n.join(usual, "series").withColumn("coverage", share).withColumn("_edge", edge)
     return out.select("series", "slot", "n", "coverage", (F.col("_edge") & (F.col("coverage") < 0.95)).alias("partial"))
 
 

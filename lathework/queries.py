@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import buckets, cleans, formula
 from .functions import text as T
-from .operators import charts, compare, filters, fuzzy_index, models, pivot, profile, review, scorecard, sensitive, timeseries, transforms
+from .operators import charts, compare, filters, fuzzy_index, models, neighbours, pivot, profile, review, scorecard, sensitive, timeseries, transforms
 from .operators.aggregate import (
     BinEdges, BinQuantile, BinWidth, Cohort, DatePart, Measure, Since, Time, Value, View, Where, aggregate, partial_periods, post, totals,
 )
@@ -950,10 +950,14 @@ def outliers_pca(spark, d):
     return models.flag_top(out).where("outlier").select("l_orderkey", "l_linenumber", "outlier_score")
 
 
-@query()
+@query("""WITH m AS (SELECT median(c_acctbal) AS a, median(c_nationkey) AS b FROM customer), s AS (SELECT a, b, 1.4826 * (SELECT median(abs(c_acctbal - a)) FROM customer, m) AS sa, 1.4826 * (SELECT median(abs(c_nationkey - b)) FROM customer, m) AS sb FROM m),
+z AS (SELECT c_custkey AS id, (c_acctbal - a) / sa AS x, (c_nationkey - b) / sb AS y FROM customer, s), p AS (SELECT u.id, v.id AS o, sqrt((u.x - v.x) * (u.x - v.x) + (u.y - v.y) * (u.y - v.y)) AS d FROM z u JOIN z v ON u.id <> v.id),
+k AS (SELECT id, d AS kth FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY d) = 20), n AS (SELECT p.id, o, d FROM p JOIN k ON k.id = p.id WHERE d <= kth),
+l AS (SELECT n.id, count(*) / sum(greatest(d, kth)) AS lrd FROM n JOIN k ON k.id = n.o GROUP BY 1), f AS (SELECT n.id, avg(q.lrd) / any_value(l.lrd) AS score FROM n JOIN l q ON q.id = n.o JOIN l ON l.id = n.id GROUP BY 1)
+SELECT id AS c_custkey, round(score, 6) AS outlier_score FROM f WHERE score > (SELECT quantile_cont(score, 0.99) FROM f)""")
 def outliers_lof(spark, d):
-    out = models.local_outlier_factor(t(spark, d, "customer"), ["c_acctbal", "c_nationkey"])
-    return models.flag_top(out).where("outlier").select("c_custkey", "outlier_score")
+    out = neighbours.local_outlier_factor(t(spark, d, "customer"), ["c_acctbal", "c_nationkey"])
+    return models.flag_top(out).where("outlier").select("c_custkey", r("outlier_score", 6))
 
 
 # -- reviews ------------------------------------------------------------------
@@ -1305,3 +1309,17 @@ def cast_failing_rows(spark, d):
 @query(f"""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN NULL WHEN 2 THEN 'n/a' WHEN 4 THEN CAST(o_custkey AS VARCHAR) || '.5' ELSE CAST(o_custkey AS VARCHAR) END AS amount, o_orderkey % 6 = 1 AS amount_failed FROM orders""")
 def cast_numbers(spark, d):
     return transforms.cast_column(_raw_amounts(spark, d), "amount", "number")
+
+
+@query("""WITH p AS (SELECT row_number() OVER () AS id, string_split(p_name, ' ') AS t0, string_split(p_name || ' ' || lower(p_type), ' ') AS t1, p_type AS v, CASE WHEN starts_with(p_name, 'red') THEN 500 ELSE p_size END AS x FROM part),
+w AS (SELECT id, 'p_name' AS a, unnest(t0) AS w, v, x FROM p UNION ALL SELECT id, 'label', unnest(t1), v, x FROM p),
+k AS (SELECT a, w, count(*) AS n FROM w GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, w) <= 12),
+f AS (SELECT k.a, k.w, p.v, p.x, list_contains(CASE WHEN k.a = 'p_name' THEN t0 ELSE t1 END, k.w) AS code FROM k, p),
+g AS (SELECT a, w, code, v, count(*) AS o FROM f GROUP BY ALL), h AS (SELECT *, sum(o) OVER (PARTITION BY a, w) AS n, sum(o) OVER (PARTITION BY a, w, code) AS r, sum(o) OVER (PARTITION BY a, w, v) AS c FROM g),
+e AS (SELECT a, 'p_type' AS b, 'cramer' AS kind, sqrt(sum(o * o / (r * c)) - 1) AS effect, any_value(n) AS n, w AS basis FROM h GROUP BY a, w UNION ALL
+SELECT a, 'size', 'eta2', 1 - sum(o * s) / sum(o) / (SELECT var_pop(x) FROM p), sum(o), w FROM (SELECT a, w, code, count(*) AS o, var_pop(x) AS s FROM f GROUP BY ALL) GROUP BY a, w),
+z AS (SELECT 'p_name' AS a, 'label' AS b, 'overlap' AS kind, sum(len(list_intersect(t0, t1))) / sum(len(list_distinct(list_concat(t0, t1)))) AS effect, count(*) AS n, NULL AS basis FROM p)
+SELECT a, b, kind, round(effect, 6) AS effect, CAST(n AS BIGINT) AS n, basis FROM (SELECT e.*, k.n AS df FROM e JOIN k ON k.a = e.a AND k.w = e.basis QUALIFY row_number() OVER (PARTITION BY e.a, b ORDER BY round(effect, 9) DESC, df DESC, basis) = 1) WHERE effect >= 0.3 UNION ALL SELECT a, b, kind, round(effect, 6), n, basis FROM z""")
+def text_network(spark, d):
+    p = t(spark, d, "part").select("p_name", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("label"), "p_type", F.when(F.col("p_name").startswith("red"), 500).otherwise(F.col("p_size")).alias("size"))
+    return review.text_network(p, ["p_name", "label"], ["p_type"], ["size"]).select("a", "b", "kind", r("effect", 6), "n", "basis")
