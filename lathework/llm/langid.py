@@ -19,8 +19,15 @@ file, so no process holds the model and only the folder's path travels.
 
 A text's score for a language is its cross-entropy for each symbol (length
 normalised).  The lowest wins.  The confidence is the winner's share of
-2^(-entropy * strength), and a strength and a floor of confidence are calibrated
-on a bounded sample of training texts; under the floor ``rejected`` is set.
+2^(-entropy * strength).
+
+Rejection is calibrated on withheld rows: about ``CALIBRATION_ROWS`` at most of
+the training rows, of languages with ``LEAST_TAUGHT`` rows or more, teach nothing
+and are judged in pieces of ``PIECES`` symbols.  They give the strength, a floor
+of confidence, and how many bits a symbol over its language's mean a text of
+each length has; ``rejected`` is set under the floor or over ``QUANTILE`` of
+these.  A language that nobody taught has a nearest language too, but its
+symbols cost more bits than any text of that one.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 training rows with a null text or language teach nothing; ties go to the
@@ -37,7 +44,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, scratch, slices, written
@@ -45,7 +52,11 @@ from .common import mix64, scratch, slices, written
 ORDER = 4
 PART_ROWS = 1 << 20
 CALIBRATION_ROWS = 2_000
-PIECE = 40
+LEAST_TAUGHT = 50
+PIECES = (12, 20, 40, 80, 160, 320)
+QUANTILE = 0.998
+#: Bits a symbol that a text may have beyond what was seen.
+MARGIN = 0.1
 
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -157,6 +168,9 @@ class Model:
     def __init__(self, langs: list[str], path: str, bits: int, base: np.ndarray):
         self.langs, self.path, self.bits, self.base = langs, path, bits, base
         self.strength, self.floor = 1.0, 0.0
+        #: Bits a symbol of each language's own texts, and the most over them by length; None: nothing is rejected by them.
+        self.usual: np.ndarray | None = None
+        self.most = np.full(len(PIECES), np.inf)
 
     def _find(self, k: int, windows: np.ndarray):
         """The stored rows of windows of ``k`` symbols: numbers of windows, and a row for each."""
@@ -229,8 +243,13 @@ class Model:
         p = np.exp2(np.maximum(z, -1000))
         return 1.0 / p.sum(axis=1)
 
+    def limit(self, sizes: np.ndarray) -> np.ndarray:
+        """Bits a symbol over the usual ones from which on a text of so many symbols is rejected: straight in 1 / sqrt(size) between the calibrated lengths."""
+        at = 1 / np.sqrt(np.array(PIECES[::-1], float))
+        return np.interp(1 / np.sqrt(np.maximum(sizes, 1)), at, self.most[::-1])
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, confidence and whether it lies under the calibrated floor."""
+        """Language, confidence and whether the text is rejected: an unsure winner, or too many bits for its language."""
         lang, score, low = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         if not self.langs:
             return lang, score, low
@@ -241,9 +260,11 @@ class Model:
             # A text whose only letters are not word characters of the fold scores its boundaries.
             e = self.entropies(folded)
             best = e.argmin(axis=1)
-            conf = self.confidence(e, np.array([len(f) for f in folded]))
-            for i, b, c in zip(some, best.tolist(), conf.tolist(), strict=True):
-                lang[i], score[i], low[i] = self.langs[b], c, c < self.floor
+            sizes = np.array([len(f) for f in folded])
+            conf = self.confidence(e, sizes)
+            far = e.min(axis=1) - self.usual[best] > self.limit(sizes) if self.usual is not None else np.zeros(len(some), bool)
+            for i, b, c, x in zip(some, best.tolist(), conf.tolist(), far.tolist(), strict=True):
+                lang[i], score[i], low[i] = self.langs[b], c, c < self.floor or x
         return lang, score, low
 
 
@@ -385,38 +406,50 @@ def _store(rows: DataFrame, path: str, bits: int) -> None:
     dealt.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
 
 
-def calibrate(model: Model, docs: DataFrame, key: str, text: str, lang: str, rows: int = CALIBRATION_ROWS, piece: int = PIECE) -> Model:
-    """Set strength and floor on one piece of each of about ``rows`` training texts at most, taken by the hash of id and text.
+def withheld(docs: DataFrame, key: str, text: str, lang: str, rows: int = CALIBRATION_ROWS, least: int = LEAST_TAUGHT) -> Column:
+    """Which training rows are judged instead of teaching: about ``rows`` at most and a tenth, by the hash of id and text."""
+    taught = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("g")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).collect()
+    share = min(0.1, rows / max(1, sum(r["n"] for r in taught)))
+    drawn = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 40)) < int(share * (1 << 40))
+    return F.coalesce(drawn & F.col(lang).cast("string").isin([r["g"] for r in taught]), F.lit(False))
+
+
+def calibrate(model: Model, docs: DataFrame, key: str, text: str, lang: str, lengths: tuple[int, ...] = PIECES) -> Model:
+    """Set strength, floor and limits on pieces of ``docs``, withheld rows of a bounded number.
 
-    A piece is ``piece`` symbols from anywhere in the whole text, by the same
-    hash.  The strength makes the mean confidence on these pieces agree with the
-    share that is right; the floor is the confidence that one in a thousand of
-    them stays under.  Equal pieces travel once, with their number.
+    Each text that is long enough gives one piece of each of ``lengths`` symbols,
+    from anywhere in the whole text, by the hash of id and text; equal pieces
+    travel once, with their number.  The strength makes the mean confidence agree
+    with the share that is right; the floor is the confidence that one in a
+    thousand pieces stays under.  Of the pieces whose winner is right,
+    ``QUANTILE`` of those of a length stay under its limit.
     """
     if not model.langs:
         return model
     some = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     some = some.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("g"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
-    share = min(1.0, rows / max(1, docs.count()))
-    if share < 1:
-        some = some.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
 
     def cut(batches):
         for batch in slices(batches):
-            out = ([], [])
+            out = ([], [], [])
             for t, g, h in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if has_letter(t):
                     folded = fold(t)
-                    at = (h >> 8) % max(1, len(folded) - piece)
-                    out[0].append("\n" + folded[at : at + piece].strip("\n") + "\n")
-                    out[1].append(g)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["t", "g"])
-
-    held = some.mapInArrow(cut, "t string, g string").groupBy("t", "g").agg(F.count(F.lit(1)).alias("n")).collect()
+                    for piece in lengths:
+                        if len(folded) >= piece:
+                            at = (h >> 8) % (len(folded) - piece + 1)
+                            out[0].append("\n" + folded[at : at + piece].strip("\n") + "\n")
+                            out[1].append(g)
+                            out[2].append(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32())], names=["t", "g", "k"])
+
+    held = some.mapInArrow(cut, "t string, g string, k int").groupBy("t", "g", "k").agg(F.count(F.lit(1)).alias("n")).collect()
     if not held:
         return model
-    e = model.entropies([r["t"] for r in held])
-    right = np.array([model.langs[b] == r["g"] for b, r in zip(e.argmin(axis=1).tolist(), held, strict=True)])
+    held.sort()
+    e = np.concatenate([model.entropies([r["t"] for r in held[lo : lo + 512]]) for lo in range(0, len(held), 512)])
+    best_of = e.argmin(axis=1)
+    right = np.array([model.langs[b] == r["g"] for b, r in zip(best_of.tolist(), held, strict=True)])
     sizes = np.array([len(r["t"]) for r in held])
     n = np.array([r["n"] for r in held], float)
     best = None
@@ -429,6 +462,26 @@ def calibrate(model: Model, docs: DataFrame, key: str, text: str, lang: str, row
             floor = c[order][np.searchsorted(np.cumsum(n[order]), 0.001 * n.sum())]
             best = (loss, strength, float(floor))
     _, model.strength, model.floor = best
+    # Bits over each language's usual ones; a language without a long piece takes the mean of all.
+    bits, kinds = e.min(axis=1), np.array([r["k"] for r in held])
+    long = right & (kinds >= PIECES[2])
+    if not long.any():
+        return model
+    mean = np.average(bits[long], weights=n[long])
+    model.usual = np.array([np.average(bits[own], weights=n[own]) if (own := long & (best_of == b)).any() else mean for b in range(len(model.langs))])
+    over, most = bits - model.usual[best_of], np.full(len(PIECES), np.nan)
+    for i, piece in enumerate(PIECES):
+        own = np.flatnonzero(right & (kinds == piece))
+        if n[own].sum() >= LEAST_TAUGHT / 2:
+            order = own[np.argsort(over[own])]
+            most[i] = over[order][min(len(order) - 1, np.searchsorted(np.cumsum(n[order]), QUANTILE * n[own].sum()))]
+    known = np.flatnonzero(~np.isnan(most))
+    if not len(known):
+        model.usual = None
+        return model
+    # Lengths without pieces take the next shorter one's limit; a longer text is never allowed more than a shorter one.
+    most = np.interp(np.arange(len(PIECES)), known, most[known])
+    model.most = np.maximum.accumulate(most[::-1])[::-1] + MARGIN
     return model
 
 
@@ -456,7 +509,8 @@ def train_and_identify(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """key, held_out, lang_pred, score, rejected: learns from the rows that are not held out."""
     held_out = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2
     train = docs.where(F.coalesce(~held_out, F.lit(True)))
-    model = calibrate(fit(train, text, lang), train, key, text, lang)
+    aside = withheld(train, key, text, lang)
+    model = calibrate(fit(train.where(~aside), text, lang), train.where(aside), key, text, lang)
     out = identify(docs.select(F.col(key), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text)), model, text)
     # Run here, in small batches: the model and a large batch together would strain a small executor.
     return written(out, "languages")

@@ -137,6 +137,21 @@ def test_held_out_accuracy_and_calibration(spark):
     assert sum(r.rejected for r in got) <= 0.05 * len(got)
 
 
+def test_languages_that_nobody_taught_are_rejected(spark):
+    rng = random.Random(12)
+    parts = {"aa": ["bal", "dor", "kin", "el", "sta", "mer"], "bb": ["uzh", "ov", "ich", "na", "el", "pry"], "cc": ["que", "ment", "ou", "el", "sta", "aux"]}
+    strange = {"pl": ["szcz", "ę", "ąć", "dż", "nie", "wy"], "ru": ["при", "вет", "ста", "ов", "ный"], "keys": ["qx7", "zvw", "jkq", "xxz", "wqj"]}
+    text = lambda own, n: " ".join("".join(rng.choice(own) for _ in range(rng.randint(2, 4))) for _ in range(n))
+    rows = [(i, text(parts[g], rng.randint(3, 60)), g) for i, g in enumerate(list(parts) * 300)]
+    rows += [(5000 + i, text(own, 4 + i % 40), None) for i, own in enumerate(list(strange.values()) * 40)]
+    got = {r.doc_id: r for r in langid.train_and_identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    odd = [r for i, r in got.items() if i >= 5000]
+    assert sum(r.rejected for r in odd) >= 0.95 * len(odd) and all(r.lang_pred in parts for r in odd)
+    long = [got[i] for i, t, g in rows if g and got[i].held_out and len(t) >= 40]
+    assert len(long) > 100 and sum(r.rejected for r in long) <= 0.01 * len(long) + 1
+    assert all(r.lang_pred == g for i, _, g in rows if g and (r := got[i]).held_out)
+
+
 def test_a_language_s_model_does_not_depend_on_the_others(spark, monkeypatch):
     rng = np.random.default_rng(4)
     # 450,000 different n-grams, each seen twice.
