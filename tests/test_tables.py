@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lathework.functions import cleans
 from lathework.functions import text as T
-from lathework.operators import charts, compare, filters, models, pivot, profile, timeseries, transforms
+from lathework.operators import charts, compare, filters, models, neighbours, pivot, profile, timeseries, transforms
 from lathework.operators.aggregate import Measure
 from lathework.operators.profile import Rule
 from lathework.plans.recipe import Recipe
@@ -221,7 +221,7 @@ def test_outlier_scores_find_the_outlier(spark):
     rng = np.random.default_rng(2)
     data = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(0, 1, (300, 2)))] + [(999, 12.0, -12.0)]
     df = spark.createDataFrame(data, "id long, a double, b double")
-    for f in (models.isolation_forest, models.local_outlier_factor):
+    for f in (models.isolation_forest, neighbours.local_outlier_factor):
         assert f(df, ["a", "b"]).orderBy(F.col("outlier_score").desc()).first().id == 999
     line = spark.createDataFrame([(i, float(i), float(2 * i)) for i in range(200)] + [(999, 10.0, 300.0)], "id long, a double, b double")
     assert models.pca_residual(line, ["a", "b"], 1).orderBy(F.col("outlier_score").desc()).first().id == 999
