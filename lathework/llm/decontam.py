@@ -36,7 +36,10 @@ with the data.
 Defined results: a null or empty text, or one without words, has no hits and is
 not contaminated; an item without words has no window; rows with the same id
 are judged one by one; a null item text or id is skipped (null id) or has no
-window; an empty benchmark leaves every document clean; a null key is kept.
+window; an empty benchmark leaves every document clean; a null key is kept; a
+text of any length is indexed and searched whole, in one segment;
+``decontaminate`` carries other columns, whatever their names; an empty table
+gives no row.
 """
 
 from __future__ import annotations

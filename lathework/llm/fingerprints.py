@@ -25,7 +25,9 @@ cross to another task.
 
 Defined results: a null or empty text has no chunk and an empty fingerprint;
 two empty fingerprints are alike by 1, an empty and another by 0; null ids come
-first; one row alone is its own next document; an empty table gives no row.
+first; one row alone is its own next document; texts of any length are chunked
+whole; other columns, whatever their names, are not carried; an empty table
+gives no row.
 """
 
 from __future__ import annotations

@@ -40,8 +40,9 @@ space.
 
 Defined results: a null or empty html gives the empty text; pages without a url
 form one host; equal pages are extracted each; unclosed and stray tags are read
-as browsers read them (a paragraph ends the one before); other columns are
-carried along; an empty table gives no row.
+as browsers read them (a paragraph ends the one before); a page of any length is
+read whole; other columns are carried along, whatever their names; an empty
+table gives no row.
 """
 
 from __future__ import annotations

@@ -31,7 +31,10 @@ symbols cost more bits than any text of that one.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 training rows with a null text or language teach nothing; ties go to the
-language that sorts first; without any training row every text is ``und``.
+language that sorts first; without any training row every text is ``und``; texts
+of any length count and are scored whole; equal texts get equal results; other
+columns are carried by ``identify`` (``lang_pred``, ``score`` and ``rejected``
+are replaced); an empty table gives no row.
 """
 
 from __future__ import annotations

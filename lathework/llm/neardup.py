@@ -20,7 +20,9 @@ already, no pairs of a group are listed, and no group has to fit in one task.
 Defined results: a text without words (null, empty, white space) has no
 shingle, is linked with nothing and is kept; a text of fewer words than a
 shingle has one, the whole sequence; rows with one id are one document; rows
-with a null id get a null component and are kept; an empty table gives no row.
+with a null id get a null component and are kept; texts of any length are taken
+whole; ``keep_one`` carries other columns, whatever their names; an empty table
+gives no row.
 """
 
 from __future__ import annotations

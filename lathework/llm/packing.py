@@ -16,7 +16,8 @@ groups' totals are summed up by blocks, and a group gets the runs that it meets.
 
 Defined results: a null or empty text is a document of the end id alone; equal
 rows are packed each; a piece never exceeds the capacity; an empty table gives
-no piece; columns other than the id and the text are not carried.
+no piece; a text of any length is encoded whole and cut by ids only; columns other
+than the id and the text are not carried, whatever their names.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ access identifier or an assignment.
 Spans are ``kind:start:end`` in code points, end exclusive.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned
-each; other columns are carried along untouched; an empty table gives an empty
+each; texts of any length are scanned whole; other columns are carried along
+untouched, whatever their names; an empty table gives an empty
 result; ties (same start) go by the order of kinds below.
 """
 

@@ -13,7 +13,8 @@ The hash takes the id and the text, so copies of one text under different ids
 spread over all buckets; only rows equal in both share one.
 
 Defined results: nulls hash as values of their own; equal rows are placed each;
-an empty table gives an empty result; other columns are written along.
+a text of any length is one record; an empty table gives an empty result; other
+columns are written along, whatever their names.
 """
 
 from __future__ import annotations
