@@ -34,9 +34,9 @@ tasks.  Documents are range-partitioned by id; a file ends after ``FILE_IDS``
 ids, so memory is bounded whatever a partition holds.
 
 Defined results: a null or empty text has the end id alone; equal ids go by
-text; null ids come first; a text of any length is encoded whole and may fill
-several files; other columns, whatever their names, are not carried; an empty
-table gives no file and no row.
+text; null ids come first; a text of any length is encoded whole and lies in one
+file; other columns, whatever their names, are not carried; an empty table gives
+no file and no row.
 """
 
 from __future__ import annotations

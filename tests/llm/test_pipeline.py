@@ -35,7 +35,7 @@ def test_stages_keep_the_columns_and_work_on_what_is_left(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
 
 
 def tables(spark, path, docs, benchmark, labels, extra=()):
