@@ -48,7 +48,7 @@ from .common import skewed_join, small_batches, written
 from .vectors import usual_size, whole
 
 DIMS = 6
-TRUST = 0.9
+TRUST = 0.95
 SAMPLE = 1 << 14
 LEAF = 64
 SLICE = 2048
