@@ -195,7 +195,7 @@ def facets(df: DataFrame, filters: dict[str, Column], columns: list[str]) -> Dat
 
 
 #: A span of so many interquartile ranges is a heavy tail; a chart of fewer numbers than ``LEAST_NUMBERS`` is not scaled; fixed values.
-HEAVY_TAIL, LEAST_NUMBERS = 200, 50
+HEAVY_TAIL, LEAST_NUMBERS = 200, 100
 
 
 def symlog(x: Column) -> Column:

@@ -240,7 +240,7 @@ def similar_clusters(df: DataFrame, column: str, least: float = 0.9) -> DataFram
 #: Words that say nothing about a text's subject: an own short list, a parameter of the profile.
 STOP_WORDS = "a an and are as at be but by for from has he in is it its of on or that the this to was were will with".split()
 
-#: Shapes of values in the order in which they are tried; fixed values.
+#: Shapes of values in the order in which they are tried: own patterns.
 SHAPES = {
     "email": r"^[\w.+-]+@[\w-]+(\.[\w-]+)+$",
     "url": r"^(https?://|www\.)\S+$",

@@ -94,7 +94,7 @@ def sentinels(df: DataFrame, column: str) -> DataFrame:
     return n.where(out & enough).select("value", "n")
 
 
-#: Ranges that a column's name promises; fixed values.
+#: Ranges that a column's name promises: an own list.
 NAMED_RANGES = {"age": (0, 120), "percent": (0, 100), "pct": (0, 100), "latitude": (-90, 90), "lat": (-90, 90), "longitude": (-180, 180), "lon": (-180, 180), "lng": (-180, 180), "month": (1, 12), "day": (1, 31), "hour": (0, 23), "year": (1800, 2100), "rating": (0, 10)}
 
 
@@ -127,7 +127,7 @@ def coordinates(df: DataFrame, lat: str, lon: str) -> DataFrame:
     )
 
 
-#: Reference lists; fixed values.
+#: Reference lists: the common entries, an own choice.
 REFERENCE = {
     "weekday": "monday tuesday wednesday thursday friday saturday sunday".split(),
     "month": "january february march april may june july august september october november december".split(),
