@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import buckets
 from . import forecasting
 from .aggregate import finite
+from .charts import order_statistics
+from .order import attach
 from .quantiles import quantiles, with_quantiles
 
 
@@ -31,6 +33,41 @@ def series(df: DataFrame, ts: str, value: str | None, grain: str, agg: str = "su
     return df.where(F.col(ts).isNotNull()).groupBy(*keys, slot.alias("slot")).agg(how().cast("double").alias("value"))
 
 
+#: Minutes that a base slot below a day can have, the most slots that one has in a table, and the share of a typical gap that it fills; fixed values.
+SLOT_MINUTES, MOST_SLOTS, FILLED, DAILY = (1, 5, 15, 30, 60), 1_500_000, 1.1, 0.75
+
+
+def base_slot(df: DataFrame, ts: str) -> DataFrame:
+    """One row: ``minutes`` of the base slot, ``typical`` (the middle gap between different times, in seconds) and ``gaps``.
+
+    The slot is a day unless rows have a clock and come more than once a day;
+    else the coarsest step of ``SLOT_MINUTES`` that the typical gap fills, or a
+    coarser one in a very long table.  Different times are put next to each other
+    by ranges (``order.attach``), and the middle gap is an order statistic of
+    their counts, so no task sorts the table.  Missing times do not count;
+    without two different times the slot is a day and ``typical`` null.
+    """
+    at = F.col(f"`{ts}`").cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at)
+    times = df.where(F.col(f"`{ts}`").isNotNull()).select(micros.alias("u")).distinct()
+    gaps = attach(times, "u", [("before", "previous", F.col("u"))]).select((F.col("u") - F.col("before")).cast("double").alias("_x"), F.lit(0).alias("g")).where("_x is not null")
+    wanted = gaps.groupBy("g").agg(F.count(F.lit(1)).alias("n")).withColumn("_ranks", F.array(F.floor(F.col("n") / 2)))
+    middle = order_statistics(gaps, "g", wanted).select("n", (F.get("_v", F.lit(0)) / 1e6).alias("typical"))
+    day = 86_400
+    ends = times.agg(F.max("u").alias("hi"), F.min("u").alias("lo"), F.max((F.col("u") % F.lit(day * 10**6) != 0).cast("int")).alias("clock"))
+    one = ends.join(F.broadcast(middle), F.lit(True), "left")
+    span = F.col("hi") / 1e6 - F.floor(F.col("lo") / 1e6 / day) * day
+    fits = [(F.col("typical") * FILLED >= 60 * m) | F.lit(m == SLOT_MINUTES[0]) for m in SLOT_MINUTES]
+    out = F.lit(None).cast("int")
+    for m, ok in zip(SLOT_MINUTES, fits, strict=True):  # the coarsest that fits, if it is coarse enough
+        out = F.when(ok & (span / (60 * m) <= MOST_SLOTS), m).otherwise(out)
+    coarser = F.lit(1440)
+    for m in reversed(SLOT_MINUTES):
+        coarser = F.when(span / (60 * m) <= MOST_SLOTS, m).otherwise(coarser)
+    daily = F.col("typical").isNull() | (F.col("clock") != 1) | (F.col("typical") >= DAILY * day)
+    return one.select(F.when(daily, 1440).otherwise(F.coalesce(out, coarser)).cast("int").alias("minutes"), "typical", F.coalesce("n", F.lit(0)).alias("gaps"))
+
+
 def time_weighted_mean(df: DataFrame, ts: str, value: str, grain: str, by: str, then: tuple[str, ...] = ()) -> DataFrame:
     """Each reading holds until the next one of its group, three usual gaps at most, the last one for one; split at slot edges."""
     w = Window.partitionBy(by).orderBy(ts, *then)

@@ -1323,3 +1323,10 @@ SELECT a, b, kind, round(effect, 6) AS effect, CAST(n AS BIGINT) AS n, basis FRO
 def text_network(spark, d):
     p = t(spark, d, "part").select("p_name", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("label"), "p_type", F.when(F.col("p_name").startswith("red"), 500).otherwise(F.col("p_size")).alias("size"))
     return review.text_network(p, ["p_name", "label"], ["p_type"], ["size"]).select("a", "b", "kind", r("effect", 6), "n", "basis")
+
+
+@query("""WITH t AS (SELECT DISTINCT epoch_us(ts) AS u FROM events), g AS (SELECT u - lag(u) OVER (ORDER BY u) AS gap FROM t),
+r AS (SELECT gap / 1e6 AS s, row_number() OVER (ORDER BY gap) - 1 AS k, count(*) OVER () AS n FROM g WHERE gap IS NOT NULL), m AS (SELECT s, n FROM r WHERE k = n // 2)
+SELECT CAST(CASE WHEN s >= 0.75 * 86400 THEN 1440 WHEN s * 1.1 >= 3600 THEN 60 WHEN s * 1.1 >= 1800 THEN 30 WHEN s * 1.1 >= 900 THEN 15 WHEN s * 1.1 >= 300 THEN 5 ELSE 1 END AS INTEGER) AS minutes, round(s, 6) AS typical, n AS gaps FROM m""")
+def ts_base_slot(spark, d):
+    return timeseries.base_slot(t(spark, d, "events"), "ts").select("minutes", r("typical", 6), "gaps")

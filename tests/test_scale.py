@@ -102,3 +102,28 @@ def test_text_network_by_groups_words_and_overlap(spark):
     assert groups["short", "c"].basis is None and groups["short", "c"].effect == pytest.approx(1.0)
     assert review.text_network(df.where("v < 0"), ["a", "b"], ["c"], ["v"]).count() == 0
     assert review.text_network(df, ["a"]).count() == 0
+
+
+@pytest.mark.parametrize("seconds,want", [(420, 5), (1800, 30), (1700, 30), (20, 1), (3 * 3600, 60), (20 * 3600, 1440)])
+def test_base_slot_from_the_typical_gap(spark, seconds, want):
+    import datetime
+
+    from lathework.operators import timeseries
+
+    t0 = datetime.datetime(2024, 3, 1, 6)
+    rows = [(t0 + datetime.timedelta(seconds=seconds * k),) for k in range(60)] * 2 + [(None,)]
+    got = timeseries.base_slot(spark.createDataFrame(rows, "t timestamp_ntz"), "t").first()
+    assert (got.minutes, got.typical, got.gaps) == (want, seconds, 59)
+
+
+def test_base_slot_of_days_and_of_nothing(spark):
+    import datetime
+
+    from lathework.operators import timeseries
+
+    days = spark.createDataFrame([(datetime.datetime(2024, 1, 1) + datetime.timedelta(days=k),) for k in range(30)], "t timestamp_ntz")
+    assert timeseries.base_slot(days, "t").first().minutes == 1440
+    assert tuple(timeseries.base_slot(days.limit(1), "t").first()) == (1440, None, 0)
+    assert tuple(timeseries.base_slot(days.where("t is null"), "t").first()) == (1440, None, 0)
+    long = [datetime.datetime(2000, 1, 1) + datetime.timedelta(minutes=k) for k in range(50)] + [datetime.datetime(2010, 1, 1)]
+    assert timeseries.base_slot(spark.createDataFrame([(x,) for x in long], "t timestamp_ntz"), "t").first().minutes == 5
