@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10_000
 _MARGIN = 3 / ACCURACY
+SMALL = 20_000
+#: A group with more than one in HOT_SHARE of the rows is hot.
+HOT_SHARE = 1024
 
 
 def quantiles(df: DataFrame, x: Column, qs: list[float], keys: list[str] | None = None, name: str = "q", least: str | None = None, rows: str | None = None) -> DataFrame:
@@ -30,22 +33,33 @@ def quantiles(df: DataFrame, x: Column, qs: list[float], keys: list[str] | None
     m = len(qs)
     base = df.select(*[F.col(f"`{k}`").alias(o) for k, o in zip(keys, own, strict=True)], x.cast("double").alias("_x")).where("_x is not null")
     ends = [p for q in qs for p in (max(0.0, q - _MARGIN), min(1.0, q + _MARGIN))]
-    sketch = base.groupBy(*own).agg(F.expr("count(_x) as _n"), F.expr("min(_x) as _least"), F.percentile_approx("_x", ends, ACCURACY).alias("_p"))
+    sketch = base.groupBy(*own).agg(F.expr("count(_x) as _n"), F.expr("min(_x) as _least"), F.expr("max(_x) as _most"), F.percentile_approx("_x", ends, ACCURACY).alias("_p"))
+    # Of few rows the margin is less than the two ranks that are interpolated: all their values are candidates.
+    sketch = sketch.withColumn("_p", F.expr(f"if(_n < {SMALL}, transform(_p, (v, k) -> if(k % 2 = 0, _least, _most)), _p)"))
     sketch = sketch.selectExpr(*[f"{o} as {o}s" for o in own], "_n", "_least", "_p", *[f"_p[{k}] as _p{k}" for k in range(2 * m)])
-    same = " and ".join(f"{o} <=> {o}s" for o in own)
-
-    def bracketed(held: DataFrame) -> DataFrame:
-        # Without keys the sketch is one row.
-        return held.join(sketch, F.expr(same)) if keys else held.join(F.broadcast(sketch))
 
     inside = " or ".join(f"_x between _p{2 * i} and _p{2 * i + 1}" for i in range(m))
     # A bit for each bracket that the value is not below.
     above = " + ".join(f"if(_x >= _p{2 * i}, {1 << i}L, 0L)" for i in range(m))
-    told = bracketed(base).selectExpr(*own, f"if({inside}, _x, null) as _x", f"if({inside}, null, {above}) as _b")
-    told = told.groupBy(*own, "_x", "_b").agg(F.expr("count(1) as _c"))
     # A row of the counts is below quantile i (no value), among its candidates, or beyond.
     near = f"filter(sequence(0, {m - 1}), i -> if(_x is null, (shiftright(_b, i) & 1L) = 0L, _x <= _p[2 * i + 1]))"
-    told = bracketed(told).selectExpr(*own, "_n", "_least", "_p", "_x", "_c", f"explode({near}) as i")
+
+    def counted(held: DataFrame, known: DataFrame, on: list[Column]) -> DataFrame:
+        told = held.join(known, *on).selectExpr(*own, f"if({inside}, _x, null) as _x", f"if({inside}, null, {above}) as _b")
+        told = told.groupBy(*own, "_x", "_b").agg(F.expr("count(1) as _c"))
+        return told.join(known, *on).selectExpr(*own, "_n", "_least", "_p", "_x", "_c", f"explode({near}) as i")
+
+    if keys:
+        # Hot groups meet their brackets where their rows lie (by key, a few groups would be a few tasks); fewer than
+        # HOT_SHARE can be hot.
+        large = F.col("_n") * HOT_SHARE > F.col("_all")
+        sized = sketch.join(F.broadcast(sketch.agg(F.expr("sum(_n) as _all"))))
+        hot, rest = F.broadcast(sized.where(large).drop("_all")), sized.where(~large).drop("_all")
+        same = F.expr(" and ".join(f"{o} <=> {o}s" for o in own))
+        others = base.join(F.broadcast(sized.where(large).select(*[f"{o}s" for o in own])), same, "left_anti")
+        told = counted(base, hot, [same]).unionByName(counted(others, rest, [same]))
+    else:
+        told = counted(base, F.broadcast(sketch), [])  # one row
     order = Window.partitionBy(*own, "i").orderBy(F.expr("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     upto = told.selectExpr(*own, "_n", "_least", "i", "_c", "if(_x >= _p[2 * i], _x, null) as v").withColumn("_upto", F.expr("sum(_c)").over(order))
     share = f"array({', '.join(f'{float(q)!r}D' for q in qs)})[i] * (_n - 1)"
