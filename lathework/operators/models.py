@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .durable import shared_path
 from .order import drawn
 from .quantiles import quantiles
 
@@ -192,27 +193,52 @@ def isolation_forest(df: DataFrame, columns: list[str], trees: int = 100, size:
 
     forest = [grow(rng.choice(len(x), min(size, len(x)), replace=False), 0) for _ in range(trees)] if len(x) else []
     norm = c(min(size, len(x))) or 1.0
-
-    def walk(node, z: np.ndarray, rows: np.ndarray, depth: int, out: np.ndarray) -> None:
-        if len(node) == 1:
-            out[rows] += depth + node[0]
-            return
-        j, cut, a, b = node
-        left = z[rows, j] < cut
-        if left.any():
-            walk(a, z, rows[left], depth + 1, out)
-        if not left.all():
-            walk(b, z, rows[~left], depth + 1, out)
+    laid = [_laid_out(tree, limit) for tree in forest]
 
     def how(z: np.ndarray) -> np.ndarray:
+        columns = np.ascontiguousarray(z.T).ravel()
         total = np.zeros(len(z))
-        for t in forest:
-            walk(t, z, np.arange(len(z)), 0, total)
+        for of, cut, path in laid:
+            total += path[_leaves(columns, len(z), of, cut, limit)]
         return 2.0 ** (-(total / max(1, len(forest))) / norm)
 
     return _score(df, columns, how, mid, mad)
 
 
+def _laid_out(tree, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tree as a full one: each inner node's column and cut (children of i: 2i + 1 and 2i + 2), each leaf's path.
+
+    Below a leaf every value goes left, so it ends in the leaf's leftmost place.
+    """
+    inner = (1 << depth) - 1
+    of, cut, path = np.zeros(inner, np.int32), np.full(inner, np.inf), np.zeros(inner + 1)
+
+    def put(node, at: int, level: int) -> None:
+        if len(node) == 1:
+            while at < inner:
+                at = 2 * at + 1
+            path[at - inner] = level + node[0]
+            return
+        of[at], cut[at] = node[:2]
+        put(node[2], 2 * at + 1, level + 1)
+        put(node[3], 2 * at + 2, level + 1)
+
+    put(tree, 0, 0)
+    return of, cut, path
+
+
+def _leaves(columns: np.ndarray, n: int, of: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+    """The leaf of each row; ``columns`` holds the rows' finite values column after column."""
+    start, row = of * np.int32(n), np.arange(n, dtype=np.int32)
+    at = (columns[start[0] : start[0] + n] >= cut[0]) + np.int32(1)
+    for _ in range(depth - 1):
+        right = columns.take(start.take(at) + row) >= cut.take(at)
+        at += at
+        at += right
+        at += 1
+    return at - np.int32(len(of))
+
+
 def pca_residual(df: DataFrame, columns: list[str], components: int = 8, sample: int = 20_000, seed: int = 5) -> DataFrame:
     """``df`` with the distance from the space of the leading components."""
     x, mid, mad = _scaled(df, columns, sample, seed)
@@ -227,7 +253,17 @@ def pca_residual(df: DataFrame, columns: list[str], components: int = 8, sample:
     return _score(df, columns, how, mid, mad)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = shared_path(df.sparkSession, "scored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def flag_top(df: DataFrame, share: float = 0.01) -> DataFrame:
-    """``df`` with ``outlier``: the rows whose score is in the top share."""
+    """``df`` with ``outlier``: the rows whose score is in the top share.
+
+    ``df`` is written once: the cut takes two passes over the scores and the flags a third.
+    """
+    df = _written(df)
     cut = quantiles(df, F.col("outlier_score"), [1 - share], name="_cut").select(F.get("_cut", F.lit(0)).alias("_cut"))
     return df.join(F.broadcast(cut)).withColumn("outlier", F.coalesce(F.col("outlier_score") > F.col("_cut"), F.lit(False))).drop("_cut")

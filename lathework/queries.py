@@ -940,13 +940,15 @@ def spelling_variants(spark, d):
 
 @query()
 def outliers_isolation_forest(spark, d):
-    out = models.isolation_forest(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    columns = ["l_quantity", "l_extendedprice", "l_discount"]
+    out = models.isolation_forest(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *columns), columns).drop(*columns)
     return models.flag_top(out).where("outlier").select("l_orderkey", "l_linenumber", "outlier_score")
 
 
 @query()
 def outliers_pca(spark, d):
-    out = models.pca_residual(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], 2)
+    columns = ["l_quantity", "l_extendedprice", "l_discount"]
+    out = models.pca_residual(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *columns), columns, 2).drop(*columns)
     return models.flag_top(out).where("outlier").select("l_orderkey", "l_linenumber", "outlier_score")
 
 
@@ -956,7 +958,7 @@ k AS (SELECT id, d AS kth FROM p QUALIFY row_number() OVER (PARTITION BY id ORDE
 l AS (SELECT n.id, count(*) / sum(greatest(d, kth)) AS lrd FROM n JOIN k ON k.id = n.o GROUP BY 1), f AS (SELECT n.id, avg(q.lrd) / any_value(l.lrd) AS score FROM n JOIN l q ON q.id = n.o JOIN l ON l.id = n.id GROUP BY 1)
 SELECT id AS c_custkey, round(score, 6) AS outlier_score FROM f WHERE score > (SELECT quantile_cont(score, 0.99) FROM f)""")
 def outliers_lof(spark, d):
-    out = neighbours.local_outlier_factor(t(spark, d, "customer"), ["c_acctbal", "c_nationkey"])
+    out = neighbours.local_outlier_factor(t(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), ["c_acctbal", "c_nationkey"])
     return models.flag_top(out).where("outlier").select("c_custkey", r("outlier_score", 6))
 
 

@@ -72,3 +72,24 @@ def test_registered_bars_and_forest_take_the_operators_own_sizes(spark, monkeypa
     queries.error_bars_bootstrap(spark, "/root/testdata/sf0.001")
     queries.outliers_isolation_forest(spark, "/root/testdata/sf0.001")
     assert seen == [1000, 100]
+
+
+def test_isolation_forest_scores_each_row_once_and_as_the_trees_say(spark):
+    from lathework.operators import models
+
+    leaf = lambda p: (p,)
+    tree = (0, 0.5, leaf(1.0), (1, 2.0, (0, 3.0, leaf(0.0), leaf(2.5)), leaf(0.0)))
+    of, cut, path = models._laid_out(tree, 4)
+    z = np.array([[0.0, 9.0], [0.5, 2.0], [1.0, 0.0], [3.0, -1.0]])
+    at = models._leaves(np.ascontiguousarray(z.T).ravel(), 4, of, cut, 4)
+    assert path[at].tolist() == [2.0, 2.0, 3.0, 5.5]
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def scored(x):
+        runs.add(len(x))
+        return x
+
+    df = spark.range(2000).select(F.pandas_udf(scored, "double")(F.col("id").cast("double")).alias("outlier_score"))
+    assert {r.outlier_score for r in models.flag_top(df, 0.01).where("outlier").collect()} == {float(k) for k in range(1980, 2000)}
+    assert runs.value == 2000
