@@ -21,10 +21,18 @@ COMPACT_TOKENS = (
 )
 
 
-def is_missing(c: Column, extra: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> Column:
-    """Whether a raw cell is missing: ``keep`` (exact) beats ``extra`` (exact) beats the tokens."""
+def plain_cell(c: Column) -> Column:
+    """A raw cell in lower case without white space and invisible marks at its ends."""
+    return F.lower(F.regexp_replace(c.cast("string"), r"^[\s\u200b-\u200d\u2060\ufeff]+|[\s\u200b-\u200d\u2060\ufeff]+$", ""))
+
+
+def is_missing(c: Column, extra: tuple[str, ...] = (), keep: tuple[str, ...] = (), plain: Column | None = None) -> Column:
+    """Whether a raw cell is missing: ``keep`` (exact) beats ``extra`` (exact) beats the tokens.
+
+    ``plain``: a column that holds ``plain_cell(c)`` already.
+    """
     text = c.cast("string")
-    plain = F.lower(F.regexp_replace(text, r"^[\s\u200b-\u200d\u2060\ufeff]+|[\s\u200b-\u200d\u2060\ufeff]+$", ""))
+    plain = plain_cell(c) if plain is None else plain
     # "N / A", "N.A." and "<NA>" are one token; a digit or a long text is none.
     compact = F.regexp_replace(plain, r"[^\p{L}\p{N}]", "")
     token = plain.isin(*NULL_TOKENS) | (F.char_length(plain) <= 24) & compact.isin(*COMPACT_TOKENS)

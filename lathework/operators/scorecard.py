@@ -74,18 +74,40 @@ def _col(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def _missing(f: Facts) -> Column:
-    return cleans.is_missing(_col(f.column)) if f.text else _col(f.column).isNull()
+def _marked(df: DataFrame, texts: list[str]) -> DataFrame:
+    """``df`` with whether each cell of ``texts`` is missing."""
+    df = df.withColumns({f"_plain_{c}": cleans.plain_cell(_col(c)) for c in texts})
+    return df.withColumns({f"_gone_{c}": cleans.is_missing(_col(c), plain=_col(f"_plain_{c}")) for c in texts})
+
+
+def _read(df: DataFrame, facts: list[Facts]) -> DataFrame:
+    """``df`` with what the checks of a text column share: its trimmed text (null where it is missing), number and date layout.
+
+    Each is a column of its own, so a cell is read once and not again for every
+    check; the steps stay apart, as the optimiser merges none whose results are
+    used more than once.
+    """
+    texts = [f.column for f in facts if f.text]
+    df = _marked(df, texts)
+    df = df.withColumns({f"_text_{c}": F.when(~_col(f"_gone_{c}"), F.trim(_col(c))) for c in texts})
+    return df.withColumns({f"_number_{c}": cleans.number(_col(f"_text_{c}")) for c in texts} | {f"_layout_{c}": review._layout(_col(f"_text_{c}")) for c in texts})
 
 
 def _text(f: Facts) -> Column:
     """A cell's trimmed text; null where it is missing."""
-    return F.when(~_missing(f), F.trim(_col(f.column).cast("string")))
+    return _col(f"_text_{f.column}") if f.text else F.trim(_col(f.column).cast("string"))
+
 
+def _number(f: Facts) -> Column:
+    return _col(f"_number_{f.column}") if f.text else cleans.number(_text(f))
 
-def _layout(s: Column) -> Column:
+
+def _kind(f: Facts) -> Column:
+    return _col(f"_layout_{f.column}") if f.text else review._layout(_text(f))
+
+
+def _layout(kind: Column) -> Column:
     """The way a date is written; all orders of day and month are one."""
-    kind = review._layout(s)
     return F.when(kind.isin(*_DAYS), F.lit("d/m/y")).when(kind != "other", kind)
 
 
@@ -99,16 +121,15 @@ def find(df: DataFrame, columns: list[str] | None = None, optional: dict[str, bo
     facts = [Facts(c, df.schema[c].dataType.simpleString() == "string") for c in columns]
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(facts):
-        aggs.append(F.count_if(_missing(f)).alias(f"nulls_{i}"))
+        aggs.append(F.count_if(_col(f"_gone_{f.column}") if f.text else _col(f.column).isNull()).alias(f"nulls_{i}"))
         low_high = next((r for w, r in review.NAMED_RANGES.items() if w in _words(f.column)), None)
-        number = cleans.number(_text(f)) if f.text else finite(_col(f.column).cast("double")) if profile.is_number(df, f.column) else None
+        number = _number(f) if f.text else finite(_col(f.column).cast("double")) if profile.is_number(df, f.column) else None
         if low_high and number is not None:
             facts[i] = f = replace(f, range=low_high)
             aggs += [F.count(number).alias(f"judged_{i}"), F.count_if((number < low_high[0]) | (number > low_high[1])).alias(f"outside_{i}")]
         if not f.text:
             continue
-        s = _text(f)
-        kind = review._layout(s)
+        s, kind = _text(f), _kind(f)
         aggs += [
             F.count(number).alias(f"numbers_{i}"),
             F.count_if(s.rlike(r"^[+-]?\d{1,15}$|^[+-]?\d+\.0+$")).alias(f"whole_{i}"),
@@ -117,7 +138,7 @@ def find(df: DataFrame, columns: list[str] | None = None, optional: dict[str, bo
             F.count_if(s.rlike(review.MOJIBAKE)).alias(f"garbled_{i}"),
             *[F.count_if(kind == k).alias(f"{k}_{i}") for k in review.DATE_LAYOUTS],
         ]
-    one = df.agg(*aggs).first()
+    one = _read(df, facts).agg(*aggs).first()
     rows = one["rows"]
     masks, spelt = _masks(df, facts), _minorities(df, facts)
     out = []
@@ -177,8 +198,8 @@ def _stacked(df: DataFrame, facts: list[Facts]) -> DataFrame | None:
     texts = [f for f in facts if f.text]
     if not texts:
         return None
-    cells = F.array(*[F.struct(F.lit(f.column).alias("column"), F.when(~_missing(f), _col(f.column)).alias("value")) for f in texts])
-    return df.select(F.inline(cells)).where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    cells = F.array(*[F.struct(F.lit(f.column).alias("column"), F.when(~_col(f"_gone_{f.column}"), _col(f.column)).alias("value")) for f in texts])
+    return _marked(df, [f.column for f in texts]).select(F.inline(cells)).where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _masks(df: DataFrame, facts: list[Facts]) -> dict[str, tuple[str, int]]:
@@ -299,7 +320,7 @@ def suggestions(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     facts = find(df, columns)
     results = checks(df, facts)
     aggs = [F.count_if(F.coalesce(dict((c, b) for c, _, _, b in _findings(f))["placeholder"], F.lit(False))).alias(f"p{i}") for i, f in enumerate(facts) if f.text and not f.empty]
-    held = df.agg(*aggs).first() if aggs else {}
+    held = _read(df, facts).agg(*aggs).first() if aggs else {}
     rows: list[tuple[str, str | None, int, bool]] = []
     for i, f in enumerate(facts):
         n, filled = f.counts, f.rows - f.nulls
@@ -325,31 +346,34 @@ def suggestions(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def _findings(f: Facts, placeholders: bool = True) -> list[tuple[str, str, str, Column]]:
-    """(check, severity, reason, whether a cell fails) of one column, in the order in which a cell is judged."""
+    """(check, severity, reason, whether a cell fails) of one column, in the order in which a cell is judged.
+
+    The conditions are on what ``_read`` adds.
+    """
     raw, s = _col(f.column), _text(f)
     blank = raw.isNull() | (F.trim(raw.cast("string")) == "")
     out = []
     if f.text and placeholders:
-        out.append(("placeholder", "fix", "Placeholder stored as text", _missing(f) & ~blank))
+        out.append(("placeholder", "fix", "Placeholder stored as text", _col(f"_gone_{f.column}") & ~blank))
     if not f.optional:
         out.append(("completeness", "info", "Empty cell", blank))
     if f.intended in ("integer", "number"):
-        out.append(("validity", "fix", f"Does not read as {f.intended}", s.isNotNull() & cleans.number(s).isNull()))
+        out.append(("validity", "fix", f"Does not read as {f.intended}", s.isNotNull() & _number(f).isNull()))
     elif f.intended == "date":
-        out.append(("validity", "fix", "Does not read as date", s.isNotNull() & _layout(s).isNull()))
+        out.append(("validity", "fix", "Does not read as date", s.isNotNull() & _layout(_kind(f)).isNull()))
     if f.range:
-        x = cleans.number(s) if f.text else finite(raw.cast("double"))
+        x = _number(f) if f.text else finite(raw.cast("double"))
         out.append(("validity.range", "fix", f"Outside {f.range[0]} to {f.range[1]}", (x < f.range[0]) | (x > f.range[1])))
     if f.spellings:
         out.append(("consistency.variants", "fix", "Spelling variant of another value", F.col(f"_minor_{f.column}")))
     if f.layout:
-        out.append(("validity.dateformat", "review", "Date written in another format than most of the column", _layout(s) != f.layout))
+        out.append(("validity.dateformat", "review", "Date written in another format than most of the column", _layout(_kind(f)) != f.layout))
     if f.garbled:
         out.append(("validity.mojibake", "fix", "Text looks wrongly decoded", s.rlike(review.MOJIBAKE)))
     if f.minority_order:
-        out.append(("validity.dateconflict", "review", "Date order disagrees with most of the column", review._layout(s) == f.minority_order))
+        out.append(("validity.dateconflict", "review", "Date order disagrees with most of the column", _kind(f) == f.minority_order))
     if f.symbols is not None:
-        out.append(("validity.symbols", "review", "Number written in another style than most of the column", cleans.number(s).isNotNull() & (_symbol(s) == f.symbols)))
+        out.append(("validity.symbols", "review", "Number written in another style than most of the column", _number(f).isNotNull() & (_symbol(s) == f.symbols)))
     if f.mask is not None:
         out.append(("validity.pattern", "review", f"Does not match {f.mask}", s.isNotNull() & (profile.mask(s) != f.mask)))
     return [(c, v, r, F.coalesce(hit, F.lit(False))) for c, v, r, hit in out]
@@ -373,7 +397,7 @@ def rows_affected(df: DataFrame, facts: list[Facts]) -> DataFrame:
         for check, _, _, bad in _findings(f):
             if check not in ("completeness", "validity.range"):
                 hit = hit | bad
-    return _with_minorities(df, facts).agg(F.count_if(hit).alias("affected"), F.count(F.lit(1)).alias("rows"))
+    return _with_minorities(_read(df, facts), facts).agg(F.count_if(hit).alias("affected"), F.count(F.lit(1)).alias("rows"))
 
 
 def exceptions(df: DataFrame, facts: list[Facts], order: str, masked: tuple[str, ...] = ()) -> DataFrame:
@@ -392,7 +416,7 @@ def exceptions(df: DataFrame, facts: list[Facts], order: str, masked: tuple[str,
             row = F.struct(F.lit(f.column).alias("column"), F.lit(check).alias("check"), F.lit(dimension).alias("dimension"), F.lit(severity).alias("severity"), value.alias("value"), F.lit(reason).alias("reason"))
             one = F.when(bad, row).otherwise(one)
         cells.append(one.cast(kind))
-    found = _with_minorities(df, facts).select(_col(order).alias("row"), F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c"))
+    found = _with_minorities(_read(df, facts), facts).select(_col(order).alias("row"), F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c"))
     return found.select("row", "c.*")
 
 

@@ -103,3 +103,16 @@ def test_suggestions_follow_the_findings(spark):
         ("drop", "blank"): (400, False),
         ("missing code -999", "score"): (20, False),
     }
+
+
+def test_a_cell_is_read_once_for_all_its_checks(spark):
+    rows = [(i, "AB-%d" % i if i % 20 else "AB%d" % i, "2023-12-25" if i % 7 else "25/12/2023", "$%d" % i if i % 9 == 0 else "oops" if i % 8 == 0 else "%d.5" % i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, code string, day string, amount string")
+    facts = S.find(df, ["code", "day", "amount"])
+    out = S.exceptions(df, facts, "k")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(jan|feb") <= 3 and plan.count(r"^\(.*\)$") <= 3  # one layout and one number for each column at most
+    assert {(r.row, r.column, r.check) for r in out.collect()} == {
+        *((i, "code", "validity.pattern") for i in range(0, 200, 20)), *((i, "day", "validity.dateformat") for i in range(0, 200, 7)),
+        *((i, "amount", "validity.symbols" if i % 9 == 0 else "validity") for i in range(200) if i % 9 == 0 or i % 8 == 0),
+    }
