@@ -16,6 +16,8 @@ from .order import drawn
 from .quantiles import quantiles
 
 DONORS = 20_000
+#: Answers that a task keeps for rows with the same predictors.
+KNOWN = 100_000
 
 
 def _sample(df: DataFrame, columns: list[str], n: int, seed: int, kind: str | None = "double") -> pd.DataFrame:
@@ -126,13 +128,28 @@ def knn_impute(df: DataFrame, target: str, predictors: list[str], k: int = 5, do
     number = is_number(target)
     usual = float(np.median(model.y)) if number else d[target].mode().iloc[0]
 
+    known: dict = {}
+
     def fill(*cols: pd.Series) -> pd.Series:
         out = cols[0].copy()
         gaps = np.flatnonzero(out.isna().to_numpy())
-        for lo in range(0, len(gaps), 256):
-            at = gaps[lo : lo + 256]
-            rows = [c.iloc[at].reset_index(drop=True) for c in cols[1:]]
-            out.iloc[at] = model.mean(rows, k, usual) if number else model.vote(rows, k, usual)
+        if not len(gaps):
+            return out
+        # Equal predictors have equal answers: each different row is compared with the donors once.
+        rows = pd.DataFrame({j: c.iloc[gaps].reset_index(drop=True) for j, c in enumerate(cols[1:])})
+        which = rows.groupby(list(rows.columns), dropna=False, sort=False).ngroup().to_numpy() if len(rows.columns) else np.zeros(len(gaps), int)
+        _, first = np.unique(which, return_index=True)
+        kinds = rows.iloc[first].reset_index(drop=True)
+        names = [tuple(None if x != x else x for x in r) for r in kinds.itertuples(index=False, name=None)]
+        if len(known) > KNOWN:
+            known.clear()
+        new = [i for i, n in enumerate(names) if n not in known]
+        for lo in range(0, len(new), 256):
+            at = new[lo : lo + 256]
+            some = [kinds[j].iloc[at].reset_index(drop=True) for j in kinds.columns]
+            known.update(zip([names[i] for i in at], model.mean(some, k, usual) if number else model.vote(some, k, usual), strict=True))
+        found = pd.Series([known[n] for n in names], dtype=out.dtype)
+        out.iloc[gaps] = found.iloc[which].to_numpy()
         return out
 
     udf = F.pandas_udf(fill, "double" if number else "string")

@@ -123,3 +123,23 @@ def test_similar_values_of_a_large_block(spark):
     values = [(f"same thing {chr(97 + i % 26)}{chr(97 + i // 26)}",) for i in range(600)]
     got = profile.similar_clusters(spark.createDataFrame(values, "v string"), "v", 0.9)
     assert got.count() == 600
+
+
+def test_rows_with_equal_predictors_meet_the_donors_once(spark, monkeypatch):
+    compared = spark.sparkContext.accumulator(0)
+
+    class Counting(models.Neighbours):
+        def near(self, rows, k):
+            compared.add(len(rows[0]))
+            return super().near(rows, k)
+
+    monkeypatch.setattr(models, "Neighbours", Counting)
+    rows = [(i, float(i % 4), "ab"[i % 2] if i % 7 else None, float(i % 5) if i % 3 == 0 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, n double, c string, y double").coalesce(1)
+    got = {}
+    for r in models.knn_impute(df, "y", ["n", "c"], 4).collect():
+        assert r.y == rows[r.i][3] if rows[r.i][3] is not None else r.y is not None
+        if rows[r.i][3] is None:
+            got.setdefault((r.n, r.c), set()).add(r.y)
+    assert len(got) == 8 and all(len(v) == 1 for v in got.values())
+    assert compared.value == 8
