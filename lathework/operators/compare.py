@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .aggregate import finite
 from .durable import durable
-from .quantiles import quantiles, with_quantiles
+from .order import parts_of
+from .quantiles import HOT_SHARE, quantiles, with_quantiles
 
 
 def key_token(c: Column, kind: str, lower: bool = False) -> Column:
@@ -154,8 +155,7 @@ def suggest_key_pairs(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFra
     found = singles.collect()  # a row for each column
     if any(r["usable"] for r in found):
         return singles.where("usable").orderBy(F.col("score").desc(), "column")
-    n = a.count()
-    pool = sorted((r for r in found if r["filled"] == n and r["kinds"] > 1), key=lambda r: (-r["kinds"], columns.index(r["column"])))[:POOL]
+    pool = sorted((r for r in found if r["filled"] == r["rows"] and r["kinds"] > 1), key=lambda r: (-r["kinds"], columns.index(r["column"])))[:POOL]
     names = sorted((r["column"] for r in pool), key=columns.index)
     pairs = [[x, y] for i, x in enumerate(names) for y in names[i + 1 :]]
     if not pairs:
@@ -164,29 +164,45 @@ def suggest_key_pairs(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFra
 
 
 def _keys(a: DataFrame, b: DataFrame, keys: list[list[str]]) -> DataFrame:
-    """All keys in one aggregate a side: each row gives one token for each key."""
-
-    def tokens(df: DataFrame) -> DataFrame:
-        cells = []
-        for i, k in enumerate(keys):
-            parts = [F.trim(F.col(f"`{c}`").cast("string")) for c in k]
-            whole = F.concat_ws("\x1f", *parts)
-            full = [p.isNotNull() & (p != "") for p in parts]
-            cells.append(F.struct(F.lit(i).alias("key"), F.when(full[0] if len(full) == 1 else full[0] & full[1], whole).alias("v")))
-        return df.select(F.inline(F.array(*cells))).groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"))
-
-    left, right = tokens(a), tokens(b)
-    both = left.where("v is not null").withColumnRenamed("n", "na").join(right.where("v is not null").withColumnRenamed("n", "nb"), ["key", "v"], "full")
-    found = both.groupBy("key").agg(
-        F.count("na").alias("kinds"), F.sum("na").alias("filled"), F.count_if(F.col("na").isNotNull() & F.col("nb").isNotNull()).alias("shared"),
-        F.count("nb").alias("kinds_b"), F.sum("nb").alias("filled_b"), F.coalesce(F.sum(F.when(F.col("na").isNotNull(), F.col("nb"))), F.lit(0)).alias("hits"),
-    )
-    rows = left.groupBy("key").agg(F.sum("n").alias("rows")).join(right.groupBy("key").agg(F.sum("n").alias("rows_b")), "key")
+    """All keys in one aggregate of both sides: each row gives one token for each key.
+
+    Tokens go by value to tasks of about ``PART_ROWS`` tokens, whatever the
+    session's partitions, so no task's counts grow with the table.  Blanks, and
+    values that a sketch finds in more than one of ``HOT_SHARE`` rows, are counted
+    for each task that they come from and then added up.
+    """
+    tokens = []
+    for k in keys:
+        parts = [F.trim(F.col(f"`{c}`").cast("string")) for c in k]
+        full = reduce(lambda x, y: x & y, [p.isNotNull() & (p != "") for p in parts])
+        tokens.append(F.when(full, F.concat_ws("\x1f", *parts)))
+    # Four times the items asked for keep the sketch's error under half of the share: no hot value is missed.
+    sketch = [F.call_function("approx_top_k", x, F.lit(HOT_SHARE), F.lit(4 * HOT_SHARE)).alias(f"t{i}") for i, x in enumerate(tokens)]
+    sides = reduce(DataFrame.unionAll, [df.agg(F.count(F.lit(1)).alias("rows"), *sketch) for df in (a, b)]).collect()  # two rows
+    hot = [sorted({x["item"] for s in sides for x in s[f"t{i}"] or [] if x["item"] is not None and x["count"] * HOT_SHARE > s["rows"]}) for i in range(len(keys))]
+
+    def side(df: DataFrame, mine: bool) -> DataFrame:
+        cells = [F.struct(F.lit(i).alias("key"), F.col(f"t{i}").alias("v"), F.when(F.col(f"t{i}").isNull() | F.col(f"t{i}").isin(h), F.col("at")).alias("at")) for i, h in enumerate(hot)]
+        df = df.select(F.spark_partition_id().alias("at"), *[x.alias(f"t{i}") for i, x in enumerate(tokens)])
+        return df.select(F.inline(F.array(*cells))).withColumn("mine", F.lit(mine))
+
+    each = side(a, True).unionAll(side(b, False)).repartition(parts_of(a, len(keys) * sum(s["rows"] for s in sides)), "key", "v", "at")
+    met = each.groupBy("key", "v", "at").agg(F.count_if("mine").alias("na"), F.count_if(~F.col("mine")).alias("nb"))
+    in_a, in_b = F.col("na") > 0, F.col("nb") > 0
+    facts = {
+        "kinds": in_a.cast("long"), "filled": F.when(in_a, F.col("na")), "shared": (in_a & in_b).cast("long"),
+        "kinds_b": in_b.cast("long"), "filled_b": F.when(in_b, F.col("nb")), "hits": F.when(in_a, F.col("nb")),
+    }
+    # What lies in one task is one row for each key; a hot value's counts are added up before they tell anything.
+    shares = met.groupBy("key", F.col("at").isNotNull().alias("hot"), F.when(F.col("at").isNotNull(), F.col("v")).alias("v"))
+    shares = shares.agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), *[F.sum(x).alias(f"_{n}") for n, x in facts.items()])
+    found = [F.sum(F.when(~F.col("hot"), F.col(f"_{n}")).when(F.col("v").isNotNull(), x)).alias(n) for n, x in facts.items()]
+    out = shares.groupBy("key").agg(F.sum("na").alias("rows"), F.sum("nb").alias("rows_b"), *found)
+    out = out.where("rows > 0 and rows_b > 0 and kinds is not null").withColumn("hits", F.coalesce("hits", F.lit(0)))
     kinds = [a.schema[k[0]].dataType.simpleString() for k in keys]
     named = F.array(*[F.lit(NAMED if len(k) == 1 and id_like(k[0]) else 0.0) for k in keys])
     typed = F.array(*[F.lit(KEY_TYPE if t in ("string", "int", "bigint", "smallint", "tinyint") else 0.0) for t in kinds])
     names = F.array(*[F.lit(" + ".join(k)) for k in keys])
-    out = rows.join(found, "key")
     flawed = (F.col("rows") - F.col("kinds")) / F.col("rows")
     flawed_b = (F.col("rows_b") - F.col("kinds_b")) / F.col("rows_b")
     overlap = F.coalesce(F.try_divide(F.col("hits"), F.col("filled_b")), F.lit(0.0))

@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 SAMPLE = 100
 
 
-def parts_of(df: DataFrame) -> int:
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: Rows that one task gets where rows are dealt out by value and counted.
+PART_ROWS = 500_000
+
+
+def parts_of(df: DataFrame, rows: int = 0) -> int:
+    """The session's shuffle partitions, or more where ``rows`` would be more than ``PART_ROWS`` for each."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
 
 
 def drawn(df: DataFrame, n: int, seed: int = 0) -> DataFrame:

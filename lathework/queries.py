@@ -14,6 +14,7 @@ from .operators.aggregate import (
     BinEdges, BinQuantile, BinWidth, Cohort, DatePart, Measure, Since, Time, Value, View, Where, aggregate, partial_periods, post, totals,
 )
 from .operators.durable import shared_path
+from .operators.order import parts_of
 from .operators.profile import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1214,7 +1215,8 @@ def dq_dependencies(spark, d):
 
 @query("""SELECT 'l_orderkey + l_linenumber' AS "column", count(*) AS rows, count(DISTINCT (l_orderkey, l_linenumber)) AS kinds, CAST(1 AS DOUBLE) AS overlap FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)""")
 def compare_key_pairs(spark, d):
-    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    li = li.repartition(parts_of(li, li.count()), "l_orderkey", "l_linenumber").distinct()
     return compare.suggest_key_pairs(li, li, ["l_orderkey", "l_linenumber"]).select("column", "rows", "kinds", "overlap")
 
 

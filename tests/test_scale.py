@@ -1,6 +1,8 @@
 """Plans and results where one value, chain or series holds a large share of the rows."""
 
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +129,36 @@ def test_base_slot_of_days_and_of_nothing(spark):
     assert tuple(timeseries.base_slot(days.where("t is null"), "t").first()) == (1440, None, 0)
     long = [datetime.datetime(2000, 1, 1) + datetime.timedelta(minutes=k) for k in range(50)] + [datetime.datetime(2010, 1, 1)]
     assert timeseries.base_slot(spark.createDataFrame([(x,) for x in long], "t timestamp_ntz"), "t").first().minutes == 5
+
+
+def test_key_tokens_go_to_tasks_of_bounded_size(spark):
+    n = 1_200_000
+    a = spark.range(n).select(F.col("id").alias("k"), (F.col("id") % 7).alias("n"))
+    out = compare.suggest_keys(a, a, ["k", "n"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    parts = [int(p) for p in re.findall(r"hashpartitioning\(key#\d+, v#\d+[^)]*, (\d+)\)", plan)]
+    # Both sides' tokens of both columns, whatever the session's partitions; nothing is sorted for a join.
+    assert parts and min(parts) * 500_000 >= 4 * n and "Join" not in plan
+    got = {r.column: (r.rows, r.kinds, r.filled, r.shared, r.overlap, r.usable) for r in out.collect()}
+    assert got == {"k": (n, n, n, n, 1.0, True), "n": (n, 7, n, 7, 1.0, False)}
+
+
+def test_key_counts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(order, "PART_ROWS", 500)
+    rng = random.Random(5)
+    # Hot values, blanks, padded texts, values of one side only, a column without a value on one side.
+    draw = lambda i, s: (f"{s}{i}" if i % 3 else rng.choice(["x", " x ", "", "  ", None, f"r{rng.randrange(2000)}"]), rng.choice([7, 7, 7, rng.randrange(3000), None]), None if s == "a" else i)
+    left, right = [draw(i, "a") for i in range(3000)], [draw(i, rng.choice("ab")) for i in range(2500)]
+    a, b = (spark.createDataFrame(x, "t string, n int, m int").repartition(3) for x in (left, right))
+    cols = ["t", "n", "m"]
+    got = {r.column: r for r in compare._keys(a, b, [["t"], ["n"], ["m"], ["t", "n"]]).collect()}
+    for key in (["t"], ["n"], ["m"], ["t", "n"]):
+        told = []
+        for rows in (left, right):
+            cells = [tuple("" if r[cols.index(c)] is None else str(r[cols.index(c)]).strip() for c in key) for r in rows]
+            told.append(Counter(c for c in cells if all(c)))
+        one, two = told
+        r, hits = got[" + ".join(key)], sum(two[v] for v in two if v in one)
+        assert (r.rows, r.kinds, r.filled or 0, r.shared) == (3000, len(one), sum(one.values()), len(one.keys() & two.keys()))
+        assert (r.flawed, r.flawed_b) == pytest.approx(((3000 - len(one)) / 3000, (2500 - len(two)) / 2500)) and r.overlap == pytest.approx(hits / sum(two.values()))
+    assert compare.suggest_keys(a, b.limit(0), cols).count() == 0 and compare.suggest_key_pairs(a, b.limit(0), cols).count() == 0
