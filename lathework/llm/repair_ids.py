@@ -60,29 +60,51 @@ RATIO = 64
 STEP = 256
 FILE_IDS = 1 << 17
 PARTITION_BYTES = 24 << 20
+#: Pairs of a batch's first slice.
+SETTLED = 512
 
 _HIGH = 32
 _LOW = (1 << _HIGH) - 1
 
 
 def _alternate(at: np.ndarray, twice: np.ndarray) -> np.ndarray:
-    """Which places stay when of neighbouring ones among those flagged in ``twice`` every other one goes, from the left."""
+    """Which rows of ``at`` go when of neighbouring places among those flagged in ``twice`` every other one goes, from the left."""
     flagged = np.flatnonzero(twice)
     p = at[flagged]
-    starts = np.flatnonzero(np.append(True, np.diff(p) != 1))
+    joined = p[1:] == p[:-1] + 1
+    if not joined.any():
+        return flagged[:0]
+    starts = np.flatnonzero(np.append(True, ~joined))
     run = np.repeat(starts, np.diff(np.append(starts, len(p))))
-    keep = np.ones(len(at), bool)
-    keep[flagged[(np.arange(len(p)) - run) & 1 == 1]] = False
-    return keep
+    return flagged[(np.arange(len(p)) - run) & 1 == 1]
 
 
 def _batch(left: np.ndarray, right: np.ndarray, symbols: int) -> np.ndarray:
-    """Of the pairs in order those that fit together: no symbol is a left one of some and a right one of others."""
+    """Of the pairs in order those that fit together: no symbol is a left one of some and a right one of others.
+
+    Pairs go in growing slices; those that earlier slices have settled are not looked at one by one.
+    """
     side = bytearray(symbols)  # 1 left, 2 right, 3 both (its own pair)
+    sides = np.frombuffer(side, np.uint8)
+    taken = []
+    lo, step = 0, SETTLED
+    while lo < len(left):
+        a, b = left[lo : lo + step], right[lo : lo + step]
+        state = np.take(sides, a) << 2 | np.take(sides, b)
+        # Left there and right here (6): taken. An odd state, or one above, has a symbol on its other side.
+        taken.append(np.flatnonzero(state == 6) + lo)
+        new = np.flatnonzero((state < 6) & (state & 1 == 0))
+        taken.append(new[_first_fit(np.take(a, new).tolist(), np.take(b, new).tolist(), side)] + lo)
+        lo, step = lo + step, 2 * step
+    return np.sort(np.concatenate(taken)) if taken else np.empty(0, np.int64)
+
+
+def _first_fit(left: list[int], right: list[int], side: bytearray) -> np.ndarray:
+    """Of the pairs in order those that fit ``side``, which they change."""
     taken = []
     take = taken.append
     i = 0
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+    for a, b in zip(left, right, strict=True):
         x = side[a]
         if x < 2:
             if a == b:
@@ -148,10 +170,9 @@ def grammar(ids: np.ndarray, terminals: int, least: int = LEAST, ratio: int = RA
             held &= (x | y) >> 1 | x >> 2 & y >> 3
         at = np.flatnonzero(held.view(bool))
         left, right = np.take(s, at), np.take(s[1:], at)
-        twice = left == right
-        if twice.any():
-            keep = _alternate(at, twice)
-            at, left, right = at[keep], left[keep], right[keep]
+        over = _alternate(at, left == right)
+        if len(over):
+            at, left, right = np.delete(at, over), np.delete(left, over), np.delete(right, over)
         at, first, count = _grouped(left, right, at, n, len(s))
         top = np.flatnonzero(count >= level)
         if not len(top):
@@ -159,7 +180,7 @@ def grammar(ids: np.ndarray, terminals: int, least: int = LEAST, ratio: int = RA
                 break
             level, fresh = max(least, level // ratio), None
             continue
-        top = top[np.argsort(-count[top], kind="stable")]
+        top = top[_falling(count[top])]
         first, count = first[top], count[top]
         left, right = np.take(s, at[first]).astype(np.int64), np.take(s[1:], at[first]).astype(np.int64)
         taken = _batch(left, right, n)
@@ -176,6 +197,12 @@ def grammar(ids: np.ndarray, terminals: int, least: int = LEAST, ratio: int = RA
     return s, np.concatenate(rules) if rules else np.empty(0, np.int64)
 
 
+def _falling(count: np.ndarray) -> np.ndarray:
+    """The order of falling counts, equal ones as they come; short numbers are sorted by their digits."""
+    most = int(count.max(initial=0))
+    return np.argsort((most - count).astype(np.uint16) if most < 1 << 16 else -count, kind="stable")
+
+
 def _replace(s: np.ndarray, at: np.ndarray, first: np.ndarray, count: np.ndarray, symbol: int) -> np.ndarray:
     """``s`` (changed) with pair k, at the ``count[k]`` places in ``at`` from ``first[k]`` on, replaced by ``symbol + k``."""
     ends = np.cumsum(count)

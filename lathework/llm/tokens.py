@@ -27,8 +27,11 @@ _ODD = re.compile("[\x1c-\x1f\x85᠎​-‍⁠﻿]")
 _SPACED = re.compile(r"\s+(?!\S)| ?\S+|\s+")
 _SPACED_PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
 _WORD_PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+")
-#: Bytes of a plain text: 0 white space, 1 of a letter, 2 a digit, 3 a sign.
-_KINDS = np.array([0 if b in b"\0\t\n\r " else 2 if 48 <= b <= 57 else 1 if b >= 128 or chr(b).isalpha() else 3 for b in range(256)], np.uint8)
+#: Bytes of a plain text's UTF-8: of its letters beyond ASCII the first is always C3, so the second alone tells them apart.
+_PLAIN_BYTES = re.sub(_PLAIN, "", "".join(map(chr, range(128)))).encode() + bytes({b for c in range(128, 256) if not _PLAIN.match(chr(c)) for b in chr(c).encode()})
+_SMALL = bytes(b + 32 if 65 <= b <= 90 or 0x80 <= b <= 0x9E else b for b in range(256))
+#: 0 white space, 1 of a letter, 2 a digit, 3 a sign.
+_KINDS = bytes(0 if b in b"\0\t\n\r " else 2 if 48 <= b <= 57 else 1 if b >= 128 or chr(b).isalpha() else 3 for b in range(256))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -91,11 +94,12 @@ class WordEncoder:
             return [self.encode(t) for t in texts]
         out, group, size = [], [], 0
         for text in texts:
-            if len(text) > GROUP or "<|" in text or _PLAIN.search(text):
+            data = text.encode("utf-8", "surrogatepass") if len(text) <= GROUP and "<|" not in text else None
+            if data is None or data.translate(None, _PLAIN_BYTES):
                 out.append(self.encode(text))
                 continue
             group.append(len(out))
-            out.append(text)
+            out.append(data)
             size += len(text)
             if size >= GROUP:
                 self._fill(out, group)
@@ -108,10 +112,10 @@ class WordEncoder:
             for i, ids in zip(group, self._divided([out[i] for i in group]), strict=True):
                 out[i] = ids
 
-    def _divided(self, texts: list[str]) -> list[bytes]:
-        """The ids of plain texts: pieces as ``_WORD_PLAIN`` finds them, each different one looked up once."""
-        data = np.frombuffer(("\0".join(texts) + "\0\0\0").lower().encode(), np.uint8)
-        kinds = np.take(_KINDS, data)
+    def _divided(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of plain texts (their UTF-8): pieces as ``_WORD_PLAIN`` finds them, each different one looked up once."""
+        small = (b"\0".join(texts) + b"\0\0\0").translate(_SMALL)
+        data, kinds = np.frombuffer(small, np.uint8), np.frombuffer(small.translate(_KINDS), np.uint8)
         solid = kinds != 0
         starts = np.empty(len(data), bool)
         starts[0] = True
@@ -129,7 +133,7 @@ class WordEncoder:
         body, first = data[solid], np.flatnonzero(starts[solid])
         offsets = np.append(first, len(body)).astype(np.int32)
         pieces = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(body)).dictionary_encode()
-        held = list(map(self.plain.__getitem__, pieces.dictionary.to_pylist()))
+        held = list(map(self.plain.__getitem__, _strings(pieces.dictionary)))
         flat = np.frombuffer(b"".join(held), "<u4")
         size = np.fromiter(map(len, held), np.int64, len(held)) >> 2
         k = pieces.indices.to_numpy()
@@ -146,6 +150,15 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
 
+def _strings(pieces: pa.StringArray) -> list[str]:
+    """Pieces, none of which has a space, as Python strings: cut from one, not made one by one."""
+    if not len(pieces):
+        return []
+    ends = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1)
+    body = np.frombuffer(pieces.buffers()[2], np.uint8, int(ends[-1]))
+    return np.insert(body, ends[1:-1], 32).tobytes().decode().split(" ")
+
+
 class _Held(dict):
     """Ids by piece; at most ``KEEP`` pieces stay."""
 
