@@ -48,6 +48,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,37 +94,44 @@ class _Segment:
     """A segment in the making."""
 
     def __init__(self):
-        self.numbers = _Numbers()
         self.keys: list[int | None] = []
-        self.codes: list[np.ndarray] = []
+        self.texts: list[bytes] = []
         self.bytes = 0
 
     def add(self, key: int | None, text: str | None) -> None:
-        body = words(text)
         self.keys.append(key)
-        self.codes.append(np.fromiter(map(self.numbers.__getitem__, body), np.int32, len(body)))
+        self.texts.append((text or "").encode("utf-8", "surrogatepass"))
         self.bytes += len(text or "") + 64
 
     def batch(self, number: int, gap: int) -> pa.RecordBatch:
-        counts = np.array([len(c) for c in self.codes], np.int64)
+        # All texts at once, a space before and after each: words begin and end where space and word meet.
+        folded = (b" " + b" ".join(self.texts) + b" ").translate(_FOLD)
+        solid = np.frombuffer(folded, np.uint8) != 32
+        turns = np.flatnonzero(solid[1:] != solid[:-1])
+        first = turns[0::2]
+        ends = np.cumsum([len(t) + 1 for t in self.texts])
+        counts = np.diff(np.searchsorted(first, ends), prepend=0)
         bases = np.zeros(len(counts), np.int64)
         np.cumsum(counts[:-1] + gap, out=bases[1:])
-        names = list(self.numbers)
-        order = sorted(range(len(names)), key=names.__getitem__)
-        rank = np.empty(len(names), np.int64)
-        rank[order] = np.arange(len(names))
-        codes = rank[np.concatenate(self.codes)] if len(names) else np.empty(0, np.int64)
+        cuts = np.zeros(len(first) + 1, np.int32)
+        np.cumsum(turns[1::2] - first, out=cuts[1:])
+        body = folded.translate(None, b" ")
+        found = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts), pa.py_buffer(body)]).dictionary_encode()
+        order = pc.sort_indices(found.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        codes = rank[found.indices.to_numpy()]
         places = np.arange(len(codes)) + np.repeat(np.arange(len(counts)) * gap, counts)
         # By term and place in one sort.
         postings = np.sort(codes << 32 | places) & 0xFFFFFFFF
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(names)))])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(order)))])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([number], pa.int64()),
                 pa.array([self.keys], pa.list_(pa.int64())),
                 pa.array([counts.astype(np.int32)], pa.list_(pa.int32())),
                 pa.array([bases.astype("<u4").tobytes()], pa.binary()),
-                pa.array([[names[i] for i in order]], pa.list_(pa.binary())),
+                pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), found.dictionary.take(order)),
                 pa.array([offsets.astype("<u4").tobytes()], pa.binary()),
                 pa.array([np.diff(postings, prepend=0).astype("<u4").tobytes()], pa.binary()),
             ],
@@ -160,7 +168,7 @@ class Block:
         numbers = _Numbers()
         bodies = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in (words(t) for _, t in items)]
         sizes = np.array([len(b) for b in bodies], np.int64)
-        self.vocabulary: dict[bytes, int] = dict(numbers)
+        self.vocabulary = pa.array(list(numbers), pa.binary())
         self.items = [str(i) for i, _ in items]
         self.words = np.concatenate(bodies) if bodies else np.empty(0, np.int64)
         ends = np.cumsum(sizes)
@@ -201,17 +209,22 @@ class Block:
         self.n = self.length[self.first]
 
 
+def _numbers_of(terms: pa.Array, vocabulary: pa.Array) -> np.ndarray:
+    """The number in the vocabulary of each term, -1 if it is not there; no term becomes a Python object."""
+    return pc.index_in(terms, value_set=vocabulary.cast(terms.type)).fill_null(-1).to_numpy().astype(np.int64)
+
+
 class Reader:
-    """A segment laid out for a block: the block's number of the word at each place (-1: none of its words)."""
-
-    def __init__(self, row: dict, vocabulary: dict[bytes, int]):
-        self.segment = row["segment"]
-        self.keys = row["key"]
-        self.bases = np.frombuffer(row["bases"], "<u4").astype(np.int64)
-        counts = np.array(row["n_words"], np.int64)
-        offsets = np.frombuffer(row["offsets"], "<u4").astype(np.int64)
-        places = np.cumsum(np.frombuffer(row["postings"], "<u4"), dtype=np.uint32).astype(np.int64)
-        own = np.fromiter((vocabulary.get(t, -1) for t in row["terms"]), np.int64, len(row["terms"]))
+    """A segment (row ``i`` of a batch) laid out for a block: the block's number of the word at each place (-1: none of its words)."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, vocabulary: pa.Array):
+        row = {name: batch.column(name)[i] for name in batch.schema.names}
+        self.segment = row["segment"].as_py()
+        self.bases = np.frombuffer(row["bases"].as_py(), "<u4").astype(np.int64)
+        counts = row["n_words"].values.to_numpy().astype(np.int64)
+        offsets = np.frombuffer(row["offsets"].as_py(), "<u4").astype(np.int64)
+        places = np.cumsum(np.frombuffer(row["postings"].as_py(), "<u4"), dtype=np.uint32).astype(np.int64)
+        own = _numbers_of(row["terms"].values, vocabulary)
         held = np.flatnonzero(own >= 0)
         self.from_ = np.zeros(len(vocabulary), np.int64)
         self.count = np.zeros(len(vocabulary), np.int64)
@@ -284,14 +297,14 @@ class Reader:
         return tuple(cat(exact, i) for i in range(3)), tuple(cat(near, i) for i in range(2))
 
 
-def term_counts(index: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
+def term_counts(index: DataFrame, vocabulary: pa.Array) -> np.ndarray:
     """How often each term of a block's vocabulary occurs in the whole index (only terms and offsets are read)."""
 
     def count(batches):
         total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             for terms, offsets in zip(batch.column(0), batch.column(1), strict=True):
-                own = np.fromiter((vocabulary.get(t, -1) for t in terms.as_py()), np.int64, len(terms))
+                own = _numbers_of(terms.values, vocabulary)
                 n = np.diff(np.frombuffer(offsets.as_py(), "<u4").astype(np.int64))
                 total[own[own >= 0]] += n[own >= 0]
         at = np.flatnonzero(total)
@@ -317,7 +330,7 @@ def search(index: DataFrame, items: list[tuple[object, str | None]], size: int =
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                seg = Reader(batch.slice(i, 1).to_pylist()[0], block.vocabulary)
+                seg = Reader(batch, i, block.vocabulary)
                 (lo, hi, item), (place, near) = seg.matches(block, slop)
                 out: dict[int, tuple[list, list, set, set]] = {}
                 for d, x in set(zip(seg.documents(place).tolist(), near.tolist(), strict=True)):

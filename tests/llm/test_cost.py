@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from lathework.llm import repair_ids, tokens
+from lathework.llm import decontam, repair_ids, tokens
 
 
 def _plain_greedy(left, right):
@@ -70,3 +70,43 @@ def test_op8_plain_texts_are_not_searched_by_pattern(monkeypatch):
 def test_op8_pieces_as_strings():
     for own in ([], ["a"], ["é", "", "日本", "x" * 70_000, "b"]):
         assert tokens._strings(pa.array(own, pa.string())) == own
+
+
+def test_op5_segment_holds_every_word_in_its_place():
+    texts = ["One two, ONE-two 3", None, "", " ,", "\u65e5\u672c one\u00e9 \x00x", "\ud800 one", "two " * 50]
+    held = decontam._Segment()
+    for k, t in enumerate(texts):
+        held.add(k if k != 3 else None, t)
+    row = held.batch(7, 64).to_pylist()[0]
+    bodies = [decontam.words(t) for t in texts]
+    assert row["segment"] == 7 and row["key"] == [0, 1, 2, None, 4, 5, 6]
+    assert row["n_words"] == [len(b) for b in bodies]
+    bases = np.frombuffer(row["bases"], "<u4").tolist()
+    assert bases == [sum(len(b) + 64 for b in bodies[:k]) for k in range(len(bodies))]
+    assert row["terms"] == sorted({w for b in bodies for w in b})
+    offsets = np.frombuffer(row["offsets"], "<u4").tolist()
+    places = np.cumsum(np.frombuffer(row["postings"], "<u4"), dtype=np.uint32).tolist()
+    for w, lo, hi in zip(row["terms"], offsets, offsets[1:], strict=False):
+        assert places[lo:hi] == [base + i for base, b in zip(bases, bodies, strict=True) for i, x in enumerate(b) if x == w]
+    empty = decontam._Segment()
+    empty.add(1, None)
+    assert empty.batch(0, 64).to_pylist()[0]["terms"] == []
+
+
+def test_op5_terms_of_a_segment_become_no_python_objects():
+    import sys
+
+    held = decontam._Segment()
+    held.add(1, " ".join(f"w{i}" for i in range(50_000)))
+    batch = held.batch(0, 64)
+    block = decontam.Block([("a", "w7 nowhere w49999")])
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        before = sys.getallocatedblocks()
+        seg = decontam.Reader(batch, 0, block.vocabulary)
+        made = sys.getallocatedblocks() - before
+    finally:
+        sys.setprofile(None)
+    assert seg.count.tolist() == [1, 0, 1]
+    assert made < 1000 and len(calls) < 1000
