@@ -70,9 +70,13 @@ INSULTS = frozenset(
 )
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: The letters of Latin-1 stay, its other characters become spaces.
+_LATIN = bytes(b if _WORD.match(chr(b)) else 32 for b in range(256))
 _SYMBOLS = b"#$%&*|<>{}[]~^=_\\/@+!"
 _CAPITALS = bytes(range(65, 91))
 _SMALL = bytes(range(97, 123))
+#: Bytes of UTF-8 but for the first ones of characters beyond ASCII.
+_ASCII_AND_REST = bytes(range(0xC0))
 
 QUESTIONS = {
     "noise": ("symbols", "marked", "letters", "capitals", "shouted", "exclamations", "bars", "wordless", "sentences"),
@@ -154,6 +158,16 @@ def evidence(hits: int, words: int, toxic: float = 0.017, other: float = 0.0003)
     return hits * float(np.log(toxic / other)) - words * (toxic - other)
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text in small letters, as ``_WORD`` finds them; those of a text within Latin-1 are cut at spaces."""
+    small = text.lower()
+    try:
+        data = small.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WORD.findall(small)
+    return data.translate(_LATIN).decode("latin-1").split()
+
+
 def _weighed(value: float) -> int:
     return BAD if value > 3 else GOOD if value < 1 else ABSTAIN
 
@@ -170,31 +184,46 @@ def votes(text: str, words: list[str], own: Counter[str], found: list[int], lear
     capitals = len(data) - len(data.translate(None, _CAPITALS))
     small = len(data) - len(data.translate(None, _SMALL))
     symbols = len(data) - len(data.translate(None, _SYMBOLS))
-    # The plain count is a part of the full one and need not be exceeded once it is enough for a good vote.
-    ends = text.count(". ") + text.count(", ") + text.count(".\n") + text.count(",\n")
+    # A count's own bound need not be left once it is enough for a good vote: here a part of the ends,
+    # below all symbols for those that end a word or stand alone, and all letters that can be capitals
+    # (ASCII ones and whatever is not ASCII) for the words in capitals.
+    ends = text.count(". ") + text.count(", ")
+    if ends < 0.04 * n:
+        ends += text.count(".\n") + text.count(",\n")
     if ends < 0.04 * n:
         ends = len(_ENDS.findall(text))
+    marked = len(_MARKED.findall(text)) if symbols / n > 0.15 else 0
+    bars = parts.count("|") if symbols / n > 0.1 else 0
+    beyond = 0 if text.isascii() else len(data.translate(None, _ASCII_AND_REST))
+    shouted = sum(map(str.isupper, parts)) if (capitals + beyond) / n > 0.4 else 0
     letters = len("".join(words))
     long_text = n >= 12
     upper = capitals / max(1, capitals + small)
     noise = [
         _vote(symbols / len(text), 0.06, 0.12),
-        _vote(len(_MARKED.findall(text)) / n if symbols else 0.0, 0.15, 0.3) if n >= 5 else ABSTAIN,
+        _vote(marked / n, 0.15, 0.3) if n >= 5 else ABSTAIN,
         _vote(letters / len("".join(parts)), 0.93, 0.88) if long_text else ABSTAIN,
         _vote(upper, 0.4, 0.6) if letters >= 20 else ABSTAIN,
-        _vote(sum(map(str.isupper, parts)) / n, 0.4, 0.6) if n >= 5 else ABSTAIN,
+        _vote(shouted / n, 0.4, 0.6) if n >= 5 else ABSTAIN,
         _vote(text.count("!!") / n, 0.1, 0.3) if n >= 5 else ABSTAIN,
-        _vote(parts.count("|") / n if symbols else 0.0, 0.1, 0.2) if long_text else ABSTAIN,
+        _vote(bars / n, 0.1, 0.2) if long_text else ABSTAIN,
         _vote(m / n, 0.85, 0.7) if long_text else ABSTAIN,
         _vote(ends / n, 0.04, 0.02) if n >= 25 else ABSTAIN,
     ]
     repeats = [ABSTAIN] * 4
     if m >= 12:
         after = words[1:]
+        # Every different word but the last begins another pair; only a repeated one can echo.
+        pairs = len(own) - 1
+        if pairs / m < 0.55:
+            pairs = len(set(zip(words, after)))
+        echoes = m - len(own)
+        if echoes / m > 0.1:
+            echoes = sum(map(str.__eq__, words, after))
         repeats = [
             _vote(len(own) / m, 0.3, 0.22),
-            _vote(sum(map(str.__eq__, words, after)) / m, 0.1, 0.25),
-            _vote(len(set(zip(words, after))) / m, 0.55, 0.4),
+            _vote(echoes / m, 0.1, 0.25),
+            _vote(pairs / m, 0.55, 0.4),
             _vote(max(own.values()) / m, 0.1, 0.15),
         ]
     hits, whole, insults = (sum(1 for x in found if x & bit) for bit in (_BEGUN, _WHOLE, _INSULT)) if found else (0, 0, 0)
@@ -329,15 +358,15 @@ class Scorer:
         self.bias = bias
         return self
 
-    def probability(self, buckets: set[int]) -> float:
-        """Of a text by its buckets that have a weight."""
-        z = sum(float(self.weights[b]) for b in buckets) + self.bias
+    def probability(self, buckets: np.ndarray) -> float:
+        """Of a text by its different buckets that have a weight."""
+        z = float(self.weights[buckets].sum(dtype=np.float64)) + self.bias
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
 
 def parse(text: str | None, known: Known) -> tuple[list[str], Counter[str], list[int]]:
     """A text's words, the different ones with their counts, and what is known of those of which something is."""
-    words = _WORD.findall((text or "").lower())
+    words = words_of(text or "")
     own = Counter(words)
     return words, own, list(filter(None, map(known.__getitem__, own)))
 
@@ -358,7 +387,8 @@ class Model:
             return (0.0,) * len(QUESTIONS)
         codes = tuple(map(_code, votes(text, words, own, found, self.learnt)))
         buckets = {(x >> _BITS) - 1 for x in found if x >> _BITS} | set(marks(codes))
-        return tuple(s.probability(buckets) for s in self.scorers)
+        at = np.fromiter(buckets, np.int64, len(buckets))
+        return tuple(s.probability(at) for s in self.scorers)
 
     def keeps(self, text: str | None) -> bool:
         return max(self.probabilities(text)) < THRESHOLD
@@ -384,7 +414,7 @@ def learn(docs: DataFrame, labels: DataFrame | None, key: str, text: str, rows:
         for batch in slices(batches, 1024):
             n: dict[tuple[int, str], list[int]] = {(0, ""): [0, 0, 0], (1, ""): [0, 0, 0]}
             for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = _WORD.findall(t.lower())
+                words = words_of(t)
                 n[(0, "")][1 if x else 0] += len(words)
                 n[(1, "")][1 if x else 0] += len(words)
                 own = set(words)

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from lathework.llm import decontam, repair_ids, tokens
+from lathework.llm import decontam, quality, repair_ids, tokens
 
 
 def _plain_greedy(left, right):
@@ -110,3 +110,47 @@ def test_op5_terms_of_a_segment_become_no_python_objects():
         sys.setprofile(None)
     assert seg.count.tolist() == [1, 0, 1]
     assert made < 1000 and len(calls) < 1000
+
+
+def test_op10_words_of_latin_texts_are_cut_at_spaces(monkeypatch):
+    texts = ["".join(map(chr, range(256))) * 2, "a\xa0b\x85c\x1cd_e\u00b2f", "\u0130stanbul \u1e9e", "\u65e5\u672c it\u2019s", "", "\ud800 x"]
+    texts += [f"a{chr(c)}b" for c in range(0x3000)]
+    want = [quality._WORD.findall(t.lower()) for t in texts]
+    assert [quality.words_of(t) for t in texts] == want
+
+    class Odd:
+        def findall(self, text):
+            assert max(map(ord, text)) > 255
+            return ["odd"]
+
+    monkeypatch.setattr(quality, "_WORD", Odd())
+    assert quality.words_of("It's \u00c9t\u00e9, 12 x_y") == ["it", "s", "\u00e9t\u00e9", "x", "y"]
+    assert quality.words_of("it\u2019s") == ["odd"]
+
+
+def test_op10_bounded_counts_vote_as_whole_ones():
+    rng = np.random.default_rng(3)
+    parts = ["one", "ONE", "|", "a#", "#b", "!!", "\u00c9T\u00c9", "\u0416\u0416", "x.", "y,", "\u65e5", "two", "three", "$$", "Q"]
+    seen = set()
+    for k in range(3000):
+        n = int(rng.integers(5, 60))
+        weights = rng.dirichlet(np.full(len(parts), 0.2))
+        text = "".join(str(w) + str(s) for w, s in zip(rng.choice(parts, n, p=weights), rng.choice([" ", "\n"], n), strict=True))
+        words, own, found = quality.parse(text, quality.Lexicons().known)
+        if not words:
+            continue
+        noise, repeats, _ = quality.votes(text, words, own, found, quality.Lexicons())
+        split, m = text.split(), len(words)
+        n = len(split)
+        assert noise[1] == quality._vote(len(quality._MARKED.findall(text)) / n, 0.15, 0.3)
+        assert noise[4] == quality._vote(sum(map(str.isupper, split)) / n, 0.4, 0.6)
+        if n >= 12:
+            assert noise[6] == quality._vote(split.count("|") / n, 0.1, 0.2)
+        if n >= 25:
+            assert noise[8] == quality._vote(len(quality._ENDS.findall(text)) / n, 0.04, 0.02)
+        if m >= 12:
+            pairs = list(zip(words, words[1:], strict=False))
+            assert repeats[1] == quality._vote(sum(a == b for a, b in pairs) / m, 0.1, 0.25)
+            assert repeats[2] == quality._vote(len(set(pairs)) / m, 0.55, 0.4)
+        seen |= {(i, noise[i]) for i in (1, 4, 6)} | {(9 + i, repeats[i]) for i in (1, 2)}
+    assert {(i, v) for i in (1, 4, 6, 10, 11) for v in (quality.BAD, quality.GOOD)} <= seen
